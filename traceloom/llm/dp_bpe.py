@@ -15,7 +15,7 @@ from ._shared import read
 #: Parts whose ids a worker remembers; when full, it starts anew.
 REMEMBERED = 300_000
 #: White space as the vocabulary's splitter has it (fixed by Unicode's White_Space property).
-_WS = "\t-\r \x85\xa0  -     　"
+_WS = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: The splitter of byte-level BPE vocabularies (fixed by the vocabulary).
 _SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: Coarser cuts at which the splitter always cuts too.
