@@ -10,7 +10,9 @@ The two substring operators share this front end and differ in the matcher that
    exact copies is one row. A lone segment with copies repeats as a whole.
 4. The other segments meet by anchor in groups of bounded size, where the matcher finds the windows that
    occur in several segments. Anchors with more than `most` different segments aren't gathered: there
-   the prefix is extended to the whole window and equal windows are counted by Spark.
+   the anchor is extended to nearly the whole window, which cuts the segments into shorter runs; equal
+   runs are counted together, and only where different ones share the longer anchor are their windows
+   counted by Spark.
 5. The runs found go back to all segments that they stand for, and so to documents.
 """
 
@@ -146,11 +148,52 @@ def _each_window(unit: str, window: int):
             cols = [batch.column(i).take(pa.array(s.owner)) for i in (0, 1)]
             cols += [pa.array(r.spans(s.at, s.at + window).view(np.int64)) for r in (one, two)]
             cols += [pa.array(s.off.astype(np.int32)), pa.array(s.copies[s.owner]), pa.array(s.doc[s.owner]), pa.array(s.pos[s.owner] + s.off)]
-            yield pa.RecordBatch.from_arrays(cols, ["anchor", "key", "w1", "w2", "off", "copies", "doc", "pos"])
+            yield pa.RecordBatch.from_arrays(cols, ["core", "part", "w1", "w2", "off", "copies", "doc", "pos"])
 
     return run
 
 
+def _extend(unit: str, window: int):
+    """The runs of a segment's windows under anchors that leave out a few symbols of the window only."""
+    gram = window - min(63, window // 5)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, given = batch.column(2).to_pylist(), [batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5)]
+            out: list[list] = [[] for _ in range(9)]
+            for first, offsets, data in T.pieces(batch.column(2)):
+                if unit == "word":
+                    starts, ends, at = T.words(offsets, data)
+                    values = T.word_hashes(starts, ends, data)
+                else:
+                    at, values = offsets, T.BYTE_VALUES[data]
+                for doc, x, n, _, core in zip(*(c.tolist() for c in T.anchor_runs(values, at, window, gram)), strict=True):
+                    a, b = at[doc] + x, at[doc] + x + n - 1 + window
+                    part = b" ".join(data[starts[i] : ends[i]].tobytes() for i in range(a, b)) if unit == "word" else texts[first + doc][x : x + n - 1 + window]
+                    anchor, key, copies, of, pos = (g[first + doc] for g in given)
+                    for c, v in zip(out, (anchor, key, x, core, xxhash.xxh3_128_digest(part, seed=n), n, copies, (of, pos + x), part), strict=True):
+                        c.append(v)
+            first_at = out.pop(7)
+            cols = [*out[:7], [d for d, _ in first_at], [p for _, p in first_at], out[7]]
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "key", "base", "core", "part", "n", "copies", "doc", "pos", "segment"])
+
+    return run
+
+
+def _crowded(whole: DataFrame, unit: str, window: int) -> DataFrame:
+    """Runs of repeated windows of segments whose anchor has too many different segments for one task."""
+    runs = table(whole.select("anchor", "key", "segment", "copies", "doc", "pos").mapInArrow(_extend(unit, window), "anchor long, key binary, base int, core long, part binary, n int, copies long, doc long, pos long, segment binary"))
+    parts = runs.groupBy("core", "part", "n").agg(F.sum("copies").alias("copies"), F.min(F.struct("doc", "pos")).alias("first"), F.first("segment").alias("segment"))
+    parts = table(parts.select("core", "part", "n", "copies", "first.doc", "first.pos", "segment"))
+    shared = table(parts.groupBy("core").agg(F.sum("copies").alias("held")).where("held > 1").select("core"))
+    each = table(parts.join(shared, "core").select("core", "part", "n", "copies", "doc", "pos", "segment").mapInArrow(_each_window(unit, window), "core long, part binary, w1 long, w2 long, off int, copies long, doc long, pos long"))
+    again = each.groupBy("w1", "w2").agg(F.sum("copies").alias("total"), F.min(F.struct("doc", "pos")).alias("first")).where("total > 1").select("w1", "w2", "first")
+    found = each.select("core", "part", "w1", "w2", "off").join(again, ["w1", "w2"]).groupBy("core", "part").agg(F.collect_list(F.struct("off", "first")).alias("hits"))
+    back = runs.select("anchor", "key", "base", "core", "part").join(table(found), ["core", "part"]).select("anchor", "key", "base", F.explode("hits").alias("h"))
+    return back.groupBy("anchor", "key").agg(F.collect_list(F.struct((F.col("base") + F.col("h.off")).alias("off"), F.lit(1).alias("len"), "h.first.doc", "h.first.pos")).cast(RUN).alias("runs"))
+
+
 def repeated_spans(docs: DataFrame, unit: str, window: int, gram: int, match: Matcher, rule: Callable[[Column, Column, Column, Column], Column], most: int = 256, group_bytes: int = 2 << 20) -> DataFrame:
     """doc, spans: for each document of docs (doc, text) the spans (a, b: symbols) covered by repeated windows.
 
@@ -158,13 +201,13 @@ def repeated_spans(docs: DataFrame, unit: str, window: int, gram: int, match: Ma
     """
     docs = docs.where(F.col("doc").isNotNull() & F.col("text").isNotNull())
     found = table(docs.mapInArrow(_find_runs(unit, window, gram), "anchor long, doc long, x0 int, n int"))
-    seen = found.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen > 1").select("anchor")
+    seen = table(found.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen > 1").select("anchor"))
     by_doc = found.join(seen, "anchor").groupBy("doc").agg(F.collect_set(F.struct("x0", "n", "anchor")).alias("cuts"))
     segments = table(docs.join(by_doc, "doc").select("doc", F.encode("text", "utf-8").alias("text"), "cuts").mapInArrow(_cut(unit, window), "anchor long, doc long, x0 int, n int, key binary, segment binary"))
 
     whole = segments.groupBy("anchor", "key", "n").agg(F.count("*").alias("copies"), F.min(F.struct("doc", F.col("x0").cast("long").alias("pos"))).alias("first"), F.first("segment").alias("segment"))
     whole = table(whole.select("anchor", "key", "n", "copies", "first.doc", "first.pos", "segment"))
-    kinds = whole.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    kinds = table(whole.groupBy("anchor").agg(F.count("*").alias("kinds")))
     whole = whole.join(kinds, "anchor")
     lone = whole.where("kinds = 1 and copies > 1").select("anchor", "key", F.array(F.struct(F.lit(0).alias("off"), F.col("n").alias("len"), "doc", "pos")).cast(RUN).alias("runs"))
 
@@ -174,10 +217,7 @@ def repeated_spans(docs: DataFrame, unit: str, window: int, gram: int, match: Ma
     some = some.withColumn("group", F.pmod(F.xxhash64("anchor"), F.lit(groups))).drop("kinds")
     few = some.groupBy("group").applyInPandas(_match_group(unit, match), f"anchor long, key binary, runs {RUN}")
 
-    each = whole.where(f"kinds > {most}").select("anchor", "key", "n", "copies", "doc", "pos", "segment").mapInArrow(_each_window(unit, window), "anchor long, key binary, w1 long, w2 long, off int, copies long, doc long, pos long")
-    again = each.groupBy("w1", "w2").agg(F.sum("copies").alias("total"), F.min(F.struct("doc", "pos")).alias("first")).where("total > 1").select("w1", "w2", "first")
-    many = each.select("anchor", "key", "w1", "w2", "off").join(again, ["w1", "w2"])
-    many = many.groupBy("anchor", "key").agg(F.collect_list(F.struct("off", F.lit(1).alias("len"), "first.doc", "first.pos")).cast(RUN).alias("runs"))
+    many = _crowded(whole.where(f"kinds > {most}"), unit, window)
 
     runs = lone.unionByName(few).unionByName(many)
     hits = segments.select("anchor", "key", "doc", "x0").join(runs, ["anchor", "key"])
