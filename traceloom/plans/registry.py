@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import clustering, evaluation, functions, sampling, sources, voting  # noqa: F401  (they register themselves)
+from ._register import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
