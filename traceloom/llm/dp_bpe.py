@@ -20,7 +20,7 @@ _WS = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x
 _SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: Coarser cuts at which the splitter always cuts too.
 _PARTS = rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
-_open: dict[str, Encoder] = {}
+_open: dict = {}
 
 
 def byte_characters() -> dict[str, int]:
@@ -61,7 +61,9 @@ class Encoder:
             raw = bytes(of[c] for c in t)
             self.automaton.add_word(raw.decode("latin-1"), (len(raw), k))
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
+        self.size = {k: sum(1 for _ in t) for t, k in number.items()}
+        self.part_ids: dict[str, tuple[bytes, bytes]] = {}
         self.split = regex.compile(_SPLIT).findall
         self.parts = regex.compile(_PARTS).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
@@ -72,55 +74,50 @@ class Encoder:
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging leaves the tokens a and b apart: undo the latest merge beside the border again and
         again; no pair across it may merge before the merges that are still standing."""
-        if (known := self.fits.get((a, b))) is not None:
-            return known
-        x, y, limit, good = a, b, 1 << 60, True
+        x, y, limit = a, b, 1 << 60
         while True:
             made = self.pair.get((x, y))
             if made is not None and made < limit:
-                good = False
-                break
+                return False
             if x > y:
                 limit, x = x, self.halves[x][1]
                 if x == limit:
                     limit, y = y + 1, self.halves[y][0]
                     if y + 1 == limit:
-                        break
+                        return True
             else:
                 limit, y = y + 1, self.halves[y][0]
                 if y + 1 == limit:
                     limit, x = x, self.halves[x][1]
                     if x == limit:
-                        break
-        if len(self.fits) > 1_000_000:
-            self.fits.clear()
-        self.fits[a, b] = good
-        return good
+                        return True
 
     def encode(self, raw: bytes) -> list[int]:
-        """Token numbers' ids of one split part."""
-        n = len(raw)
-        last, size = [-1] * (n + 1), [0] * (n + 1)
-        at, found = -1, []
-        for end, match in self.automaton.iter(raw.decode("latin-1")):
-            if end != at:
-                self._choose(at + 1, found, last, size)
-                at, found = end, []
-            found.append(match)
-        self._choose(at + 1, found, last, size)
+        """Ids of one split part."""
+        n, fits = len(raw), self.fits
+        last = [-1] * (n + 1)
+        # Matches that end at one place come longest first, as the suffix links lead.
+        for end, (length, token) in self.automaton.iter(raw.decode("latin-1")):
+            end += 1
+            if last[end] < 0:
+                start = end - length
+                if start == 0:
+                    last[end] = token
+                elif (before := last[start]) >= 0:
+                    key = before << 20 | token
+                    good = fits.get(key)
+                    if good is None:
+                        if len(fits) > 1_000_000:
+                            fits.clear()
+                        good = fits[key] = self.compatible(before, token)
+                    if good:
+                        last[end] = token
         out = []
         while n:
             out.append(self.id_of[last[n]])
-            n -= size[n]
+            n -= self.size[last[n]]
         return out[::-1]
 
-    def _choose(self, end: int, found: list[tuple[int, int]], last: list[int], size: list[int]) -> None:
-        for length, token in sorted(found, reverse=True):
-            start = end - length
-            if start == 0 or (last[start] >= 0 and self.compatible(last[start], token)):
-                last[end], size[end] = token, length
-                return
-
     def lookup(self, parts: list[str]) -> None:
         """Make sure that the ids of all parts are known."""
         new = set(parts).difference(self.ids)
@@ -129,9 +126,16 @@ class Encoder:
             self.raw.clear()
             new = set(parts)
         for p in new:
-            ids = [i for t in self.split(p) for i in self.encode(t.encode())]
-            self.ids[p] = ",".join(map(str, ids)).encode()
-            self.raw[p] = b"".join(map(self.bytes_of.__getitem__, ids))
+            found = [self.part_ids.get(t) or self._part(t) for t in self.split(p)]
+            self.ids[p] = b",".join([f[0] for f in found])
+            self.raw[p] = b"".join([f[1] for f in found])
+
+    def _part(self, part: str) -> tuple[bytes, bytes]:
+        if len(self.part_ids) > REMEMBERED:
+            self.part_ids.clear()
+        ids = self.encode(part.encode())
+        self.part_ids[part] = made = ",".join(map(str, ids)).encode(), b"".join(map(self.bytes_of.__getitem__, ids))
+        return made
 
     def document(self, text: str) -> tuple[bytes, bytes]:
         """The ids in decimal joined by commas, and the bytes that they decode to."""
