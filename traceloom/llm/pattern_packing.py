@@ -14,9 +14,46 @@ from pyspark.sql import functions as F
 from ._shared import buckets, read, table
 
 #: Words whose ids a worker remembers; when full, it starts anew.
-REMEMBERED = 300_000
-_known: dict[str, dict[bytes, bytes]] = {}
-_tokenizers: dict[str, object] = {}
+REMEMBERED = 400_000
+_known: dict[str, _Words] = {}
+
+
+class _Words:
+    """Ids of white-space parts, remembered."""
+
+    def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.known: dict[bytes, bytes] = {}
+
+    def _encode(self, parts: list[bytes]) -> None:
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False), strict=True):
+            self.known[part] = np.array(e.ids, "<u4").tobytes()
+
+    def learn(self, parts: set[bytes]) -> None:
+        """Make sure that all parts are known. The vocabulary is lower case and splits marks from letters, so a part with
+        ASCII capitals or one mark after its letters has the ids of its plain form and of the mark."""
+        new = parts.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = parts
+        plain, marked = [], []
+        for p in new:
+            q = p.lower() if b"<|" not in p else p
+            mark = q[-1:] if q[-1:] in (b",", b".") and q[-2:-1].isalpha() else b""
+            if q == p and not mark:
+                plain.append(p)
+            else:
+                marked.append((p, q[: len(q) - len(mark)], mark))
+        need = {s for _, s, _ in marked} | {m for _, _, m in marked if m}
+        self._encode(plain)
+        self._encode([s for s in need if s not in self.known])
+        for p, s, m in marked:
+            self.known[p] = self.known[s] + (self.known[m] if m else b"")
 
 
 def token_ids(texts: list[bytes], vocabulary: str) -> Iterator[bytes]:
@@ -25,15 +62,9 @@ def token_ids(texts: list[bytes], vocabulary: str) -> Iterator[bytes]:
     ASCII white space is a border for this vocabulary's normalizer and splitter, so a text's ids are those
     of its white-space parts in a row, and a part that was seen before needn't be encoded again.
     """
-    if vocabulary not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _tokenizers[vocabulary], _known[vocabulary] = tokenizer, {}
-    tokenizer, known = _tokenizers[vocabulary], _known[vocabulary]
+    if vocabulary not in _known:
+        _known[vocabulary] = _Words(vocabulary)
+    words = _known[vocabulary]
     i = 0
     while i < len(texts):
         size, j = 0, i
@@ -41,14 +72,9 @@ def token_ids(texts: list[bytes], vocabulary: str) -> Iterator[bytes]:
             size += len(texts[j])
             j += 1
         parts = [t.split() for t in texts[i:j]]
-        new = list(set().union(*parts).difference(known))
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(set().union(*parts))
-        for part, e in zip(new, tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False), strict=True):
-            known[part] = np.array(e.ids, "<u4").tobytes()
+        words.learn(set().union(*parts))
         for p in parts:
-            yield b"".join(map(known.__getitem__, p))
+            yield b"".join(map(words.known.__getitem__, p))
         i = j
 
 
