@@ -83,7 +83,7 @@ def _sign(k: int, bands: int, rows: int, seed: int):
                 key = T.mix(key + np.arange(bands, dtype=np.uint64))
                 text_key = [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, m * bands + 1, bands, dtype=np.int32)), pa.array(key.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(row, m), pa.array(text_key, pa.binary()), pa.array(np.diff(begin).astype(np.int32)), flat, pa.array([x.tobytes() for x in minima], pa.binary())], ["doc", "text_key", "n", "bands", "minima"])
+                yield pa.RecordBatch.from_arrays([ids.slice(row, m), pa.array(text_key, pa.binary()), pa.array(np.diff(begin).astype(np.int32)), flat, pa.array([x.tobytes() for x in minima], pa.binary()), pa.array([x.tobytes() for x in key], pa.binary())], ["doc", "text_key", "n", "bands", "minima", "all"])
 
     return run
 
@@ -135,11 +135,16 @@ def _partners(least: float, agree: float, ranks: tuple[int, int]):
     """Pairs of different classes in each bucket: each member's partners by falling agreement of their minima,
     ranks[0] <= rank < ranks[1]. Rows come sorted by bucket."""
 
-    def bucket(docs: np.ndarray, n: np.ndarray, cls: np.ndarray, block: np.ndarray, two: bool, minima: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def bucket(key: int, docs: np.ndarray, n: np.ndarray, cls: np.ndarray, block: np.ndarray, two: bool, minima: list[bytes], bands: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         none = np.zeros(0, np.int64)
         if len(docs) < 2 or (cls == cls[0]).all():
             return none, none
         sign = np.frombuffer(b"".join(minima), np.uint16).reshape(len(docs), -1)
+        band = np.frombuffer(b"".join(bands), np.int64).reshape(len(docs), -1)
+        band = band[:, : int(np.flatnonzero(band[0] == key)[0])]
+        # A pair of two classes has a member outside the bucket's largest class; that one looks for the other.
+        names, sizes = np.unique(cls, return_counts=True)
+        seeks = cls != names[sizes.argmax()]
         xs, ys = [], []
         for lo in range(0, len(docs), 256):
             rows = slice(lo, lo + 256)
@@ -151,9 +156,10 @@ def _partners(least: float, agree: float, ranks: tuple[int, int]):
             if two:
                 good &= block[rows, None] != block[None, :]
             # Only members that have a partner of another class need an order.
-            rows_left = np.flatnonzero((good & (cls[rows, None] != cls[None, :])).any(axis=1))
+            rows_left = np.flatnonzero((good & (cls[rows, None] != cls[None, :])).any(axis=1) & seeks[rows])
             for r in rows_left.tolist():
                 c = np.flatnonzero(good[r])
+                c = c[~(band[c] == band[lo + r]).any(axis=1)]  # met in an earlier band
                 c = c[np.lexsort((docs[c], -same[r, c]))][ranks[0] : ranks[1]]
                 c = c[cls[c] != cls[lo + r]]
                 xs.append(np.full(len(c), docs[lo + r]))
@@ -177,10 +183,10 @@ def _partners(least: float, agree: float, ranks: tuple[int, int]):
                 rest = t.slice(int(ends[-2])).combine_chunks().to_batches()[0]
                 ends = ends[:-1]
             docs, n, cls, block = (t.column(c).to_numpy() for c in ("doc", "n", "cls", "block"))
-            minima = t.column("minima").to_pylist()
+            minima, bands = t.column("minima").to_pylist(), t.column("all").to_pylist()
             xs, ys = [], []
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                x, y = bucket(docs[a:b], n[a:b], cls[a:b], block[a:b], keys[1][a] != keys[2][a], minima[a:b])
+                x, y = bucket(int(keys[0][a]), docs[a:b], n[a:b], cls[a:b], block[a:b], keys[1][a] != keys[2][a], minima[a:b], bands[a:b])
                 xs.append(x)
                 ys.append(y)
             x, y = np.concatenate([*xs, np.zeros(0, np.int64)]), np.concatenate([*ys, np.zeros(0, np.int64)])
@@ -197,7 +203,7 @@ def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None
     yield None
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, bands: int = 12, rows: int = 2, agree: float = 0.5, block_rows: int = 2048, rounds: tuple[int, ...] = (4, 48, 1 << 30), seed: int = 23) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, bands: int = 16, rows: int = 2, agree: float = 0.45, block_rows: int = 2048, rounds: tuple[int, ...] = (3, 24, 1 << 30), seed: int = 23) -> DataFrame:
     """Classes of documents joined by texts whose k-word shingles align to a similarity of `least`.
 
     docs: doc_id long, text string. Equal texts are one class from the start and never paired. Every other
@@ -211,11 +217,11 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, bands: int
     """
     text = docs.select(F.col("doc_id").cast("long").alias("doc"), F.encode(F.col("text").cast("string"), "utf-8").alias("text"))
     usable = text.where("doc is not null and text is not null")
-    signed = table(usable.mapInArrow(_sign(k, bands, rows, seed), "doc long, text_key binary, n int, bands array<long>, minima binary"))
+    signed = table(usable.mapInArrow(_sign(k, bands, rows, seed), "doc long, text_key binary, n int, bands array<long>, minima binary, all binary"))
     first = signed.groupBy("text_key").agg(F.min("doc").alias("first"))
     signed = signed.join(first, "text_key")
-    members = table(signed.select("doc", "first", "n", F.when(F.col("doc") == F.col("first"), F.col("bands")).alias("bands"), F.when(F.col("doc") == F.col("first"), F.col("minima")).alias("minima")))
-    each = members.where("doc = first and n > 0").dropDuplicates(["doc"]).select("doc", "n", "minima", F.explode("bands").alias("key"))
+    members = table(signed.select("doc", "first", "n", F.when(F.col("doc") == F.col("first"), F.col("bands")).alias("bands"), F.when(F.col("doc") == F.col("first"), F.col("minima")).alias("minima"), F.when(F.col("doc") == F.col("first"), F.col("all")).alias("all")))
+    each = members.where("doc = first and n > 0").dropDuplicates(["doc"]).select("doc", "n", "minima", "all", F.explode("bands").alias("key"))
     held = each.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     each = each.join(held, "key").withColumn("blocks", F.ceil(F.col("held") / block_rows).cast("int"))
     each = table(each.withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int")))
@@ -228,7 +234,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, bands: int
         known = each.withColumn("cls", F.col("doc")) if classes is None else each.join(classes.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("cls", F.coalesce("component", "doc")).drop("component")
         open_keys = known.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key")
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        spread = known.join(open_keys, "key").withColumn("other", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "n", "cls", "block", "minima")
+        spread = known.join(open_keys, "key").withColumn("other", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "n", "cls", "block", "minima", "all")
         spread = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc")
         pairs = spread.mapInArrow(_partners(least, agree, (below, upto)), "a long, b long").distinct()
         if tested is not None:
