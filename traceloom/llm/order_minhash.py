@@ -131,11 +131,22 @@ def _verify(least: float):
     return run
 
 
-def _partners(least: float, agree: float, ranks: tuple[int, int]):
-    """Pairs of different classes in each bucket: each member's partners by falling agreement of their minima,
-    ranks[0] <= rank < ranks[1]. Rows come sorted by bucket."""
-
-    def bucket(key: int, docs: np.ndarray, n: np.ndarray, cls: np.ndarray, block: np.ndarray, two: bool, minima: list[bytes], bands: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _likely(own: np.ndarray, others: list[np.ndarray], least: float) -> np.ndarray:
+    """Which of the others share as many shingles with own as a similarity of `least` needs."""
+    own = np.sort(own)
+    size = np.array([len(o) for o in others])
+    flat = np.concatenate(others)
+    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+    return np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64) >= np.ceil(least * (size + len(own)) / (1 + least) - 1e-9)
+
+
+def _partners(least: float, agree: float, most: int | None):
+    """Pairs of different classes in each bucket, each pair once, in its first shared band. With `most`, a member's
+    best partners by agreement of their minima, to be aligned elsewhere. Without, all other partners, aligned here
+    (rows then bring their shingles), and the pairs are links; partners that a link has brought into the member's
+    class are skipped. Rows come sorted by bucket."""
+
+    def bucket(key: int, docs: np.ndarray, n: np.ndarray, cls: np.ndarray, block: np.ndarray, two: bool, minima: list[bytes], bands: list[bytes], shingles: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
         none = np.zeros(0, np.int64)
         if len(docs) < 2 or (cls == cls[0]).all():
             return none, none
@@ -160,8 +171,20 @@ def _partners(least: float, agree: float, ranks: tuple[int, int]):
             for r in rows_left.tolist():
                 c = np.flatnonzero(good[r])
                 c = c[~(band[c] == band[lo + r]).any(axis=1)]  # met in an earlier band
-                c = c[np.lexsort((docs[c], -same[r, c]))][ranks[0] : ranks[1]]
-                c = c[cls[c] != cls[lo + r]]
+                c = c[np.lexsort((docs[c], -same[r, c]))]
+                if shingles is None:
+                    c = c[:most]
+                    c = c[cls[c] != cls[lo + r]]
+                else:
+                    c = c[cls[c] != cls[lo + r]]
+                    if len(c):
+                        mine, theirs = np.frombuffer(shingles[lo + r], np.uint64), [np.frombuffer(shingles[x], np.uint64) for x in c.tolist()]
+                        links = []
+                        for x in np.flatnonzero(_likely(mine, theirs, least)).tolist():
+                            if cls[c[x]] != cls[lo + r] and similarity(mine, theirs[x], least) >= least:
+                                links.append(c[x])
+                                cls[cls == cls[lo + r]] = cls[c[x]]
+                        c = np.array(links, np.int64)
                 xs.append(np.full(len(c), docs[lo + r]))
                 ys.append(docs[c])
         return (np.concatenate(xs), np.concatenate(ys)) if xs else (none, none)
@@ -183,10 +206,12 @@ def _partners(least: float, agree: float, ranks: tuple[int, int]):
                 rest = t.slice(int(ends[-2])).combine_chunks().to_batches()[0]
                 ends = ends[:-1]
             docs, n, cls, block = (t.column(c).to_numpy() for c in ("doc", "n", "cls", "block"))
+            cls = cls.copy()
+            shingles = t.column("shingles").to_pylist() if most is None else None
             minima, bands = t.column("minima").to_pylist(), t.column("all").to_pylist()
             xs, ys = [], []
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                x, y = bucket(int(keys[0][a]), docs[a:b], n[a:b], cls[a:b], block[a:b], keys[1][a] != keys[2][a], minima[a:b], bands[a:b])
+                x, y = bucket(int(keys[0][a]), docs[a:b], n[a:b], cls[a:b], block[a:b], keys[1][a] != keys[2][a], minima[a:b], bands[a:b], shingles[a:b] if shingles else None)
                 xs.append(x)
                 ys.append(y)
             x, y = np.concatenate([*xs, np.zeros(0, np.int64)]), np.concatenate([*ys, np.zeros(0, np.int64)])
@@ -203,15 +228,27 @@ def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None
     yield None
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, bands: int = 16, rows: int = 2, agree: float = 0.45, block_rows: int = 2048, rounds: tuple[int, ...] = (3, 24, 1 << 30), seed: int = 23) -> DataFrame:
+def _round(each: DataFrame, classes: DataFrame | None, least: float, agree: float, most: int | None, shingles: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of the buckets that still hold several classes."""
+    known = each.withColumn("cls", F.col("doc")) if classes is None else each.join(classes.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("cls", F.coalesce("component", "doc")).drop("component")
+    several = known.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    spread = known.join(several, "key").withColumn("other", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "n", "cls", "block", "minima", "all")
+    if shingles is not None:
+        spread = spread.join(shingles, "doc")
+    return spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc").mapInArrow(_partners(least, agree, most), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, bands: int = 16, rows: int = 2, agree: float = 0.45, block_rows: int = 1024, most: int = 3, seed: int = 23) -> DataFrame:
     """Classes of documents joined by texts whose k-word shingles align to a similarity of `least`.
 
     docs: doc_id long, text string. Equal texts are one class from the start and never paired. Every other
     pair that shares a band of sketches, fits in length and agrees in the share `agree` of the minima (far
-    below what a similar pair shows) is either in one class in the end or was aligned and found unlike:
-    round by round each document is aligned with its next best partners of other classes, so a
-    group of many near copies costs a few alignments for each member. Buckets over `block_rows` are
-    compared in pairs of blocks. Returns doc_id, component_id (smallest doc_id of the class), kept.
+    below what a similar pair shows) is either in one class in the end or was aligned and found unlike. First
+    each document is aligned with its `most` best partners of a bucket, which joins nearly all of a group of
+    near copies. Then the members that are left outside meet all other partners inside the bucket, where a
+    count of shared shingles precedes the alignment, and only links leave the task. Buckets over
+    `block_rows` are compared in pairs of blocks. Returns doc_id, component_id (smallest doc_id of the class), kept.
     Null text or null doc_id: alone (component_id is doc_id). Empty texts are copies of each other; texts without words
     have no other link. Repeated rows give one row. An empty table gives an empty result.
     """
@@ -229,27 +266,13 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, bands: int
     shingles = table(usable.join(candidates, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(_shingle_rows(k), "doc long, shingles binary"))
     a, b = (shingles.select(F.col("doc").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
 
-    links, tested, classes, below = None, None, None, 0
-    for upto in rounds:
-        known = each.withColumn("cls", F.col("doc")) if classes is None else each.join(classes.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("cls", F.coalesce("component", "doc")).drop("component")
-        open_keys = known.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key")
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        spread = known.join(open_keys, "key").withColumn("other", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "n", "cls", "block", "minima", "all")
-        spread = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc")
-        pairs = spread.mapInArrow(_partners(least, agree, (below, upto)), "a long, b long").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = table(pairs)
-        if pairs.isEmpty() and upto == rounds[-1]:
-            break
-        good = table(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(least), "a long, b long"))
-        tested = pairs if tested is None else tested.union(pairs)
-        links = good if links is None else links.union(good)
-        classes = table(components(links))
-        below = upto
+    links = _round(each, None, least, agree, most).distinct()
+    links = table(links.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(least), "a long, b long"))
+    classes = table(components(links))
+    links = table(links.union(_round(each, classes, least, agree, None, shingles)))
+    classes = table(components(links))
     out = members.select("doc", "first").distinct()
-    if classes is not None:
-        out = out.join(classes.withColumnRenamed("node", "first"), "first", "left").withColumn("first", F.coalesce("component", "first"))
+    out = out.join(classes.withColumnRenamed("node", "first"), "first", "left").withColumn("first", F.coalesce("component", "first"))
     alone = text.where("doc is null or text is null").select("doc", F.col("doc").alias("first")).distinct()
     out = out.select("doc", "first").union(alone)
     return out.select(F.col("doc").alias("doc_id"), F.col("first").alias("component_id"), F.col("doc").eqNullSafe(F.col("first")).alias("kept"))
