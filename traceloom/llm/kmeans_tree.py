@@ -16,17 +16,18 @@ from ._shared import read, table
 
 
 class Tree:
-    """centres of all nodes; children of each node (none: a leaf)."""
+    """centres of all nodes; children of each node (none: a leaf). The fullest node is split next, until
+    there are `leaves` leaves: a query's visits then depend on the tree and not on the number of rows."""
 
-    def __init__(self, sample: np.ndarray, branching: int, leaf: int, seed: int):
+    def __init__(self, sample: np.ndarray, branching: int, leaves: int, seed: int, least: int = 8):
         self.rng = np.random.default_rng(seed)
         self.centres: list[np.ndarray] = [sample.mean(axis=0)] if len(sample) else [np.zeros(1)]
         self.children: list[list[int]] = [[]]
-        todo = [(0, sample)]
-        while todo:
-            node, rows = todo.pop()
-            if len(rows) <= leaf:
-                continue
+        todo, ends = [(-len(sample), 0, sample)], 1
+        while todo and ends < leaves:
+            _, node, rows = heapq.heappop(todo)
+            if len(rows) <= least:
+                break
             label, centres = self._split(rows, branching)
             if len(centres) < 2:
                 continue  # copies of one vector: no split parts them
@@ -34,7 +35,9 @@ class Tree:
                 self.children[node].append(len(self.centres))
                 self.centres.append(c)
                 self.children.append([])
-                todo.append((len(self.centres) - 1, rows[label == k]))
+                mine = rows[label == k]
+                heapq.heappush(todo, (-len(mine), len(self.centres) - 1, mine))
+            ends += len(centres) - 1
         self.table = np.array(self.centres)
         self.leaves = [i for i, c in enumerate(self.children) if not c]
 
@@ -152,11 +155,11 @@ def _search(index: DataFrame, visits: DataFrame, dim: int, k: int) -> DataFrame:
     return asked.groupBy("leaf", "block").cogroup(index.groupBy("leaf", "block")).applyInPandas(_score(dim, k), "query_id long, vec_id long, score double, visit int")
 
 
-def kmeans_tree_search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.95, dim: int | None = None, sample: int = 20_000, branching: int = 12, leaf: int = 160, calibration: int = 128, block_rows: int = 4096, seed: int = 5) -> DataFrame:
+def kmeans_tree_search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.95, dim: int | None = None, sample: int = 20_000, branching: int = 12, leaves: int = 144, calibration: int = 128, block_rows: int = 4096, seed: int = 5) -> DataFrame:
     """Each query's k rows of largest inner product (double precision, original vectors), ties to smaller vec_id.
 
     vectors: vec_id long, embedding array of numbers; is_query picks the queries among them. The tree is
-    fitted on a bounded sample (`sample` rows of least hash); every row is indexed. How many leaves a
+    fitted on a bounded sample (`sample` rows of least hash) with about `leaves` leaves; every row is indexed. How many leaves a
     query visits is calibrated: `calibration` queries are compared with all rows in blocks, and the visits
     widen until their recall is `recall`. Returns query_id, rank (from 1), vec_id, score, visits (leaves
     allowed). Vectors that are null, zero, of another length, or with null or non-finite components take no
@@ -167,7 +170,7 @@ def kmeans_tree_search(vectors: DataFrame, is_query: Column, k: int = 20, recall
         dim = vectors.where(F.size("embedding") > 0).agg(F.max(F.size("embedding"))).first()[0] or 1
     packed = table(vectors.select(F.col("vec_id").cast("long"), "embedding", F.coalesce(is_query, F.lit(False)).alias("is_query")).select("vec_id", "embedding").mapInArrow(_pack(dim), "vec_id long, v binary"))
     picked = packed.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"].tolist()
-    tree = Tree(V.rows(picked, dim), branching, leaf, seed)
+    tree = Tree(V.rows(picked, dim), branching, leaves, seed)
     indexed = packed.mapInArrow(_leaf(tree, dim), "vec_id long, v binary, leaf long")
     held = indexed.groupBy("leaf").agg(F.count("*").alias("held"))
     indexed = indexed.join(held, "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.ceil(F.col("held") / block_rows)).cast("int"))
