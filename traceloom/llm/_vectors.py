@@ -32,10 +32,10 @@ def rows(raw: list[bytes] | np.ndarray, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(raw), "<f8").reshape(-1, dim)
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of all rows of a and b, each summed in the order of the components, so that equal
+def paired(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs a[i], b[j], each summed in the order of the components, so that equal
     vectors get equal products wherever they stand."""
-    out = np.zeros((len(a), len(b)))
+    out = np.zeros(len(i))
     for k in range(a.shape[1]):
-        out += a[:, k, None] * b[None, :, k]
+        out += a[i, k] * b[j, k]
     return out

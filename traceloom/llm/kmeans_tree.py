@@ -120,23 +120,27 @@ def _score(dim: int, k: int, block: int = 256):
         if len(queries) and len(rows):
             rows = rows.sort_values("vec_id")
             ids, x = rows["vec_id"].to_numpy(np.int64), V.rows(rows["v"].tolist(), dim)
+            longest = np.linalg.norm(x, axis=1).max()
             for lo in range(0, len(queries), block):
                 part = queries.iloc[lo : lo + block]
                 q = part["query_id"].to_numpy(np.int64)
-                s = V.products(V.rows(part["q"].tolist(), dim), x)
+                asked = V.rows(part["q"].tolist(), dim)
+                s = asked @ x.T
                 s[q[:, None] == ids[None, :]] = -np.inf
-                # Ids ascend, so a stable order by descending product puts ties to the smaller id.
+                # The matrix product is off by rounding only: all within that of the k-th are scored exactly.
                 if len(ids) > 4 * k:
-                    least = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k]
-                    r, c = np.nonzero(s >= least[:, None])
+                    slack = 1e-12 * np.linalg.norm(asked, axis=1) * longest
+                    least = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] - slack
+                    r, c = np.nonzero((s >= least[:, None]) & np.isfinite(s))
                 else:
                     r, c = np.nonzero(np.isfinite(s))
-                order = np.lexsort((ids[c], -s[r, c], r))
-                r, c = r[order], c[order]
-                head = np.searchsorted(r, r)
-                keep = (np.arange(len(r)) - head < k) & np.isfinite(s[r, c])
-                r, c = r[keep], c[keep]
-                out.append(pd.DataFrame({"query_id": q[r], "vec_id": ids[c], "score": s[r, c], "visit": part["visit"].to_numpy()[r]}))
+                s = V.paired(asked, x, r, c)
+                # Ids ascend, so a stable order by descending product puts ties to the smaller id.
+                order = np.lexsort((ids[c], -s, r))
+                r, c, s = r[order], c[order], s[order]
+                keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+                r, c, s = r[keep], c[keep], s[keep]
+                out.append(pd.DataFrame({"query_id": q[r], "vec_id": ids[c], "score": s, "visit": part["visit"].to_numpy()[r]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "visit": pd.Series(dtype="int32")})
 
     return run
