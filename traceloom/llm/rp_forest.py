@@ -75,6 +75,29 @@ def _plant(forest: list[Tree], dim: int):
     return run
 
 
+def _earlier(every: pd.Series, leaf: int) -> np.ndarray:
+    """Each row's leaves before `leaf`, as bits: two rows that share one have met before."""
+    lists = [np.frombuffer(b, "<i8") for b in every]
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    flat = np.concatenate(lists)
+    row, flat = row[flat < leaf], flat[flat < leaf]
+    known, column = np.unique(flat, return_inverse=True)
+    bits = np.zeros((len(lists), len(known) // 8 + 1), np.uint8)
+    np.bitwise_or.at(bits, (row, column >> 3), (1 << (column & 7)).astype(np.uint8))
+    return bits
+
+
+def _joined(up: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least row of each row's group (kept flat) once the pairs a, b are joined."""
+    while True:
+        lo, hi = np.minimum(up[a], up[b]), np.maximum(up[a], up[b])
+        if (lo == hi).all():
+            return up
+        np.minimum.at(up, hi, lo)
+        while (up[up] != up).any():
+            up = up[up]
+
+
 def _compare(dim: int, at_least: float):
     """Links between the rows of one leaf (or of two blocks of a large one): for each row the number of linked
     vectors, and a spanning set of edges. A pair that shares several leaves counts in the first of them."""
@@ -84,16 +107,9 @@ def _compare(dim: int, at_least: float):
         frame = frame.sort_values("vec_id", kind="stable")
         ids, copies = frame["vec_id"].to_numpy(np.int64), frame["copies"].to_numpy(np.int64)
         x, block = V.rows(frame["v"].tolist(), dim), frame["block"].to_numpy()
-        leaves = [np.frombuffer(b, "<i8") for b in frame["all"]]
+        earlier = _earlier(frame["all"], leaf)
         n = len(ids)
-        links, parent = np.zeros(n, np.int64), np.arange(n)
-
-        def root(k: int) -> int:
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
+        links, up = np.zeros(n, np.int64), np.arange(n)
         for lo in range(0, n, 512):
             hi = min(lo + 512, n)
             near = x[lo:hi] @ x[lo:].T
@@ -103,14 +119,14 @@ def _compare(dim: int, at_least: float):
             if i != j:
                 keep &= block[r] != block[c]
             r, c = r[keep], c[keep]
-            exact = np.einsum("ij,ij->i", x[r], x[c]) >= at_least
-            for a, b in zip(r[exact].tolist(), c[exact].tolist(), strict=True):
-                if np.intersect1d(leaves[a], leaves[b], assume_unique=True)[0] == leaf:
-                    links[a] += copies[b]
-                    links[b] += copies[a]
-                ra, rb = root(a), root(b)
-                parent[max(ra, rb)] = min(ra, rb)
-        up = np.array([root(k) for k in range(n)], np.int64)
+            for at in range(0, len(r), 65536):
+                a, b = r[at : at + 65536], c[at : at + 65536]
+                linked = np.einsum("ij,ij->i", x[a], x[b]) >= at_least
+                a, b = a[linked], b[linked]
+                first = ~(earlier[a] & earlier[b]).any(axis=1)
+                np.add.at(links, a[first], copies[b[first]])
+                np.add.at(links, b[first], copies[a[first]])
+                up = _joined(up, a, b)
         keep = (links > 0) | (up != np.arange(n))
         return pd.DataFrame({"vec_id": ids[keep], "links": links[keep], "root": ids[up[keep]] if n else ids})
 
