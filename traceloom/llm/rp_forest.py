@@ -42,6 +42,17 @@ class Tree:
         return row, node
 
 
+def _depth(sample: np.ndarray, n: int, leaf: int, spill: float, rng: np.random.Generator, least: int = 16) -> int:
+    """The depth at which a leaf holds about `leaf` of n vectors, spilled ones included; a leaf keeps `least` sampled rows."""
+    most = int(max(0, np.floor(np.log2(max(len(sample), 1) / least))))
+    tree, held, depth = Tree(sample, most, spill, rng), float(n), 0
+    while depth < most and held > leaf:
+        depth += 1
+        tree.depth = depth
+        held = n * len(tree.leaves(sample)[0]) / len(sample) / (1 << depth)
+    return depth
+
+
 def _unit(dim: int):
     """Usable vectors scaled to length one, with a key that equal directions given by equal vectors share."""
 
@@ -138,7 +149,7 @@ def rp_forest_duplicates(vectors: DataFrame, cosine: float = 0.95, dim: int | No
 
     vectors: vec_id long, embedding array of numbers. Equal vectors are one row with a count throughout,
     so copies are never paired with each other. The forest is fitted on a bounded sample (`sample` rows);
-    its trees deepen with the number of distinct vectors, up to leaves of 16 sampled rows. A leaf over `block_rows` is compared in pairs
+    its trees deepen until a leaf holds about `leaf` vectors, spilled ones included, and no less than 16 sampled rows. A leaf over `block_rows` is compared in pairs
     of blocks, each a task of its own. Returns vec_id, n_links (other vectors linked), component_id (smallest
     vec_id reachable), kept. Vectors that are null, zero, of another length, or with null or non-finite
     components link with nothing. Rows without vec_id are left out. Repeated rows are one. An empty table
@@ -152,8 +163,8 @@ def rp_forest_duplicates(vectors: DataFrame, cosine: float = 0.95, dim: int | No
     n = classes.count()
     picked = classes.orderBy(F.xxhash64(F.lit(seed), "first"), "first").limit(sample).select("v").toPandas()["v"].tolist()
     rows = V.rows(picked, dim)
-    depth = int(min(max(0, np.ceil(np.log2(max(n, 1) / leaf))), max(0, np.floor(np.log2(max(len(rows), 1) / 16)))))
     rng = np.random.default_rng(seed)
+    depth = _depth(rows, n, leaf, spill, rng)
     forest = [Tree(rows, depth, spill, rng) for _ in range(trees)]
     planted = table(classes.select(F.col("first").alias("vec_id"), "v", "copies").mapInArrow(_plant(forest, dim), "vec_id long, v binary, copies long, all binary, leaf long"))
     held = planted.groupBy("leaf").agg(F.count("*").alias("held")).where("held > 1")
