@@ -89,6 +89,17 @@ def exact_vote(reads: DataFrame, length: int, key: str = "cluster_id") -> DataFr
     return n.groupBy(key).agg(F.min_by("read", F.struct((-F.col("n")).alias("n"), "read")).alias("consensus"))
 
 
+def ensemble_vote(predictions: DataFrame, key: str = "cluster_id") -> DataFrame:
+    """key, n, consensus, mean_agreement, min_agreement: the most frequent symbol of each position up to the longest
+    prediction, '-' standing past a prediction's end and stripped from the result; ties go to the first prediction."""
+    size = predictions.groupBy(key).agg(F.max(F.length("read")).alias("longest"), F.count("*").alias("n"))
+    padded = predictions.join(size, key).select(key, "read_no", F.expr("rpad(read, longest, '-')").alias("read"))
+    best = votes(padded, key).groupBy(key, "pos").agg(F.max_by(F.struct("base", "n"), F.struct("n", (-F.col("seen")).alias("o"))).alias("b"))
+    won = best.select(key, "pos", "b.base", F.col("b.n").alias("m")).join(size.select(key, "n"), key)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "")
+    return won.groupBy(key, "n").agg(F.regexp_replace(text, "-+$", "").alias("consensus"), F.avg(F.col("m") / F.col("n")).alias("mean_agreement"), F.min(F.col("m") / F.col("n")).alias("min_agreement"))
+
+
 #: Consensus by name; each takes (reads, length) and returns key and consensus.
 METHODS = {
     "plain": lambda r, n: plain_vote(r),

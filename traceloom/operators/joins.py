@@ -16,6 +16,21 @@ def prefix_hits(reads: DataFrame, truths: DataFrame, k: int, starts: int) -> Dat
     return kmers.join(prefixes, "kmer").groupBy("cluster_id", "read_no", "gt_id").agg(F.min("pos").alias("pos"))
 
 
+def approximate_hits(reads: DataFrame, truths: DataFrame, k: int, starts: int, most: int) -> DataFrame:
+    """Ground truths whose k-prefix is within `most` edits of a read's (column s) k-window at one of the first
+    `starts` places, with the first such place. One of most + 1 equal pieces of the prefix stands unchanged in
+    the window, at most `most` places off: an equi-join on pieces finds every candidate, levenshtein decides."""
+    piece = k // (most + 1)
+    cut = lambda text, n: F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(text, i * (1 if text == "s" else piece) + 1, F.lit(piece))))
+    pieces = truths.select("gt_id", F.substring("gt", 1, k).alias("prefix"), cut("gt", most + 1).alias("no", "piece"))
+    kmers = reads.select("cluster_id", "read_no", cut("s", starts + k - piece + most).alias("at", "piece"))
+    shift = F.explode(F.sequence(F.lit(-most), F.lit(most)))
+    found = kmers.join(pieces, "piece").select("cluster_id", "read_no", "gt_id", "prefix", (F.col("at") - F.col("no") * piece).alias("pos"), shift.alias("x"))
+    found = found.select("cluster_id", "read_no", "gt_id", "prefix", (F.col("pos") + F.col("x")).alias("pos")).where(F.col("pos").between(0, starts - 1)).distinct()
+    near = found.join(reads, ["cluster_id", "read_no"]).where(F.levenshtein(F.substring("s", F.col("pos") + 1, F.lit(k)), "prefix", most) >= 0)
+    return near.groupBy("cluster_id", "read_no", "gt_id").agg(F.min("pos").alias("pos"))
+
+
 def best_match(reads: DataFrame, hits: DataFrame) -> DataFrame:
     """The hit with the least (pos, gt_id) of each read, the number of hits, and mapped / mapped_ambiguous / unmapped."""
     best = hits.groupBy("cluster_id", "read_no").agg(F.min(F.struct("pos", "gt_id")).alias("b"), F.count("*").alias("hits"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clustering, evaluation, functions, sampling, sources, voting  # noqa: F401  (they register themselves)
+from . import clustering, conditions, evaluation, functions, sampling, sources, voting  # noqa: F401  (they register themselves)
 from ._register import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
