@@ -189,9 +189,26 @@ def _crowded(whole: DataFrame, unit: str, window: int) -> DataFrame:
     shared = table(parts.groupBy("core").agg(F.sum("copies").alias("held")).where("held > 1").select("core"))
     each = table(parts.join(shared, "core").select("core", "part", "n", "copies", "doc", "pos", "segment").mapInArrow(_each_window(unit, window), "core long, part binary, w1 long, w2 long, off int, copies long, doc long, pos long"))
     again = each.groupBy("w1", "w2").agg(F.sum("copies").alias("total"), F.min(F.struct("doc", "pos")).alias("first")).where("total > 1").select("w1", "w2", "first")
-    found = each.select("core", "part", "w1", "w2", "off").join(again, ["w1", "w2"]).groupBy("core", "part").agg(F.collect_list(F.struct("off", "first")).alias("hits"))
-    back = runs.select("anchor", "key", "base", "core", "part").join(table(found), ["core", "part"]).select("anchor", "key", "base", F.explode("hits").alias("h"))
-    return back.groupBy("anchor", "key").agg(F.collect_list(F.struct((F.col("base") + F.col("h.off")).alias("off"), F.lit(1).alias("len"), "h.first.doc", "h.first.pos")).cast(RUN).alias("runs"))
+    window_run = F.struct("off", F.lit(1).alias("len"), "first.doc", "first.pos")
+    found = each.select("core", "part", "w1", "w2", "off").join(again, ["w1", "w2"]).groupBy("core", "part").agg(F.collect_list(window_run).alias("runs"))
+    back = runs.select("anchor", "key", "base", "core", "part").join(table(_merged(found)), ["core", "part"]).select("anchor", "key", "base", F.explode("runs").alias("r"))
+    moved = F.struct((F.col("base") + F.col("r.off")).alias("off"), "r.len", "r.doc", "r.pos")
+    return _merged(back.groupBy("anchor", "key").agg(F.collect_list(moved).alias("runs"))).withColumn("runs", F.col("runs").cast(RUN))
+
+
+def _merged(df: DataFrame) -> DataFrame:
+    """df with its runs put in order and joined where one goes on where the last one ends, here and in the source."""
+    df = df.withColumn("runs", F.array_sort("runs"))
+    run = lambda i: F.get("runs", i)
+    goes_on = lambda p, q: (p["off"] + p["len"] == q["off"]) & (p["doc"] == q["doc"]) & (p["pos"] + p["len"] == q["pos"])
+    heads = F.filter(F.sequence(F.lit(0), F.size("runs") - 1), lambda i: (i == 0) | ~goes_on(run(i - 1), run(i)))
+    df = df.withColumn("_heads", heads)
+
+    def joined(i: Column, k: Column) -> Column:
+        last = run(F.coalesce(F.get("_heads", k + 1), F.size("runs")) - 1)
+        return F.struct(run(i)["off"].alias("off"), (last["off"] + last["len"] - run(i)["off"]).alias("len"), run(i)["doc"].alias("doc"), run(i)["pos"].alias("pos"))
+
+    return df.withColumn("runs", F.transform("_heads", joined)).drop("_heads")
 
 
 def repeated_spans(docs: DataFrame, unit: str, window: int, gram: int, match: Matcher, rule: Callable[[Column, Column, Column, Column], Column], most: int = 256, group_bytes: int = 2 << 20) -> DataFrame:
