@@ -206,7 +206,7 @@ def j3(spark, sf):
     return approximate_hits(s, ground_truth(spark, sf), 20, 11, 1)
 
 
-@query("f17_f18_f19_validation", f"{_SCORES} SELECT count(*) AS clusters, count(*) FILTER (WHERE n NOT BETWEEN 2 AND 10) AS wrong_size, count(*) FILTER (WHERE d / 110 > 0.005::double AND n >= 4) AS flagged, min(cluster_id) FILTER (WHERE n NOT BETWEEN 2 AND 10) AS first_wrong, (SELECT count(*) FROM rd WHERE regexp_matches(read, '[^ACGT]')) AS wrong_reads, (SELECT count(*) FROM gt WHERE length(gt) <> 110) AS wrong_truths FROM c")
+@query("f17_f19_validation", f"{_SCORES} SELECT count(*) AS clusters, count(*) FILTER (WHERE n NOT BETWEEN 2 AND 10) AS wrong_size, count(*) FILTER (WHERE d / 110 > 0.005::double AND n >= 4) AS flagged, min(cluster_id) FILTER (WHERE n NOT BETWEEN 2 AND 10) AS first_wrong, (SELECT count(*) FROM rd WHERE regexp_matches(read, '[^ACGT]')) AS wrong_reads, (SELECT count(*) FROM gt WHERE length(gt) <> 110) AS wrong_truths FROM c")
 def f17(spark, sf):
     """Counts and first id instead of a list of offending ids, which may be as long as the data."""
     odd = ~F.col("n").between(2, 10)
@@ -215,7 +215,7 @@ def f17(spark, sf):
     return c.join(r).join(ground_truth(spark, sf).agg(F.count_if(F.length("gt") != 110).alias("wrong_truths")))  # one row each
 
 
-@query("t5_t7_u3_sorted_sizes", f"{_SCORES}, s AS (SELECT n, count(*) AS clusters FROM c WHERE substr(md5(concat('t:', cast(cluster_id AS varchar))), 1, 2) < '33' GROUP BY n) SELECT n, clusters FROM s ORDER BY n DESC")
+@query("t5_t7_sorted_sizes", f"{_SCORES}, s AS (SELECT n, count(*) AS clusters FROM c WHERE substr(md5(concat('t:', cast(cluster_id AS varchar))), 1, 2) < '33' GROUP BY n) SELECT n, clusters FROM s ORDER BY n DESC")
 def t5(spark, sf):
     """Sizes in descending order over the first fifth of clusters by hash."""
     c = _scores(spark, sf).where(F.substring(seeded("t", F.col("cluster_id")), 1, 2) < "33")
