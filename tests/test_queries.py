@@ -61,6 +61,21 @@ def test_edit_operations_are_as_many_as_the_distance(spark):
     assert wrong.count() == 0
 
 
+def test_homopolymer_class(spark):
+    runs = spark.createDataFrame([(1, 3, 6, "A")], "cluster_id int, start int, end int, base string")
+    ops = [("ins", 6, None, "A", "hp_expansion"), ("ins", 4, None, "C", "hp_interruption"), ("ins", 2, None, "G", "hp_boundary"), ("del", 4, "A", None, "hp_contraction"), ("del", 2, "C", None, "non_hp"), ("sub", 5, "A", "T", "hp_interruption"), ("sub", 6, "C", "A", "hp_boundary"), ("sub", 9, "C", "A", "non_hp")]
+    df = spark.createDataFrame([(1, 1, i, *o) for i, o in enumerate(ops)], "cluster_id int, read_no int, no int, op string, pos int, old string, new string, want string")
+    got = {r["no"]: r["hp_class"] for r in E.homopolymer_class(df.drop("want"), runs).collect()}
+    assert [got[i] for i in range(len(ops))] == [o[-1] for o in ops]
+
+
+def test_common_subsequence(spark):
+    r = fixture.reads(spark, SF).limit(300)
+    wrong = E.common_subsequence(r.select("gt", "read")).where((F.length("gt") + F.length("read") - 2 * F.col("lcs") < F.levenshtein("gt", "read")) | (F.col("lcs") < F.length("gt") - F.levenshtein("gt", "read")))
+    assert wrong.count() == 0
+    assert [E.common_length(a, b) for a, b in (("ACGT", "AGT"), ("", "A"), ("AGGTAB", "GXTXAYB"))] == [3, 0, 4]
+
+
 def test_sub_clusters_keep_their_bounds(spark):
     sizes = registry.QUERIES["p8_sub_clusters"](spark, SF).select(F.size("reads").alias("n")).agg(F.min("n"), F.max("n")).first()
     assert 1 <= sizes[0] and sizes[1] <= 4

@@ -46,6 +46,18 @@ def first_seen_vote(reads: DataFrame, length: int, key: str = "cluster_id") -> D
     return spell(votes(padded, key).groupBy(key, "pos").agg(winner.alias("base")), key)
 
 
+def gap_tie_vote(reads: DataFrame, length: int, deletions: bool = False, key: str = "cluster_id") -> DataFrame:
+    """Reads cut or padded with '#' to length; the most frequent symbol wins, ties go to the one seen first that isn't
+    a gap. With `deletions` a winning D gives way to the best base, or to one by md5 where the column has none."""
+    padded = reads.select(key, "read_no", F.rpad(F.substring("read", 1, length), length, "#").alias("read"))
+    order = F.struct("n", F.when(F.col("base") == "-", 0).otherwise(1).alias("r"), (-F.col("seen")).alias("o"))
+    base = F.col("base").isin("A", "C", "G", "T")
+    top = votes(padded, key).groupBy(key, "pos").agg(F.max_by("base", order).alias("base"), F.max_by(F.when(base, F.col("base")), F.when(base, order)).alias("best"))
+    any_ = F.translate(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("pos").cast("string"))), 1, 1), "0123456789abcdef", "ACGT" * 4)
+    chosen = F.when(F.lit(deletions) & (F.col("base") == "D"), F.coalesce("best", any_)).otherwise(F.col("base"))
+    return spell(top.select(key, "pos", chosen.alias("base")), key)
+
+
 def marked_vote(reads: DataFrame, key: str = "cluster_id") -> DataFrame:
     """Columns with any I give '-'; a D that would win gives way to the best base; otherwise the most frequent symbol."""
     v = votes(reads, key)
@@ -105,6 +117,7 @@ METHODS = {
     "plain": lambda r, n: plain_vote(r),
     "gap_weighted": lambda r, n: gap_weighted_vote(r),
     "first_seen": first_seen_vote,
+    "gap_tie": gap_tie_vote,
     "marked": lambda r, n: marked_vote(r),
     "medoid": medoid,
     "half": half_vote,

@@ -20,6 +20,18 @@ def homopolymers(seqs: DataFrame, key: str, seq: str, least: int = 3) -> DataFra
     return runs.where(F.col("n") >= least).select(key, "start", "end", "base")
 
 
+def homopolymer_class(ops: DataFrame, runs: DataFrame, key: str = "cluster_id") -> DataFrame:
+    """ops (key, read_no, no, op, pos, old, new) with `hp_class`: the effect on the first run of the ground truth that
+    the operation touches, non_hp where it touches none. Beside a run counts for insertions and substitutions."""
+    inside = (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))
+    beside = (F.col("pos") == F.col("start") - 1) | (F.col("pos") == F.col("end"))
+    grows = (F.col("op") == "ins") & (F.col("new") == F.col("base")) & (inside | beside)
+    effect = F.when(grows, "hp_expansion").when(inside & (F.col("op") == "del"), "hp_contraction").when(inside, "hp_interruption").when(beside & (F.col("op") != "del"), "hp_boundary")
+    touched = ops.join(runs, key, "left").withColumn("effect", effect)
+    first = F.min_by("effect", F.when(F.col("effect").isNotNull(), F.col("start")))
+    return touched.groupBy(key, "read_no", "no", "op", "pos", "old", "new").agg(F.coalesce(first, F.lit("non_hp")).alias("hp_class"))
+
+
 def edit_path(gt: str, pred: str) -> list[tuple[str, int, str | None, str | None]]:
     """Operations that turn gt into pred, walked back from the end with the preference match, substitution,
     deletion, insertion; an insertion's place is the base of gt that it precedes."""
@@ -60,6 +72,27 @@ def edit_operations(pairs: DataFrame, gt: str = "gt", pred: str = "read") -> Dat
     return pairs.join(distinct.mapInPandas(run, f"{gt} string, {pred} string, ops {OPS}"), [gt, pred], "left")
 
 
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, row by row: the best along a row is a running maximum."""
+    x, y = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
+    row = np.zeros(len(y) + 1, np.int32)
+    for c in x:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (y == c)))
+    return int(row[-1])
+
+
+def common_subsequence(pairs: DataFrame, gt: str = "gt", pred: str = "read") -> DataFrame:
+    """pairs with `lcs` (null where a side is null). Different pairs are compared once each, in Arrow batches."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            f["lcs"] = [common_length(a, b) for a, b in zip(f[gt], f[pred], strict=True)]
+            yield f
+
+    distinct = pairs.select(gt, pred).where(F.col(gt).isNotNull() & F.col(pred).isNotNull()).distinct()
+    return pairs.join(distinct.mapInPandas(run, f"{gt} string, {pred} string, lcs int"), [gt, pred], "left")
+
+
 def benjamini_hochberg(df: DataFrame, p: str = "p") -> DataFrame:
     """df (one row a test) with adjusted p. The rows are the tests of one family, never the data."""
     m = F.count("*").over(Window.partitionBy())

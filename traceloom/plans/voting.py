@@ -31,6 +31,29 @@ def v2(spark, sf):
     return C.first_seen_vote(reads(spark, sf), 110)
 
 
+def _gap_ties(deletions: bool) -> str:
+    chosen = "CASE WHEN top = 'D' THEN coalesce(best, translate(substr(md5(concat(cast(cluster_id AS varchar), ':', cast(pos AS varchar))), 1, 1), '0123456789abcdef', 'ACGTACGTACGTACGT')) ELSE top END" if deletions else "top"
+    return f"""{VIEWS}, mk AS (SELECT cluster_id, read_no, CASE WHEN kind = 2 THEN concat(substr(read, 1, 20), 'D', substr(read, 21)) WHEN kind = 3 THEN concat(substr(read, 1, 50), '-', substr(read, 52)) ELSE read END AS read FROM rd),
+ps AS (SELECT cluster_id, read_no, CAST(p AS int) AS pos, substr(rpad(substr(read, 1, 110), 110, '#'), CAST(p AS int), 1) AS base FROM mk, range(1, 111) t(p)), cn AS (SELECT cluster_id, pos, base, count(*) AS n, min(read_no) AS seen FROM ps GROUP BY ALL),
+pk AS (SELECT cluster_id, pos, first(base ORDER BY n DESC, base = '-', seen) AS top, first(base ORDER BY n DESC, seen) FILTER (WHERE base IN ('A', 'C', 'G', 'T')) AS best FROM cn GROUP BY ALL)
+SELECT cluster_id, string_agg({chosen}, '' ORDER BY pos) AS consensus FROM pk GROUP BY ALL"""
+
+
+def _marked(spark, sf):
+    marked = F.when(F.col("kind") == 2, F.concat(F.substring("read", 1, 20), F.lit("D"), F.substring("read", 21, 200))).when(F.col("kind") == 3, F.concat(F.substring("read", 1, 50), F.lit("-"), F.substring("read", 52, 200))).otherwise(F.col("read"))
+    return reads(spark, sf).select("cluster_id", "read_no", marked.alias("read"))
+
+
+@query("v4_gap_tie_vote", _gap_ties(False))
+def v4(spark, sf):
+    return C.gap_tie_vote(_marked(spark, sf), 110)
+
+
+@query("v4_gap_tie_vote_deletions", _gap_ties(True))
+def v4d(spark, sf):
+    return C.gap_tie_vote(_marked(spark, sf), 110, deletions=True)
+
+
 @query("v5_marked_vote", f"{VIEWS}, mk AS (SELECT cluster_id, read_no, CASE WHEN kind = 2 THEN concat(substr(read, 1, 20), 'D', substr(read, 21)) WHEN kind = 3 THEN concat(substr(read, 1, 50), 'I', substr(read, 52)) ELSE read END AS read FROM rd), ps AS (SELECT cluster_id, CAST(p AS int) AS pos, substr(read, CAST(p AS int), 1) AS base FROM mk, range(1, 112) t(p) WHERE p <= length(read)), cn AS (SELECT cluster_id, pos, base, count(*) AS n FROM ps GROUP BY ALL), pk AS (SELECT cluster_id, pos, bool_or(base = 'I') AS ins, bool_or(base = 'D') AS del, arg_min(base, -n * 100 + strpos('ACGT-DI', base)) AS top, arg_min(base, -n * 100 + strpos('ACGT-DI', base)) FILTER (WHERE base IN ('A', 'C', 'G', 'T')) AS best FROM cn GROUP BY ALL) SELECT cluster_id, string_agg(CASE WHEN ins THEN '-' WHEN del THEN coalesce(best, '-') ELSE top END, '' ORDER BY pos) AS consensus FROM pk GROUP BY ALL")
 def v5(spark, sf):
     r = reads(spark, sf)

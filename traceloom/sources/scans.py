@@ -63,6 +63,30 @@ def labelled_clusters(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("idx", parts[0].alias("gt"), F.slice(parts, F.lit(3), F.size(parts)).alias("reads"))
 
 
+def cluster_json(spark: SparkSession, path: str, index_length: int) -> DataFrame:
+    """index, data, noisy_copies of one JSON object a line; a missing index is the data's prefix."""
+    rows = spark.read.schema("index string, data string, noisy_copies array<string>").json(path)
+    return rows.select(F.coalesce("index", F.substring("data", 1, index_length)).alias("index"), "data", "noisy_copies")
+
+
+def result_lines(spark: SparkSession, path: str) -> DataFrame:
+    """idx, ham, lev, estimate, original of lines with commas and any blanks around them, without a header."""
+    schema = "idx long, ham long, lev long, estimate string, original string"
+    return spark.read.schema(schema).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+
+
+def experiments(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """experiment and the columns of CSV files under experiment_<id> folders: all of them in one plan, missing ones absent."""
+    rows = spark.read.schema(schema).option("header", True).csv(f"{folder}/experiment_*")
+    return rows.select(F.regexp_extract("_metadata.file_path", r"experiment_(\d+)", 1).cast("long").alias("experiment"), "*")
+
+
+def ragged(spark: SparkSession, path: str) -> DataFrame:
+    """key, reads of lines `key,r1,r2,...` of any number of reads."""
+    parts = F.split("value", ",")
+    return spark.read.text(path).select(parts[0].alias("key"), F.slice(parts, F.lit(2), F.size(parts)).alias("reads"))
+
+
 def one_file(df: DataFrame, order: str, value: str, path: str, line_sep: str = "\n") -> None:
     """Rows' text in order as one positional file (the format is a single ordered file)."""
     df.select(order, value).repartition(1).sortWithinPartitions(order).select(value).write.option("lineSep", line_sep).text(path)
@@ -75,6 +99,17 @@ def write_clusters(df: DataFrame, folder: str) -> None:
     one_file(df.select("idx", F.col("gt").alias("v")), "idx", "v", f"{folder}/ground_truth")
 
 
+def write_labelled_clusters(df: DataFrame, path: str) -> None:
+    """df (idx, reads, gt) as blocks: label, ****, reads, two empty lines."""
+    block = F.concat("gt", F.lit("\n****\n"), F.array_join("reads", "\n"))
+    one_file(df.select("idx", block.alias("v")), "idx", "v", path, "\n\n\n")
+
+
+def write_ragged(df: DataFrame, path: str) -> None:
+    """df (key, reads) as one line a cluster."""
+    df.select(F.concat_ws(",", F.col("key").cast("string"), "reads")).write.text(path)
+
+
 def write_fastq(df: DataFrame, path: str) -> None:
     df.select(F.concat_ws("\n", F.concat(F.lit("@"), "read_id"), "seq", F.lit("+"), "qual")).write.text(path)
 
