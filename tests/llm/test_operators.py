@@ -17,7 +17,7 @@ from traceloom.llm.dp_bpe import bpe_round_trip, byte_vocabulary
 from traceloom.llm.gam_quality import gam_quality
 from traceloom.llm.kmeans_tree import kmeans_tree_search
 from traceloom.llm.lpf_dedup import lpf_dedup
-from traceloom.llm.mixing_lm import mixing_scores
+from traceloom.llm.mixing_lm import document_classes, mixing_scores, pair_counts
 from traceloom.llm.order_minhash import near_duplicates, similarity
 from traceloom.llm.pattern_packing import pack_documents, plan, word_vocabulary
 from traceloom.llm.rp_forest import rp_forest_duplicates
@@ -171,6 +171,32 @@ def test_op10_base_and_model(spark, odd, texts):
     assert mixing_scores(odd.where("false")).count() == 0
 
 
+def test_op10_rare_tokens_of_null_and_repeated_ids(spark):
+    texts = [(None, "a b c d d"), (None, "e f"), (None, None), (7, "a a g"), (7, "h"), (8, "b d e")]
+    got = mixing_scores(spark.createDataFrame(texts, "doc_id long, text string"), head=1).toPandas()
+    train = [(t or "").split() + [""] for i, t in texts if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    count = collections.Counter(w for ws in train for w in ws)
+    n, v = sum(count.values()), len(count)
+    want = sorted(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in (t or "").split() + [""]) for _, t in texts)
+    assert np.allclose(sorted(got["base_score"]), want) and (got["n_known"] <= got["n_tokens"]).all()
+
+
+def test_op10_learns_from_all_rows(spark):
+    from traceloom.llm.mixing_lm import _dealt
+
+    texts = [(f"abab {i}" if i % 2 else f"xyxy {i}").encode() for i in range(60)] + [b"abab abab abab qqqq"] * 5
+    rows = spark.createDataFrame([(t,) for t in texts], "text binary")
+    # The picked ones never hold the pair qq; the fit of all rows gives it to the class of abab.
+    odds = document_classes(rows, rows.where("not contains(text, encode('qqqq', 'utf-8'))").limit(20), 2)
+    x = np.concatenate([pair_counts(np.array([0, len(t)]), np.frombuffer(t, np.uint8)) for t in (b"abab", b"qqqq")])
+    own = (x[0] @ odds.T).argmax()
+    qq = (ord("q") * 37 + ord("q") * 149) & 4095
+    assert odds[own, qq] > odds[1 - own, qq] + 0.5
+    counts = spark.range(1000).selectExpr("cast(cast(id as string) as binary) as token", "0 as cls", "1L as n")
+    dealt = _dealt(counts, 100)
+    assert dealt.count() == 1000 and dealt.rdd.getNumPartitions() == 10
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 200)], "a long, b long")
     got = {r.node: r.component for r in components(e).collect()}

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._shared import read, table
+from ._shared import buckets, read, table
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -32,28 +32,84 @@ def _pairs(data: np.ndarray) -> np.ndarray:
     return (data * 37 + np.concatenate([[SPACE], data[:-1]]) * 149) & 4095
 
 
-def fit_classes(texts: list[bytes], k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
-    """log odds (k, 4096) of byte pairs in k classes of documents: a mixture of multinomials fitted to a sample."""
-    x = np.zeros((len(texts), 4096), np.float32)
-    for row, t in zip(x, texts, strict=True):
-        row += np.bincount(_pairs(_LOWER[np.frombuffer(t, np.uint8)]), minlength=4096)
-    x = x[x.sum(axis=1) > 0]
-    base = np.log(x.sum(axis=0) + 1) if len(x) else np.zeros(4096)
+def pair_counts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """How often each byte pair stands in each text."""
+    pairs = _pairs(_LOWER[data])
+    at = offsets[:-1][np.diff(offsets) > 0]
+    pairs[at] = (np.where(T._SPACE[data[at]], SPACE, _LOWER[data[at]]).astype(np.int64) * 37 + SPACE * 149) & 4095
+    return np.stack([np.bincount(pairs[a:b], minlength=4096) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]).astype(np.float32) if len(offsets) > 1 else np.zeros((0, 4096), np.float32)
+
+
+def _counted_pairs(batch: pa.RecordBatch, block: int = 512) -> Iterator[np.ndarray]:
+    for _, offsets, data in T.pieces(batch.column(0)):
+        for lo in range(0, len(offsets) - 1, block):
+            some = offsets[lo : lo + block + 1]
+            yield pair_counts(some - some[0], data[some[0] : some[-1]])
+
+
+def _odds(sums: np.ndarray) -> np.ndarray:
+    """Log odds of byte pairs in each class against all, by their counts."""
+    base = np.log(sums.sum(axis=0) + 1)
     base -= np.log(np.exp(base).sum())
+    sums = sums + 20 * np.exp(base)
+    return (np.log(sums / sums.sum(axis=1, keepdims=True)) - base).astype(np.float32)
+
+
+def fit_classes(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
+    """log odds (k, 4096) of byte pairs in k classes of documents: a mixture of multinomials fitted to their counts x."""
+    x = x[x.sum(axis=1) > 0]
     if len(x) < k:
         return np.zeros((k, 4096), np.float32)
-    size = x.sum(axis=1, keepdims=True)
-    unit = np.sqrt(x / size)
+    unit = np.sqrt(x / x.sum(axis=1, keepdims=True))
     rng = np.random.default_rng(seed)
     seeds = [int(rng.integers(len(x)))]
     for _ in range(k - 1):  # far from each other
         seeds.append(int((unit @ unit[seeds].T).max(axis=1).argmin()))
     own = (unit @ unit[seeds].T).argmax(axis=1)
     for _ in range(rounds):
-        sums = np.stack([x[own == j].sum(axis=0) for j in range(k)]) + 20 * np.exp(base)
-        odds = np.log(sums / sums.sum(axis=1, keepdims=True)) - base
+        odds = _odds(np.stack([x[own == j].sum(axis=0, dtype=float) for j in range(k)]))
         own = (x @ odds.T).argmax(axis=1)
-    return odds.astype(np.float32)
+    return odds
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for x in _counted_pairs(batch):
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["x"])
+
+
+def _class_sums(odds: np.ndarray, before: np.ndarray):
+    """Pair counts of a partition's documents summed by their class; last: documents, and those of another class before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, seen = np.zeros((len(odds), 4096)), np.zeros(2)
+        for batch in batches:
+            for x in _counted_pairs(batch):
+                own = (x @ odds.T).argmax(axis=1)
+                seen += [len(x), (own != (x @ before.T).argmax(axis=1)).sum()]
+                for j in np.unique(own):
+                    sums[j] += x[own == j].sum(axis=0)
+        cells = np.concatenate([sums.ravel(), seen])
+        keep = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int32)), pa.array(cells[keep])], ["cell", "value"])
+
+    return run
+
+
+def document_classes(texts: DataFrame, picked: DataFrame, k: int, rounds: int = 4, still: float = 0.001) -> np.ndarray:
+    """Classes of all texts: they begin with those of the picked ones and are fitted to every text, until no more
+    than the share `still` changes its class, in `rounds` passes at most."""
+    first = [np.frombuffer(bytes(r["x"]), np.float32) for r in picked.select("text").mapInArrow(_vectors, "x binary").toLocalIterator()]
+    odds = fit_classes(np.array(first).reshape(-1, 4096), k)
+    before = np.zeros_like(odds)
+    for _ in range(rounds if odds.any() else 0):
+        got = texts.select("text").mapInArrow(_class_sums(odds, before), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
+        cells = np.zeros(odds.size + 2)
+        cells[got["cell"].to_numpy(np.int64)] = got["value"].to_numpy()
+        before, odds = odds, _odds(cells[:-2].reshape(odds.shape))
+        if cells[-1] <= still * cells[-2]:
+            break
+    return odds
 
 
 def tokens(offsets: np.ndarray, data: np.ndarray, odds: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -344,6 +400,12 @@ def _learn(shared, rows: int = 2500):
     return run
 
 
+def _dealt(counts: DataFrame, rows: int) -> DataFrame:
+    """All counted tokens in parts of about `rows`, each in the order of a hash."""
+    parts = buckets(counts.count(), rows, 4)
+    return counts.withColumn("o", F.xxhash64("token", "cls")).repartition(parts, "o").sortWithinPartitions("o", "token", "cls")
+
+
 # --- scoring --------------------------------------------------------------------------------------------
 
 _remembered: dict[str, dict[int, float]] = {}
@@ -405,7 +467,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % 5 == 1, F.lit(False))
 
 
-def mixing_scores(docs: DataFrame, head: int = 1 << 17, classes: int = 8, sample: int = 1500, lessons: int = 300_000) -> DataFrame:
+def mixing_scores(docs: DataFrame, head: int = 1 << 17, classes: int = 8, sample: int = 1500, lesson_rows: int = 75_000) -> DataFrame:
     """Score every text of docs (doc_id long, text string) with a model learnt from the rows not held out.
 
     Tokens are the text's words with A-Z in lower case, then one end. A document's class is guessed from what
@@ -413,19 +475,19 @@ def mixing_scores(docs: DataFrame, head: int = 1 << 17, classes: int = 8, sample
     predicted from five hashed contexts (one, two and four bytes before it in the word with the class, the
     word so far without and with it), mixed by weights that a gate picks, and refined by what such
     mixes met. All training tokens are counted, as (token, class), and those counts fill the bit tables, whose
-    sizes are fixed. Only the classes (`sample` documents) and the mixing weights and refinement
-    (`lessons` counted tokens of least hash) are fitted on bounded samples.
+    sizes are fixed: contexts share slots the more, the more of them there are. Classes begin with `sample` documents and are fitted to all. Mixing weights and
+    refinement learn from all counted tokens, in parts of about `lesson_rows`, whose results are merged by weight.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), bits_per_byte (of the
     UTF-8 text with white space, null without text). Unigram counts of the `head` most frequent tokens are
     broadcast (a fixed bound); all others are joined by a 64-bit hash. Null text: empty, one end token. Null
-    doc_id: training, scored. Repeated rows count and are scored each, but must agree in text. An empty
+    doc_id: training, scored. Repeated rows count and are scored each. An empty
     table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8").alias("text"), held_out(F.col("doc_id").cast("long")).alias("held_out"))
     picked = rows.where(~F.col("held_out")).orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id").limit(sample).select("text")
-    odds = fit_classes([bytes(r[0]) for r in picked.collect()], classes)
+    odds = document_classes(rows.where(~F.col("held_out")), picked, classes)
     counts = rows.where(~F.col("held_out")).select("text").mapInArrow(_count(odds), "token binary, cls int, n long")
     counts = table(counts.groupBy("token", "cls").agg(F.sum("n").alias("n")))
     unigrams = table(counts.groupBy("token").agg(F.sum("n").alias("c")).mapInArrow(_hash, "h long, c long"))
@@ -440,8 +502,7 @@ def mixing_scores(docs: DataFrame, head: int = 1 << 17, classes: int = 8, sample
     code = huffman(weight)
     tables = _tables(counts, code)
     start = spark.sparkContext.broadcast((code, tables))
-    taught = counts.orderBy(F.xxhash64("token", "cls"), "token", "cls").limit(lessons).repartition(4)
-    learnt = taught.select("token", "cls", "n").mapInArrow(_learn(start), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
+    learnt = _dealt(counts, lesson_rows).select("token", "cls", "n").mapInArrow(_learn(start), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
     start.destroy()
     mixer = Mixer(code, tables)
     cells = np.zeros(mixer.weights.size + mixer.refined.size + 1)
@@ -454,12 +515,12 @@ def mixing_scores(docs: DataFrame, head: int = 1 << 17, classes: int = 8, sample
     common = common.sort_values("h")
     shared = spark.sparkContext.broadcast((Frozen(mixer), common["h"].to_numpy(np.uint64), np.log10(common["c"].to_numpy(float) + 0.5), odds))
 
-    scored = table(rows.select("doc_id", "text", "held_out").mapInArrow(_score(shared, uuid.uuid4().hex), "doc_id long, held_out boolean, n_tokens long, common long, logs double, score double, rare array<long>, tf array<int>, n_bytes long"))
-    each = scored.select("doc_id", F.explode(F.arrays_zip("rare", "tf")).alias("r")).select("doc_id", F.col("r.rare").alias("h"), F.col("r.tf").alias("tf"))
-    each = each.join(unigrams, "h", "left").groupBy(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("key"))
+    scored = table(rows.select("doc_id", "text", "held_out").mapInArrow(_score(shared, uuid.uuid4().hex), "doc_id long, held_out boolean, n_tokens long, common long, logs double, score double, rare array<long>, tf array<int>, n_bytes long").withColumn("row", F.monotonically_increasing_id()))
+    each = scored.select("row", F.explode(F.arrays_zip("rare", "tf")).alias("r")).select("row", F.col("r.rare").alias("h"), F.col("r.tf").alias("tf"))
+    each = each.join(unigrams, "h", "left").groupBy("row")
     rare = each.agg(F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_logs"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
     norm = float(np.log10(total + 0.5 * (distinct + 1)))
-    out = scored.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 62)))).join(rare, "key", "left")
+    out = scored.join(rare, "row", "left")
     return out.select("doc_id", "held_out", "n_tokens", (F.col("common") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"), "score", F.when(F.col("n_bytes") > 0, -F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))
 
 
