@@ -1,6 +1,7 @@
 """Registered queries against their SQL twins, and golden rows of the sequence functions."""
 
 import glob
+import hashlib
 from numbers import Number
 from pathlib import Path
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from traceloom.functions import sequence as S
 from traceloom.operators import consensus as C
 from traceloom.operators import errors as E
+from traceloom.operators import joins as J
 from traceloom.plans import registry
 from traceloom.sources import fixture
 
@@ -76,6 +78,39 @@ def test_common_subsequence(spark):
     assert [E.common_length(a, b) for a, b in (("ACGT", "AGT"), ("", "A"), ("AGGTAB", "GXTXAYB"))] == [3, 0, 4]
 
 
+def test_prefixes_are_found_anywhere_in_the_read(spark):
+    truths = [(i, random_bases(i)) for i in range(30)]
+    reads = []
+    for i, g in truths:
+        k = g[:20]
+        off = {0: k, 1: k[:7] + ("A" if k[7] != "A" else "C") + k[8:], 2: k[:12] + k[13:] + "A", 3: k[:5] + "G" + k[5:]}[i % 4]
+        reads.append((1, i, random_bases(100 + i)[: 3 * i] + off + random_bases(200 + i)[: 90 - 3 * i]))
+    reads.append((1, 99, "ACGT"))
+    r, t = spark.createDataFrame(reads, "cluster_id int, read_no int, s string"), spark.createDataFrame(truths, "gt_id int, gt string")
+    exact = {(n, g): s.find(gt[:20]) for _, n, s in reads for g, gt in truths if gt[:20] in s}
+    assert {(x.read_no, x.gt_id): x.pos for x in J.prefix_hits(r, t, 20).collect()} == exact and max(exact.values()) > 80
+    near = {}
+    for _, n, s in reads:
+        for g, gt in truths:
+            at = [p for p in range(len(s) - 19) if len(s) >= 20 and distance(s[p : p + 20], gt[:20]) <= 1]
+            if at:
+                near[n, g] = at[0]
+    assert {(x.read_no, x.gt_id): x.pos for x in J.approximate_hits(r, t, 20, 1).collect()} == near and len(near) > len(exact) and max(near.values()) > 80
+
+
+def random_bases(i):
+    return hashlib.sha256(str(i).encode()).hexdigest().translate(str.maketrans("0123456789abcdef", "ACGTACGTACGTACGT")) * 2
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def test_sub_clusters_keep_their_bounds(spark):
     sizes = registry.QUERIES["p8_sub_clusters"](spark, SF).select(F.size("reads").alias("n")).agg(F.min("n"), F.max("n")).first()
     assert 1 <= sizes[0] and sizes[1] <= 4

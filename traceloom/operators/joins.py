@@ -8,26 +8,29 @@ from pyspark.sql import functions as F
 from ..functions.sequence import reverse_complement
 
 
-def prefix_hits(reads: DataFrame, truths: DataFrame, k: int, starts: int) -> DataFrame:
-    """Ground truths whose k-prefix stands in a read (column s) at one of the first `starts` places, with the first
-    place. All prefixes have one length, so the containment test is a hash join on k-mers."""
-    kmers = reads.select("cluster_id", "read_no", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(starts)), lambda i: F.substring("s", i, F.lit(k)))).alias("pos", "kmer"))
+def prefix_hits(reads: DataFrame, truths: DataFrame, k: int) -> DataFrame:
+    """Ground truths whose k-prefix stands in a read (column s), with the first place. All prefixes have one
+    length, so the containment test is a hash join on the read's k-mers."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length("s") - k + 1, F.lit(1)))
+    kmers = reads.select("cluster_id", "read_no", F.posexplode(F.transform(starts, lambda i: F.substring("s", i, F.lit(k)))).alias("pos", "kmer"))
     prefixes = truths.select("gt_id", F.substring("gt", 1, k).alias("kmer"))
     return kmers.join(prefixes, "kmer").groupBy("cluster_id", "read_no", "gt_id").agg(F.min("pos").alias("pos"))
 
 
-def approximate_hits(reads: DataFrame, truths: DataFrame, k: int, starts: int, most: int) -> DataFrame:
-    """Ground truths whose k-prefix is within `most` edits of a read's (column s) k-window at one of the first
-    `starts` places, with the first such place. One of most + 1 equal pieces of the prefix stands unchanged in
-    the window, at most `most` places off: an equi-join on pieces finds every candidate, levenshtein decides."""
+def approximate_hits(reads: DataFrame, truths: DataFrame, k: int, most: int) -> DataFrame:
+    """Ground truths whose k-prefix is within `most` edits of one of a read's (column s) k-windows, with the
+    first such place. One of most + 1 equal pieces of the prefix stands unchanged in the window, at most `most`
+    places off: an equi-join on pieces finds every candidate, levenshtein decides. A piece takes the part of
+    the read along that its windows can cover."""
     piece = k // (most + 1)
-    cut = lambda text, n: F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(text, i * (1 if text == "s" else piece) + 1, F.lit(piece))))
-    pieces = truths.select("gt_id", F.substring("gt", 1, k).alias("prefix"), cut("gt", most + 1).alias("no", "piece"))
-    kmers = reads.select("cluster_id", "read_no", cut("s", starts + k - piece + most).alias("at", "piece"))
-    shift = F.explode(F.sequence(F.lit(-most), F.lit(most)))
-    found = kmers.join(pieces, "piece").select("cluster_id", "read_no", "gt_id", "prefix", (F.col("at") - F.col("no") * piece).alias("pos"), shift.alias("x"))
-    found = found.select("cluster_id", "read_no", "gt_id", "prefix", (F.col("pos") + F.col("x")).alias("pos")).where(F.col("pos").between(0, starts - 1)).distinct()
-    near = found.join(reads, ["cluster_id", "read_no"]).where(F.levenshtein(F.substring("s", F.col("pos") + 1, F.lit(k)), "prefix", most) >= 0)
+    pieces = truths.select("gt_id", F.substring("gt", 1, k).alias("prefix"), F.posexplode(F.array(*(F.substring("gt", i * piece + 1, piece) for i in range(most + 1)))).alias("no", "piece"))
+    long = reads.where(F.length("s") >= k)
+    kmers = long.select("cluster_id", "read_no", "s", F.explode(F.sequence(F.lit(0), F.length("s") - piece)).alias("at"))
+    lo = F.greatest(F.col("at") - (most + 1) * piece - most, F.lit(0))
+    kmers = kmers.select("cluster_id", "read_no", "at", F.substring("s", F.col("at") + 1, F.lit(piece)).alias("piece"), lo.alias("lo"), F.substring("s", lo + 1, F.lit(2 * k + 2 * most)).alias("near"), (F.length("s") - k).alias("last"))
+    pos = F.explode(F.sequence(F.col("at") - F.col("no") * piece - most, F.col("at") - F.col("no") * piece + most))
+    found = kmers.join(pieces, "piece").select("cluster_id", "read_no", "gt_id", "prefix", "lo", "near", "last", pos.alias("pos")).where("pos between 0 and last")
+    near = found.where(F.levenshtein(F.substring("near", F.col("pos") - F.col("lo") + 1, F.lit(k)), "prefix", most) >= 0)
     return near.groupBy("cluster_id", "read_no", "gt_id").agg(F.min("pos").alias("pos"))
 
 

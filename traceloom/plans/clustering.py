@@ -30,19 +30,19 @@ _HITS = f"{_SHIFTED}, km AS (SELECT cluster_id, read_no, cast(p AS int) AS pos,
 
 @query("j2_substring_clustering", f"{_HITS} SELECT * FROM ht")
 def j2(spark, sf):
-    return prefix_hits(_shifted(spark, sf), ground_truth(spark, sf), 20, 30).select("cluster_id", "read_no", "gt_id", "pos")
+    return prefix_hits(_shifted(spark, sf), ground_truth(spark, sf), 20).select("cluster_id", "read_no", "gt_id", "pos")
 
 
 @query("j4_w1_best_match", f"{_HITS}, b AS (SELECT cluster_id, read_no, arg_min(gt_id, pos::bigint * 1000000000 + gt_id) AS gt_id, min(pos) AS pos, count(*) AS hits FROM ht GROUP BY ALL) SELECT s.cluster_id, s.read_no, b.gt_id, b.pos, coalesce(hits, 0) AS hits, CASE WHEN hits IS NULL THEN 'unmapped' WHEN hits = 1 THEN 'mapped' ELSE 'mapped_ambiguous' END AS status FROM sh s LEFT JOIN b USING (cluster_id, read_no)")
 def j4(spark, sf):
     s = _shifted(spark, sf)
-    return best_match(s, prefix_hits(s, ground_truth(spark, sf), 20, 30))
+    return best_match(s, prefix_hits(s, ground_truth(spark, sf), 20))
 
 
 @query("a3_clustering_statistics", f"{_HITS}, b AS (SELECT cluster_id, read_no, arg_min(gt_id, pos::bigint * 1000000000 + gt_id) AS gt_id, count(*) AS hits FROM ht GROUP BY ALL), z AS (SELECT g.gt_id, count(b.gt_id) AS n FROM gt g LEFT JOIN b ON b.gt_id = g.gt_id GROUP BY ALL) SELECT (SELECT count(*) FROM rd) AS reads, (SELECT count(*) FROM b) AS mapped, (SELECT count(*) FROM b WHERE hits > 1) AS ambiguous, count(*) AS truths, count(*) FILTER (WHERE n = 0) AS uncovered, round(avg(n), 6) AS mean_size, round(median(n), 6) AS median_size, round(stddev_pop(n), 6) AS std_size, min(n) AS min_size, max(n) AS max_size FROM z")
 def a3(spark, sf):
     s, g = _shifted(spark, sf), ground_truth(spark, sf)
-    m = best_match(s, prefix_hits(s, g, 20, 30))
+    m = best_match(s, prefix_hits(s, g, 20))
     per = g.join(m.groupBy("gt_id").agg(F.count("*").alias("n")), "gt_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     one = m.agg(F.count("*").alias("reads"), F.count_if(F.col("hits") > 0).alias("mapped"), F.count_if(F.col("hits") > 1).alias("ambiguous"))
     size = per.agg(F.count("*").alias("truths"), F.count_if(F.col("n") == 0).alias("uncovered"), r6(F.avg("n")).alias("mean_size"), r6(F.median("n")).alias("median_size"), r6(F.stddev_pop("n")).alias("std_size"), F.min("n").alias("min_size"), F.max("n").alias("max_size"))

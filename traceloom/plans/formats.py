@@ -35,7 +35,7 @@ def s7(spark, sf):
 def s8(spark, sf):
     """Results of the clustering as CSV with a header, kept where the read is mapped or ambiguous."""
     s = _shifted(spark, sf)
-    found = best_match(s, prefix_hits(s, ground_truth(spark, sf), 20, 30)).select("cluster_id", "read_no", "gt_id", "hits", "status")
+    found = best_match(s, prefix_hits(s, ground_truth(spark, sf), 20)).select("cluster_id", "read_no", "gt_id", "hits", "status")
     return _through(spark, found, "csv", header=True).where(F.col("status").isin("mapped", "mapped_ambiguous"))
 
 
