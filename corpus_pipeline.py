@@ -12,24 +12,39 @@ from traceloom.llm.pattern_packing import pack_documents, word_vocabulary
 from traceloom.llm.suffix_tree_dedup import suffix_tree_dedup
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, _row, which ascends with doc_id, then with a hash of the text."""
+    return table(docs.orderBy("doc_id", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id()))
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """The rows with their keys as doc_id, for operators that tell documents apart by it; none where doc_id is null."""
+    return rows.select(F.when(F.col("doc_id").isNotNull(), F.col("_row")).alias("doc_id"), "text")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts (score of 0.7 or more)."""
-    good = gam_quality(docs, read(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi")
+    """Rows whose text the classifier accepts (score of 0.7 or more), whatever their doc_id."""
+    rows = table(docs.withColumn("_row", F.monotonically_increasing_id()))
+    good = gam_quality(rows, read(spark, sf_dir, "labels"), carry=("_row",)).where("predicted = 1").select("_row")
+    return rows.join(good, "_row", "left_semi").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class of near copies."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The row with the smallest doc_id of each class of near copies. Rows of one doc_id are documents of their
+    own, the one of least text hash first; a row without doc_id stays."""
+    rows = keyed(docs)
+    kept = near_duplicates(by_row(rows)).where("kept and doc_id is not null").select(F.col("doc_id").alias("_row"))
+    return rows.where("doc_id is not null").join(kept, "_row", "left_semi").select(docs.columns).union(rows.where("doc_id is null").select(docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words or more that a document with a smaller doc_id has. Texts that lose
-    nothing stay as they are; others are their kept words joined by one space."""
-    cut = suffix_tree_dedup(docs).where("n_removed > 0").select("doc_id", "kept").dropDuplicates(["doc_id"])
+    nothing stay as they are; others are their kept words joined by one space. Rows of one doc_id are documents
+    of their own, in the order of near_dedup; a row without doc_id stays whole."""
+    rows = keyed(docs)
+    cut = suffix_tree_dedup(by_row(rows)).where("n_removed > 0").select(F.col("doc_id").alias("_row"), "kept")
     text = F.coalesce("kept", "text")
-    return docs.join(cut, "doc_id", "left").select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("long")).alias("n_chars"))
+    return rows.join(cut, "_row", "left").select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("long")).alias("n_chars"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -214,3 +214,25 @@ def test_pipeline(spark):
         d = spark.createDataFrame(out.toPandas(), out.schema)
     packed = {r[0] for r in P.STAGES[-1][1](spark, d, SF).select("doc_id").collect()}
     assert packed == {r[0] for r in d.select("doc_id").collect()}
+
+
+def test_pipeline_null_and_repeated_ids(spark):
+    import corpus_pipeline as P
+
+    texts = {r.doc_id: r.text for r in docs(spark).select("doc_id", "text").collect()}
+    score = {r.doc_id: r.predicted for r in gam_quality(docs(spark), spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    good = [texts[i] for i in sorted(score) if score[i] and len((texts[i] or "").split()) > 120]
+    bad = next(texts[i] for i in sorted(score) if not score[i] and texts[i])
+    schema = docs(spark).schema
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    shown = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in df.collect())
+    # Labels are those of other documents' ids: none of these rows teaches more than the table's own rows.
+    few = [(None, good[0]), (None, bad), (10**7, good[1]), (10**7, bad)]
+    scored = gam_quality(docs(spark).unionByName(frame(few)), spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 1 and (doc_id is null or doc_id = 10000000)").count()
+    got = P.quality(spark, docs(spark).unionByName(frame(few)), SF).where("doc_id is null or doc_id = 10000000")
+    assert scored == 2 and shown(got) == [(False, 10**7, good[1]), (True, 0, good[0])]
+    a, b, c = (" ".join(f"{p}{i}" for i in range(120)) for p in "abc")
+    got = P.near_dedup(spark, frame([(None, a), (None, a), (1, a), (2, a), (2, b), (3, c), (3, c), (4, c)]), SF)
+    assert shown(got) == [(False, 1, a), (False, 2, b), (False, 3, c), (True, 0, a), (True, 0, a)]
+    got = P.substring_dedup(spark, frame([(1, a), (2, "x " + a), (2, b), (None, a)]), SF)
+    assert shown(got) == [(False, 1, a), (False, 2, b), (False, 2, "x"), (True, 0, a)]

@@ -91,7 +91,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts = [features(offsets, data) for _, offsets, data in T.pieces(batch.column(1))]
         rows = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, k]) for k in range(len(FEATURES)))], ["doc_id", *FEATURES])
+        carried = [batch.column(i) for i in range(2, batch.num_columns)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, k]) for k in range(len(FEATURES))), *carried], ["doc_id", *FEATURES, *batch.schema.names[2:]])
 
 
 def _steps(gradient: np.ndarray, weight: np.ndarray, leaves: int, smooth: float) -> np.ndarray:
@@ -190,7 +191,8 @@ def _score(model: Additive):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.stack([batch.column(2 + k).to_numpy(zero_copy_only=False) for k in range(len(FEATURES))], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.score(x))], ["doc_id", "held_out", "score"])
+            carried = list(range(2 + len(FEATURES), batch.num_columns))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.score(x)), *(batch.column(i) for i in carried)], ["doc_id", "held_out", "score", *(batch.schema.names[i] for i in carried)])
 
     return run
 
@@ -199,22 +201,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % 4 == 2, F.lit(False))
 
 
-def gam_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most: int = 40_000) -> DataFrame:
+def gam_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most: int = 40_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """Score every text of docs (doc_id long, text string); labels: doc_id long, quality 0/1.
 
     The model is fitted on at most `most` labelled rows (those of least hash) whose crc32(doc_id) mod 4 isn't
     2; its inputs are counts over the whole text alone. Returns doc_id, held_out, score (0 to 1), predicted
     (score >= threshold). Null text: empty. Rows whose quality is null or not 0 or 1 teach nothing; without
     labels of both kinds every score is their smoothed share. Null doc_id: scored, not held out. Repeated
-    rows are scored each. An empty table gives an empty result. Other columns are ignored.
+    rows are scored each. An empty table gives an empty result. The columns `carry` come back too, others are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "utf-8").alias("text"))
-    made = table(rows.mapInArrow(_features, ", ".join(["doc_id long", *(f"{f} double" for f in FEATURES)])))
+    extra = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "utf-8").alias("text"), *carry)
+    made = table(rows.mapInArrow(_features, ", ".join(["doc_id long", *(f"{f} double" for f in FEATURES), *extra])))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
     marks = marks.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id", "quality").limit(most)
     sample = made.join(marks, "doc_id").orderBy("doc_id").toPandas()
     model = Additive().fit(sample[FEATURES].to_numpy(float), sample["quality"].to_numpy(float))
-    scored = made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *FEATURES).mapInArrow(_score(model), "doc_id long, held_out boolean, score double")
+    scored = made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *FEATURES, *carry).mapInArrow(_score(model), ", ".join(["doc_id long, held_out boolean, score double", *extra]))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
