@@ -88,6 +88,23 @@ def test_op1_op6_odd_vectors(spark):
     assert kmeans_tree_search(empty, F.col("vec_id") % 20 == 0).count() == 0 and rp_forest_duplicates(empty).count() == 0
 
 
+def test_op1_returns_all_candidates_of_small_tables(spark):
+    x = np.random.default_rng(3).normal(size=(60, 8))
+    for n in (21, 60):
+        v = spark.createDataFrame([(i, x[i].tolist()) for i in range(n)], "vec_id long, embedding array<double>")
+        got = kmeans_tree_search(v, F.lit(True), recall=0.2, calibration=8).toPandas()
+        assert (got.groupby("query_id").size() == 20).all() and got["query_id"].nunique() == n
+
+
+def test_op1_op6_one_longer_vector(spark):
+    rows = [(i, [1.0, i / 100, 0.5]) for i in range(5)] + [(9, [1.0, 0.0, 0.5, 2.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = kmeans_tree_search(v, F.col("vec_id") < 5).toPandas()
+    assert (got.groupby("query_id").size() == 4).all() and got["query_id"].nunique() == 5
+    links = {r.vec_id: r.n_links for r in rp_forest_duplicates(v).collect()}
+    assert links == {i: 4 for i in range(5)} | {9: 0}
+
+
 def test_op2_held_out_accuracy(spark, odd):
     got = registry.QUERIES["op2_gam_quality"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").toPandas()
     assert (got["predicted"] == got["quality"]).mean() > 0.95

@@ -65,10 +65,11 @@ class Tree:
             live = live[[bool(self.children[i]) for i in at[live]]]
         return at
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """The first `most` leaves in best-bin-first order: the branch with the largest product next, whatever its depth."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+    def visits(self, query: np.ndarray, most: int, held: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first `most` leaves in best-bin-first order, and further ones until they hold `least` rows (held: rows
+        of each leaf): the branch with the largest product next, whatever its depth."""
+        queue, out, rows = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or (held is not None and rows < least)):
             _, node = heapq.heappop(queue)
             while c := self.children[node]:
                 near = self.table[c] @ query
@@ -78,6 +79,7 @@ class Tree:
                         heapq.heappush(queue, (-near[k], i))
                 node = c[best]
             out.append(node)
+            rows += held.get(node, 0) if held else 0
         return out
 
 
@@ -101,10 +103,10 @@ def _leaf(tree: Tree, dim: int):
     return run
 
 
-def _visit(tree: Tree, dim: int, most: int):
+def _visit(tree: Tree, dim: int, most: int, held: dict[int, int] | None = None, least: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves = [tree.visits(q, most) for q in V.rows(batch.column(1).to_pylist(), dim)]
+            leaves = [tree.visits(q, most, held, least) for q in V.rows(batch.column(1).to_pylist(), dim)]
             n = np.repeat(np.arange(len(leaves)), [len(x) for x in leaves])
             order = [k for x in leaves for k in range(len(x))]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(n)), batch.column(1).take(pa.array(n)), pa.array([i for x in leaves for i in x], pa.int64()), pa.array(order, pa.int32())], ["query_id", "q", "leaf", "visit"])
@@ -165,18 +167,19 @@ def kmeans_tree_search(vectors: DataFrame, is_query: Column, k: int = 20, recall
     vectors: vec_id long, embedding array of numbers; is_query picks the queries among them. The tree is
     fitted on a bounded sample (`sample` rows of least hash) with about `leaves` leaves; every row is indexed. How many leaves a
     query visits is calibrated: `calibration` queries are compared with all rows in blocks, and the visits
-    widen until their recall is `recall`. Returns query_id, rank (from 1), vec_id, score, visits (leaves
-    allowed). Vectors that are null, zero, of another length, or with null or non-finite components take no
+    widen until their recall is `recall`; a query whose leaves hold fewer than k candidates goes on to further
+    leaves. Returns query_id, rank (from 1), vec_id, score, visits (leaves allowed to all). `dim` is the length of
+    most vectors if not given. Vectors that are null, zero, of another length, or with null or non-finite components take no
     part. Fewer candidates than k: all. Copies tie and are ordered by id. A null vec_id takes no part. No
     usable vectors: an empty result.
     """
     if dim is None:
-        dim = vectors.where(F.size("embedding") > 0).agg(F.max(F.size("embedding"))).first()[0] or 1
+        dim = V.usual_length(vectors)
     packed = table(vectors.select(F.col("vec_id").cast("long"), "embedding", F.coalesce(is_query, F.lit(False)).alias("is_query")).select("vec_id", "embedding").mapInArrow(_pack(dim), "vec_id long, v binary"))
     picked = packed.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"].tolist()
     tree = Tree(V.rows(picked, dim), branching, leaves, seed)
     indexed = packed.mapInArrow(_leaf(tree, dim), "vec_id long, v binary, leaf long")
-    held = indexed.groupBy("leaf").agg(F.count("*").alias("held"))
+    held = table(indexed.groupBy("leaf").agg(F.count("*").alias("held")))
     indexed = indexed.join(held, "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.ceil(F.col("held") / block_rows)).cast("int"))
     index = table(indexed.select("leaf", "block", "vec_id", "v"))
 
@@ -185,7 +188,10 @@ def kmeans_tree_search(vectors: DataFrame, is_query: Column, k: int = 20, recall
     visits = table(_calibrated(index, asked, tree, dim, k, block_rows, recall))
     allowed = visits.first()
     allowed = max(allowed[0], 1) if allowed else 1
-    found = _search(index, queries.mapInArrow(_visit(tree, dim, allowed), "query_id long, q binary, leaf long, visit int"), dim, k)
+    # A query's own row, and those that repeat its id, are no candidates.
+    own = packed.where(is_query).groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    sizes = {r["leaf"]: r["held"] for r in held.collect()}
+    found = _search(index, queries.mapInArrow(_visit(tree, dim, allowed, sizes, k + own), "query_id long, q binary, leaf long, visit int"), dim, k)
     return _top(found, k).select("query_id", "rank", "vec_id", "score", F.lit(allowed).alias("visits"))
 
 

@@ -157,7 +157,7 @@ def rp_forest_duplicates(vectors: DataFrame, cosine: float = 0.95, dim: int | No
     """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null")
     if dim is None:
-        dim = vectors.where(F.size("embedding") > 0).agg(F.max(F.size("embedding"))).first()[0] or 1
+        dim = V.usual_length(vectors)
     unit = table(vectors.mapInArrow(_unit(dim), "vec_id long, v binary").distinct())
     classes = table(unit.groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")))
     n = classes.count()
