@@ -9,15 +9,18 @@ The two substring operators share this front end and differ in the matcher that
 3. Equal segments under one anchor are counted together before they move (`copies`), so that a group of
    exact copies is one row. A lone segment with copies repeats as a whole.
 4. The other segments meet by anchor in groups of bounded size, where the matcher finds the windows that
-   occur in several segments. Anchors with more than `most` different segments aren't gathered: there
-   the anchor is extended to nearly the whole window, which cuts the segments into shorter runs; equal
-   runs are counted together, and only where different ones share the longer anchor are their windows
-   counted by Spark.
-5. The runs found go back to all segments that they stand for, and so to documents.
+   occur in several segments.
+5. A group over `core_bytes` isn't gathered. Its windows are dealt by how far the anchor is from their
+   start, an eighth of the range each. All windows of one cell share a longer string around the anchor,
+   the cell's core, and meet by it. Cores lengthen so, level by level, until their groups fit; cores that
+   one segment alone has are dropped, and equal parts are counted together again. In the last level a
+   core is a whole window. Each level has at most eight rows for a row of a group that didn't fit.
+6. The runs found go back to the segments, and so to documents.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,6 +47,7 @@ class Segments:
         offsets = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) for t in texts], out=offsets[1:])
         data = np.frombuffer(b"".join(texts), np.uint8)
+        self.texts = texts
         if unit == "word":
             starts, ends, self.offsets = T.words(offsets, data)
             self.values = T.word_hashes(starts, ends, data)
@@ -56,9 +60,16 @@ class Segments:
         self.off = np.arange(self.n.sum()) - np.repeat(np.cumsum(self.n) - self.n, self.n)
         self.at = self.offsets[self.owner] + self.off
 
-    def runs(self, repeated: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
-        """The repeated windows of each segment as runs that have one source; doc and pos: each window's first occurrence."""
-        origin = pos - self.off
+    def words(self) -> np.ndarray:
+        """A number for each word, the same for equal words alone; values are hashes."""
+        numbers: dict[bytes, int] = {}
+        return np.array([numbers.setdefault(w, len(numbers)) for w in b" ".join(self.texts).split(b" ")], np.int64)
+
+    def runs(self, repeated: np.ndarray, doc: np.ndarray | None = None, pos: np.ndarray | None = None) -> list[list[tuple[int, int, int, int]]]:
+        """The repeated windows of each segment as runs that have one source; doc and pos: each window's first
+        occurrence, where the rule asks for it."""
+        doc = np.zeros(len(repeated), np.int64) if doc is None else doc
+        origin = np.zeros(len(repeated), np.int64) if pos is None else pos - self.off
         i = np.flatnonzero(repeated)
         out: list[list[tuple[int, int, int, int]]] = [[] for _ in self.n]
         if len(i):
@@ -67,7 +78,8 @@ class Segments:
             first = np.flatnonzero(new)
             size = np.diff(np.append(first, len(i)))
             j = i[first]
-            for s, *run in zip(self.owner[j].tolist(), self.off[j].tolist(), size.tolist(), doc[j].tolist(), pos[j].tolist(), strict=True):
+            at = np.zeros(len(j), np.int64) if pos is None else pos[j]
+            for s, *run in zip(self.owner[j].tolist(), self.off[j].tolist(), size.tolist(), doc[j].tolist(), at.tolist(), strict=True):
                 out[s].append(tuple(run))
         return out
 
@@ -84,160 +96,152 @@ def _symbols(unit: str, column: pa.Array) -> Iterator[tuple]:
 def _find_runs(unit: str, window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, tags = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for row, _, _, _, _, at, values in _symbols(unit, batch.column(1)):
-                doc, x0, n, _, anchor = T.anchor_runs(values, at, window, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids[row + doc].astype(np.int64)), pa.array(x0.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "doc", "x0", "n"])
+                doc, x0, n, dist, anchor = T.anchor_runs(values, at, window, gram)
+                cols = [anchor, ids[row + doc].astype(np.int64), tags[row + doc].astype(np.int64), *(c.astype(np.int32) for c in (x0, n, dist))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "doc", "tag", "x0", "n", "dist"])
 
     return run
 
 
+_SEGMENT = {"anchor": "long", "doc": "long", "tag": "long", "x0": "int", "n": "int", "dist": "int", "key": "binary", "segment": "binary"}
+_CELL = {"anchor": "long", "key": "binary", "base": "int", "core": "long", "part": "binary", "n": "int", "dist": "int", "copies": "long", "doc": "long", "pos": "long", "segment": "binary"}
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def _ddl(columns: dict[str, str]) -> str:
+    return ", ".join(f"{c} {t}" for c, t in columns.items())
+
+
+def _batch(columns: dict[str, str], rows: list[tuple]) -> pa.RecordBatch:
+    lists = list(zip(*rows, strict=True)) if rows else [[] for _ in columns]
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, t in zip(lists, columns.values(), strict=True)], list(columns))
+
+
 def _cut(unit: str, window: int):
-    """Segments of the runs of each text, under a key of their content and the anchor's place in them."""
+    """Segments of the runs of each text, under a key of their content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, runs = batch.column(0).to_pylist(), batch.column(2)
+            ids, tags, runs = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
             flat, ends = runs.values, np.asarray(runs.offsets)
-            fx, fn, fa = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            out: list[list] = [[] for _ in range(6)]
-            size = 0
-            for row, offsets, data in T.pieces(batch.column(1)):
+            fx, fn, fd, fa = (flat.field(i).to_numpy(zero_copy_only=False).tolist() for i in range(4))
+            out, size = [], 0
+            for row, offsets, data in T.pieces(batch.column(2)):
                 starts, stops, at = T.words(offsets, data) if unit == "word" else (None, None, offsets)
                 for k in range(len(offsets) - 1):
                     for j in range(ends[row + k], ends[row + k + 1]):
-                        x, n = int(fx[j]), int(fn[j])
+                        x, n = fx[j], fn[j]
                         a, b = at[k] + x, at[k] + x + n - 1 + window
-                        if b > at[k + 1]:
-                            continue  # another row has this doc_id and a longer text
                         segment = b" ".join(data[starts[i] : stops[i]].tobytes() for i in range(a, b)) if unit == "word" else data[a:b].tobytes()
-                        for c, v in zip(out, (int(fa[j]), ids[row + k], x, n, xxhash.xxh3_128_digest(segment, seed=n), segment), strict=True):
-                            c.append(v)
+                        out.append((fa[j], ids[row + k], tags[row + k], x, n, fd[j], xxhash.xxh3_128_digest(segment, seed=n), segment))
                         size += len(segment)
                 if size > 4 << 20:
-                    yield _segments(out)
-                    out, size = [[] for _ in range(6)], 0
-            yield _segments(out)
+                    yield _batch(_SEGMENT, out)
+                    out, size = [], 0
+            yield _batch(_SEGMENT, out)
 
     return run
 
 
-def _segments(out: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["anchor", "doc", "x0", "n", "key", "segment"])
-
-
 def _match_group(unit: str, match: Matcher):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc", "pos"], kind="stable")
         runs = match(Segments(frame, unit))
-        out = pd.DataFrame({"anchor": frame["anchor"].to_numpy(), "key": frame["key"].to_numpy(), "runs": [[dict(zip(("off", "len", "doc", "pos"), r, strict=True)) for r in x] for x in runs]})
+        out = pd.DataFrame({"core": frame["core"].to_numpy(), "part": frame["part"].to_numpy(), "runs": [[dict(zip(("off", "len", "doc", "pos"), r, strict=True)) for r in x] for x in runs]})
         return out[[bool(x) for x in runs]]
 
     return run
 
 
-def _each_window(unit: str, window: int):
-    """Every window of a segment, by a hash of the whole window."""
+def _deal(unit: str, window: int, step: int):
+    """The windows of each segment in cells of `step` by their distance to the anchor. A cell's core is what all
+    windows of that distance share: from the anchor less the greatest distance of the cell to the end of
+    the window of the least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = Segments(batch.to_pandas(), unit)
-            values = s.values if unit == "word" else T.BYTE_VALUES[s.values]
-            one, two = T.Rolling(values), T.Rolling(T.mix(values))
-            cols = [batch.column(i).take(pa.array(s.owner)) for i in (0, 1)]
-            cols += [pa.array(r.spans(s.at, s.at + window).view(np.int64)) for r in (one, two)]
-            cols += [pa.array(s.off.astype(np.int32)), pa.array(s.copies[s.owner]), pa.array(s.doc[s.owner]), pa.array(s.pos[s.owner] + s.off)]
-            yield pa.RecordBatch.from_arrays(cols, ["core", "part", "w1", "w2", "off", "copies", "doc", "pos"])
-
-    return run
-
+            segments = batch.column(batch.schema.get_field_index("segment"))
+            given = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("anchor", "key", "base", "n", "dist", "copies", "doc", "pos")]
+            out, size = [], 0
+            for row, offsets, data in T.pieces(segments):
+                starts, stops, at = T.words(offsets, data) if unit == "word" else (None, None, offsets)
 
-def _extend(unit: str, window: int):
-    """The runs of a segment's windows under anchors that leave out a few symbols of the window only."""
-    gram = window - min(63, window // 5)
+                def text(a: int, b: int, starts=starts, stops=stops, data=data) -> bytes:
+                    return data[starts[a] : stops[b - 1]].tobytes() if unit == "word" else data[a:b].tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, given = batch.column(2).to_pylist(), [batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5)]
-            out: list[list] = [[] for _ in range(9)]
-            for first, offsets, data in T.pieces(batch.column(2)):
-                if unit == "word":
-                    starts, ends, at = T.words(offsets, data)
-                    values = T.word_hashes(starts, ends, data)
-                else:
-                    at, values = offsets, T.BYTE_VALUES[data]
-                for doc, x, n, _, core in zip(*(c.tolist() for c in T.anchor_runs(values, at, window, gram)), strict=True):
-                    a, b = at[doc] + x, at[doc] + x + n - 1 + window
-                    part = b" ".join(data[starts[i] : ends[i]].tobytes() for i in range(a, b)) if unit == "word" else texts[first + doc][x : x + n - 1 + window]
-                    anchor, key, copies, of, pos = (g[first + doc] for g in given)
-                    for c, v in zip(out, (anchor, key, x, core, xxhash.xxh3_128_digest(part, seed=n), n, copies, (of, pos + x), part), strict=True):
-                        c.append(v)
-            first_at = out.pop(7)
-            cols = [*out[:7], [d for d, _ in first_at], [p for _, p in first_at], out[7]]
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "key", "base", "core", "part", "n", "copies", "doc", "pos", "segment"])
+                for k in range(len(offsets) - 1):
+                    anchor, key, base, n, dist, copies, doc, pos = (g[row + k] for g in given)
+                    a = 0
+                    while a < n:
+                        cell = (dist - a) // step
+                        b = min(n, dist - cell * step + 1)  # windows a to b-1 are in the cell
+                        core = text(at[k] + dist - cell * step, at[k] + dist - (cell + 1) * step + 1 + window)
+                        part = text(at[k] + a, at[k] + b - 1 + window)
+                        out.append((anchor, key, base + a, xxhash.xxh3_64_intdigest(core, seed=cell) - (1 << 63), xxhash.xxh3_128_digest(part, seed=b - a), b - a, dist - a, copies, doc, pos + a, part))
+                        size += len(part)
+                        a = b
+                if size > 4 << 20:
+                    yield _batch(_CELL, out)
+                    out, size = [], 0
+            yield _batch(_CELL, out)
 
     return run
 
 
-def _crowded(whole: DataFrame, unit: str, window: int) -> DataFrame:
-    """Runs of repeated windows of segments whose anchor has too many different segments for one task."""
-    runs = table(whole.select("anchor", "key", "segment", "copies", "doc", "pos").mapInArrow(_extend(unit, window), "anchor long, key binary, base int, core long, part binary, n int, copies long, doc long, pos long, segment binary"))
-    parts = runs.groupBy("core", "part", "n").agg(F.sum("copies").alias("copies"), F.min(F.struct("doc", "pos")).alias("first"), F.first("segment").alias("segment"))
-    parts = table(parts.select("core", "part", "n", "copies", "first.doc", "first.pos", "segment"))
-    shared = table(parts.groupBy("core").agg(F.sum("copies").alias("held")).where("held > 1").select("core"))
-    each = table(parts.join(shared, "core").select("core", "part", "n", "copies", "doc", "pos", "segment").mapInArrow(_each_window(unit, window), "core long, part binary, w1 long, w2 long, off int, copies long, doc long, pos long"))
-    again = each.groupBy("w1", "w2").agg(F.sum("copies").alias("total"), F.min(F.struct("doc", "pos")).alias("first")).where("total > 1").select("w1", "w2", "first")
-    window_run = F.struct("off", F.lit(1).alias("len"), "first.doc", "first.pos")
-    found = each.select("core", "part", "w1", "w2", "off").join(again, ["w1", "w2"]).groupBy("core", "part").agg(F.collect_list(window_run).alias("runs"))
-    back = runs.select("anchor", "key", "base", "core", "part").join(table(_merged(found)), ["core", "part"]).select("anchor", "key", "base", F.explode("runs").alias("r"))
-    moved = F.struct((F.col("base") + F.col("r.off")).alias("off"), "r.len", "r.doc", "r.pos")
-    return _merged(back.groupBy("anchor", "key").agg(F.collect_list(moved).alias("runs"))).withColumn("runs", F.col("runs").cast(RUN))
-
-
-def _merged(df: DataFrame) -> DataFrame:
-    """df with its runs put in order and joined where one goes on where the last one ends, here and in the source."""
-    df = df.withColumn("runs", F.array_sort("runs"))
-    run = lambda i: F.get("runs", i)
-    goes_on = lambda p, q: (p["off"] + p["len"] == q["off"]) & (p["doc"] == q["doc"]) & (p["pos"] + p["len"] == q["pos"])
-    heads = F.filter(F.sequence(F.lit(0), F.size("runs") - 1), lambda i: (i == 0) | ~goes_on(run(i - 1), run(i)))
-    df = df.withColumn("_heads", heads)
-
-    def joined(i: Column, k: Column) -> Column:
-        last = run(F.coalesce(F.get("_heads", k + 1), F.size("runs")) - 1)
-        return F.struct(run(i)["off"].alias("off"), (last["off"] + last["len"] - run(i)["off"]).alias("len"), run(i)["doc"].alias("doc"), run(i)["pos"].alias("pos"))
-
-    return df.withColumn("runs", F.transform("_heads", joined)).drop("_heads")
+def _settled(parts: DataFrame, unit: str, match: Matcher, core_bytes: int, group_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    """core, part, runs of the parts whose core's group can be decided, and the cores whose group doesn't fit."""
+    kinds = table(parts.groupBy("core").agg(F.count("*").alias("kinds"), F.sum("copies").alias("held"), F.sum(F.length("segment")).alias("bytes")).where("held > 1"))
+    fits = (F.col("kinds") > 1) & (F.col("bytes") <= core_bytes)
+    total, crowded = kinds.agg(F.sum(F.when(fits, F.col("bytes"))), F.count_if((F.col("kinds") > 1) & ~fits)).first()
+    whole = parts.join(kinds, "core")
+    lone = whole.where("kinds = 1").select("core", "part", F.array(F.struct(F.lit(0).alias("off"), F.col("n").alias("len"), "doc", "pos")).cast(RUN).alias("runs"))
+    groups = buckets(total or 0, group_bytes)
+    some = whole.where(fits).drop("kinds", "held", "bytes").withColumn("group", F.pmod(F.xxhash64("core"), F.lit(groups)))
+    few = some.groupBy("group").applyInPandas(_match_group(unit, match), f"core long, part binary, runs {RUN}")
+    return lone.unionByName(few), kinds.where((F.col("kinds") > 1) & ~fits).select("core") if crowded else None
 
 
-def repeated_spans(docs: DataFrame, unit: str, window: int, gram: int, match: Matcher, rule: Callable[[Column, Column, Column, Column], Column], most: int = 256, group_bytes: int = 2 << 20) -> DataFrame:
-    """doc, spans: for each document of docs (doc, text) the spans (a, b: symbols) covered by repeated windows.
+def repeated_spans(docs: DataFrame, unit: str, window: int, gram: int, match: Matcher, rule: Callable[[Column, Column, Column, Column], Column], core_bytes: int = 1 << 19, group_bytes: int = 2 << 20, fan_out: int = 8) -> DataFrame:
+    """doc, tag, spans: for each document of docs (doc, text, tag: what tells rows of one doc apart) the spans
+    (a, b: symbols) covered by repeated windows.
 
     rule(doc, pos, first doc, first pos) says which occurrences of a repeated window count.
     """
-    docs = docs.where(F.col("doc").isNotNull() & F.col("text").isNotNull())
-    found = table(docs.mapInArrow(_find_runs(unit, window, gram), "anchor long, doc long, x0 int, n int"))
+    docs = docs.where(F.col("doc").isNotNull() & F.col("text").isNotNull()).select("doc", "text", "tag")
+    found = table(docs.mapInArrow(_find_runs(unit, window, gram), "anchor long, doc long, tag long, x0 int, n int, dist int"))
     seen = table(found.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen > 1").select("anchor"))
-    by_doc = found.join(seen, "anchor").groupBy("doc").agg(F.collect_set(F.struct("x0", "n", "anchor")).alias("cuts"))
-    segments = table(docs.join(by_doc, "doc").select("doc", F.encode("text", "utf-8").alias("text"), "cuts").mapInArrow(_cut(unit, window), "anchor long, doc long, x0 int, n int, key binary, segment binary"))
-
-    whole = segments.groupBy("anchor", "key", "n").agg(F.count("*").alias("copies"), F.min(F.struct("doc", F.col("x0").cast("long").alias("pos"))).alias("first"), F.first("segment").alias("segment"))
-    whole = table(whole.select("anchor", "key", "n", "copies", "first.doc", "first.pos", "segment"))
-    kinds = table(whole.groupBy("anchor").agg(F.count("*").alias("kinds")))
-    whole = whole.join(kinds, "anchor")
-    lone = whole.where("kinds = 1 and copies > 1").select("anchor", "key", F.array(F.struct(F.lit(0).alias("off"), F.col("n").alias("len"), "doc", "pos")).cast(RUN).alias("runs"))
-
-    some = whole.where(f"kinds between 2 and {most}")
-    total = whole.agg(F.sum(F.length("segment"))).first()[0] or 0
-    groups = buckets(total, group_bytes)
-    some = some.withColumn("group", F.pmod(F.xxhash64("anchor"), F.lit(groups))).drop("kinds")
-    few = some.groupBy("group").applyInPandas(_match_group(unit, match), f"anchor long, key binary, runs {RUN}")
-
-    many = _crowded(whole.where(f"kinds > {most}"), unit, window)
-
-    runs = lone.unionByName(few).unionByName(many)
-    hits = segments.select("anchor", "key", "doc", "x0").join(runs, ["anchor", "key"])
-    hits = hits.select("doc", "x0", F.explode("runs").alias("r")).where(rule(F.col("doc"), F.col("x0") + F.col("r.off"), F.col("r.doc"), F.col("r.pos")))
-    a = F.col("x0") + F.col("r.off")
-    return hits.groupBy("doc").agg(F.collect_list(F.struct(a.alias("a"), (a + F.col("r.len") - 1 + window).alias("b"))).alias("spans"))
+    by_doc = found.join(seen, "anchor").groupBy("doc", "tag").agg(F.collect_set(F.struct("x0", "n", "dist", "anchor")).alias("cuts"))
+    cut = docs.join(by_doc, ["doc", "tag"]).select("doc", "tag", F.encode("text", "utf-8").alias("text"), "cuts")
+    segments = table(cut.mapInArrow(_cut(unit, window), _ddl(_SEGMENT)))
+
+    first = F.min(F.struct("doc", "pos")).alias("first")
+    kept = ["n", "dist", "copies", "first.doc", "first.pos", "segment"]
+    counted = [F.first("n").alias("n"), F.first("dist").alias("dist"), F.sum("copies").alias("copies"), first, F.first("segment").alias("segment")]
+    each = segments.select(F.col("anchor").alias("core"), F.col("key").alias("part"), "n", "dist", F.lit(1).alias("copies"), "doc", F.col("x0").cast("long").alias("pos"), "segment")
+    parts = table(each.groupBy("core", "part").agg(*counted).select("core", "part", *kept))
+    decided, crowded = _settled(parts, unit, match, core_bytes, group_bytes)
+    runs = decided.select(F.col("core").alias("anchor"), F.col("part").alias("key"), "runs")
+    rows, step = parts.withColumn("anchor", F.col("core")).withColumn("key", F.col("part")).withColumn("base", F.lit(0)), window - gram + 1
+    deeper = []
+    while crowded is not None:
+        step = -(-step // fan_out)
+        rows = rows.join(crowded, "core").select("anchor", "key", "base", "n", "dist", "copies", "doc", "pos", "segment")
+        rows = table(rows.mapInArrow(_deal(unit, window, step), _ddl(_CELL)))
+        parts = table(rows.groupBy("core", "part").agg(*counted).select("core", "part", *kept))
+        decided, crowded = _settled(parts, unit, match, core_bytes, group_bytes)
+        moved = F.transform("runs", lambda r: F.struct((r["off"] + F.col("base")).alias("off"), r["len"].alias("len"), r["doc"].alias("doc"), r["pos"].alias("pos")))
+        deeper.append(rows.select("anchor", "key", "base", "core", "part").join(decided, ["core", "part"]).select("anchor", "key", moved.cast(RUN).alias("runs")))
+    if deeper:
+        joined = functools.reduce(DataFrame.unionByName, deeper).groupBy("anchor", "key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+        runs = runs.unionByName(joined)
+
+    def spans(r: Column) -> Column:
+        a = F.col("x0") + r["off"]
+        return F.struct(a.alias("a"), (a + r["len"] - 1 + window).alias("b"))
+
+    counts = lambda r: rule(F.col("doc"), F.col("x0") + r["off"], r["doc"], r["pos"])
+    hits = segments.select("anchor", "key", "doc", "tag", "x0").join(runs, ["anchor", "key"])
+    hits = hits.select("doc", "tag", F.transform(F.filter("runs", counts), spans).alias("spans")).where(F.size("spans") > 0)
+    return hits.groupBy("doc", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))

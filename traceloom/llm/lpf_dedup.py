@@ -58,12 +58,15 @@ def previous_factors(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first != np.arange(n), first
 
 
-def match(window: int):
+def match(window: int, sources: bool):
     def run(s: Segments) -> list[list[tuple[int, int, int, int]]]:
         rank = suffix_ranks(s.values, window)[s.at]
         earlier, first = previous_factors(rank)
         later = np.zeros(len(rank), bool)
         later[first[earlier]] = True
+        repeated = earlier | later | (s.copies[s.owner] > 1)
+        if not sources:
+            return s.runs(repeated)
         # Windows stand in the order of segments' first occurrences, which isn't that of the windows.
         place = s.pos[s.owner] + s.off
         best = np.lexsort((place, s.doc[s.owner], rank))
@@ -71,7 +74,7 @@ def match(window: int):
         head[1:] = np.diff(rank[best]) != 0
         source = np.empty(len(best), np.int64)
         source[best] = best[np.flatnonzero(head)][np.cumsum(head) - 1]
-        return s.runs(earlier | later | (s.copies[s.owner] > 1), s.doc[s.owner][source], place[source])
+        return s.runs(repeated, s.doc[s.owner][source], place[source])
 
     return run
 
@@ -98,16 +101,17 @@ def lpf_dedup(docs: DataFrame, window: int = 400, gram: int = 64, keep_first: bo
     (least doc_id, then place) stays, which is what a longest-previous-factor array marks; without it,
     occurrences with a later match go too. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept
     (binary: the cut can split a character). Null text: empty. Texts under `window` bytes keep all. A row
-    without doc_id stays whole and matches nothing. A repeated row is one more occurrence of its text.
-    An empty table gives an empty result.
+    without doc_id stays whole and matches nothing. A repeated row is one more occurrence of its text; rows of
+    one doc_id with different texts are each cut by their own. A very long text is worked in one numpy pass
+    of its task. An empty table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
 
     def later(doc, pos, first_doc, first_pos):
         return ((doc > first_doc) | ((doc == first_doc) & (pos > first_pos))) if keep_first else F.lit(True)
 
-    spans = repeated_spans(rows, "byte", window, gram, match(window), later)
-    return rows.join(spans, "doc", "left").select("doc", "text", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    spans = repeated_spans(rows, "byte", window, gram, match(window, keep_first), later)
+    return rows.join(spans, ["doc", "tag"], "left").select("doc", "text", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op8_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,19 +60,34 @@ def _subtrees(hashes: T.Rolling, at: np.ndarray, live: np.ndarray, prefix: np.nd
     return live, np.unique(node, return_inverse=True)[1] if len(node) else node
 
 
+def confirmed(values: np.ndarray, at: np.ndarray, node: np.ndarray, depth: int) -> np.ndarray:
+    """Nodes split where leaves that share a hash differ in one of their `depth` symbols."""
+    head = np.full(node.max(initial=-1) + 1, len(node))
+    np.minimum.at(head, node, np.arange(len(node)))
+    same = np.ones(len(node), bool)
+    for k in range(depth):
+        same &= values[at + k] == values[at[head[node]] + k]
+    odd = np.flatnonzero(~same)
+    if len(odd):
+        rows = np.unique(values[at[odd][:, None] + np.arange(depth)], axis=0, return_inverse=True)[1]
+        node = node.copy()
+        node[odd] = len(head) + rows.ravel()
+    return node
+
+
 def match(window: int):
     def run(s: Segments) -> list[list[tuple[int, int, int, int]]]:
         leaf, node = deep_nodes(s.values, s.at, window)
-        doc, place = s.doc[s.owner].copy(), s.pos[s.owner] + s.off
+        node = confirmed(s.words(), s.at[leaf], node, window)
+        leaves = np.bincount(node)[node] if len(node) else node
+        leaf, node = leaf[leaves > 1], np.unique(node[leaves > 1], return_inverse=True)[1]
+        first = s.doc[s.owner].copy()
         repeated = s.copies[s.owner] > 1
         repeated[leaf] = True
-        order = np.lexsort((place[leaf], doc[leaf], node))
-        head = np.ones(len(order), bool)
-        head[1:] = np.diff(node[order]) != 0
-        source = leaf[order[np.flatnonzero(head)]][node] if len(leaf) else leaf
-        first_doc, first_place = doc.copy(), place.copy()
-        first_doc[leaf], first_place[leaf] = doc[source], place[source]
-        return s.runs(repeated, first_doc, first_place)
+        least = np.full(node.max(initial=-1) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, node, first[leaf])
+        first[leaf] = least[node]
+        return s.runs(repeated, first)
 
     return run
 
@@ -101,13 +116,13 @@ def suffix_tree_dedup(docs: DataFrame, window: int = 50, gram: int = 10) -> Data
 
     Words are runs without ASCII white space. docs: doc_id long, text string; other columns are ignored.
     Returns doc_id, n_words, n_removed, kept_sha256, kept (kept words joined by one space). Null text:
-    no words. A text of fewer than `window` words keeps all. A row without doc_id stays whole and matches
-    nothing. Repeated rows have equal doc_ids, so they don't remove each other. An empty table gives an
-    empty result.
+    no words. A text of fewer than `window` words keeps all; a very long one is worked in one numpy pass of its
+    task. A row without doc_id stays whole and matches nothing. Rows of one doc_id, with equal or different
+    texts, don't remove each other, and each is cut by its own text. An empty table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
     spans = repeated_spans(rows, "word", window, gram, match(window), lambda doc, pos, first_doc, first_pos: doc > first_doc)
-    return rows.join(spans, "doc", "left").select("doc", "text", "spans").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return rows.join(spans, ["doc", "tag"], "left").select("doc", "text", "spans").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def op7_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
