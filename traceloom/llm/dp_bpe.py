@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from ._shared import read
 
 #: Parts whose ids a worker remembers; when full, it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: White space as the vocabulary's splitter has it (fixed by Unicode's White_Space property).
 _WS = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: The splitter of byte-level BPE vocabularies (fixed by the vocabulary).
 _SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: Coarser cuts at which the splitter always cuts too.
 _PARTS = rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
+#: White space and a blank: there, what the splitter does at the blank depends on more than what follows it.
+_BEFORE_BLANK = [w + " " for w in _WS]
 _open: dict = {}
 
 
@@ -30,13 +32,50 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
+class Automaton:
+    """The vocabulary's tokens as one automaton over bytes with suffix links: after each byte its state is the longest
+    suffix of what was read that begins a token, and `token` and `shorter` lead through all tokens that
+    end there, the longest first. Every byte is a token, so there is always one."""
+
+    def __init__(self, tokens: dict[bytes, int]):
+        self.step: dict[int, int] = {}
+        token = [-1]
+        for raw, number in tokens.items():
+            state = 0
+            for byte in raw:
+                key = state << 8 | byte
+                state = self.step.get(key, 0)
+                if not state:
+                    state = self.step[key] = len(token)
+                    token.append(-1)
+            token[state] = number
+        # States were numbered along each token; suffix links need them by depth.
+        link, layer = [0] * len(token), [0]
+        below: dict[int, list[tuple[int, int]]] = {}
+        for key, state in self.step.items():
+            below.setdefault(key >> 8, []).append((key & 255, state))
+        shorter = [0] * len(token)
+        while layer:
+            deeper = []
+            for state in layer:
+                for byte, child in below.get(state, ()):
+                    deeper.append(child)
+                    if state:
+                        back = link[state]
+                        while back and back << 8 | byte not in self.step:
+                            back = link[back]
+                        link[child] = self.step.get(back << 8 | byte, 0)
+                    shorter[child] = link[child] if token[link[child]] >= 0 else shorter[link[child]]
+            layer = deeper
+        self.token, self.link, self.shorter = token, link, shorter
+
+
 class Encoder:
     """The last token of the encoding of each prefix is unique. A token that ends a prefix is that token if and
     only if it is compatible with the last token of the prefix before it, so one pass over the
-    matches of the suffix automaton of the vocabulary and a walk back give the ids that merging gives."""
+    matches of the vocabulary's automaton and a walk back give the ids that merging gives."""
 
     def __init__(self, path: str):
-        import ahocorasick
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -48,108 +87,131 @@ class Encoder:
         # Tokens are numbered by the order in which merging makes them: bytes first, then merges.
         number = {c: k for k, c in enumerate(of)}
         self.pair: dict[tuple[int, int], int] = {}
-        self.halves = [(k, k) for k in range(len(number))]
+        self.halves: list[tuple[int, int] | None] = [None] * len(number)
         for merge in spec["model"]["merges"]:
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             if a + b not in number:
                 number[a + b] = len(self.halves)
                 self.halves.append((number[a], number[b]))
             self.pair.setdefault((number[a], number[b]), number[a + b])
-        self.id_of = {k: vocabulary[t] for t, k in number.items()}
-        self.automaton = ahocorasick.Automaton()
-        for t, k in number.items():
-            raw = bytes(of[c] for c in t)
-            self.automaton.add_word(raw.decode("latin-1"), (len(raw), k))
-        self.automaton.make_automaton()
+        self.id_of = [str(vocabulary[t]).encode() for t in number]
+        self.decoded = [self.bytes_of[vocabulary[t]] for t in number]
+        self.automaton = Automaton({bytes(of[c] for c in t): k for t, k in number.items()})
+        self.size = [len(t) for t in number]
         self.fits: dict[int, bool] = {}
-        self.size = {k: sum(1 for _ in t) for t, k in number.items()}
-        self.part_ids: dict[str, tuple[bytes, bytes]] = {}
+        self.edges: tuple[dict, dict] = ({}, {})
         self.split = regex.compile(_SPLIT).findall
         self.parts = regex.compile(_PARTS).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.ids: dict[str, bytes] = {}
-        self.raw: dict[str, bytes] = {}
-        self.special_ids = {s: (str(i).encode(), s.encode()) for s, i in self.special.items()}
+        #: Ids of words with the blank before them, and of other parts; decoded bytes where they aren't those encoded.
+        self.spaced: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+        self.changed: dict[str, bytes] = {}
+
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The tokens that stand at one side of `token` while it is made, each with the merge that takes it up."""
+        known = self.edges[side]
+        if token not in known:
+            chain, by, at = [], 1 << 60, token
+            while True:
+                chain.append((at, by))
+                if self.halves[at] is None:
+                    break
+                at, by = self.halves[at][side], at
+            known[token] = chain
+        return known[token]
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether merging leaves the tokens a and b apart: undo the latest merge beside the border again and
-        again; no pair across it may merge before the merges that are still standing."""
-        x, y, limit = a, b, 1 << 60
-        while True:
-            made = self.pair.get((x, y))
-            if made is not None and made < limit:
-                return False
-            if x > y:
-                limit, x = x, self.halves[x][1]
-                if x == limit:
-                    limit, y = y + 1, self.halves[y][0]
-                    if y + 1 == limit:
-                        return True
-            else:
-                limit, y = y + 1, self.halves[y][0]
-                if y + 1 == limit:
-                    limit, x = x, self.halves[x][1]
-                    if x == limit:
-                        return True
+        """Whether merging leaves the tokens a and b apart. Any merge across the border would join a token at the end
+        of a with one at the start of b while both stand there: before the merges inside a and b take them up.
+        Of one merge at several places the leftmost comes first, so one in a comes before one across, and
+        one across before one in b."""
+        for x, taken in self._edge(a, 1):
+            for y, given in self._edge(b, 0):
+                made = self.pair.get((x, y))
+                if made is not None and made < taken and made <= given:
+                    return False
+        return True
 
     def encode(self, raw: bytes) -> list[int]:
-        """Ids of one split part."""
-        n, fits = len(raw), self.fits
-        last = [-1] * (n + 1)
-        # Matches that end at one place come longest first, as the suffix links lead.
-        for end, (length, token) in self.automaton.iter(raw.decode("latin-1")):
+        """Tokens of one split part."""
+        fits, size, step = self.fits, self.size, self.automaton.step
+        token, link, shorter = self.automaton.token, self.automaton.link, self.automaton.shorter
+        last, state, end = [-1], 0, 0
+        for byte in raw:
             end += 1
-            if last[end] < 0:
-                start = end - length
-                if start == 0:
-                    last[end] = token
-                elif (before := last[start]) >= 0:
-                    key = before << 20 | token
-                    good = fits.get(key)
+            to = step.get(state << 8 | byte)
+            while to is None:
+                state = link[state]
+                to = step.get(state << 8 | byte)
+            state = at = to
+            while True:
+                t = token[at]
+                if t >= 0:
+                    start = end - size[t]
+                    if start == 0:
+                        break
+                    before = last[start]
+                    good = fits.get(before << 20 | t)
                     if good is None:
                         if len(fits) > 1_000_000:
                             fits.clear()
-                        good = fits[key] = self.compatible(before, token)
+                        good = fits[before << 20 | t] = self.compatible(before, t)
                     if good:
-                        last[end] = token
+                        break
+                at = shorter[at]
+            last.append(t)
         out = []
-        while n:
-            out.append(self.id_of[last[n]])
-            n -= self.size[last[n]]
+        while end:
+            out.append(last[end])
+            end -= size[last[end]]
         return out[::-1]
 
-    def lookup(self, parts: list[str]) -> None:
-        """Make sure that the ids of all parts are known."""
-        new = set(parts).difference(self.ids)
-        if len(self.ids) + len(new) > REMEMBERED:
-            self.ids.clear()
-            self.raw.clear()
-            new = set(parts)
-        for p in new:
-            found = [self.part_ids.get(t) or self._part(t) for t in self.split(p)]
-            self.ids[p] = b",".join([f[0] for f in found])
-            self.raw[p] = b"".join([f[1] for f in found])
-
-    def _part(self, part: str) -> tuple[bytes, bytes]:
-        if len(self.part_ids) > REMEMBERED:
-            self.part_ids.clear()
-        ids = self.encode(part.encode())
-        self.part_ids[part] = made = ",".join(map(str, ids)).encode(), b"".join(map(self.bytes_of.__getitem__, ids))
-        return made
+    def _learn(self, part: str) -> bytes:
+        """The ids of a part in decimal, joined by commas. That they decode to the part's bytes is seen here once."""
+        ids, raw = [], []
+        for piece in self.split(part):
+            tokens = self.encode(piece.encode())
+            ids += [self.id_of[t] for t in tokens]
+            raw += [self.decoded[t] for t in tokens]
+        if (back := b"".join(raw)) != part.encode():
+            self.changed[part] = back
+        return b",".join(ids)
+
+    def _known(self, memory: dict[str, bytes], items: list[str], blank: str) -> None:
+        new = set(items).difference(memory)
+        if new:
+            if len(memory) + len(new) > REMEMBERED:
+                memory.clear()
+                new = set(items)
+            for item in new:
+                memory[item] = self._learn(blank + item)
+
+    def piece(self, text: str) -> tuple[bytes, bytes]:
+        """Ids and decoded bytes of a text without special tokens. Where white space is never followed by a blank, the
+        splitter cuts before each blank, so a text is its blank-separated items, each worked once."""
+        if any(pair in text for pair in _BEFORE_BLANK):
+            parts, items, csv = self.parts(text), [], []
+        else:
+            head, *items = text.split(" ")
+            parts = self.parts(head)
+        self._known(self.plain, parts, "")
+        csv = list(map(self.plain.__getitem__, parts))
+        self._known(self.spaced, items, " ")
+        csv += map(self.spaced.__getitem__, items)
+        if not self.changed:
+            return b",".join(csv), text.encode()
+        return b",".join(csv), b"".join([self.changed.get(p) or p.encode() for p in [*parts, *(" " + i for i in items)]])
 
     def document(self, text: str) -> tuple[bytes, bytes]:
         """The ids in decimal joined by commas, and the bytes that they decode to."""
-        csv, raw = [], []
-        for piece in self.cut(text) if self.cut else [text]:
-            if piece in self.special_ids:
-                csv.append(self.special_ids[piece][0])
-                raw.append(self.special_ids[piece][1])
+        found = []
+        for piece in self.cut(text) if self.cut and any(t in text for t in self.special) else [text]:
+            if piece in self.special:
+                found.append((str(self.special[piece]).encode(), piece.encode()))
             elif piece:
-                parts = self.parts(piece)
-                self.lookup(parts)
-                csv.append(b",".join(map(self.ids.__getitem__, parts)))
-                raw.append(b"".join(map(self.raw.__getitem__, parts)))
-        return b",".join(csv), b"".join(raw)
+                found.append(self.piece(piece))
+        return b",".join([c for c, _ in found]), b"".join([r for _, r in found])
 
 
 def encoder(path: str) -> Encoder:
