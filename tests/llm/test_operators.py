@@ -12,12 +12,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from traceloom.llm import registry
+from traceloom.llm._shared import table
 from traceloom.llm._graph import components
-from traceloom.llm.dp_bpe import bpe_round_trip, byte_vocabulary
+from traceloom.llm.dp_bpe import bpe_round_trip, byte_vocabulary, encoder
 from traceloom.llm.gam_quality import gam_quality
 from traceloom.llm.kmeans_tree import kmeans_tree_search
 from traceloom.llm.lpf_dedup import lpf_dedup
-from traceloom.llm.mixing_lm import document_classes, mixing_scores, pair_counts
+from traceloom.llm import mixing_lm as LM
+from traceloom.llm.mixing_lm import mixing_scores
 from traceloom.llm.order_minhash import near_duplicates, similarity
 from traceloom.llm.pattern_packing import pack_documents, plan, word_vocabulary
 from traceloom.llm.rp_forest import rp_forest_duplicates
@@ -172,8 +174,30 @@ def test_op9_is_exact(spark, odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(byte_vocabulary())
+    t.no_truncation()
+    t.no_padding()
     for r, text in zip(bpe_round_trip(odd, byte_vocabulary()).orderBy("doc_id").collect(), [x[0] for x in odd.orderBy("doc_id").select("text").collect()], strict=True):
         assert r.ids == t.encode(text or "", add_special_tokens=False).ids and r.decoded == (text or "")
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = {}
+    for r in d.collect():
+        ids = t.encode(r.text or "", add_special_tokens=False).ids
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        want[r.doc_id] = (len(ids), sha(",".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False)))
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in registry.QUERIES["op9_dp_bpe"](spark, "/root/testdata/sf0.01").collect()} == want
+
+
+def test_op9_white_space_and_marks():
+    import random
+
+    from tokenizers import Tokenizer
+
+    e, t, rng = encoder(byte_vocabulary()), Tokenizer.from_file(byte_vocabulary()), random.Random(5)
+    parts = ["a", "b", "The", "  ", " ", "\n", "\t", "\u2003", "é", "日本", "😀", "123", "'s", "'ll", "!!", "<|endoftext|>", " \n", "ing", "aaaa", ".", ",", "\r\n", "zz" * 20, "\x1c", "\x85"]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        csv, raw = e.document(text)
+        assert [int(i) for i in csv.split(b",") if i] == t.encode(text, add_special_tokens=False).ids and raw == text.encode(), repr(text)
 
 
 def test_op10_base_and_model(spark, odd, texts):
@@ -190,7 +214,7 @@ def test_op10_base_and_model(spark, odd, texts):
 
 def test_op10_rare_tokens_of_null_and_repeated_ids(spark):
     texts = [(None, "a b c d d"), (None, "e f"), (None, None), (7, "a a g"), (7, "h"), (8, "b d e")]
-    got = mixing_scores(spark.createDataFrame(texts, "doc_id long, text string"), head=1).toPandas()
+    got = mixing_scores(spark.createDataFrame(texts, "doc_id long, text string"), slice_bytes=3).toPandas()
     train = [(t or "").split() + [""] for i, t in texts if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
     count = collections.Counter(w for ws in train for w in ws)
     n, v = sum(count.values()), len(count)
@@ -198,20 +222,73 @@ def test_op10_rare_tokens_of_null_and_repeated_ids(spark):
     assert np.allclose(sorted(got["base_score"]), want) and (got["n_known"] <= got["n_tokens"]).all()
 
 
-def test_op10_learns_from_all_rows(spark):
-    from traceloom.llm.mixing_lm import _dealt
-
-    texts = [(f"abab {i}" if i % 2 else f"xyxy {i}").encode() for i in range(60)] + [b"abab abab abab qqqq"] * 5
-    rows = spark.createDataFrame([(t,) for t in texts], "text binary")
-    # The picked ones never hold the pair qq; the fit of all rows gives it to the class of abab.
-    odds = document_classes(rows, rows.where("not contains(text, encode('qqqq', 'utf-8'))").limit(20), 2)
-    x = np.concatenate([pair_counts(np.array([0, len(t)]), np.frombuffer(t, np.uint8)) for t in (b"abab", b"qqqq")])
-    own = (x[0] @ odds.T).argmax()
-    qq = (ord("q") * 37 + ord("q") * 149) & 4095
-    assert odds[own, qq] > odds[1 - own, qq] + 0.5
-    counts = spark.range(1000).selectExpr("cast(cast(id as string) as binary) as token", "0 as cls", "1L as n")
-    dealt = _dealt(counts, 100)
-    assert dealt.count() == 1000 and dealt.rdd.getNumPartitions() == 10
+def test_op10_counts_of_contexts_are_those_of_all_training_texts(spark, texts):
+    """Codes and counts that blocks get back against dictionaries of words."""
+    rows = [(i, (texts[i] or "").encode(), zlib.crc32(str(i).encode()) % 5 == 1) for i in sorted(texts)] + [(10**6, b"a of the end a of the end b", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text binary, held boolean").repartition(5)
+    blocks = table(df.mapInArrow(LM._blocks, LM._BLOCK))
+    answers = blocks.mapInArrow(LM._ask(7), LM._QUESTION).groupBy("slice").applyInPandas(LM._answer, LM._ANSWER)
+    asked = blocks.join(answers.groupBy("block").agg(F.collect_list(F.struct("slice", "pairs", "words")).alias("answers")), "block").toArrow().to_batches()
+
+    def contexts(words):
+        for i, w in enumerate(words):
+            back = [words[i - k] if i >= k else k for k in range(1, 5)]
+            short = sum(isinstance(x, bytes) and len(x) <= 3 for x in back[:2])
+            yield tuple(back[: 2 + short]), w
+
+    split = {i: re.findall(rb"[^\x20\x09-\x0D]+", t.lower()) + [b""] for i, t, _ in rows}
+    held = {i: h for i, _, h in rows}
+    follow, count = collections.defaultdict(collections.Counter), collections.Counter()
+    for i, words in split.items():
+        if not held[i]:
+            count.update(words)
+            for c, w in contexts(words):
+                follow[c][w] += 1
+    seen = 0
+    for batch in asked:
+        for i, tokens, _, _ in LM._opened(batch):
+            ids, marks = batch.column(batch.schema.get_field_index("doc_id"))[i].as_py(), np.array(batch.column(batch.schema.get_field_index("held"))[i].as_py())
+            codes, counts, _ = LM._answered(batch, i, tokens, marks, 7)
+            want, words = [], []
+            for d in ids:
+                own = not held[d]
+                for c, w in contexts(split[d]):
+                    f = follow[c]
+                    want.append((f[w] - own, sum(f.values()) - own, sum(v > 0 for v in f.values()) - (own and f[w] == 1)))
+                    words.append(count[w])
+                    seen += 1
+            m, n, k = np.array(want).T
+            assert (codes == LM._codes(m, n, k)).all() and (counts == words).all()
+    assert seen == sum(map(len, split.values()))
+
+
+def test_op10_scores_word_order_and_known_passages(spark):
+    rng = np.random.default_rng(2)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 300, n)]
+    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    passage = some(200)
+    rows = [(i, " ".join(some(60))) for i in range(300) if i not in held] + [(4001, " ".join(passage)), (4002, "x " + " ".join(passage))]
+    rows += [(held[0], " ".join(passage)), (held[1], " ".join(rng.permutation(passage)))]
+    assert {4001, 4002} & {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 != 1}
+    got = {r.doc_id: r for r in mixing_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert abs(got[held[0]].base_score - got[held[1]].base_score) < 1e-6
+    assert got[held[0]].score > got[held[1]].score + 150 and got[held[0]].score < 0
+    assert abs(got[held[0]].bits_per_byte + got[held[0]].score * math.log2(10) / len(" ".join(passage))) < 1e-9
+
+
+def test_op10_bits_add_up_to_one():
+    m = LM.Mixer((16, 8), 4, 2)
+    rng = np.random.default_rng(0)
+    draw = lambda n: ([rng.integers(0, 16, n), rng.integers(0, 8, n)], rng.integers(0, 4, n), rng.integers(0, 2, n))
+    for _ in range(50):
+        slots, gate, place = draw(400)
+        m.learn(slots, gate, place, (slots[0] < 5).astype(np.int64))
+    slots, gate, place = draw(1000)
+    one, zero = (m.log10(slots, gate, place, np.full(1000, b)) for b in (1, 0))
+    assert np.allclose(10**one + 10**zero, 1) and (10**one)[slots[0] < 5].min() > 0.9 and (10**one)[slots[0] >= 5].max() < 0.1
+    a, b = LM.Model(), LM.Model()
+    a.byte.learnt[:], a.byte.weights[:] = 2, 0.5
+    assert np.allclose(b.load(a.cells() * 3).byte.weights, 0.5)
 
 
 def test_components(spark):

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import heapq
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,512 +15,426 @@ from ._shared import buckets, read, table
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-SPACE, END = 32, 10
+SPACE = 32
 _K = np.uint64(0x9E3779B97F4A7C15)
-#: Bits of the table of each context: one, two and four bytes before and the class; word so far, without and with the class.
-TABLE_BITS = (16, 18, 19, 20, 20)
-_GATES = 8 * 16
+_U = np.uint64
+MISS = 255
+#: Share codes count sixteenths of a bit.
+_FINE = 16
 
 
-# --- tokens ---------------------------------------------------------------------------------------------
+# --- tokens and what they ask ---------------------------------------------------------------------------
 
 
-def _pairs(data: np.ndarray) -> np.ndarray:
-    """A number under 4096 for each byte and the one before it; all white space counts as a space."""
-    data = np.where(T._SPACE[data], SPACE, data).astype(np.int64)
-    return (data * 37 + np.concatenate([[SPACE], data[:-1]]) * 149) & 4095
+class Tokens:
+    """The tokens of a block of texts: words with A-Z in lower case, then an empty one at the end of each text.
 
+    h: 64-bit hashes; s, e: bytes; doc and place of each; begin: where each text's tokens start. A token's
+    context is the two words before it; each of them of up to three bytes takes in one word more."""
 
-def pair_counts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """How often each byte pair stands in each text."""
-    pairs = _pairs(_LOWER[data])
-    at = offsets[:-1][np.diff(offsets) > 0]
-    pairs[at] = (np.where(T._SPACE[data[at]], SPACE, _LOWER[data[at]]).astype(np.int64) * 37 + SPACE * 149) & 4095
-    return np.stack([np.bincount(pairs[a:b], minlength=4096) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]).astype(np.float32) if len(offsets) > 1 else np.zeros((0, 4096), np.float32)
+    def __init__(self, offsets: np.ndarray, data: np.ndarray):
+        self.data = data = _LOWER[data]
+        starts, ends, at = T.words(offsets, data)
+        m = len(offsets) - 1
+        n = len(starts) + m
+        place = np.arange(len(starts)) + np.repeat(np.arange(m), np.diff(at))
+        stop = at[1:] + np.arange(m)
+        self.s, self.e, self.h = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, _U)
+        self.s[place], self.e[place], self.h[place] = starts, ends, T.word_hashes(starts, ends, data)
+        self.s[stop] = self.e[stop] = offsets[1:]
+        self.begin = at + np.arange(m + 1)
+        self.doc = np.repeat(np.arange(m), np.diff(self.begin))
+        self.place = np.arange(n) - self.begin[:-1][self.doc]
+        self.before = [np.where(self.place >= k, np.roll(self.h, k), _U(k)) for k in range(1, 5)]
+        size = self.e - self.s
+        short = sum((((np.roll(size, k) <= 3) & (self.place >= k)).astype(np.int64) for k in (1, 2)), np.zeros(n, np.int64))
+        context = T.mix(self.before[0] * _K + T.mix(self.before[1] * _K + _U(1)))
+        for k in (1, 2):
+            context = np.where(short >= k, T.mix(context + T.mix(self.before[k + 1] * _K + _U(k + 1))), context)
+        self.context = context
+        #: Which token follows which context, in 64 bits: 40 of the context beside those that pick its slice, 24 of the token.
+        self.pair = context << _U(24) | T.mix(self.h + _K) >> _U(40)
 
 
-def _counted_pairs(batch: pa.RecordBatch, block: int = 512) -> Iterator[np.ndarray]:
-    for _, offsets, data in T.pieces(batch.column(0)):
-        for lo in range(0, len(offsets) - 1, block):
-            some = offsets[lo : lo + block + 1]
-            yield pair_counts(some - some[0], data[some[0] : some[-1]])
+class Asked:
+    """Different keys of a block's tokens in the order of their slices, and how often each stands in training texts."""
 
+    def __init__(self, keys: np.ndarray, of: np.ndarray, train: np.ndarray, slices: int):
+        different, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        part = ((of[first] >> _U(40)) % _U(slices)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.keys, self.back, self.part = different[order], rank[back], part[order]
+        self.count = np.bincount(self.back, train, len(order)).astype(np.int64)
+        self.ends = np.searchsorted(self.part, np.arange(slices + 1))
 
-def _odds(sums: np.ndarray) -> np.ndarray:
-    """Log odds of byte pairs in each class against all, by their counts."""
-    base = np.log(sums.sum(axis=0) + 1)
-    base -= np.log(np.exp(base).sum())
-    sums = sums + 20 * np.exp(base)
-    return (np.log(sums / sums.sum(axis=1, keepdims=True)) - base).astype(np.float32)
+    def blobs(self, k: int) -> tuple[bytes, bytes]:
+        """Keys and counts of a slice; counts in one byte each where all fit."""
+        a, b = self.ends[k], self.ends[k + 1]
+        count = self.count[a:b]
+        return self.keys[a:b].tobytes(), count.astype(np.uint8 if not len(count) or count.max() < 256 else np.uint64).tobytes()
 
 
-def fit_classes(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
-    """log odds (k, 4096) of byte pairs in k classes of documents: a mixture of multinomials fitted to their counts x."""
-    x = x[x.sum(axis=1) > 0]
-    if len(x) < k:
-        return np.zeros((k, 4096), np.float32)
-    unit = np.sqrt(x / x.sum(axis=1, keepdims=True))
-    rng = np.random.default_rng(seed)
-    seeds = [int(rng.integers(len(x)))]
-    for _ in range(k - 1):  # far from each other
-        seeds.append(int((unit @ unit[seeds].T).max(axis=1).argmin()))
-    own = (unit @ unit[seeds].T).argmax(axis=1)
-    for _ in range(rounds):
-        odds = _odds(np.stack([x[own == j].sum(axis=0, dtype=float) for j in range(k)]))
-        own = (x @ odds.T).argmax(axis=1)
-    return odds
+def _counts(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, np.uint8 if len(blob) == n else np.uint64).astype(np.int64)
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _questions(tokens: Tokens, held: np.ndarray, slices: int) -> tuple[Asked, Asked]:
+    train = ~held[tokens.doc]
+    words = T.mix(tokens.h + _U(5))
+    return Asked(tokens.pair, tokens.context, train, slices), Asked(words, words, train, slices)
+
+
+def _bucket(n: np.ndarray, steps: float, most: int = 15) -> np.ndarray:
+    """0 for none, then up to `most` by the logarithm."""
+    return np.where(n > 0, np.minimum(most, 1 + np.floor(steps * np.log2(np.maximum(n, 1)))), 0).astype(np.uint16)
+
+
+def _codes(m: np.ndarray, n: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """A token followed its context m of n times, with k different tokens in all: its share, rounded down (high byte; MISS:
+    none), and buckets of n and k."""
+    share = np.ceil(-np.log2(np.maximum(m, 1) / np.maximum(n, 1)) * _FINE)
+    return np.where((m > 0) & (share < MISS), share, MISS).astype(np.uint16) << np.uint16(8) | _bucket(n, 2) << np.uint16(4) | _bucket(k, 1)
+
+
+_BLOCK = "block long, doc_id array<long>, held array<boolean>, offsets binary, data binary"
+_QUESTION = "slice int, block long, pairs binary, pair_counts binary, words binary, word_counts binary"
+_ANSWER = "slice int, block long, pairs binary, words binary, total long, kinds long"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for x in _counted_pairs(batch):
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["x"])
+        for first, offsets, data in T.pieces(batch.column(1)):
+            m = len(offsets) - 1
+            ids, held = batch.column(0).slice(first, m), batch.column(2).slice(first, m)
+            one = pa.array([0, m], pa.int32())
+            cols = [pa.array([number]), *(pa.ListArray.from_arrays(one, pa.concat_arrays([c])) for c in (ids, held)), pa.array([offsets.tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["block", "doc_id", "held", "offsets", "data"])
+            number += 1
 
 
-def _class_sums(odds: np.ndarray, before: np.ndarray):
-    """Pair counts of a partition's documents summed by their class; last: documents, and those of another class before."""
+def _opened(batch: pa.RecordBatch) -> Iterator[tuple[int, Tokens, np.ndarray, np.ndarray]]:
+    """Each block's number in the batch, tokens, marks of held-out texts and sizes of texts."""
+    for i in range(batch.num_rows):
+        get = lambda c, i=i: batch.column(batch.schema.get_field_index(c))[i]
+        offsets, data = np.frombuffer(get("offsets").as_py(), np.int64), np.frombuffer(get("data").as_py(), np.uint8)
+        yield i, Tokens(offsets, data), np.array(get("held").as_py(), bool), np.diff(offsets)
 
+
+def _ask(slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, seen = np.zeros((len(odds), 4096)), np.zeros(2)
         for batch in batches:
-            for x in _counted_pairs(batch):
-                own = (x @ odds.T).argmax(axis=1)
-                seen += [len(x), (own != (x @ before.T).argmax(axis=1)).sum()]
-                for j in np.unique(own):
-                    sums[j] += x[own == j].sum(axis=0)
-        cells = np.concatenate([sums.ravel(), seen])
-        keep = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int32)), pa.array(cells[keep])], ["cell", "value"])
+            blocks = batch.column(batch.schema.get_field_index("block")).to_pylist()
+            for i, tokens, held, _ in _opened(batch):
+                pairs, words = _questions(tokens, held, slices)
+                some = np.union1d(pairs.part, words.part)
+                rows = [(int(k), blocks[i], *pairs.blobs(k), *words.blobs(k)) for k in some]
+                cols = list(zip(*rows, strict=True))
+                kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["slice", "block", "pairs", "pair_counts", "words", "word_counts"])
 
     return run
 
 
-def document_classes(texts: DataFrame, picked: DataFrame, k: int, rounds: int = 4, still: float = 0.001) -> np.ndarray:
-    """Classes of all texts: they begin with those of the picked ones and are fitted to every text, until no more
-    than the share `still` changes its class, in `rounds` passes at most."""
-    first = [np.frombuffer(bytes(r["x"]), np.float32) for r in picked.select("text").mapInArrow(_vectors, "x binary").toLocalIterator()]
-    odds = fit_classes(np.array(first).reshape(-1, 4096), k)
-    before = np.zeros_like(odds)
-    for _ in range(rounds if odds.any() else 0):
-        got = texts.select("text").mapInArrow(_class_sums(odds, before), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
-        cells = np.zeros(odds.size + 2)
-        cells[got["cell"].to_numpy(np.int64)] = got["value"].to_numpy()
-        before, odds = odds, _odds(cells[:-2].reshape(odds.shape))
-        if cells[-1] <= still * cells[-2]:
-            break
-    return odds
-
-
-def tokens(offsets: np.ndarray, data: np.ndarray, odds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Lower-cased bytes; starts, ends and hashes of every token (words, then an empty one at the end of each
-    document), the class of each (0: first of its document; else 1 + the likeliest class of the document by what
-    stands before the token), where each document's tokens begin, and a number for each (token, class)."""
-    data = _LOWER[data]
-    starts, ends, at = T.words(offsets, data)
-    hashes = T.word_hashes(starts, ends, data)
-    m = len(at) - 1
-    place = np.arange(len(starts)) + np.repeat(np.arange(m), np.diff(at))
-    stop = at[1:] + np.arange(m)
-    n = len(starts) + m
-    s, e, h = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.uint64)
-    s[place], e[place], h[place] = starts, ends, hashes
-    s[stop] = e[stop] = offsets[1:]
-    begin = at + np.arange(m + 1)
-    doc = np.repeat(np.arange(m), np.diff(begin))
-    # Words repeat: what a word says about the class is summed once for each different word.
-    different, at_first, back = np.unique(h, return_index=True, return_inverse=True)
-    says = np.zeros((len(different), max(len(odds), 1)))
-    size = (e - s)[at_first]
-    if size.sum() and len(odds):
-        edge = np.concatenate([[0], np.cumsum(size)])
-        inside = np.arange(edge[-1]) - np.repeat(edge[:-1], size)
-        at_byte = np.repeat(s[at_first], size) + inside
-        before = np.where(inside > 0, data[at_byte - 1], SPACE)
-        pair = (data[at_byte].astype(np.int64) * 37 + before.astype(np.int64) * 149) & 4095
-        some = size > 0
-        says[some] = np.add.reduceat(odds.T[pair], edge[:-1][some], axis=0)
-    upto = np.concatenate([np.zeros((1, says.shape[1])), np.cumsum(says[back], axis=0)])
-    cls = (upto[:-1] - upto[begin[:-1]][doc]).argmax(axis=1) + 1
-    cls[begin[:-1]] = 0
-    return data, s, e, h, cls, begin, back * (says.shape[1] + 1) + cls
-
-
-def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first place of each different code, how often each stands, and where each row's code is among them."""
-    count = np.bincount(codes)
-    present = np.flatnonzero(count)
-    first = np.zeros(len(count), np.int64)
-    first[codes[::-1]] = np.arange(len(codes))[::-1]
-    rank = np.zeros(len(count), np.int64)
-    rank[present] = np.arange(len(present))
-    return first[present], count[present], rank[codes]
-
-
-def _count(odds: np.ndarray):
-    return lambda batches: _counted(batches, odds)
-
-
-def _counted(batches: Iterator[pa.RecordBatch], odds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Counts of (token, class), merged over some megabytes at a time."""
-    keys: dict[int, int] = {}
-    words: list[bytes] = []
-    classes: list[int] = []
-    counts: list[np.ndarray] = []
-
-    def out() -> pa.RecordBatch:
-        total = np.zeros(len(words), np.int64)
-        for where, n in counts:
-            total[where] += n
-        batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(classes, pa.int32()), pa.array(total)], ["token", "cls", "n"])
-        keys.clear(), words.clear(), classes.clear(), counts.clear()
-        return batch
+def _summed(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys with training counts, where each given key is among them, and the ends of the given blobs."""
+    ends = np.cumsum([0, *(len(k) // 8 for k in keys)])
+    every = np.frombuffer(b"".join(keys), _U)
+    different, back = np.unique(every, return_inverse=True)
+    given = [_counts(c, len(k) // 8) for k, c in zip(keys, counts, strict=True)]
+    return different, np.bincount(back, np.concatenate(given) if given else None, len(different)).astype(np.int64), back, ends
 
-    for batch in batches:
-        for _, offsets, data in T.pieces(batch.column(0)):
-            data, s, e, h, cls, _, codes = tokens(offsets, data, odds)
-            first, n, _ = distinct(codes)
-            key = T.mix(h[first] + cls[first].astype(np.uint64) * _K)
-            where = np.empty(len(key), np.int64)
-            for j, (k, i) in enumerate(zip(key.tolist(), first.tolist(), strict=True)):
-                at = keys.get(k)
-                if at is None:
-                    at = keys[k] = len(words)
-                    words.append(data[s[i] : e[i]].tobytes())
-                    classes.append(int(cls[i]))
-                where[j] = at
-            counts.append((where, n))
-            if len(words) > 200_000:
-                yield out()
-    if words:
-        yield out()
-
-
-# --- the bit model --------------------------------------------------------------------------------------
-
-
-def huffman(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Depth of each symbol, and the node and the bit at each step of its path."""
-    heap = [(float(w), k) for k, w in enumerate(weight)]
-    heapq.heapify(heap)
-    parent: dict[int, tuple[int, int]] = {}
-    made = len(weight)
-    while len(heap) > 1:
-        (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
-        parent[x], parent[y] = (made, 0), (made, 1)
-        heapq.heappush(heap, (a + b, made))
-        made += 1
-    paths = []
-    for k in range(len(weight)):
-        path = []
-        while k in parent:
-            k, bit = parent[k]
-            path.append((k - len(weight), bit))
-        paths.append(path[::-1])
-    depth = np.array([len(p) for p in paths])
-    nodes, bits = np.zeros((len(weight), depth.max()), np.int64), np.zeros((len(weight), depth.max()), np.int8)
-    for k, p in enumerate(paths):
-        for d, (node, bit) in enumerate(p):
-            nodes[k, d], bits[k, d] = node, bit
-    return depth, nodes, bits
-
-
-class Symbols:
-    """Symbols of many tokens in a row, each token with its border, and the hashes of their contexts."""
-
-    def __init__(self, words: list[bytes], cls: np.ndarray):
-        size = np.array([len(w) for w in words], np.int64) + 1
-        begin = np.concatenate([[0], np.cumsum(size)])
-        self.symbol = np.frombuffer(b" ".join(words) + b" ", np.uint8).copy() if words else np.zeros(0, np.uint8)
-        self.symbol[begin[:-1][size == 1]] = END
-        self.row = np.repeat(np.arange(len(words)), size)
-        i, start = np.arange(len(self.symbol)), begin[:-1][self.row]
-        roll = T.Rolling(T.BYTE_VALUES[self.symbol])
-        by_class = cls.astype(np.uint64)[self.row] * _K
-        back = lambda k: roll.spans(np.maximum(start, i - k), i)
-        prefix = roll.spans(start, i)
-        self.contexts = [T.mix(back(1) + by_class), T.mix(back(2) + by_class), T.mix(back(4) + by_class), prefix, T.mix(prefix + by_class + np.uint64(7))]
-
-    def steps(self, code: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """For each depth: the rows, nodes and bits of the symbols that go so deep, and their slots in each table."""
-        depth, nodes, bits = code
-        deep = depth[self.symbol]
-        for d in range(deep.max(initial=0)):
-            at = np.flatnonzero(deep > d)
-            node = nodes[self.symbol[at], d]
-            salt = (node + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            yield self.row[at], node, bits[self.symbol[at], d], [((c[at] ^ salt) * _K >> np.uint64(64 - b)).astype(np.int64) for c, b in zip(self.contexts, TABLE_BITS, strict=True)]
-
-
-def _stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.log((n1 + 0.3) / (n0 + 0.3))
-
-
-def _bucket(n: np.ndarray, most: int) -> np.ndarray:
-    """0 to `most` by the number of observations."""
-    return np.clip(np.floor(np.log2(n + 1)), 0, most).astype(np.int64)
+
+def _answer(frame: pd.DataFrame) -> pd.DataFrame:
+    """Counts of one slice: for each pair its codes with one occurrence left out (a training token's own) and with all,
+    for each word its count."""
+    different, m, back, ends = _summed(frame["pairs"].tolist(), frame["pair_counts"].tolist())
+    context = different >> _U(24)
+    head = np.ones(len(context), bool)
+    head[1:] = context[1:] != context[:-1]
+    of = np.cumsum(head) - 1
+    n, k = np.bincount(of, m)[of].astype(np.int64), np.bincount(of, m > 0)[of].astype(np.int64)
+    codes = np.stack([_codes(m - 1, n - 1, k - (m == 1)), _codes(m, n, k)], axis=1)
+    words, count, word_back, word_ends = _summed(frame["words"].tolist(), frame["word_counts"].tolist())
+    cut = lambda a, ends: [a[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
+    out = pd.DataFrame({"slice": frame["slice"], "block": frame["block"], "pairs": cut(codes[back], ends), "words": cut(count[word_back], word_ends), "total": 0, "kinds": 0})
+    out.loc[out.index[:1], ["total", "kinds"]] = [int(count.sum()), int((count > 0).sum())]
+    return out
+
+
+# --- the bit predictors ---------------------------------------------------------------------------------
 
 
 class Mixer:
-    """tables: (slots, 2) counts of bits for each context. weights: by gate and context; the gate is how often the
-    longest contexts were seen. refined: by node and mixed score, what the bit was in fact."""
+    """Binary events predicted from several hashed contexts. tables: counts of zeros and ones of each context's slots.
+    weights: by gate and context. refined: what the bit was in fact, by a place and the mixed score."""
 
-    BINS = 33
+    BINS, RATE = 33, 0.02
 
-    def __init__(self, code: tuple, tables: list[np.ndarray]):
-        self.code, self.tables = code, tables
-        n = len(TABLE_BITS)
-        self.weights = np.full((_GATES, n), 0.35)
-        self.moment = np.full((_GATES, n), 1e-3)
-        self.refined = np.zeros((256, self.BINS, 2))
+    def __init__(self, sizes: tuple[int, ...], gates: int, places: int):
+        self.tables = [np.zeros((n, 2), np.float32) for n in sizes]
+        self.weights = np.full((gates, len(sizes) + 1), 1.2 / len(sizes))
+        self.weights[:, -1] = 0
+        self.moment = np.full(self.weights.shape, 1e-2)
+        self.refined = np.zeros((places, self.BINS, 2), np.float32)
+        self.learnt = np.zeros(gates)
 
-    def inputs(self, slots: list[np.ndarray], own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Stretched predictions and gates; own: the bits, whose one occurrence is left out of the counts."""
-        x, seen = np.empty((len(slots[0]), len(slots))), []
+    def _inputs(self, slots: list[np.ndarray]) -> np.ndarray:
+        x = np.empty((len(slots[0]), len(slots) + 1))
         for k, (t, s) in enumerate(zip(self.tables, slots, strict=True)):
-            n = t[s].astype(np.float64)
-            if own is not None:
-                n[np.arange(len(s)), own] = np.maximum(n[np.arange(len(s)), own] - 1, 0)
-            x[:, k] = _stretch(n[:, 0], n[:, 1])
-            seen.append(n[:, 0] + n[:, 1])
-        return x, _bucket(seen[4], 15) * 8 + _bucket(seen[3] / 4, 7)
+            n = t.take(s, axis=0)
+            x[:, k] = np.log((n[:, 1] + 0.3) / (n[:, 0] + 0.3))
+        x[:, -1] = 0.3
+        return x
 
-    def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -11.5, 11.5)
+    def _mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -11.9, 11.9)
 
     def _bin(self, score: np.ndarray) -> np.ndarray:
-        return np.clip(np.round((score + 12) / 24 * (self.BINS - 1)), 0, self.BINS - 1).astype(np.int64)
-
-    def learn(self, words: list[bytes], cls: np.ndarray, weight: np.ndarray, rate: float = 0.05) -> None:
-        """One online step for each depth of a batch, weighted by the tokens' counts."""
-        for row, node, bit, slots in Symbols(words, cls).steps(self.code):
-            x, gate = self.inputs(slots, bit)
-            score, w = self.mix(x, gate), weight[row]
-            miss = (bit - 1 / (1 + np.exp(-score))) * w
-            total = np.maximum(np.bincount(gate, w, _GATES), 1e-9)
-            for k in range(x.shape[1]):
-                g = np.bincount(gate, miss * x[:, k], _GATES) / total
-                self.moment[:, k] += 0.05 * (g * g - self.moment[:, k]) * (total > 1e-8)
-                self.weights[:, k] += rate * g / (np.sqrt(self.moment[:, k]) + 1e-2)
-            np.add.at(self.refined, (node, self._bin(score), bit), w)
-
-
-
-class Frozen:
-    """A mixer whose counts have become stretched predictions, for scoring alone."""
-
-    def __init__(self, mixer: Mixer):
-        self.code, self.bins = mixer.code, mixer.BINS
-        self.stretched = [_stretch(t[:, 0], t[:, 1]).astype(np.float32) for t in mixer.tables]
-        seen = [mixer.tables[k].sum(axis=1) for k in (3, 4)]
-        self.gates = [_bucket(seen[0] / 4, 7).astype(np.uint8), (_bucket(seen[1], 15) * 8).astype(np.uint8)]
-        self.weights = np.ascontiguousarray(mixer.weights.T.astype(np.float32))
-        n = mixer.refined
-        #: log10 of a 0 and of a 1 after refinement: by node, mixed score (finer than the refined bins).
-        self.fine = 8
-        score = np.linspace(-12, 12, (self.bins - 1) * self.fine + 1)
-        near = np.round(np.arange(len(score)) / self.fine).astype(int)
+        return np.round((score + 12) / 24 * (self.BINS - 1)).astype(np.int64)
+
+    def learn(self, slots: list[np.ndarray], gate: np.ndarray, place: np.ndarray, bit: np.ndarray) -> None:
+        """One online step: predict by what was counted before, move the weights, count."""
+        if not len(bit):
+            return
+        x = self._inputs(slots)
+        score = self._mixed(x, gate)
+        miss = bit - 1 / (1 + np.exp(-score))
+        held = np.bincount(gate, minlength=len(self.learnt))
+        self.learnt += held
+        some = held > 0
+        for k in range(x.shape[1]):
+            g = np.bincount(gate, miss * x[:, k], len(held))[some] / held[some]
+            self.moment[some, k] += 0.1 * (g * g - self.moment[some, k])
+            self.weights[some, k] += self.RATE * g / (np.sqrt(self.moment[some, k]) + 1e-2)
+        np.add.at(self.refined, (place, self._bin(score), bit), 1)
+        for t, s in zip(self.tables, slots, strict=True):
+            t += np.bincount(s * 2 + bit, minlength=t.size).reshape(-1, 2) if len(s) * 4 > len(t) else 0
+            if len(s) * 4 <= len(t):
+                np.add.at(t, (s, bit), 1)
+
+    def log10(self, slots: list[np.ndarray], gate: np.ndarray, place: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each bit, refined."""
+        if not len(bit):
+            return np.zeros(0)
+        score = self._mixed(self._inputs(slots), gate)
         prior = 1 / (1 + np.exp(-score))
-        refined = (n[:, near, 1] + 30 * prior) / (n[:, near].sum(axis=2) + 30)
-        p = np.clip(0.5 * (refined + prior), 1e-5, 1 - 1e-5)
-        self.cost = np.stack([np.log10(1 - p), np.log10(p)], axis=2).astype(np.float32).ravel()
-        self.width = len(score)
-
-    def log10(self, words: list[bytes], cls: np.ndarray) -> np.ndarray:
-        """log10 probability of each token in its class."""
-        out = np.zeros(len(words))
-        for row, node, bit, slots in Symbols(words, cls).steps(self.code):
-            gate = self.gates[0].take(slots[3]) + self.gates[1].take(slots[4])
-            score = np.zeros(len(row), np.float32)
-            for w, t, s in zip(self.weights, self.stretched, slots, strict=True):
-                score += w.take(gate) * t.take(s)
-            at = (np.clip(score, -11.5, 11.5) + 12) * np.float32((self.width - 1) / 24) + np.float32(0.5)
-            cell = (node * self.width + at.astype(np.int64)) * 2 + bit
-            out += np.bincount(row, self.cost.take(cell), len(words))
-        return out
-
-
-def _fill(code: tuple):
-    """Bit counts of a partition's tokens, as rows of a slice of one table."""
+        n = self.refined[place, self._bin(score)]
+        one = np.clip(0.5 * prior + 0.5 * (n[:, 1] + 20 * prior) / (n.sum(axis=1) + 20), 1e-5, 1 - 1e-5)
+        return np.log10(np.where(bit == 1, one, 1 - one))
+
+
+class Model:
+    """Three mixers: whether a token is among those that followed its context, whether it is a known word, and the
+    bits of the bytes of one that isn't."""
+
+    def __init__(self):
+        self.follows = Mixer((256, 256, 512, 1 << 16), 128, 16)
+        self.known = Mixer((256, 1 << 16, 64), 32, 1)
+        self.byte = Mixer((1 << 15, 1 << 17, 1 << 18, 1 << 18), 64, 256)
+
+    def _arrays(self) -> list[np.ndarray]:
+        return [a for m in (self.follows, self.known, self.byte) for a in (*m.tables, m.refined, m.learnt, m.weights)]
+
+    def cells(self) -> np.ndarray:
+        """All that was learnt, so that models of several partitions can be added; weights count by what they learnt from."""
+        return np.concatenate([(a * b[:, None] if a.ndim == 2 and a.shape[0] == len(b) and b.ndim == 1 else a).ravel().astype(np.float32) for b, a in zip([np.zeros(0), *self._arrays()][:-1], self._arrays(), strict=True)])
+
+    def load(self, cells: np.ndarray) -> Model:
+        at = 0
+        for m in (self.follows, self.known, self.byte):
+            for a in (*m.tables, m.refined, m.learnt):
+                a[...] = cells[at : at + a.size].reshape(a.shape)
+                at += a.size
+            got = cells[at : at + m.weights.size].reshape(m.weights.shape)
+            at += m.weights.size
+            m.weights = np.where(m.learnt[:, None] > 0, got / np.maximum(m.learnt, 1)[:, None], m.weights)
+        return self
+
+    def run(self, tokens: Tokens, codes: np.ndarray, known: np.ndarray, some: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray]:
+        """For the tokens `some` (whole texts): log10 of what was coded beside the shares, and which follow their context.
+        codes: of each token; known: whether it is a word known without itself."""
+        i = np.flatnonzero(some)
+        code = codes[i].astype(np.int64)
+        hit, n, k = code >> 8 < MISS, code >> 4 & 15, code & 15
+        # How many tokens before it followed their contexts without a break, and which of the last four did.
+        place, order = tokens.place[i], np.arange(len(i))
+        broken = np.maximum.accumulate(np.where(hit, -1, order))
+        broken = np.concatenate([[-1], broken[:-1]])
+        run = np.minimum(np.minimum(order - 1 - broken, place), 15)
+        flags = sum((np.where(place >= j, np.roll(hit, j), False).astype(np.int64) << (j - 1) for j in range(1, 5)), np.zeros(len(i), np.int64))
+        last = (tokens.before[0][i] * _K >> _U(48)).astype(np.int64)
+        out = np.zeros(len(i))
+
+        a = np.flatnonzero(n > 0)
+        events = [n[a] * 16 + k[a], run[a] * 16 + n[a], (flags[a] * 16 + n[a]) * 2 + (k[a] > 1), last[a]], np.minimum(run[a], 7) * 16 + n[a], n[a], hit[a].astype(np.int64)
+        if learn:
+            self.follows.learn(*events)
+        else:
+            out[a] += self.follows.log10(*events)
+
+        b = np.flatnonzero(~hit)
+        word = known[i[b]].astype(np.int64)
+        events = [flags[b] * 16 + n[b], last[b], np.minimum(place[b], 63)], n[b] + 16 * (place[b] == 0), np.zeros(len(b), np.int64), word
+        if learn:
+            self.known.learn(*events)
+        else:
+            out[b] += self.known.log10(*events)
+
+        new = i[b[word == 0]]
+        where = b[word == 0]
+        for row, slots, gate, node, bit in spelled(tokens.data, tokens.s[new], tokens.e[new]):
+            if learn:
+                self.byte.learn(slots, gate, node, bit)
+            else:
+                out += np.bincount(where[row], self.byte.log10(slots, gate, node, bit), len(i))
+        return out, hit
+
+
+def spelled(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> Iterator[tuple]:
+    """The bits of words' bytes, each word closed by a blank, one bit of all bytes at a time: word, slots of the contexts
+    (the last one, two, three and five bytes), gate, node and bit."""
+    size = e - s + 1
+    row = np.repeat(np.arange(len(s)), size)
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    symbol = np.full(len(row), SPACE, np.int64)
+    inside = at < size[row] - 1
+    symbol[inside] = data[s[row[inside]] + at[inside]]
+    back = [np.where(at >= k, np.roll(symbol, k), 0).astype(_U) for k in range(1, 6)]
+    joined = lambda n: sum((back[k] << _U(8 * k) for k in range(n)), np.full(len(row), n, _U) << _U(48))
+    contexts = [T.mix(joined(n) * _K) for n in (1, 2, 3, 5)]
+    gate = np.minimum(at, 7) * 8
+    for d in range(8):
+        node, bit = 1 << d | symbol >> (8 - d), symbol >> (7 - d) & 1
+        salt = node.astype(_U) * _U(0xD6E8FEB86659FD93)
+        slots = [((c ^ salt) * _K >> _U(64 - b)).astype(np.int64) for c, b in zip(contexts, (15, 17, 18, 18), strict=True)]
+        yield row, slots, gate + d, node, bit
+
+
+def _answered(batch: pa.RecordBatch, i: int, tokens: Tokens, held: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's code, count in training texts, and whether it stands in one."""
+    pairs, words = _questions(tokens, held, slices)
+    codes, counts = np.zeros((len(pairs.keys), 2), np.uint16), np.zeros(len(words.keys), np.int64)
+    for a in batch.column(batch.schema.get_field_index("answers"))[i].as_py():
+        k = a["slice"]
+        codes[pairs.ends[k] : pairs.ends[k + 1]] = np.frombuffer(a["pairs"], np.uint16).reshape(-1, 2)
+        counts[words.ends[k] : words.ends[k + 1]] = np.frombuffer(a["words"], np.int64)
+    train = ~held[tokens.doc]
+    return np.where(train, codes[pairs.back, 0], codes[pairs.back, 1]), counts[words.back], train
+
+
+_SLICE = 1 << 15
+
+
+def _learn(slices: int, chunk: int = 16_384):
+    """One model a partition, learnt online over its training texts, in slices of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tables = [np.zeros((1 << b, 2), np.float32) for b in TABLE_BITS]
+        model, any_ = Model(), False
         for batch in batches:
-            words, cls, n = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for row, _, bit, slots in Symbols(words, cls).steps(code):
-                for t, s in zip(tables, slots, strict=True):
-                    np.add.at(t.ravel(), s * 2 + bit, n[row].astype(np.float32))
-        part = TaskContext.get().partitionId()
-        for k, t in enumerate(tables):
-            for j, rows in enumerate(np.split(t, max(1, len(t) >> 15))):
-                if rows.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([j], pa.int32()), pa.array([part], pa.int64()), pa.array([rows.tobytes()], pa.binary())], ["ctx", "slice", "part", "counts"])
+            for i, tokens, held, _ in _opened(batch):
+                codes, counts, train = _answered(batch, i, tokens, held, slices)
+                for lo in range(0, len(held), step := max(1, chunk * len(held) // max(len(train), 1))):
+                    some = train & (tokens.doc >= lo) & (tokens.doc < lo + step)
+                    if some.any():
+                        any_ = True
+                        model.run(tokens, codes, counts > 1, some, learn=True)
+        if any_:
+            part = TaskContext.get().partitionId()
+            for j, x in enumerate(np.array_split(model.cells(), range(_SLICE, len(model.cells()), _SLICE))):
+                if x.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([part], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["slice", "part", "cells"])
 
     return run
 
 
-def _sum_slices(frame):
-    import pandas as pd
+def _added(frame: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"slice": frame["slice"].iloc[:1], "part": frame["part"].iloc[:1], "cells": [np.sum([np.frombuffer(c, np.float32) for c in frame["cells"]], axis=0, dtype=np.float32).tobytes()]})
 
-    total = np.zeros(len(frame["counts"].iloc[0]) // 4, np.float32)
-    for raw in frame["counts"]:
-        total += np.frombuffer(raw, np.float32)
-    return pd.DataFrame({"ctx": frame["ctx"].iloc[:1], "slice": frame["slice"].iloc[:1], "part": frame["part"].iloc[:1], "counts": [total.tobytes()]})
 
-
-def _tables(counts: DataFrame, code: tuple, fan_in: int = 24) -> list[np.ndarray]:
-    """The summed tables: slices of fixed size, added up in a tree, so that no task gets a slice of every partition."""
-    schema = "ctx int, slice int, part long, counts binary"
-    parts = table(counts.select("token", "cls", "n").mapInArrow(_fill(code), schema))
+def _model(asked: DataFrame, slices: int, fan_in: int = 24) -> Model:
+    """The partitions' models added up in a tree, so that no task gets a slice of every partition."""
+    schema = "slice int, part long, cells binary"
+    parts = table(asked.mapInArrow(_learn(slices), schema))
     while (parts.agg(F.max("part")).first()[0] or 0) > 0:
-        parts = table(parts.withColumn("part", F.floor(F.col("part") / fan_in).cast("long")).groupBy("ctx", "slice", "part").applyInPandas(_sum_slices, schema))
-    tables = [np.zeros((1 << b, 2), np.float32) for b in TABLE_BITS]
+        parts = table(parts.withColumn("part", F.floor(F.col("part") / fan_in).cast("long")).groupBy("slice", "part").applyInPandas(_added, schema))
+    model = Model()
+    cells = np.zeros(len(model.cells()), np.float32)
     for r in parts.toLocalIterator():
-        rows = np.frombuffer(bytes(r["counts"]), np.float32).reshape(-1, 2)
-        tables[r["ctx"]][r["slice"] * len(rows) : (r["slice"] + 1) * len(rows)] = rows
-    return tables
-
-
-def _learn(shared, rows: int = 2500):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, total, steps = Mixer(*shared.value), 0.0, 0
-        for batch in batches:
-            for lo in range(0, batch.num_rows, rows):
-                part = batch.slice(lo, rows)
-                n = part.column(2).to_numpy().astype(float)
-                mixer.learn(part.column(0).to_pylist(), part.column(1).to_numpy(), n, 0.1 / (1 + steps / 40))
-                total, steps = total + n.sum(), steps + 1
-        if total:
-            cells = np.concatenate([(mixer.weights * total).ravel(), mixer.refined.ravel(), [total]])
-            keep = np.flatnonzero(cells)
-            yield pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int32)), pa.array(cells[keep])], ["cell", "value"])
-
-    return run
+        x = np.frombuffer(bytes(r["cells"]), np.float32)
+        cells[r["slice"] * _SLICE : r["slice"] * _SLICE + len(x)] = x
+    return model.load(cells)
 
 
-def _dealt(counts: DataFrame, rows: int) -> DataFrame:
-    """All counted tokens in parts of about `rows`, each in the order of a hash."""
-    parts = buckets(counts.count(), rows, 4)
-    return counts.withColumn("o", F.xxhash64("token", "cls")).repartition(parts, "o").sortWithinPartitions("o", "token", "cls")
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
-# --- scoring --------------------------------------------------------------------------------------------
-
-_remembered: dict[str, dict[int, float]] = {}
-
-
-def _score(shared, model: str, most: int = 250_000):
+def _score(shared, slices: int, total: int, kinds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, head_hash, head_log, odds = shared.value
-        if model not in _remembered:
-            _remembered.clear()
-            _remembered[model] = {}
-        known = _remembered[model]
+        model = shared.value
+        norm = np.log10(total + 0.5 * (kinds + 1))
         for batch in batches:
-            for first, offsets, data in T.pieces(batch.column(1)):
-                data, s, e, h, cls, begin, codes = tokens(offsets, data, odds)
-                m = len(begin) - 1
-                doc = np.repeat(np.arange(m), np.diff(begin))
-                at, _, back = distinct(codes)
-                keys = T.mix(h[at] + cls[at].astype(np.uint64) * _K).tolist()
-                new = [j for j, k in enumerate(keys) if k not in known]
-                if len(known) + len(new) > most:
-                    known.clear()
-                    new = list(range(len(keys)))
-                for lo in range(0, len(new), 20_000):
-                    part = new[lo : lo + 20_000]
-                    i = at[part]
-                    got = mixer.log10([data[a:b].tobytes() for a, b in zip(s[i].tolist(), e[i].tolist(), strict=True)], cls[i])
-                    known.update(zip([keys[j] for j in part], got.tolist(), strict=True))
-                score = np.array([known[k] for k in keys])[back]
-                place = np.minimum(np.searchsorted(head_hash, h[at]), max(len(head_hash) - 1, 0))
-                common = (head_hash[place] == h[at])[back] if len(head_hash) else np.zeros(len(h), bool)
-                logs = np.where(common, head_log[place][back], 0.0) if len(head_hash) else np.zeros(len(h))
-                rare = np.flatnonzero(~common)
-                order = rare[np.lexsort((h[rare], doc[rare]))]
-                new_run = np.ones(len(order), bool)
-                new_run[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-                runs = np.flatnonzero(new_run)
-                tf = np.diff(np.append(runs, len(order)))
-                ends = pa.array(np.searchsorted(doc[order][runs], np.arange(m + 1)).astype(np.int32))
-                cols = [batch.column(0).slice(first, m), batch.column(2).slice(first, m), pa.array(np.diff(begin))]
-                size = pa.array(np.diff(offsets))
-                cols += [pa.array(np.bincount(doc, x, m)) for x in (common, logs, score)]
-                cols[3] = pa.array(np.bincount(doc, common, m).astype(np.int64))
-                cols += [pa.ListArray.from_arrays(ends, pa.array(h[order][runs].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays([*cols, size], ["doc_id", "held_out", "n_tokens", "common", "logs", "score", "rare", "tf", "n_bytes"])
+            for i, tokens, held, size in _opened(batch):
+                m = len(held)
+                codes, counts, train = _answered(batch, i, tokens, held, slices)
+                other = counts - train  # without the token itself
+                score, hit = model.run(tokens, codes, other > 0, np.ones(len(codes), bool), learn=False)
+                score -= np.where(hit, (codes >> 8) / _FINE * np.log10(2), 0)
+                known = ~hit & (other > 0)
+                score[known] += np.log10(other[known] / np.maximum(total - train[known], 1))
+                of = lambda x, tokens=tokens, m=m: np.bincount(tokens.doc, x, m)
+                score = of(score)
+                bits = np.divide(-score * np.log2(10), size, out=np.zeros(m), where=size > 0)
+                base = of(np.log10(counts + 0.5)) - np.diff(tokens.begin) * norm
+                cols = [batch.column(batch.schema.get_field_index("doc_id"))[i].values, pa.array(held), pa.array(np.diff(tokens.begin)), pa.array(of(counts > 0).astype(np.int64)), pa.array(np.full(m, total)), pa.array(base), pa.array(score), pa.array(bits, mask=size == 0)]
+                yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in _SCORED.split(", ")])
 
     return run
 
 
-def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, offsets, data in T.pieces(batch.column(0)):
-            size = np.diff(offsets)
-            h = np.where(size > 0, T.word_hashes(offsets[:-1], offsets[1:], data), np.uint64(0)) if len(data) else np.zeros(len(size), np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(1).slice(row, len(size))], ["h", "c"])
-
-
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % 5 == 1, F.lit(False))
 
 
-def mixing_scores(docs: DataFrame, head: int = 1 << 17, classes: int = 8, sample: int = 1500, lesson_rows: int = 75_000) -> DataFrame:
+def mixing_scores(docs: DataFrame, slice_bytes: int = 8 << 20) -> DataFrame:
     """Score every text of docs (doc_id long, text string) with a model learnt from the rows not held out.
 
-    Tokens are the text's words with A-Z in lower case, then one end. A document's class is guessed from what
-    stands before a token; each token is coded bit by bit along a Huffman tree of its bytes. Every bit is
-    predicted from five hashed contexts (one, two and four bytes before it in the word with the class, the
-    word so far without and with it), mixed by weights that a gate picks, and refined by what such
-    mixes met. All training tokens are counted, as (token, class), and those counts fill the bit tables, whose
-    sizes are fixed: contexts share slots the more, the more of them there are. Classes begin with `sample` documents and are fitted to all. Mixing weights and
-    refinement learn from all counted tokens, in parts of about `lesson_rows`, whose results are merged by weight.
+    Tokens are the text's words with A-Z in lower case, then one end. A token is coded by bits: first
+    whether it is among the tokens that followed its context (the two words before it, up to four where those are
+    short) in training texts, and then its share there; if not, whether it is a known word, and then its share
+    of all; if not, the bits of its bytes. Each kind of bit is predicted from several hashed contexts (how often and
+    with how many tokens the context was seen, the run of tokens before that followed theirs, the word
+    before; for bytes the last one, two, three and five), mixed by weights that a gate picks, and refined by what such
+    mixes met. For a training text each token's own occurrence is left out of all counts. Words that
+    both ways could code make the probabilities add up to a little less than one.
+
+    All counts of words and contexts cover all training texts and live in slices whose number follows the
+    bytes (`slice_bytes` of text each): blocks of texts send each slice their different keys, packed, with counts, and
+    get the answers back in the same order. Weights, bit tables and refinement are learnt online in each
+    partition over all training tokens and added up in a tree; their size is that of the hashed byte contexts (0.7 million
+    slots) and is fixed. Only they and two totals reach the driver. Words and contexts stand for their 64-bit hashes.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), bits_per_byte (of the
-    UTF-8 text with white space, null without text). Unigram counts of the `head` most frequent tokens are
-    broadcast (a fixed bound); all others are joined by a 64-bit hash. Null text: empty, one end token. Null
-    doc_id: training, scored. Repeated rows count and are scored each. An empty
-    table gives an empty result.
+    UTF-8 text with white space, null without text). Null text: empty, one end token. Null doc_id:
+    training, scored. Repeated rows count and are scored each. A very long text is a block of its own. An empty
+    table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8").alias("text"), held_out(F.col("doc_id").cast("long")).alias("held_out"))
-    picked = rows.where(~F.col("held_out")).orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id").limit(sample).select("text")
-    odds = document_classes(rows.where(~F.col("held_out")), picked, classes)
-    counts = rows.where(~F.col("held_out")).select("text").mapInArrow(_count(odds), "token binary, cls int, n long")
-    counts = table(counts.groupBy("token", "cls").agg(F.sum("n").alias("n")))
-    unigrams = table(counts.groupBy("token").agg(F.sum("n").alias("c")).mapInArrow(_hash, "h long, c long"))
-    total, distinct = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-
-    symbols = counts.where(F.length("token") > 0).select("n", F.explode(F.split(F.hex("token"), "(?<=\\G..)")).alias("b")).groupBy("b").agg(F.sum("n"))
-    weight = np.ones(256)
-    for b, n in symbols.where("b <> ''").collect():
-        weight[int(b, 16)] += n
-    weight[SPACE] += total
-    weight[END] += counts.where(F.length("token") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    code = huffman(weight)
-    tables = _tables(counts, code)
-    start = spark.sparkContext.broadcast((code, tables))
-    learnt = _dealt(counts, lesson_rows).select("token", "cls", "n").mapInArrow(_learn(start), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
-    start.destroy()
-    mixer = Mixer(code, tables)
-    cells = np.zeros(mixer.weights.size + mixer.refined.size + 1)
-    cells[learnt["cell"].to_numpy(np.int64)] = learnt["value"].to_numpy()
-    if cells[-1] > 0:
-        mixer.weights = (cells[: mixer.weights.size] / cells[-1]).reshape(mixer.weights.shape)
-        mixer.refined = cells[mixer.weights.size : -1].reshape(mixer.refined.shape)
-    common = unigrams.orderBy(F.desc("c"), "h").limit(head).toPandas()
-    common["h"] = common["h"].to_numpy(np.int64).view(np.uint64)
-    common = common.sort_values("h")
-    shared = spark.sparkContext.broadcast((Frozen(mixer), common["h"].to_numpy(np.uint64), np.log10(common["c"].to_numpy(float) + 0.5), odds))
-
-    scored = table(rows.select("doc_id", "text", "held_out").mapInArrow(_score(shared, uuid.uuid4().hex), "doc_id long, held_out boolean, n_tokens long, common long, logs double, score double, rare array<long>, tf array<int>, n_bytes long").withColumn("row", F.monotonically_increasing_id()))
-    each = scored.select("row", F.explode(F.arrays_zip("rare", "tf")).alias("r")).select("row", F.col("r.rare").alias("h"), F.col("r.tf").alias("tf"))
-    each = each.join(unigrams, "h", "left").groupBy("row")
-    rare = each.agg(F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_logs"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
-    norm = float(np.log10(total + 0.5 * (distinct + 1)))
-    out = scored.join(rare, "row", "left")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("common") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"), "score", F.when(F.col("n_bytes") > 0, -F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8").alias("text"), held_out(F.col("doc_id").cast("long")).alias("held"))
+    blocks = table(rows.mapInArrow(_blocks, _BLOCK))
+    slices = min(buckets(blocks.agg(F.sum(F.length("data"))).first()[0] or 0, slice_bytes), 1 << 23)
+    answers = table(blocks.mapInArrow(_ask(slices), _QUESTION).groupBy("slice").applyInPandas(_answer, _ANSWER))
+    total, kinds = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("slice", "pairs", "words")).alias("answers"))
+    asked = table(blocks.join(by_block, "block"))
+    shared = spark.sparkContext.broadcast(_model(asked, slices))
+    return asked.mapInArrow(_score(shared, slices, int(total), int(kinds)), _SCORED)
 
 
 def op10_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
