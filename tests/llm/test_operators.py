@@ -283,6 +283,7 @@ def test_op10_bits_add_up_to_one():
     for _ in range(50):
         slots, gate, place = draw(400)
         m.learn(slots, gate, place, (slots[0] < 5).astype(np.int64))
+        m.count()
     slots, gate, place = draw(1000)
     one, zero = (m.log10(slots, gate, place, np.full(1000, b)) for b in (1, 0))
     assert np.allclose(10**one + 10**zero, 1) and (10**one)[slots[0] < 5].min() > 0.9 and (10**one)[slots[0] >= 5].max() < 0.1

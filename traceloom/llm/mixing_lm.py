@@ -18,6 +18,8 @@ _LOWER[65:91] += 32
 SPACE = 32
 _K = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
+#: Texts of about so many bytes are worked together.
+BLOCK_BYTES = 1 << 18
 MISS = 255
 #: Share codes count sixteenths of a bit.
 _FINE = 16
@@ -108,7 +110,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for first, offsets, data in T.pieces(batch.column(1)):
+        for first, offsets, data in T.pieces(batch.column(1), BLOCK_BYTES):
             m = len(offsets) - 1
             ids, held = batch.column(0).slice(first, m), batch.column(2).slice(first, m)
             one = pa.array([0, m], pa.int32())
@@ -173,7 +175,7 @@ class Mixer:
     """Binary events predicted from several hashed contexts. tables: counts of zeros and ones of each context's slots.
     weights: by gate and context. refined: what the bit was in fact, by a place and the mixed score."""
 
-    BINS, RATE = 33, 0.02
+    BINS, RATE, FINE = 33, 0.02, 16
 
     def __init__(self, sizes: tuple[int, ...], gates: int, places: int):
         self.tables = [np.zeros((n, 2), np.float32) for n in sizes]
@@ -182,50 +184,59 @@ class Mixer:
         self.moment = np.full(self.weights.shape, 1e-2)
         self.refined = np.zeros((places, self.BINS, 2), np.float32)
         self.learnt = np.zeros(gates)
-
-    def _inputs(self, slots: list[np.ndarray]) -> np.ndarray:
-        x = np.empty((len(slots[0]), len(slots) + 1))
-        for k, (t, s) in enumerate(zip(self.tables, slots, strict=True)):
-            n = t.take(s, axis=0)
-            x[:, k] = np.log((n[:, 1] + 0.3) / (n[:, 0] + 0.3))
-        x[:, -1] = 0.3
-        return x
-
-    def _mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -11.9, 11.9)
-
-    def _bin(self, score: np.ndarray) -> np.ndarray:
-        return np.round((score + 12) / 24 * (self.BINS - 1)).astype(np.int64)
+        self.waiting: list[list[np.ndarray]] = [[] for _ in sizes]
+        self.ready: tuple | None = None
 
     def learn(self, slots: list[np.ndarray], gate: np.ndarray, place: np.ndarray, bit: np.ndarray) -> None:
-        """One online step: predict by what was counted before, move the weights, count."""
+        """One online step: predict by what was counted before, move the weights, and keep the bits to be counted."""
         if not len(bit):
             return
-        x = self._inputs(slots)
-        score = self._mixed(x, gate)
+        x = np.full((len(slots) + 1, len(bit)), 0.3)
+        for k, (t, s) in enumerate(zip(self.tables, slots, strict=True)):
+            x[k] = _stretch(t[:, 0].take(s), t[:, 1].take(s))
+            self.waiting[k].append(s * 2 + bit)
+        score = np.clip(sum(x[k] * self.weights[:, k].take(gate) for k in range(len(x))), -11.9, 11.9)
         miss = bit - 1 / (1 + np.exp(-score))
         held = np.bincount(gate, minlength=len(self.learnt))
         self.learnt += held
         some = held > 0
-        for k in range(x.shape[1]):
-            g = np.bincount(gate, miss * x[:, k], len(held))[some] / held[some]
+        for k in range(len(x)):
+            g = np.bincount(gate, miss * x[k], len(held))[some] / held[some]
             self.moment[some, k] += 0.1 * (g * g - self.moment[some, k])
             self.weights[some, k] += self.RATE * g / (np.sqrt(self.moment[some, k]) + 1e-2)
-        np.add.at(self.refined, (place, self._bin(score), bit), 1)
-        for t, s in zip(self.tables, slots, strict=True):
-            t += np.bincount(s * 2 + bit, minlength=t.size).reshape(-1, 2) if len(s) * 4 > len(t) else 0
-            if len(s) * 4 <= len(t):
-                np.add.at(t, (s, bit), 1)
+        bins = np.round((score + 12) / 24 * (self.BINS - 1)).astype(np.int64)
+        self.refined += np.bincount((place * self.BINS + bins) * 2 + bit, minlength=self.refined.size).reshape(self.refined.shape)
+
+    def count(self) -> None:
+        """Count the bits of the steps since the last call."""
+        for t, w in zip(self.tables, self.waiting, strict=True):
+            if w:
+                t += np.bincount(np.concatenate(w), minlength=t.size).reshape(t.shape)
+                w.clear()
+
+    def _frozen(self) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, int]:
+        """Stretched tables, weights, and log10 of both bits by place and mixed score, finer than the refined bins."""
+        score = np.linspace(-12, 12, (self.BINS - 1) * self.FINE + 1)
+        near = np.round(np.arange(len(score)) / self.FINE).astype(int)
+        prior, n = 1 / (1 + np.exp(-score)), self.refined[:, near].astype(float)
+        one = np.clip(0.5 * prior + 0.5 * (n[:, :, 1] + 20 * prior) / (n.sum(axis=2) + 20), 1e-5, 1 - 1e-5)
+        cost = np.log10(np.stack([1 - one, one], axis=2)).astype(np.float32).ravel()
+        return [_stretch(t[:, 0], t[:, 1]) for t in self.tables], list(np.ascontiguousarray(self.weights.T.astype(np.float32))), cost, len(score)
 
     def log10(self, slots: list[np.ndarray], gate: np.ndarray, place: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """log10 of the probability of each bit, refined."""
-        if not len(bit):
-            return np.zeros(0)
-        score = self._mixed(self._inputs(slots), gate)
-        prior = 1 / (1 + np.exp(-score))
-        n = self.refined[place, self._bin(score)]
-        one = np.clip(0.5 * prior + 0.5 * (n[:, 1] + 20 * prior) / (n.sum(axis=1) + 20), 1e-5, 1 - 1e-5)
-        return np.log10(np.where(bit == 1, one, 1 - one))
+        if self.ready is None:
+            self.ready = self._frozen()
+        tables, weights, cost, width = self.ready
+        score = np.float32(0.3) * weights[-1].take(gate)
+        for w, t, s in zip(weights, tables, slots, strict=False):
+            score += w.take(gate) * t.take(s)
+        at = ((np.clip(score, -11.9, 11.9) + 12) * np.float32((width - 1) / 24) + np.float32(0.5)).astype(np.int64)
+        return cost.take((place * width + at) * 2 + bit)
+
+
+def _stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return np.log((n1 + np.float32(0.3)) / (n0 + np.float32(0.3)))
 
 
 class Model:
@@ -292,6 +303,8 @@ class Model:
                 self.byte.learn(slots, gate, node, bit)
             else:
                 out += np.bincount(where[row], self.byte.log10(slots, gate, node, bit), len(i))
+        for m in (self.follows, self.known, self.byte) if learn else ():
+            m.count()
         return out, hit
 
 
