@@ -12,39 +12,31 @@ from traceloom.llm.pattern_packing import pack_documents, word_vocabulary
 from traceloom.llm.suffix_tree_dedup import suffix_tree_dedup
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of each row, _row, which ascends with doc_id, then with a hash of the text."""
-    return table(docs.orderBy("doc_id", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id()))
-
-
-def by_row(rows: DataFrame) -> DataFrame:
-    """The rows with their keys as doc_id, for operators that tell documents apart by it; none where doc_id is null."""
-    return rows.select(F.when(F.col("doc_id").isNotNull(), F.col("_row")).alias("doc_id"), "text")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text the classifier accepts (score of 0.7 or more), whatever their doc_id."""
-    rows = table(docs.withColumn("_row", F.monotonically_increasing_id()))
-    good = gam_quality(rows, read(spark, sf_dir, "labels"), carry=("_row",)).where("predicted = 1").select("_row")
-    return rows.join(good, "_row", "left_semi").select(docs.columns)
+    """Rows whose text the classifier accepts (score of 0.7 or more), whatever their doc_id: a row without doc_id, and each
+    of several rows of one doc_id, is judged by its own text. Null text: empty. An empty table stays empty."""
+    scored = gam_quality(docs, read(spark, sf_dir, "labels"), carry={f"own_{c}": F.col(c) for c in docs.columns})
+    return scored.where("predicted = 1").select(*(F.col(f"own_{c}").alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id of each class of near copies. Rows of one doc_id are documents of their
-    own, the one of least text hash first; a row without doc_id stays."""
-    rows = keyed(docs)
-    kept = near_duplicates(by_row(rows)).where("kept and doc_id is not null").select(F.col("doc_id").alias("_row"))
-    return rows.where("doc_id is not null").join(kept, "_row", "left_semi").select(docs.columns).union(rows.where("doc_id is null").select(docs.columns))
+    """The row with the smallest doc_id of each class of near copies. Rows of one doc_id with different texts are
+    documents of their own; equal rows are copies, of which one stays. A row without doc_id or without text stays."""
+    kept = near_duplicates(docs).where("kept and text_hash is not null").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    usable = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    rows = docs.where(usable).withColumn("kept_id", F.col("doc_id").cast("long")).withColumn("kept_hash", F.xxhash64("text"))
+    out = rows.join(kept.distinct(), ["kept_id", "kept_hash"], "left_semi").dropDuplicates(["kept_id", "kept_hash"])
+    return out.select(docs.columns).union(docs.where(~usable))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words or more that a document with a smaller doc_id has. Texts that lose
-    nothing stay as they are; others are their kept words joined by one space. Rows of one doc_id are documents
-    of their own, in the order of near_dedup; a row without doc_id stays whole."""
-    rows = keyed(docs)
-    cut = suffix_tree_dedup(by_row(rows)).where("n_removed > 0").select(F.col("doc_id").alias("_row"), "kept")
-    text = F.coalesce("kept", "text")
-    return rows.join(cut, "_row", "left").select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("long")).alias("n_chars"))
+    nothing stay as they are; others are their kept words joined by one space. Rows of one doc_id don't cut
+    each other; a row without doc_id or text stays whole."""
+    cut = suffix_tree_dedup(docs, carry={f"own_{c}": F.col(c) for c in docs.columns})
+    changed = F.col("n_removed") > 0
+    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("own_text")), "n_chars": F.when(changed, F.length("kept")).otherwise(F.col("own_n_chars"))}
+    return cut.select(*((new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"own_{c}")).alias(c) for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

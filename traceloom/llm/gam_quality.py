@@ -7,11 +7,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._shared import read, table
+from ._shared import read
 
 #: Byte classes that are counted.
 _KIND = np.full(256, 7, np.int64)  # other symbols
@@ -188,11 +188,13 @@ class Additive:
 
 
 def _score(model: Additive):
+    """Features and score of each text in one pass; the columns after doc_id and text come along."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack([batch.column(2 + k).to_numpy(zero_copy_only=False) for k in range(len(FEATURES))], axis=1)
-            carried = list(range(2 + len(FEATURES), batch.num_columns))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.score(x)), *(batch.column(i) for i in carried)], ["doc_id", "held_out", "score", *(batch.schema.names[i] for i in carried)])
+            parts = [model.score(features(offsets, data)) for _, offsets, data in T.pieces(batch.column(1))]
+            score = pa.array(np.concatenate(parts) if parts else np.zeros(0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), score, *batch.columns[2:]], ["doc_id", "score", *batch.schema.names[2:]])
 
     return run
 
@@ -201,24 +203,37 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % 4 == 2, F.lit(False))
 
 
-def gam_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most: int = 40_000, carry: tuple[str, ...] = ()) -> DataFrame:
+def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """doc_id, text, quality of about `most` labelled documents that aren't held out, those of least hash: the hash's
+    threshold follows from the number of labels, so no task gathers more. An id that has both labels
+    is left out; one that stands for several texts teaches by the one of least hash."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
+    marks = marks.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").select("doc_id", "quality")
+    share = min(1.0, most / max(marks.count(), 1))
+    marks = marks.where((F.xxhash64(F.lit(3), "doc_id") / 2.0**64 + 0.5) < share)
+    texts = docs.join(F.broadcast(marks), "doc_id").withColumn("least", F.min(F.xxhash64("text")).over(Window.partitionBy("doc_id")))
+    return texts.where(F.xxhash64("text") == F.col("least")).dropDuplicates(["doc_id"]).select("doc_id", "text", "quality")
+
+
+def gam_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most: int = 40_000, carry: dict[str, Column] | None = None) -> DataFrame:
     """Score every text of docs (doc_id long, text string); labels: doc_id long, quality 0/1.
 
-    The model is fitted on at most `most` labelled rows (those of least hash) whose crc32(doc_id) mod 4 isn't
+    The model is fitted on about `most` labelled rows (those of least hash) whose crc32(doc_id) mod 4 isn't
     2; its inputs are counts over the whole text alone. Returns doc_id, held_out, score (0 to 1), predicted
-    (score >= threshold). Null text: empty. Rows whose quality is null or not 0 or 1 teach nothing; without
-    labels of both kinds every score is their smoothed share. Null doc_id: scored, not held out. Repeated
-    rows are scored each. An empty table gives an empty result. The columns `carry` come back too, others are ignored.
+    (score >= threshold). Null text: empty. Rows whose quality is null or not 0 or 1 teach nothing, nor do ids with both
+    labels; without labels of both kinds every score is their smoothed share. Null doc_id: scored, not held out. Repeated
+    rows are scored each; where ids repeat with different texts, one text teaches. An empty table gives an empty result. A
+    very long text is worked in one numpy pass of its task. The columns `carry` (by name in the result) come back
+    too, other columns are ignored.
     """
-    extra = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "utf-8").alias("text"), *carry)
-    made = table(rows.mapInArrow(_features, ", ".join(["doc_id long", *(f"{f} double" for f in FEATURES), *extra])))
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
-    marks = marks.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id", "quality").limit(most)
-    sample = made.join(marks, "doc_id").orderBy("doc_id").toPandas()
+    carry = carry or {}
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "utf-8").alias("text"))
+    sample = _sample(plain, labels, most).mapInArrow(_features, ", ".join(["doc_id long", *(f"{f} double" for f in FEATURES), "quality int"])).toPandas().sort_values("doc_id")
     model = Additive().fit(sample[FEATURES].to_numpy(float), sample["quality"].to_numpy(float))
-    scored = made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *FEATURES, *carry).mapInArrow(_score(model), ", ".join(["doc_id long, held_out boolean, score double", *extra]))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "utf-8").alias("text"), held_out(F.col("doc_id").cast("long")).alias("held_out"), *(c.alias(f"carried_{k}") for k, c in enumerate(carry.values())))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:]]
+    scored = rows.mapInArrow(_score(model), ", ".join(["doc_id long, score double", *kinds]))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(f"carried_{k}").alias(name) for k, name in enumerate(carry)))
 
 
 def op2_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

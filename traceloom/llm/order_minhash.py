@@ -83,7 +83,7 @@ def _sign(k: int, bands: int, rows: int, seed: int):
                 key = T.mix(key + np.arange(bands, dtype=np.uint64))
                 text_key = [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, m * bands + 1, bands, dtype=np.int32)), pa.array(key.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(row, m), pa.array(text_key, pa.binary()), pa.array(np.diff(begin).astype(np.int32)), flat, pa.array([x.tobytes() for x in minima], pa.binary()), pa.array([x.tobytes() for x in key], pa.binary())], ["doc", "text_key", "n", "bands", "minima", "all"])
+                yield pa.RecordBatch.from_arrays([ids.slice(row, m), batch.column(2).slice(row, m), pa.array(text_key, pa.binary()), pa.array(np.diff(begin).astype(np.int32)), flat, pa.array([x.tobytes() for x in minima], pa.binary()), pa.array([x.tobytes() for x in key], pa.binary())], ["doc_id", "text_hash", "text_key", "n", "bands", "minima", "all"])
 
     return run
 
@@ -94,7 +94,8 @@ def _shingle_rows(k: int):
             for row, offsets, data in T.pieces(batch.column(1)):
                 shingles, begin = labelled_shingles(offsets, data, k)
                 raw = [shingles[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(raw)), pa.array(raw, pa.binary())], ["doc", "shingles"])
+                keys = [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(raw)), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], ["first", "text_key", "shingles"])
 
     return run
 
@@ -248,35 +249,41 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, bands: int
     each document is aligned with its `most` best partners of a bucket, which joins nearly all of a group of
     near copies. Then the members that are left outside meet all other partners inside the bucket, where a
     count of shared shingles precedes the alignment, and only links leave the task. Buckets over
-    `block_rows` are compared in pairs of blocks. Returns doc_id, component_id (smallest doc_id of the class), kept.
+    `block_rows` are compared in pairs of blocks. Returns doc_id, text_hash, component_id (smallest doc_id of the class), kept.
     Null text or null doc_id: alone (component_id is doc_id). Empty texts are copies of each other; texts without words
-    have no other link. Repeated rows give one row. An empty table gives an empty result.
+    have no other link. Repeated rows give one row; an id that stands for several texts has a row for each
+    (text_hash: xxhash64 of the text), and one of them at most is kept. A very long text is worked in one numpy
+    pass of its task. An empty table gives an empty result. Other columns are ignored.
     """
-    text = docs.select(F.col("doc_id").cast("long").alias("doc"), F.encode(F.col("text").cast("string"), "utf-8").alias("text"))
-    usable = text.where("doc is not null and text is not null")
-    signed = table(usable.mapInArrow(_sign(k, bands, rows, seed), "doc long, text_key binary, n int, bands array<long>, minima binary, all binary"))
-    first = signed.groupBy("text_key").agg(F.min("doc").alias("first"))
-    signed = signed.join(first, "text_key")
-    members = table(signed.select("doc", "first", "n", F.when(F.col("doc") == F.col("first"), F.col("bands")).alias("bands"), F.when(F.col("doc") == F.col("first"), F.col("minima")).alias("minima"), F.when(F.col("doc") == F.col("first"), F.col("all")).alias("all")))
-    each = members.where("doc = first and n > 0").dropDuplicates(["doc"]).select("doc", "n", "minima", "all", F.explode("bands").alias("key"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "utf-8").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    usable = text.where("doc_id is not null and text is not null")
+    signed = table(usable.mapInArrow(_sign(k, bands, rows, seed), "doc_id long, text_hash long, text_key binary, n int, bands array<long>, minima binary, all binary"))
+    # One node for each different text, whatever the ids of its rows.
+    members = table(signed.groupBy("doc_id", "text_key").agg(F.first("n").alias("n"), F.first("text_hash").alias("text_hash")))
+    texts = table(members.groupBy("text_key", "n").agg(F.min("doc_id").alias("first")).withColumn("doc", F.monotonically_increasing_id()))
+    one = texts.join(signed.select(F.col("doc_id").alias("first"), "text_key", "bands", "minima", "all"), ["first", "text_key"]).where("n > 0")
+    each = one.dropDuplicates(["doc"]).select("doc", "n", "minima", "all", F.explode("bands").alias("key"))
     held = each.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     each = each.join(held, "key").withColumn("blocks", F.ceil(F.col("held") / block_rows).cast("int"))
     each = table(each.withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int")))
-    candidates = each.select("doc").distinct()
-    shingles = table(usable.join(candidates, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(_shingle_rows(k), "doc long, shingles binary"))
+    candidates = texts.join(each.select("doc").distinct(), "doc").select("first", "text_key", "doc")
+    shingles = usable.join(candidates.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    shingles = shingles.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text").mapInArrow(_shingle_rows(k), "first long, text_key binary, shingles binary")
+    shingles = table(shingles.join(candidates, ["first", "text_key"]).select("doc", "shingles").dropDuplicates(["doc"]))
     a, b = (shingles.select(F.col("doc").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
 
     links = _round(each, None, least, agree, most).distinct()
     links = table(links.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(least), "a long, b long"))
     classes = table(components(links))
     links = table(links.union(_round(each, classes, least, agree, None, shingles)))
-    classes = table(components(links))
-    out = members.select("doc", "first").distinct()
-    out = out.join(classes.withColumnRenamed("node", "first"), "first", "left").withColumn("first", F.coalesce("component", "first"))
-    alone = text.where("doc is null or text is null").select("doc", F.col("doc").alias("first")).distinct()
-    out = out.select("doc", "first").union(alone)
-    return out.select(F.col("doc").alias("doc_id"), F.col("first").alias("component_id"), F.col("doc").eqNullSafe(F.col("first")).alias("kept"))
+    classes = components(links).withColumnRenamed("node", "doc")
+    known = table(texts.join(classes, "doc", "left").select("text_key", "first", F.coalesce("component", "doc").alias("component")))
+    least_id = known.groupBy("component").agg(F.min(F.struct("first", "text_key")).alias("least")).select("component", F.col("least.first").alias("component_id"), F.col("least.text_key").alias("kept_key"))
+    known = known.join(least_id, "component").select("text_key", "component_id", "kept_key")
+    out = members.join(known, "text_key").select("doc_id", "text_hash", "component_id", ((F.col("doc_id") == F.col("component_id")) & (F.col("text_key") == F.col("kept_key"))).alias("kept"))
+    alone = text.where("doc_id is null or text is null").select("doc_id").distinct().select("doc_id", F.lit(None).cast("long").alias("text_hash"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(alone)
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -111,18 +111,24 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays + [batch.column(i) for i in range(3, batch.num_columns)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", *batch.schema.names[3:]])
 
 
-def suffix_tree_dedup(docs: DataFrame, window: int = 50, gram: int = 10) -> DataFrame:
+def suffix_tree_dedup(docs: DataFrame, window: int = 50, gram: int = 10, carry: dict[str, Column] | None = None) -> DataFrame:
     """Remove each word covered by a window of `window` words that also starts in a document with a smaller doc_id.
 
-    Words are runs without ASCII white space. docs: doc_id long, text string; other columns are ignored.
+    Words are runs without ASCII white space. docs: doc_id long, text string; the columns `carry` (by name in the
+    result) come back too, others are ignored.
     Returns doc_id, n_words, n_removed, kept_sha256, kept (kept words joined by one space). Null text:
     no words. A text of fewer than `window` words keeps all; a very long one is worked in one numpy pass of its
     task. A row without doc_id stays whole and matches nothing. Rows of one doc_id, with equal or different
     texts, don't remove each other, and each is cut by its own text. An empty table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
-    spans = repeated_spans(rows, "word", window, gram, match(window), lambda doc, pos, first_doc, first_pos: doc > first_doc)
-    return rows.join(spans, ["doc", "tag"], "left").select("doc", "text", "spans").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    carry = carry or {}
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
+    spans = repeated_spans(plain, "word", window, gram, match(window), lambda doc, pos, first_doc, first_pos: doc > first_doc)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"), *(c.alias(f"carried_{k}") for k, c in enumerate(carry.values()))).withColumn("tag", F.xxhash64("text"))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:-1]]
+    joined = rows.join(spans, ["doc", "tag"], "left").select("doc", "text", "spans", *(f"carried_{k}" for k in range(len(carry))))
+    out = joined.mapInArrow(_remove, ", ".join(["doc_id long, n_words long, n_removed long, kept_sha256 string, kept string", *kinds]))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept", *(F.col(f"carried_{k}").alias(name) for k, name in enumerate(carry)))
 
 
 def op7_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
