@@ -63,6 +63,88 @@ def test_edit_operations_are_as_many_as_the_distance(spark):
     assert wrong.count() == 0
 
 
+def best_operations(gt, pred):
+    """All least ways to turn gt into pred are tried from the ends; the one whose last step comes first among keep,
+    replace, delete, insert wins."""
+    from functools import cache
+
+    @cache
+    def cost(i, j):
+        if not i or not j:
+            return i + j
+        return min(cost(i - 1, j - 1) + (gt[i - 1] != pred[j - 1]), cost(i - 1, j) + 1, cost(i, j - 1) + 1)
+
+    out, i, j = [], len(gt), len(pred)
+    while i + j:
+        ways = []
+        if i and j:
+            ways.append((cost(i - 1, j - 1) + (gt[i - 1] != pred[j - 1]), 0, i - 1, j - 1))
+        if i:
+            ways.append((cost(i - 1, j) + 1, 1, i - 1, j))
+        if j:
+            ways.append((cost(i, j - 1) + 1, 2, i, j - 1))
+        _, way, x, y = min(ways)
+        if way == 0 and gt[x] != pred[y]:
+            out.append(("sub", x, gt[x], pred[y]))
+        elif way == 1:
+            out.append(("del", x, gt[x], None))
+        elif way == 2:
+            out.append(("ins", x, None, pred[y]))
+        i, j = x, y
+    return out[::-1]
+
+
+def test_edit_operations_against_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    pairs = [("", ""), ("", "AC"), ("ACG", ""), ("ACGT", "ACGT"), (None, "A"), ("A", None), ("AÄC", "AC")]
+    for _ in range(300):
+        gt = "".join(rng.choice("ACGT") for _ in range(rng.randrange(14)))
+        pred = "".join(c for c in gt if rng.random() < 0.8) if rng.random() < 0.7 else "".join(rng.choice("ACG") for _ in range(rng.randrange(12)))
+        pairs.append((gt, pred))
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "k int, gt string, read string").repartition(3)
+    for r in E.edit_operations(df).collect():
+        want = None if r.gt is None or r.read is None else best_operations(r.gt, r.read)
+        assert want == (None if r.ops is None else [tuple(o) for o in r.ops]), (r.gt, r.read)
+    lcs = lambda a, b: 0 if not a or not b else max(lcs(a[1:], b), lcs(a, b[1:])) if a[0] != b[0] else 1 + lcs(a[1:], b[1:])
+    for r in E.common_subsequence(df.where("length(gt) < 8 or gt is null")).collect():
+        assert r.lcs == (None if r.gt is None or r.read is None else lcs(r.gt, r.read))
+
+
+def test_binomial_test_is_exact_at_every_size():
+    from math import comb
+
+    for n, p in ((1, 0.3), (20, 0.05), (57, 0.5), (200, 0.013), (300, 0.9)):
+        mass = [comb(n, x) * p**x * (1 - p) ** (n - x) for x in range(n + 1)]
+        for k in range(0, n + 1, max(1, n // 25)):
+            assert abs(E.binomial_p(k, n, p) - min(1, sum(m for m in mass if m <= mass[k] * (1 + 1e-7)))) < 1e-9
+            assert abs(E.binomial_p(k, n, p, "greater") - sum(mass[k:])) < 1e-9
+    from math import erfc, sqrt
+
+    for n in (10**6, 10**9):
+        k, spread = int(n * 0.01 + 3 * sqrt(n * 0.0099)), sqrt(2 * n * 0.0099)
+        assert abs(E.binomial_p(k, n, 0.01) / erfc((k - 0.5 - n * 0.01) / spread) - 1) < 0.02
+    assert E.binomial_p(0, 0, 0.5) == 1.0
+
+
+def test_error_analytics(spark):
+    rates = {r.op: r for r in registry.QUERIES["a29_operation_rates"](spark, SF).collect()}
+    total = registry.QUERIES["a29_operation_counts"](spark, SF).first().operations
+    assert sum(rates[o].n for o in ("sub", "del", "ins")) == total and abs(rates["match"].rate + rates["sub"].rate + rates["del"].rate - 1) < 1e-5
+    places = registry.QUERIES["a24_position_profile"](spark, SF).toPandas()
+    for _, f in places[places["op"] == "all"].groupby("scale"):
+        assert f["n"].sum() == total
+    kmers = registry.QUERIES["a25_kmer_enrichment"](spark, SF).toPandas()
+    assert set(kmers["k"]) == {3, 5, 7} and set(kmers["op"]) == {"all", "sub", "del", "ins"} and kmers["p"].between(0, 1).all() and (kmers["p_adjusted"] >= kmers["p"] - 1e-9).all()
+    three = kmers[(kmers["k"] == 3) & (kmers["op"] != "all")].groupby("kmer")["errors"].sum()
+    assert three.to_dict() == kmers[(kmers["k"] == 3) & (kmers["op"] == "all")].set_index("kmer")["errors"].to_dict()
+    hp = {r.op: r for r in registry.QUERIES["a26_homopolymer_errors"](spark, SF).collect()}
+    assert sum(r.operations for r in hp.values()) == total and all(0 < r.share < 1 and r.touching <= r.operations for r in hp.values())
+    lengths = registry.QUERIES["a26_homopolymer_lengths"](spark, SF).toPandas()
+    assert lengths["n"].sum() == sum(r.touching for r in hp.values()) and lengths["length"].min() >= 3
+
+
 def test_homopolymer_class(spark):
     runs = spark.createDataFrame([(1, 3, 6, "A")], "cluster_id int, start int, end int, base string")
     ops = [("ins", 6, None, "A", "hp_expansion"), ("ins", 4, None, "C", "hp_interruption"), ("ins", 2, None, "G", "hp_boundary"), ("del", 4, "A", None, "hp_contraction"), ("del", 2, "C", None, "non_hp"), ("sub", 5, "A", "T", "hp_interruption"), ("sub", 6, "C", "A", "hp_boundary"), ("sub", 9, "C", "A", "non_hp")]
@@ -75,7 +157,7 @@ def test_common_subsequence(spark):
     r = fixture.reads(spark, SF).limit(300)
     wrong = E.common_subsequence(r.select("gt", "read")).where((F.length("gt") + F.length("read") - 2 * F.col("lcs") < F.levenshtein("gt", "read")) | (F.col("lcs") < F.length("gt") - F.levenshtein("gt", "read")))
     assert wrong.count() == 0
-    assert [E.common_length(a, b) for a, b in (("ACGT", "AGT"), ("", "A"), ("AGGTAB", "GXTXAYB"))] == [3, 0, 4]
+    assert E.common_lengths(["ACGT", "", "AGGTAB", "A"], ["AGT", "A", "GXTXAYB", ""]).tolist() == [3, 0, 4, 0]
 
 
 def test_prefixes_are_found_anywhere_in_the_read(spark):

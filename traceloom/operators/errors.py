@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import exp, lgamma, log, log1p
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 OPS = "array<struct<op:string,pos:int,old:string,new:string>>"
 
@@ -22,92 +24,190 @@ def homopolymers(seqs: DataFrame, key: str, seq: str, least: int = 3) -> DataFra
 
 def homopolymer_class(ops: DataFrame, runs: DataFrame, key: str = "cluster_id") -> DataFrame:
     """ops (key, read_no, no, op, pos, old, new) with `hp_class`: the effect on the first run of the ground truth that
-    the operation touches, non_hp where it touches none. Beside a run counts for insertions and substitutions."""
+    the operation touches, non_hp where it touches none, and `hp_length`, that run's length. Beside a run counts for
+    insertions and substitutions."""
     inside = (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))
     beside = (F.col("pos") == F.col("start") - 1) | (F.col("pos") == F.col("end"))
     grows = (F.col("op") == "ins") & (F.col("new") == F.col("base")) & (inside | beside)
     effect = F.when(grows, "hp_expansion").when(inside & (F.col("op") == "del"), "hp_contraction").when(inside, "hp_interruption").when(beside & (F.col("op") != "del"), "hp_boundary")
     touched = ops.join(runs, key, "left").withColumn("effect", effect)
-    first = F.min_by("effect", F.when(F.col("effect").isNotNull(), F.col("start")))
-    return touched.groupBy(key, "read_no", "no", "op", "pos", "old", "new").agg(F.coalesce(first, F.lit("non_hp")).alias("hp_class"))
-
-
-def edit_path(gt: str, pred: str) -> list[tuple[str, int, str | None, str | None]]:
-    """Operations that turn gt into pred, walked back from the end with the preference match, substitution,
-    deletion, insertion; an insertion's place is the base of gt that it precedes."""
-    n, m = len(gt), len(pred)
-    a, b = np.frombuffer(gt.encode("utf-32-le"), np.uint32), np.frombuffer(pred.encode("utf-32-le"), np.uint32)
-    d = np.zeros((n + 1, m + 1), np.int32)
-    d[0], step = np.arange(m + 1), np.arange(m + 1)
-    for i in range(1, n + 1):
-        row = np.empty(m + 1, np.int32)
-        row[0] = i
-        row[1:] = np.minimum(d[i - 1, :-1] + (b != a[i - 1]), d[i - 1, 1:] + 1)
-        d[i] = np.minimum.accumulate(row - step) + step  # insertions along the row
-    out, i, j = [], n, m
-    while i or j:
-        if i and j and a[i - 1] == b[j - 1] and d[i, j] == d[i - 1, j - 1]:
-            i, j = i - 1, j - 1
-        elif i and j and d[i, j] == d[i - 1, j - 1] + 1:
-            i, j = i - 1, j - 1
-            out.append(("sub", i, gt[i], pred[j]))
-        elif i and d[i, j] == d[i - 1, j] + 1:
-            i -= 1
-            out.append(("del", i, gt[i], None))
-        else:
-            j -= 1
-            out.append(("ins", i, None, pred[j]))
-    return out[::-1]
+    first = lambda c: F.min_by(c, F.when(F.col("effect").isNotNull(), F.col("start")))
+    return touched.groupBy(key, "read_no", "no", "op", "pos", "old", "new").agg(F.coalesce(first("effect"), F.lit("non_hp")).alias("hp_class"), first(F.col("end") - F.col("start")).alias("hp_length"))
+
+
+def _padded(texts: list[str], filler: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of each text in a row of its own, filled up at the end, and the lengths."""
+    size = np.array([len(t) for t in texts], np.int64)
+    out = np.full((len(texts), int(size.max(initial=0))), filler, np.uint32)
+    out[np.arange(out.shape[1]) < size[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    return out, size
+
+
+def _moves(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For all pairs of rows of a and b at once, the last step of the best alignment of each two prefixes, [i, pair, j]:
+    0 keeps or replaces a base, 1 deletes, 2 inserts. Of equally good steps the first counts."""
+    pairs, m = b.shape
+    along = np.arange(m + 1, dtype=np.int32)
+    above = np.broadcast_to(along, (pairs, m + 1))
+    moves = np.empty((a.shape[1] + 1, pairs, m + 1), np.int8)
+    moves[0], moves[:, :, 0] = 2, 1
+    for i in range(a.shape[1]):
+        kept = above[:, :-1] + (b != a[:, i : i + 1])
+        row = np.empty((pairs, m + 1), np.int32)
+        row[:, 0] = i + 1
+        np.minimum(kept, above[:, 1:] + 1, out=row[:, 1:])
+        # What insertions reach from the left is a running minimum of the row less its place.
+        row = np.minimum.accumulate(row - along, axis=1) + along
+        moves[i + 1, :, 1:] = np.where(kept == row[:, 1:], 0, np.where(above[:, 1:] + 1 == row[:, 1:], 1, 2))
+        above = row
+    return moves
+
+
+def edit_steps(gts: list[str], preds: list[str]) -> tuple[np.ndarray, ...]:
+    """Operations that turn each gt into its pred: pair, kind (0 sub, 1 del, 2 ins), place, old and new code point,
+    by pair and place. Walked back from the ends; where several are best, a kept base comes before a replaced
+    one, then deletion, then insertion. An insertion's place is that of the base of gt that it precedes."""
+    (a, i), (b, j) = _padded(gts, 0xFFFFFFFF), _padded(preds, 0xFFFFFFFE)
+    moves, found = _moves(a, b), []
+    live = np.flatnonzero(i + j)
+    while len(live):
+        move = moves[i[live], live, j[live]]
+        i[live] -= move < 2
+        j[live] -= move != 1
+        old = np.where(move < 2, a[live, np.minimum(i[live], a.shape[1] - 1)] if a.shape[1] else 0, 0)
+        new = np.where(move != 1, b[live, np.minimum(j[live], b.shape[1] - 1)] if b.shape[1] else 0, 0)
+        edit = (move > 0) | (old != new)
+        found.append(np.stack([live[edit], move[edit], i[live][edit], old[edit], new[edit]]))
+        live = live[i[live] + j[live] > 0]
+    steps = np.concatenate(found[::-1], axis=1) if found else np.zeros((5, 0), np.int64)
+    return tuple(steps[:, np.argsort(steps[0], kind="stable")])
+
+
+def _chunks(gts: list[str], preds: list[str], cells: int = 2 << 20) -> Iterator[np.ndarray]:
+    """Rows of pairs of like length, so many that their tables hold about `cells`."""
+    n = np.array([(len(a) + 1) * (len(b) + 1) for a, b in zip(gts, preds, strict=True)])
+    order = np.argsort(n, kind="stable")
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and n[order[end]] * (end + 1 - at) <= cells:
+            end += 1
+        yield order[at:end]
+        at = end
+
+
+def _different(gt: pa.Array, pred: pa.Array) -> tuple[np.ndarray, list[str], list[str]]:
+    """For each row its place among the batch's different pairs (-1: a side is null), and these pairs."""
+    places: dict[tuple[str, str], int] = {}
+    at = [-1 if a is None or b is None else places.setdefault((a, b), len(places)) for a, b in zip(gt.to_pylist(), pred.to_pylist(), strict=True)]
+    return np.array(at, np.int64), [a for a, _ in places], [b for _, b in places]
+
+
+_KINDS = pa.array(["sub", "del", "ins"])
+_OP = pa.struct([("op", pa.string()), ("pos", pa.int32()), ("old", pa.string()), ("new", pa.string())])
+
+
+def _listed(at: np.ndarray, steps: tuple[np.ndarray, ...], pairs: int) -> pa.Array:
+    """The operations of each row as a list of structs."""
+    pair, kind, pos, old, new = steps
+    begin = np.searchsorted(pair, np.arange(pairs + 1))
+    size = np.where(at < 0, 0, np.diff(begin)[at] if pairs else 0)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    take = np.arange(ends[-1]) - np.repeat(ends[:-1] - (begin[at] if pairs else 0), size)
+    letters, spelled = np.unique(np.concatenate([old, new]), return_inverse=True)
+    letters = pa.array([chr(x) if x else None for x in letters.tolist()], pa.string())
+    letter = lambda w: letters.take(pa.array(w[take]))
+    values = pa.StructArray.from_arrays([_KINDS.take(pa.array(kind[take])), pa.array(pos[take].astype(np.int32)), letter(spelled[: len(old)]), letter(spelled[len(old) :])], fields=list(_OP))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values, mask=pa.array(at < 0))
 
 
 def edit_operations(pairs: DataFrame, gt: str = "gt", pred: str = "read") -> DataFrame:
-    """pairs with `ops`. Different pairs are aligned once each, in Arrow batches; no built-in gives an alignment."""
+    """pairs with `ops` (null where a side is null). No built-in gives an alignment: different pairs of an Arrow batch
+    are aligned together, where they are. Nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, gts, preds = _different(batch.column(batch.schema.get_field_index(gt)), batch.column(batch.schema.get_field_index(pred)))
+            parts = []
+            for rows in _chunks(gts, preds):
+                pair, *rest = edit_steps([gts[k] for k in rows], [preds[k] for k in rows])
+                parts.append(np.stack([rows[pair], *rest]))
+            steps = np.concatenate(parts, axis=1) if parts else np.zeros((5, 0), np.int64)
+            steps = steps[:, np.argsort(steps[0], kind="stable")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, _listed(at, tuple(steps), len(gts))], [*batch.schema.names, "ops"])
+
+    return pairs.mapInArrow(run, StructType([*pairs.schema.fields, *StructType.fromDDL(f"ops {OPS}").fields]))
+
+
+def common_lengths(gts: list[str], preds: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of each pair: rows of all pairs together, the best along a row is a running maximum."""
+    out = np.zeros(len(gts), np.int32)
+    for rows in _chunks(gts, preds):
+        (a, _), (b, _) = _padded([gts[k] for k in rows], 0xFFFFFFFF), _padded([preds[k] for k in rows], 0xFFFFFFFE)
+        best = np.zeros((len(rows), b.shape[1] + 1), np.int32)
+        for i in range(a.shape[1]):
+            best[:, 1:] = np.maximum.accumulate(np.maximum(best[:, 1:], best[:, :-1] + (b == a[:, i : i + 1])), axis=1)
+        out[rows] = best[:, -1]
+    return out
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f["ops"] = [[dict(zip(("op", "pos", "old", "new"), o, strict=True)) for o in edit_path(a, b)] for a, b in zip(f[gt], f[pred], strict=True)]
-            yield f
 
-    distinct = pairs.select(gt, pred).where(F.col(gt).isNotNull() & F.col(pred).isNotNull()).distinct()
-    return pairs.join(distinct.mapInPandas(run, f"{gt} string, {pred} string, ops {OPS}"), [gt, pred], "left")
+def common_subsequence(pairs: DataFrame, gt: str = "gt", pred: str = "read") -> DataFrame:
+    """pairs with `lcs` (null where a side is null), compared in Arrow batches where they are."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, gts, preds = _different(batch.column(batch.schema.get_field_index(gt)), batch.column(batch.schema.get_field_index(pred)))
+            found = common_lengths(gts, preds)
+            lcs = pa.array(found[at] if len(found) else np.zeros(len(at), np.int32), pa.int32(), mask=at < 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, lcs], [*batch.schema.names, "lcs"])
 
-def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, row by row: the best along a row is a running maximum."""
-    x, y = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    row = np.zeros(len(y) + 1, np.int32)
-    for c in x:
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (y == c)))
-    return int(row[-1])
+    return pairs.mapInArrow(run, StructType([*pairs.schema.fields, StructField("lcs", IntegerType())]))
 
 
-def common_subsequence(pairs: DataFrame, gt: str = "gt", pred: str = "read") -> DataFrame:
-    """pairs with `lcs` (null where a side is null). Different pairs are compared once each, in Arrow batches."""
+def benjamini_hochberg(df: DataFrame, p: str = "p", family: tuple[str, ...] = ()) -> DataFrame:
+    """df (one row a test) with adjusted p among the tests of each family. The rows are tests, never the data."""
+    of = lambda *order: Window.partitionBy(*family).orderBy(*order)
+    m = F.count("*").over(Window.partitionBy(*family))
+    ranked = df.withColumn("_r", F.row_number().over(of(p))).withColumn("_q", F.col(p) * m / F.col("_r"))
+    return ranked.withColumn("p_adjusted", F.least(F.lit(1.0), F.min("_q").over(of(F.desc("_r"))))).drop("_r", "_q")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f["lcs"] = [common_length(a, b) for a, b in zip(f[gt], f[pred], strict=True)]
-            yield f
 
-    distinct = pairs.select(gt, pred).where(F.col(gt).isNotNull() & F.col(pred).isNotNull()).distinct()
-    return pairs.join(distinct.mapInPandas(run, f"{gt} string, {pred} string, lcs int"), [gt, pred], "left")
+def _log_chance(k: float, n: int, p: float) -> float:
+    return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log1p(-p)
 
 
-def benjamini_hochberg(df: DataFrame, p: str = "p") -> DataFrame:
-    """df (one row a test) with adjusted p. The rows are the tests of one family, never the data."""
-    m = F.count("*").over(Window.partitionBy())
-    ranked = df.withColumn("_r", F.row_number().over(Window.orderBy(p))).withColumn("_q", F.col(p) * m / F.col("_r"))
-    return ranked.withColumn("p_adjusted", F.least(F.lit(1.0), F.min("_q").over(Window.orderBy(F.desc("_r"))))).drop("_r", "_q")
+def _tail(k: int, n: int, p: float) -> float:
+    """Chance of k or more of n. Terms fall from the mode on, so the tail on the far side of k from the mode is summed
+    term by term until the rest can't count; its cost grows with the square root of n."""
+    if k <= 0:
+        return 1.0
+    if k > n:
+        return 0.0
+    if k <= n * p:
+        return 1.0 - _tail(n - k + 1, n, 1 - p)
+    ratio, term, total = p / (1 - p), 1.0, 1.0
+    for x in range(k, n):
+        term *= (n - x) / (x + 1) * ratio
+        total += term
+        if term < 1e-17 * total:
+            break
+    return min(1.0, exp(_log_chance(k, n, p)) * total)
 
 
 def binomial_p(k: int, n: int, p: float, side: str = "two") -> float:
-    """Exact binomial test by log-gamma; two-sided: all outcomes as unlikely as k."""
-    from math import lgamma, log
-
+    """Exact binomial test at every n. side: greater (k or more), or two: all outcomes as unlikely as k."""
     if n == 0 or not 0 < p < 1:
         return 1.0
-    x = np.arange(n + 1)
-    const = np.array([lgamma(v + 1) for v in x])
-    logs = lgamma(n + 1) - const - const[::-1] + x * log(p) + (n - x) * log(1 - p)
-    probs = np.exp(logs)
-    return float(min(1.0, probs[k:].sum() if side == "greater" else probs[probs <= probs[k] * (1 + 1e-7)].sum()))
+    if side == "greater":
+        return _tail(k, n, p)
+    mode = min(n, int((n + 1) * p))
+    if k == mode:
+        return 1.0
+    if k > mode:  # the same test of the other outcome
+        k, p, mode = n - k, 1 - p, min(n, int((n + 1) * (1 - p)))
+    limit = _log_chance(k, n, p) + 1e-7
+    lo, hi = mode, n + 1  # the first outcome above the mode that is as unlikely
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if mid > n or _log_chance(mid, n, p) <= limit else (mid + 1, hi)
+    return min(1.0, _tail(n - k, n, 1 - p) + _tail(lo, n, p))

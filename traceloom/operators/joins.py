@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sequence import reverse_complement
-
 
 def prefix_hits(reads: DataFrame, truths: DataFrame, k: int) -> DataFrame:
     """Ground truths whose k-prefix stands in a read (column s), with the first place. All prefixes have one
@@ -60,13 +58,3 @@ def primers(spark: SparkSession, n: int = 13, length: int = 12) -> DataFrame:
     """Primer pairs by experiment, derived from md5 (a stand-in dimension of fixed size)."""
     bases = lambda p: F.substring(F.translate(F.md5(F.concat(F.lit(p), F.col("exp").cast("string"))), "0123456789abcdef", "ACGTACGTACGTACGT"), 1, length)
     return spark.range(n).withColumnRenamed("id", "exp").select("exp", bases("f").alias("f"), bases("r").alias("r"))
-
-
-def demultiplex(reads: DataFrame, primers: DataFrame) -> DataFrame:
-    """Best primer pair and orientation of each read (column s): least summed distance at both ends; forward
-    first, then least experiment. The primer table is a dimension of fixed size and is broadcast."""
-    turned = reads.select("cluster_id", "read_no", F.explode(F.array(F.struct(F.lit(0).alias("rc"), "s"), F.struct(F.lit(1).alias("rc"), reverse_complement(F.col("s")).alias("s")))).alias("t")).select("cluster_id", "read_no", "t.*")
-    k = F.length("f")
-    d = F.levenshtein(F.substring("s", F.lit(1), k), "f") + F.levenshtein(F.right("s", F.length("r")), "r")
-    best = turned.join(F.broadcast(primers)).groupBy("cluster_id", "read_no").agg(F.min(F.struct(d.alias("dist"), "rc", "exp")).alias("b"))
-    return best.select("cluster_id", "read_no", "b.exp", "b.rc", "b.dist")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import index_value, reverse_complement
+from ..functions.sequence import index_value
 from ..operators.joins import best_match, prefix_hits, shortest_unique_prefix
 from ..operators.metrics import r6
 from ..sources.fixture import VIEWS, ground_truth, reads
@@ -62,16 +62,6 @@ def a13(spark, sf):
     return v.agg(F.count_if(F.col("n") > 1).alias("duplicated"), F.count_if(F.col("i") >= 16384).alias("extra")).join(missing.agg(F.count("*").alias("missing"))).select("duplicated", "missing", "extra")
 
 
-@query("j5_orientation_demux", f"{VIEWS}, pr AS (SELECT cast(e AS bigint) AS exp, substr(translate(md5(concat('f', cast(e AS varchar))), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 12) AS f, substr(translate(md5(concat('r', cast(e AS varchar))), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 12) AS r FROM range(0, 13) t(e)), w AS (SELECT cluster_id, read_no, part, concat(f, read, r) AS s FROM rd JOIN pr ON exp = supp % 13), o AS (SELECT cluster_id, read_no, CASE WHEN part % 2 = 1 THEN reverse(translate(s, 'ACGT', 'TGCA')) ELSE s END AS s FROM w), c AS (SELECT cluster_id, read_no, 0 AS rc, s FROM o UNION ALL SELECT cluster_id, read_no, 1, reverse(translate(s, 'ACGT', 'TGCA')) FROM o), d AS (SELECT cluster_id, read_no, exp, rc, levenshtein(substr(s, 1, 12), f) + levenshtein(right(s, 12), r) AS d FROM c, pr) SELECT cluster_id, read_no, arg_min(exp, d * 1000 + rc * 100 + exp) AS exp, arg_min(rc, d * 1000 + rc * 100 + exp) AS rc, min(d) AS dist FROM d GROUP BY ALL")
-def j5(spark, sf):
-    from ..operators.joins import demultiplex, primers
-
-    p = primers(spark)
-    wrapped = reads(spark, sf).withColumn("exp", F.col("supp") % 13).join(F.broadcast(p), "exp").select("cluster_id", "read_no", "part", F.concat("f", "read", "r").alias("s"))
-    turned = wrapped.select("cluster_id", "read_no", F.when(F.col("part") % 2 == 1, reverse_complement(F.col("s"))).otherwise(F.col("s")).alias("s"))
-    return demultiplex(turned, p)
-
-
 @query("j7_index_region", f"{VIEWS}, s AS (SELECT cluster_id, read_no, concat(substr(read, 1, 42), 'ACAAC', substr(read, 43, 7)) AS s FROM rd), wn AS (SELECT cluster_id, read_no, p, substr(s, cast(p AS int) + 1, 12) AS w FROM s, range(38, 45) t(p)), iv AS (SELECT cluster_id, read_no, p, cast({' + '.join(f'(strpos({chr(39)}ACGT{chr(39)}, substr(w, {i + 6}, 1)) - 1) * {4 ** (6 - i)}' for i in range(7))} AS bigint) AS v FROM wn WHERE starts_with(w, 'ACAAC') AND length(w) = 12) SELECT cluster_id, read_no, arg_min(v, p) AS v FROM iv WHERE v % 2 = 0 GROUP BY ALL")
 def j7(spark, sf):
     s = reads(spark, sf).select("cluster_id", "read_no", F.concat(F.substring("read", 1, 42), F.lit("ACAAC"), F.substring("read", 43, 7)).alias("s"))
@@ -86,6 +76,35 @@ def j9(spark, sf):
     return ground_truth(spark, sf).select("gt_id").exceptAll(reads(spark, sf).select(F.col("cluster_id").alias("gt_id")).distinct())
 
 
+@query("j9_truth_lookup", f"{VIEWS} SELECT cluster_id, read_no, gt.gt AS gt FROM rd JOIN gt ON gt_id = cluster_id WHERE gt_id % 89 <> 0")
+def j9_lookup(spark, sf):
+    """Reads with the ground truth of their cluster; clusters whose id has none are dropped."""
+    known = ground_truth(spark, sf).where("gt_id % 89 <> 0").withColumnRenamed("gt_id", "cluster_id")
+    return reads(spark, sf).select("cluster_id", "read_no").join(known, "cluster_id")
+
+
+@query("j10_read_lookup", f"{VIEWS}, a AS (SELECT concat(cast(cluster_id AS varchar), '_', cast(read_no AS varchar)) AS read_id, supp % 97 AS gt_idx FROM rd), s AS (SELECT concat(cast(cluster_id AS varchar), '_', cast(read_no AS varchar)) AS read_id, read FROM rd WHERE length(read) = 110) SELECT read_id, gt_idx, read FROM a JOIN s USING (read_id)")
+def j10(spark, sf):
+    """Assignments joined by read id with the reads that passed the length filter."""
+    r = reads(spark, sf).withColumn("read_id", F.concat_ws("_", F.col("cluster_id").cast("string"), F.col("read_no").cast("string")))
+    assigned = r.select("read_id", (F.col("supp") % 97).alias("gt_idx"))
+    return assigned.join(r.where(F.length("read") == 110).select("read_id", "read"), "read_id")
+
+
+_SWEEP = "SELECT * FROM (VALUES (40, 0), (42, 0), (38, 1), (40, 1)) g(start, most)"
+
+
+@query("j8_window_sweep", f"{VIEWS}, g AS ({_SWEEP}), s AS (SELECT cluster_id, read_no, concat(substr(read, 1, 42), 'ACAAC', substr(read, 43, 7)) AS s FROM rd), h AS (SELECT DISTINCT start, most, cluster_id, read_no FROM s, g, range(0, 5) t(o) WHERE levenshtein(substr(s, cast(start + o AS int) + 1, 5), 'ACAAC') <= most), n AS (SELECT start, most, count(*) AS found, count(DISTINCT cluster_id) AS clusters FROM h GROUP BY ALL) SELECT start, most, coalesce(found, 0) AS found, coalesce(clusters, 0) AS clusters, round(coalesce(found, 0) / (SELECT count(*) FROM rd), 6) AS share FROM g LEFT JOIN n USING (start, most)")
+def j8(spark, sf):
+    """The index region's marker sought from several places on and with several thresholds, in one job: how many reads show
+    it in each setting."""
+    grid = spark.createDataFrame([(40, 0), (42, 0), (38, 1), (40, 1)], "start int, most int")
+    s = reads(spark, sf).select("cluster_id", "read_no", F.concat(F.substring("read", 1, 42), F.lit("ACAAC"), F.substring("read", 43, 7)).alias("s"))
+    near = F.exists(F.sequence(F.lit(0), F.lit(4)), lambda o: F.levenshtein(F.substring("s", F.col("start") + o + 1, F.lit(5)), F.lit("ACAAC")) <= F.col("most"))
+    hits = s.crossJoin(F.broadcast(grid)).groupBy("start", "most").agg(F.count_if(near).alias("found"), F.count_distinct(F.when(near, F.col("cluster_id"))).alias("clusters"), F.count("*").alias("n"))
+    return hits.select("start", "most", "found", "clusters", r6(F.col("found") / F.col("n")).alias("share"))
+
+
 @query("j11_a12_misclustering_rate", f"{VIEWS} SELECT supp % 13 AS config, count(*) AS n, round(count(*) FILTER (WHERE levenshtein(read, gt) > 0) / count(*), 6) AS rate FROM rd GROUP BY 1")
 def j11(spark, sf):
     return reads(spark, sf).groupBy((F.col("supp") % 13).alias("config")).agg(F.count("*").alias("n"), r6(F.count_if(F.levenshtein("read", "gt") > 0) / F.count("*")).alias("rate"))

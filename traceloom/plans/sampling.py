@@ -70,13 +70,6 @@ def a4(spark, sf):
     return r.rollup("exp").agg(F.count("*").alias("reads"), F.count_distinct("cluster_id").alias("clusters"), r6(F.avg(F.length("read"))).alias("mean_length"))
 
 
-@query("a6_demux_statistics", f"{VIEWS}, x AS (SELECT supp % 13 AS exp, part % 2 AS orientation, levenshtein(read, gt) AS d FROM rd) SELECT exp, orientation, count(*) AS reads, round(avg(d), 6) AS mean_dist, round(median(d), 6) AS median_dist, round(stddev_pop(d), 6) AS std_dist, min(d) AS min_dist, max(d) AS max_dist FROM x GROUP BY GROUPING SETS ((exp), (orientation), ())")
-def a6(spark, sf):
-    x = reads(spark, sf).select((F.col("supp") % 13).alias("exp"), (F.col("part") % 2).alias("orientation"), F.levenshtein("read", "gt").cast("long").alias("d"))
-    aggs = [F.count("*").alias("reads"), r6(F.avg("d")).alias("mean_dist"), r6(F.median("d")).alias("median_dist"), r6(F.stddev_pop("d")).alias("std_dist"), F.min("d").alias("min_dist"), F.max("d").alias("max_dist")]
-    return x.groupingSets([["exp"], ["orientation"], []], "exp", "orientation").agg(*aggs)
-
-
 @query("a7_filter_statistics", f"{VIEWS} SELECT count(*) AS total, count(*) FILTER (WHERE length(read) = 110) AS kept, count(*) FILTER (WHERE length(read) < 110) AS short, count(*) FILTER (WHERE length(read) > 110) AS long FROM rd")
 def a7(spark, sf):
     n = F.length("read")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..sources import scans
@@ -13,8 +10,7 @@ from ._register import query
 
 
 def _folder(spark) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="traceloom-")
-    return f"{base.rstrip('/')}/formats/{uuid.uuid4().hex}"
+    return scans.shared_folder(spark, "formats")
 
 
 @query("s1_s3_k1_cluster_files", f"{VIEWS}, g AS (SELECT gt_id, gt, row_number() OVER (ORDER BY gt_id) - 1 AS idx FROM gt) SELECT idx, any_value(g.gt) AS gt, count(cluster_id) AS n, coalesce(string_agg(read, '|' ORDER BY read_no), '') AS reads FROM g LEFT JOIN rd ON cluster_id = gt_id GROUP BY idx")
@@ -31,7 +27,7 @@ def s1(spark, sf):
 def s4(spark, sf):
     path = _folder(spark)
     records = reads(spark, sf).select(F.concat(F.lit("r"), F.col("cluster_id").cast("string"), F.lit("_"), F.col("read_no").cast("string")).alias("read_id"), F.col("read").alias("seq"), F.repeat(F.lit("I"), F.length("read")).alias("qual"))
-    scans.write_fastq(records, path)
+    scans.write_fastq(records, path, gzip=True)
     return scans.fastq(spark, path)
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,16 @@ from pyspark.sql import functions as F
 SEPARATOR = "=" * 31
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for a table of files, in ``spark.checkpoint.dir``; a local master has a local one where that is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="traceloom-")
+    return f"{base.rstrip('/')}/{name}/{uuid.uuid4().hex}"
+
+
 def indexed(df: DataFrame) -> DataFrame:
     """value, file, idx: the place of each row in its file. Only the rows' counts by file block meet in one place;
     no text is moved into one partition to be numbered."""
@@ -41,12 +55,13 @@ def packed_examples(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("idx", F.split(F.split_part("value", F.lit(":"), F.lit(1)), "\\|").alias("reads"), F.split_part("value", F.lit(":"), F.lit(2)).alias("gt"))
 
 
-def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """read_id, seq, qual, four lines a record; plain or gzip."""
+def fastq(spark: SparkSession, path: str, by: str | None = None) -> DataFrame:
+    """read_id, seq, qual, four lines a record; plain or gzip. by: the key of the folders, which comes back as a long."""
     rows = lines(spark, path)
     part = lambda k: F.max(F.when(F.col("idx") % 4 == k, F.col("value")))
     records = rows.groupBy("file", F.expr("idx div 4").alias("record")).agg(F.substring(part(0), 2, 1 << 20).alias("read_id"), part(1).alias("seq"), part(3).alias("qual"))
-    return records.select("read_id", "seq", "qual")
+    key = [F.regexp_extract("file", f"/{by}=(-?[0-9]+)/", 1).cast("long").alias(by)] if by else []
+    return records.select("read_id", "seq", "qual", *key)
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -110,8 +125,11 @@ def write_ragged(df: DataFrame, path: str) -> None:
     df.select(F.concat_ws(",", F.col("key").cast("string"), "reads")).write.text(path)
 
 
-def write_fastq(df: DataFrame, path: str) -> None:
-    df.select(F.concat_ws("\n", F.concat(F.lit("@"), "read_id"), "seq", F.lit("+"), "qual")).write.text(path)
+def write_fastq(df: DataFrame, path: str, by: str | None = None, gzip: bool = False) -> None:
+    """df (read_id, seq, qual) as records of four lines; by: a folder for each value of that column."""
+    text = df.select(F.concat_ws("\n", F.concat(F.lit("@"), "read_id"), "seq", F.lit("+"), "qual"), *([by] if by else []))
+    writer = text.write.option("compression", "gzip") if gzip else text.write
+    (writer.partitionBy(by) if by else writer).text(path)
 
 
 def write_fasta(df: DataFrame, path: str) -> None:
