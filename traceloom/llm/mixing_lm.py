@@ -19,7 +19,7 @@ SPACE = 32
 _K = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 #: Texts of about so many bytes are worked together.
-BLOCK_BYTES = 1 << 18
+BLOCK_BYTES = 1 << 19
 MISS = 255
 #: Share codes count sixteenths of a bit.
 _FINE = 16
@@ -54,38 +54,44 @@ class Tokens:
         for k in (1, 2):
             context = np.where(short >= k, T.mix(context + T.mix(self.before[k + 1] * _K + _U(k + 1))), context)
         self.context = context
-        #: Which token follows which context, in 64 bits: 40 of the context beside those that pick its slice, 24 of the token.
-        self.pair = context << _U(24) | T.mix(self.h + _K) >> _U(40)
+        #: Which token follows which context, in 48 bits: 32 of the context beside those that pick its slice, 16 of the token.
+        self.pair = (context & _U(0xFFFFFFFF)) << _U(16) | T.mix(self.h + _K) >> _U(48)
 
 
 class Asked:
-    """Different keys of a block's tokens in the order of their slices, and how often each stands in training texts."""
+    """Different 48-bit keys of a block's tokens in the order of their slices, those that are `apart` for themselves, and how
+    often each stands in training texts."""
 
-    def __init__(self, keys: np.ndarray, of: np.ndarray, train: np.ndarray, slices: int):
-        different, first, back = np.unique(keys, return_index=True, return_inverse=True)
+    def __init__(self, keys: np.ndarray, of: np.ndarray, apart: np.ndarray, held: np.ndarray, slices: int):
+        different, first, back = np.unique(keys << _U(1) | apart, return_index=True, return_inverse=True)
         part = ((of[first] >> _U(40)) % _U(slices)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        self.keys, self.back, self.part = different[order], rank[back], part[order]
-        self.count = np.bincount(self.back, train, len(order)).astype(np.int64)
+        self.back, self.part = rank[back], part[order]
+        self.bytes = (different[order] >> _U(1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        self.count = np.bincount(self.back, ~held, len(order)).astype(np.int64)
         self.ends = np.searchsorted(self.part, np.arange(slices + 1))
 
     def blobs(self, k: int) -> tuple[bytes, bytes]:
-        """Keys and counts of a slice; counts in one byte each where all fit."""
+        """Keys and counts of a slice."""
         a, b = self.ends[k], self.ends[k + 1]
-        count = self.count[a:b]
-        return self.keys[a:b].tobytes(), count.astype(np.uint8 if not len(count) or count.max() < 256 else np.uint64).tobytes()
+        return self.bytes[a:b].tobytes(), packed(self.count[a:b])
 
 
-def _counts(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, np.uint8 if len(blob) == n else np.uint64).astype(np.int64)
+def packed(x: np.ndarray) -> bytes:
+    """Counts in as few bytes each as all of them fit into."""
+    return x.astype(np.uint8 if not len(x) or x.max() < 1 << 8 else np.uint32 if x.max() < 1 << 32 else np.uint64).tobytes()
+
+
+def unpacked(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, {0: np.uint8, 1: np.uint8, 4: np.uint32, 8: np.uint64}[len(blob) // max(n, 1)]).astype(np.int64)
 
 
 def _questions(tokens: Tokens, held: np.ndarray, slices: int) -> tuple[Asked, Asked]:
-    train = ~held[tokens.doc]
+    out = held[tokens.doc]
     words = T.mix(tokens.h + _U(5))
-    return Asked(tokens.pair, tokens.context, train, slices), Asked(words, words, train, slices)
+    return Asked(tokens.pair, tokens.context, out, out, slices), Asked(words & _U((1 << 48) - 1), words, np.zeros_like(out), out, slices)
 
 
 def _bucket(n: np.ndarray, steps: float, most: int = 15) -> np.ndarray:
@@ -100,7 +106,7 @@ def _codes(m: np.ndarray, n: np.ndarray, k: np.ndarray) -> np.ndarray:
     return np.where((m > 0) & (share < MISS), share, MISS).astype(np.uint16) << np.uint16(8) | _bucket(n, 2) << np.uint16(4) | _bucket(k, 1)
 
 
-_BLOCK = "block long, doc_id array<long>, held array<boolean>, offsets binary, data binary"
+_BLOCK = "block long, size long, doc_id array<long>, held array<boolean>, offsets binary, data binary"
 _QUESTION = "slice int, block long, pairs binary, pair_counts binary, words binary, word_counts binary"
 _ANSWER = "slice int, block long, pairs binary, words binary, total long, kinds long"
 
@@ -114,8 +120,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = len(offsets) - 1
             ids, held = batch.column(0).slice(first, m), batch.column(2).slice(first, m)
             one = pa.array([0, m], pa.int32())
-            cols = [pa.array([number]), *(pa.ListArray.from_arrays(one, pa.concat_arrays([c])) for c in (ids, held)), pa.array([offsets.tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["block", "doc_id", "held", "offsets", "data"])
+            cols = [pa.array([number]), pa.array([len(data)]), *(pa.ListArray.from_arrays(one, pa.concat_arrays([c])) for c in (ids, held)), pa.array([offsets.tobytes()], pa.binary()), pa.array([pa.compress(data.tobytes(), "zstd", asbytes=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["block", "size", "doc_id", "held", "offsets", "data"])
             number += 1
 
 
@@ -123,7 +129,8 @@ def _opened(batch: pa.RecordBatch) -> Iterator[tuple[int, Tokens, np.ndarray, np
     """Each block's number in the batch, tokens, marks of held-out texts and sizes of texts."""
     for i in range(batch.num_rows):
         get = lambda c, i=i: batch.column(batch.schema.get_field_index(c))[i]
-        offsets, data = np.frombuffer(get("offsets").as_py(), np.int64), np.frombuffer(get("data").as_py(), np.uint8)
+        offsets, data = np.frombuffer(get("offsets").as_py(), np.int64), get("data").as_py()
+        data = np.frombuffer(pa.decompress(data, int(offsets[-1]), "zstd", asbytes=True), np.uint8)
         yield i, Tokens(offsets, data), np.array(get("held").as_py(), bool), np.diff(offsets)
 
 
@@ -142,28 +149,30 @@ def _ask(slices: int):
     return run
 
 
-def _summed(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Different keys with training counts, where each given key is among them, and the ends of the given blobs."""
-    ends = np.cumsum([0, *(len(k) // 8 for k in keys)])
-    every = np.frombuffer(b"".join(keys), _U)
-    different, back = np.unique(every, return_inverse=True)
-    given = [_counts(c, len(k) // 8) for k, c in zip(keys, counts, strict=True)]
-    return different, np.bincount(back, np.concatenate(given) if given else None, len(different)).astype(np.int64), back, ends
+def _summed(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Different keys with training counts, where each given key is among them, whether it came from a training text, and
+    the ends of the given blobs."""
+    ends = np.cumsum([0, *(len(k) // 6 for k in keys)])
+    every = np.zeros((ends[-1], 8), np.uint8)
+    every[:, :6] = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 6)
+    different, back = np.unique(every.view("<u8").ravel(), return_inverse=True)
+    given = np.concatenate([np.zeros(0, np.int64), *(unpacked(c, len(k) // 6) for k, c in zip(keys, counts, strict=True))])
+    return different, np.bincount(back, given, len(different)).astype(np.int64), back, given > 0, ends
 
 
 def _answer(frame: pd.DataFrame) -> pd.DataFrame:
-    """Counts of one slice: for each pair its codes with one occurrence left out (a training token's own) and with all,
+    """Counts of one slice: for each pair its code (of training texts: with one occurrence, the token's own, left out),
     for each word its count."""
-    different, m, back, ends = _summed(frame["pairs"].tolist(), frame["pair_counts"].tolist())
-    context = different >> _U(24)
+    different, m, back, train, ends = _summed(frame["pairs"].tolist(), frame["pair_counts"].tolist())
+    context = different >> _U(16)
     head = np.ones(len(context), bool)
     head[1:] = context[1:] != context[:-1]
     of = np.cumsum(head) - 1
     n, k = np.bincount(of, m)[of].astype(np.int64), np.bincount(of, m > 0)[of].astype(np.int64)
-    codes = np.stack([_codes(m - 1, n - 1, k - (m == 1)), _codes(m, n, k)], axis=1)
-    words, count, word_back, word_ends = _summed(frame["words"].tolist(), frame["word_counts"].tolist())
-    cut = lambda a, ends: [a[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
-    out = pd.DataFrame({"slice": frame["slice"], "block": frame["block"], "pairs": cut(codes[back], ends), "words": cut(count[word_back], word_ends), "total": 0, "kinds": 0})
+    codes = np.where(train, _codes(m - 1, n - 1, k - (m == 1))[back], _codes(m, n, k)[back])
+    words, count, word_back, _, word_ends = _summed(frame["words"].tolist(), frame["word_counts"].tolist())
+    cut = lambda a, ends, form: [form(a[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+    out = pd.DataFrame({"slice": frame["slice"], "block": frame["block"], "pairs": cut(codes, ends, np.ndarray.tobytes), "words": cut(count[word_back], word_ends, packed), "total": 0, "kinds": 0})
     out.loc[out.index[:1], ["total", "kinds"]] = [int(count.sum()), int((count > 0).sum())]
     return out
 
@@ -331,13 +340,12 @@ def spelled(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> Iterator[tuple]:
 def _answered(batch: pa.RecordBatch, i: int, tokens: Tokens, held: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each token's code, count in training texts, and whether it stands in one."""
     pairs, words = _questions(tokens, held, slices)
-    codes, counts = np.zeros((len(pairs.keys), 2), np.uint16), np.zeros(len(words.keys), np.int64)
+    codes, counts = np.zeros(len(pairs.bytes), np.uint16), np.zeros(len(words.bytes), np.int64)
     for a in batch.column(batch.schema.get_field_index("answers"))[i].as_py():
         k = a["slice"]
-        codes[pairs.ends[k] : pairs.ends[k + 1]] = np.frombuffer(a["pairs"], np.uint16).reshape(-1, 2)
-        counts[words.ends[k] : words.ends[k + 1]] = np.frombuffer(a["words"], np.int64)
-    train = ~held[tokens.doc]
-    return np.where(train, codes[pairs.back, 0], codes[pairs.back, 1]), counts[words.back], train
+        codes[pairs.ends[k] : pairs.ends[k + 1]] = np.frombuffer(a["pairs"], np.uint16)
+        counts[words.ends[k] : words.ends[k + 1]] = unpacked(a["words"], words.ends[k + 1] - words.ends[k])
+    return codes[pairs.back], counts[words.back], ~held[tokens.doc]
 
 
 _SLICE = 1 << 15
@@ -415,7 +423,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % 5 == 1, F.lit(False))
 
 
-def mixing_scores(docs: DataFrame, slice_bytes: int = 8 << 20) -> DataFrame:
+def mixing_scores(docs: DataFrame, slice_bytes: int = 4 << 20) -> DataFrame:
     """Score every text of docs (doc_id long, text string) with a model learnt from the rows not held out.
 
     Tokens are the text's words with A-Z in lower case, then one end. A token is coded by bits: first
@@ -441,11 +449,11 @@ def mixing_scores(docs: DataFrame, slice_bytes: int = 8 << 20) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8").alias("text"), held_out(F.col("doc_id").cast("long")).alias("held"))
     blocks = table(rows.mapInArrow(_blocks, _BLOCK))
-    slices = min(buckets(blocks.agg(F.sum(F.length("data"))).first()[0] or 0, slice_bytes), 1 << 23)
-    answers = table(blocks.mapInArrow(_ask(slices), _QUESTION).groupBy("slice").applyInPandas(_answer, _ANSWER))
-    total, kinds = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("slice", "pairs", "words")).alias("answers"))
+    slices = min(buckets(blocks.agg(F.sum("size")).first()[0] or 0, slice_bytes), 1 << 23)
+    answers = blocks.mapInArrow(_ask(slices), _QUESTION).groupBy("slice").applyInPandas(_answer, _ANSWER)
+    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("slice", "pairs", "words")).alias("answers"), F.sum("total").alias("total"), F.sum("kinds").alias("kinds"))
     asked = table(blocks.join(by_block, "block"))
+    total, kinds = asked.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     shared = spark.sparkContext.broadcast(_model(asked, slices))
     return asked.mapInArrow(_score(shared, slices, int(total), int(kinds)), _SCORED)
 
