@@ -15,8 +15,9 @@ from traceloom.llm.suffix_tree_dedup import suffix_tree_dedup
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text the classifier accepts (score of 0.7 or more), whatever their doc_id: a row without doc_id, and each
     of several rows of one doc_id, is judged by its own text. Null text: empty. An empty table stays empty."""
-    scored = gam_quality(docs, read(spark, sf_dir, "labels"), carry={f"own_{c}": F.col(c) for c in docs.columns})
-    return scored.where("predicted = 1").select(*(F.col(f"own_{c}").alias(c) for c in docs.columns))
+    others = [c for c in docs.columns if c != "text"]
+    scored = gam_quality(docs, read(spark, sf_dir, "labels"), carry={f"own_{c}": F.col(c) for c in others}, keep_text=True)
+    return scored.where("predicted = 1").select(*(F.col("text" if c == "text" else f"own_{c}").alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +34,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Texts without the passages of 50 words or more that a document with a smaller doc_id has. Texts that lose
     nothing stay as they are; others are their kept words joined by one space. Rows of one doc_id don't cut
     each other; a row without doc_id or text stays whole."""
-    cut = suffix_tree_dedup(docs, carry={f"own_{c}": F.col(c) for c in docs.columns})
-    changed = F.col("n_removed") > 0
-    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("own_text")), "n_chars": F.when(changed, F.length("kept")).otherwise(F.col("own_n_chars"))}
-    return cut.select(*((new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"own_{c}")).alias(c) for c in docs.columns))
+    cut = suffix_tree_dedup(docs, carry={f"own_{c}": F.col(c) for c in docs.columns if c != "text"})
+    n_chars = F.when(F.col("n_removed") > 0, F.length("rest").cast("long")).otherwise(F.col("own_n_chars"))
+    return cut.select(*((F.col("rest") if c == "text" else n_chars if c == "n_chars" else F.col(f"own_{c}")).alias(c) for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

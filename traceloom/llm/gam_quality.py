@@ -187,14 +187,14 @@ class Additive:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def _score(model: Additive):
-    """Features and score of each text in one pass; the columns after doc_id and text come along."""
+def _score(model: Additive, first: int):
+    """Features and score of each text in one pass; the columns from `first` on come along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [model.score(features(offsets, data)) for _, offsets, data in T.pieces(batch.column(1))]
             score = pa.array(np.concatenate(parts) if parts else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), score, *batch.columns[2:]], ["doc_id", "score", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), score, *batch.columns[first:]], ["doc_id", "score", *batch.schema.names[first:]])
 
     return run
 
@@ -215,7 +215,7 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return texts.where(F.xxhash64("text") == F.col("least")).dropDuplicates(["doc_id"]).select("doc_id", "text", "quality")
 
 
-def gam_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most: int = 40_000, carry: dict[str, Column] | None = None) -> DataFrame:
+def gam_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most: int = 40_000, carry: dict[str, Column] | None = None, keep_text: bool = False) -> DataFrame:
     """Score every text of docs (doc_id long, text string); labels: doc_id long, quality 0/1.
 
     The model is fitted on about `most` labelled rows (those of least hash) whose crc32(doc_id) mod 4 isn't
@@ -223,17 +223,18 @@ def gam_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most
     (score >= threshold). Null text: empty. Rows whose quality is null or not 0 or 1 teach nothing, nor do ids with both
     labels; without labels of both kinds every score is their smoothed share. Null doc_id: scored, not held out. Repeated
     rows are scored each; where ids repeat with different texts, one text teaches. An empty table gives an empty result. A
-    very long text is worked in one numpy pass of its task. The columns `carry` (by name in the result) come back
-    too, other columns are ignored.
+    very long text is worked in one numpy pass of its task. The columns `carry` (by name in the result) and, with
+    keep_text, the text come back too, other columns are ignored.
     """
     carry = carry or {}
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "utf-8").alias("text"))
     sample = _sample(plain, labels, most).mapInArrow(_features, ", ".join(["doc_id long", *(f"{f} double" for f in FEATURES), "quality int"])).toPandas().sort_values("doc_id")
     model = Additive().fit(sample[FEATURES].to_numpy(float), sample["quality"].to_numpy(float))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "utf-8").alias("text"), held_out(F.col("doc_id").cast("long")).alias("held_out"), *(c.alias(f"carried_{k}") for k, c in enumerate(carry.values())))
-    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:]]
-    scored = rows.mapInArrow(_score(model), ", ".join(["doc_id long, score double", *kinds]))
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(f"carried_{k}").alias(name) for k, name in enumerate(carry)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id").cast("long")).alias("held_out"), *(c.alias(f"carried_{k}") for k, c in enumerate(carry.values())))
+    first = 1 if keep_text else 2
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[first:]]
+    scored = rows.mapInArrow(_score(model, first), ", ".join(["doc_id long, score double", *kinds]))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *["text"][: keep_text], *(F.col(f"carried_{k}").alias(name) for k, name in enumerate(carry)))
 
 
 def op2_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

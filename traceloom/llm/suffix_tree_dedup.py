@@ -101,14 +101,16 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lo, hi = at[k], at[k + 1]
                 got = spans[row + k] or []
                 gone = T.covered(np.array([x["a"] for x in got], np.int64), np.array([x["b"] for x in got], np.int64), hi - lo)
-                if got:
-                    kept = b" ".join(data[a:b].tobytes() for a, b in zip(starts[lo:hi][~gone], ends[lo:hi][~gone], strict=True))
+                whole = data[offsets[k] : offsets[k + 1]].tobytes()
+                if gone.any():
+                    rest = kept = b" ".join(data[a:b].tobytes() for a, b in zip(starts[lo:hi][~gone], ends[lo:hi][~gone], strict=True))
                 else:
-                    kept = b" ".join(data[offsets[k] : offsets[k + 1]].tobytes().split())
-                for c, v in zip(out, (int(hi - lo), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()), strict=True):
+                    rest, kept = whole, b" ".join(whole.split())
+                for c, v in zip(out, (int(hi - lo), int(gone.sum()), hashlib.sha256(kept).hexdigest(), rest.decode()), strict=True):
                     c.append(v)
-        arrays = [batch.column(0), *(pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))]
-        yield pa.RecordBatch.from_arrays(arrays + [batch.column(i) for i in range(3, batch.num_columns)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", *batch.schema.names[3:]])
+        none = np.asarray(batch.column(1).is_null())
+        arrays = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string(), mask=none)]
+        yield pa.RecordBatch.from_arrays(arrays + [batch.column(i) for i in range(3, batch.num_columns)], ["doc_id", "n_words", "n_removed", "kept_sha256", "rest", *batch.schema.names[3:]])
 
 
 def suffix_tree_dedup(docs: DataFrame, window: int = 50, gram: int = 10, carry: dict[str, Column] | None = None) -> DataFrame:
@@ -116,7 +118,8 @@ def suffix_tree_dedup(docs: DataFrame, window: int = 50, gram: int = 10, carry:
 
     Words are runs without ASCII white space. docs: doc_id long, text string; the columns `carry` (by name in the
     result) come back too, others are ignored.
-    Returns doc_id, n_words, n_removed, kept_sha256, kept (kept words joined by one space). Null text:
+    Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), rest (these, or
+    the text as it was where nothing is removed, null for null). Null text:
     no words. A text of fewer than `window` words keeps all; a very long one is worked in one numpy pass of its
     task. A row without doc_id stays whole and matches nothing. Rows of one doc_id, with equal or different
     texts, don't remove each other, and each is cut by its own text. An empty table gives an empty result.
@@ -127,9 +130,9 @@ def suffix_tree_dedup(docs: DataFrame, window: int = 50, gram: int = 10, carry:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"), *(c.alias(f"carried_{k}") for k, c in enumerate(carry.values()))).withColumn("tag", F.xxhash64("text"))
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:-1]]
     joined = rows.join(spans, ["doc", "tag"], "left").select("doc", "text", "spans", *(f"carried_{k}" for k in range(len(carry))))
-    out = joined.mapInArrow(_remove, ", ".join(["doc_id long, n_words long, n_removed long, kept_sha256 string, kept string", *kinds]))
-    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept", *(F.col(f"carried_{k}").alias(name) for k, name in enumerate(carry)))
+    out = joined.mapInArrow(_remove, ", ".join(["doc_id long, n_words long, n_removed long, kept_sha256 string, rest string", *kinds]))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "rest", *(F.col(f"carried_{k}").alias(name) for k, name in enumerate(carry)))
 
 
 def op7_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_tree_dedup(read(spark, sf_dir, "documents")).drop("kept")
+    return suffix_tree_dedup(read(spark, sf_dir, "documents")).drop("rest")
