@@ -90,6 +90,57 @@ def test_op1_op6_odd_vectors(spark):
     assert kmeans_tree_search(empty, F.col("vec_id") % 20 == 0).count() == 0 and rp_forest_duplicates(empty).count() == 0
 
 
+def test_op1_recall_with_grown_trees_and_split_queries(spark):
+    """Recall against brute force where leaves, buckets, blocks and splits are many, with clusters and copies."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=(2000, 16)), rng.normal(size=(40, 16)).repeat(50, axis=0) + 0.05 * rng.normal(size=(2000, 16)), np.tile(rng.normal(size=16), (700, 1))])
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "vec_id long, embedding array<double>")
+    got = kmeans_tree_search(v, F.col("vec_id") % 5 == 0, leaf_rows=16, block_rows=300, query_rows=100).toPandas()
+    hits = 0
+    for q, f in got.groupby("query_id"):
+        f = f.sort_values("rank")
+        s = (x * x[q]).sum(axis=1)
+        assert len(f) == 20 and np.allclose(f["score"], s[f["vec_id"]]) and (np.diff(f["score"]) <= 0).all() and q not in set(f["vec_id"])
+        s[q] = -np.inf
+        hits += (f["score"] >= np.sort(s)[-20] - 1e-9).sum()
+    assert got["query_id"].nunique() == len(range(0, len(x), 5)) and hits / len(got) >= 0.9
+
+
+def test_op1_op6_repeated_rows_are_one(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.9, 0.0]), (2, [0.9, 0.0]), (3, [0.0, 1.0])]
+    v = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, rank int, leaf string")
+    got = kmeans_tree_search(v, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id) for r in got] == [(1, 1), (2, 2), (3, 3)]
+    links = {r.vec_id: (r.n_links, r.component_id) for r in rp_forest_duplicates(v).collect()}
+    assert links == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (0, 3)}
+
+
+def test_op6_links_are_those_of_brute_force(spark):
+    """Planted near copies, some close to the threshold, among unlike vectors."""
+    rng = np.random.default_rng(6)
+    x = [rng.normal(size=32) for _ in range(900)]
+    for i in range(300):
+        base = x[int(rng.integers(600))]
+        x.append(base + rng.normal(size=32) * np.linalg.norm(base) / np.sqrt(32) * rng.choice([0.05, 0.2, 0.3, 0.4]))
+    x += [x[7] * 2.0] * 40 + [x[8]] * 3
+    x = np.array(x)
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = u @ u.T >= 0.95
+    np.fill_diagonal(linked, False)
+    up = np.arange(len(x))
+    while True:
+        new = np.array([min(up[i], up[linked[i]].min(initial=len(x))) for i in range(len(x))])
+        if (new == up).all():
+            break
+        up = new
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in rp_forest_duplicates(v).collect()}
+    want = {i: (int(linked[i].sum()), int(up[i]), bool(up[i] == i)) for i in range(len(x))}
+    assert sum(w[0] for w in want.values()) > 1500
+    wrong = [i for i in want if got[i] != want[i]]
+    assert len(wrong) <= 0.01 * sum(w[0] > 0 for w in want.values())
+
+
 def test_op1_returns_all_candidates_of_small_tables(spark):
     x = np.random.default_rng(3).normal(size=(60, 8))
     for n in (21, 60):

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _vectors as V
@@ -103,109 +103,140 @@ def _leaf(tree: Tree, dim: int):
     return run
 
 
-def _visit(tree: Tree, dim: int, most: int, held: dict[int, int] | None = None, least: int = 0):
+def _visit(tree: Tree, dim: int, most: int, held: dict[int, int] | None, least: int, buckets: int):
+    """For each query a row for each bucket of leaves that it visits: the leaves and their places in its order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves = [tree.visits(q, most, held, least) for q in V.rows(batch.column(1).to_pylist(), dim)]
-            n = np.repeat(np.arange(len(leaves)), [len(x) for x in leaves])
-            order = [k for x in leaves for k in range(len(x))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(n)), batch.column(1).take(pa.array(n)), pa.array([i for x in leaves for i in x], pa.int64()), pa.array(order, pa.int32())], ["query_id", "q", "leaf", "visit"])
+            which, bucket, leaves, places = [], [], [], []
+            for i, q in enumerate(V.rows(batch.column(1).to_pylist(), dim)):
+                visited = np.array(tree.visits(q, most, held, least), np.int64)
+                of = visited % buckets
+                for b in np.unique(of).tolist():
+                    mine = np.flatnonzero(of == b)
+                    which.append(i)
+                    bucket.append(b)
+                    leaves.append(visited[mine].astype("<i4").tobytes())
+                    places.append(mine.astype("<i4").tobytes())
+            take = pa.array(which, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(bucket, pa.int32()), pa.array(leaves, pa.binary()), pa.array(places, pa.binary())], ["query_id", "q", "bucket", "leaves", "places"])
 
     return run
 
 
-def _score(dim: int, k: int, block: int = 256):
-    """The k nearest rows of one block of a leaf for each query that visits it."""
+_FOUND = "query_id long, found array<struct<minus:double,vec_id:long,visit:int>>"
+
+
+def _score(dim: int, k: int, chunk: int = 512):
+    """The k nearest rows for each query among those of its leaves in one block of a bucket."""
 
     def run(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out_ids, out = [], []
         if len(queries) and len(rows):
-            rows = rows.sort_values("vec_id")
-            ids, x = rows["vec_id"].to_numpy(np.int64), V.rows(rows["v"].tolist(), dim)
+            rows = rows.sort_values(["leaf", "vec_id"])
+            ids, x, leaf = rows["vec_id"].to_numpy(np.int64), V.rows(rows["v"].tolist(), dim), rows["leaf"].to_numpy(np.int64)
+            leaves, begin = np.unique(leaf, return_index=True)
+            ends = np.append(begin[1:], len(leaf))
             longest = np.linalg.norm(x, axis=1).max()
-            for lo in range(0, len(queries), block):
-                part = queries.iloc[lo : lo + block]
-                q = part["query_id"].to_numpy(np.int64)
-                asked = V.rows(part["q"].tolist(), dim)
-                s = asked @ x.T
+            for lo in range(0, len(queries), chunk):
+                part = queries.iloc[lo : lo + chunk]
+                q, asked = part["query_id"].to_numpy(np.int64), V.rows(part["q"].tolist(), dim)
+                want = [np.frombuffer(v, "<i4") for v in part["leaves"]]
+                of = np.repeat(np.arange(len(q)), [len(v) for v in want])
+                want, place = np.concatenate(want), np.concatenate([np.frombuffer(v, "<i4") for v in part["places"]])
+                s, visit = np.full((len(q), len(ids)), -np.inf), np.zeros((len(q), len(leaves)), np.int64)
+                for j, name in enumerate(leaves):
+                    here = np.flatnonzero(want == name)
+                    if len(here):
+                        s[of[here], begin[j] : ends[j]] = asked[of[here]] @ x[begin[j] : ends[j]].T
+                        visit[of[here], j] = place[here]
                 s[q[:, None] == ids[None, :]] = -np.inf
                 # The matrix product is off by rounding only: all within that of the k-th are scored exactly.
-                if len(ids) > 4 * k:
+                if len(ids) > k:
                     slack = 1e-12 * np.linalg.norm(asked, axis=1) * longest
                     least = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] - slack
                     r, c = np.nonzero((s >= least[:, None]) & np.isfinite(s))
                 else:
                     r, c = np.nonzero(np.isfinite(s))
-                s = V.paired(asked, x, r, c)
-                # Ids ascend, so a stable order by descending product puts ties to the smaller id.
-                order = np.lexsort((ids[c], -s, r))
-                r, c, s = r[order], c[order], s[order]
+                exact = V.paired(asked, x, r, c)
+                order = np.lexsort((ids[c], -exact, r))
+                r, c, exact = r[order], c[order], exact[order]
                 keep = np.arange(len(r)) - np.searchsorted(r, r) < k
-                r, c, s = r[keep], c[keep], s[keep]
-                out.append(pd.DataFrame({"query_id": q[r], "vec_id": ids[c], "score": s, "visit": part["visit"].to_numpy()[r]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "visit": pd.Series(dtype="int32")})
+                r, c, exact = r[keep], c[keep], exact[keep]
+                cut = np.searchsorted(r, np.arange(len(q) + 1))
+                seen = visit[r, np.searchsorted(begin, c, "right") - 1]
+                for i in np.flatnonzero(np.diff(cut)).tolist():
+                    mine = slice(cut[i], cut[i + 1])
+                    out_ids.append(q[i])
+                    out.append([{"minus": m, "vec_id": v, "visit": w} for m, v, w in zip((-exact[mine]).tolist(), ids[c[mine]].tolist(), seen[mine].tolist(), strict=True)])
+        return pd.DataFrame({"query_id": pd.Series(out_ids, dtype="int64"), "found": pd.Series(out, dtype=object)})
 
     return run
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """query_id, rank, vec_id, score, visit: the k best of what the blocks found, ties to the smaller vec_id."""
+    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("best"))
+    return best.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).alias("rank"), "b.vec_id", (-F.col("b.minus")).alias("score"), "b.visit")
+
+
+def _search(index: DataFrame, visits: DataFrame, splits: int, dim: int, k: int) -> DataFrame:
+    """What each query finds in the leaves that it visits, a row for each block with an answer. A bucket's rows are dealt in
+    blocks and the queries in splits, so that neither a hot leaf nor many queries make a large task."""
+    blocks = index.groupBy("bucket").agg((F.max("block") + 1).alias("blocks"))
+    asked = visits.join(F.broadcast(blocks), "bucket").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    asked = asked.withColumn("split", F.pmod(F.xxhash64("query_id"), F.lit(splits)).cast("int"))
+    rows = index.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    return asked.groupBy("bucket", "block", "split").cogroup(rows.groupBy("bucket", "block", "split")).applyInPandas(_score(dim, k), _FOUND)
 
 
-def _search(index: DataFrame, visits: DataFrame, dim: int, k: int) -> DataFrame:
-    """Scores of each query in the leaves that it visits. A leaf with many rows is dealt in blocks, and its
-    queries go to each block: its size is no task's size."""
-    blocks = index.groupBy("leaf").agg((F.max("block") + 1).alias("blocks"))
-    asked = visits.join(blocks, "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    return asked.groupBy("leaf", "block").cogroup(index.groupBy("leaf", "block")).applyInPandas(_score(dim, k), "query_id long, vec_id long, score double, visit int")
+def _hashed(df: DataFrame, seed: int, share: float) -> DataFrame:
+    """The rows whose vec_id's hash lies in the first `share` of all hashes."""
+    return df.where((F.xxhash64(F.lit(seed), "vec_id") / 2.0**64 + 0.5) < share)
 
 
-def kmeans_tree_search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.95, dim: int | None = None, sample: int = 20_000, branching: int = 12, leaves: int = 144, calibration: int = 128, block_rows: int = 4096, seed: int = 5) -> DataFrame:
+def kmeans_tree_search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.95, dim: int | None = None, sample: int = 20_000, branching: int = 12, leaf_rows: int = 64, calibration: int = 128, block_rows: int = 4096, query_rows: int = 8192, seed: int = 5) -> DataFrame:
     """Each query's k rows of largest inner product (double precision, original vectors), ties to smaller vec_id.
 
-    vectors: vec_id long, embedding array of numbers; is_query picks the queries among them. The tree is
-    fitted on a bounded sample (`sample` rows of least hash) with about `leaves` leaves; every row is indexed. How many leaves a
-    query visits is calibrated: `calibration` queries are compared with all rows in blocks, and the visits
-    widen until their recall is `recall`; a query whose leaves hold fewer than k candidates goes on to further
-    leaves. Returns query_id, rank (from 1), vec_id, score, visits (leaves allowed to all). `dim` is the length of
-    most vectors if not given. Vectors that are null, zero, of another length, or with null or non-finite components take no
-    part. Fewer candidates than k: all. Copies tie and are ordered by id. A null vec_id takes no part. No
-    usable vectors: an empty result.
+    vectors: vec_id long, embedding array of numbers; is_query (of vec_id) picks the queries among them. The tree is
+    fitted on about `sample` rows (those of least hash) and has a leaf for each `leaf_rows` rows, 144 at least and one for
+    16 sampled rows at most; every row is indexed. Leaves share buckets of about `block_rows` rows, and a query goes once to
+    each bucket with the leaves that it visits there. How many leaves a query visits is calibrated: about `calibration`
+    queries are compared with all rows, and the visits widen until their recall is `recall`; a query
+    whose leaves hold fewer than k candidates goes on to further leaves. Returns query_id, rank (from 1), vec_id,
+    score, visits (leaves allowed to all). `dim` is the length of most vectors if not given. Vectors that are null,
+    zero, of another length, or with null or non-finite components take no part. Fewer candidates than k: all. Copies
+    tie and are ordered by id. Rows that repeat a vec_id are one (of different vectors the least in byte order). A null
+    vec_id takes no part. No usable vectors: an empty result. Other columns are ignored.
     """
     if dim is None:
         dim = V.usual_length(vectors)
-    packed = table(vectors.select(F.col("vec_id").cast("long"), "embedding", F.coalesce(is_query, F.lit(False)).alias("is_query")).select("vec_id", "embedding").mapInArrow(_pack(dim), "vec_id long, v binary"))
-    picked = packed.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"].tolist()
-    tree = Tree(V.rows(picked, dim), branching, leaves, seed)
-    indexed = packed.mapInArrow(_leaf(tree, dim), "vec_id long, v binary, leaf long")
-    held = table(indexed.groupBy("leaf").agg(F.count("*").alias("held")))
-    indexed = indexed.join(held, "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.ceil(F.col("held") / block_rows)).cast("int"))
-    index = table(indexed.select("leaf", "block", "vec_id", "v"))
+    packed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_pack(dim), "vec_id long, v binary")
+    packed = table(packed.groupBy("vec_id").agg(F.min("v").alias("v")))
+    n, asking = packed.agg(F.count("*"), F.count_if(F.coalesce(is_query, F.lit(False)))).first()
+    picked = _hashed(packed, seed, sample / max(n, 1)).orderBy("vec_id").select("v").toPandas()["v"].tolist()
+    rows = V.rows(picked, dim)
+    tree = Tree(rows, branching, int(min(max(144, n / leaf_rows), max(144, len(rows) / 16))), seed)
+    buckets = max(1, round(n / block_rows))
+    indexed = packed.mapInArrow(_leaf(tree, dim), "vec_id long, v binary, leaf long").withColumn("bucket", (F.col("leaf") % buckets).cast("int"))
+    held = table(indexed.groupBy("bucket", "leaf").agg(F.count("*").alias("held")))
+    blocks = held.groupBy("bucket").agg(F.ceil(F.sum("held") / (2 * block_rows)).alias("blocks"))
+    indexed = indexed.join(F.broadcast(blocks), "bucket").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(seed)), "blocks").cast("int"))
+    index = table(indexed.select("bucket", "leaf", "block", "vec_id", "v"))
 
     queries = packed.where(is_query)
-    asked = queries.orderBy(F.xxhash64(F.lit(seed + 1), "vec_id"), "vec_id").limit(calibration)
-    visits = table(_calibrated(index, asked, tree, dim, k, block_rows, recall))
-    allowed = visits.first()
-    allowed = max(allowed[0], 1) if allowed else 1
-    # A query's own row, and those that repeat its id, are no candidates.
-    own = packed.where(is_query).groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    splits = max(1, -(-asking // query_rows))
+    asked = _hashed(queries, seed + 1, calibration / max(asking, 1))
+    every = asked.mapInArrow(_visit(tree, dim, len(tree.leaves), None, 0, buckets), "query_id long, q binary, bucket int, leaves binary, places binary")
+    truth = _top(_search(index, every, 1, dim, k), k).groupBy("visit").agg(F.count("*").alias("hits")).orderBy("visit").collect()
+    allowed, found, total = 1, 0, sum(r["hits"] for r in truth)
+    for r in truth:  # the places of the true neighbours' leaves in the visiting order say how recall grows
+        if found >= recall * total:
+            break
+        allowed, found = r["visit"] + 1, found + r["hits"]
     sizes = {r["leaf"]: r["held"] for r in held.collect()}
-    found = _search(index, queries.mapInArrow(_visit(tree, dim, allowed, sizes, k + own), "query_id long, q binary, leaf long, visit int"), dim, k)
-    return _top(found, k).select("query_id", "rank", "vec_id", "score", F.lit(allowed).alias("visits"))
-
-
-def _calibrated(index: DataFrame, asked: DataFrame, tree: Tree, dim: int, k: int, block_rows: int, recall: float) -> DataFrame:
-    """The least number of leaf visits at which the asked queries' true k nearest are found in the share `recall`.
-
-    All rows are scored for these few queries, with the place of each row's leaf in the query's visiting
-    order; the true neighbours' places say directly how recall grows with the visits.
-    """
-    every = asked.mapInArrow(_visit(tree, dim, len(tree.leaves)), "query_id long, q binary, leaf long, visit int")
-    truth = _top(_search(index, every, dim, k), k)
-    total = truth.agg(F.count("*").alias("total"))
-    by = truth.groupBy("visit").agg(F.count("*").alias("hits")).withColumn("upto", F.sum("hits").over(Window.orderBy("visit")))
-    return by.crossJoin(F.broadcast(total)).where(F.col("upto") >= recall * F.col("total")).agg((F.min("visit") + 1).alias("visits")).where("visits is not null")
+    visits = queries.mapInArrow(_visit(tree, dim, allowed, sizes, k + 1, buckets), "query_id long, q binary, bucket int, leaves binary, places binary")
+    return _top(_search(index, visits, splits, dim, k), k).select("query_id", "rank", "vec_id", "score", F.lit(allowed).alias("visits"))
 
 
 def op1_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

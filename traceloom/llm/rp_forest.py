@@ -148,7 +148,7 @@ def rp_forest_duplicates(vectors: DataFrame, cosine: float = 0.95, dim: int | No
     """Links between vectors of cosine >= `cosine` (double precision), and the groups that they form.
 
     vectors: vec_id long, embedding array of numbers. Equal vectors are one row with a count throughout,
-    so copies are never paired with each other. The forest is fitted on a bounded sample (`sample` rows);
+    so copies are never paired with each other. The forest is fitted on about `sample` rows (those of least hash);
     its trees deepen until a leaf holds about `leaf` vectors, spilled ones included, and no less than 16 sampled rows. A leaf over `block_rows` is compared in pairs
     of blocks, each a task of its own. Returns vec_id, n_links (other vectors linked), component_id (smallest
     vec_id reachable), kept. Vectors that are null, zero, of another length, or with null or non-finite
@@ -161,8 +161,8 @@ def rp_forest_duplicates(vectors: DataFrame, cosine: float = 0.95, dim: int | No
     unit = table(vectors.mapInArrow(_unit(dim), "vec_id long, v binary").distinct())
     classes = table(unit.groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")))
     n = classes.count()
-    picked = classes.orderBy(F.xxhash64(F.lit(seed), "first"), "first").limit(sample).select("v").toPandas()["v"].tolist()
-    rows = V.rows(picked, dim)
+    picked = classes.where((F.xxhash64(F.lit(seed), "first") / 2.0**64 + 0.5) < sample / max(n, 1)).orderBy("first")
+    rows = V.rows(picked.select("v").toPandas()["v"].tolist(), dim)
     rng = np.random.default_rng(seed)
     depth = _depth(rows, n, leaf, spill, rng)
     forest = [Tree(rows, depth, spill, rng) for _ in range(trees)]
