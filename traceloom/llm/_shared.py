@@ -34,6 +34,12 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that have ended: it does so once the driver's collector has seen that
+    nothing refers to them, which a large heap puts off for long."""
+    spark._jvm.System.gc()
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Delete all tables that this application has written. Results that aren't written yet need them."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))

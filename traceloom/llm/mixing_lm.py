@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._shared import buckets, read, table
+from ._shared import buckets, read, release, table
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -19,7 +19,7 @@ SPACE = 32
 _K = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 #: Texts of about so many bytes are worked together.
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 20
 MISS = 255
 #: Share codes count sixteenths of a bit.
 _FINE = 16
@@ -120,7 +120,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = len(offsets) - 1
             ids, held = batch.column(0).slice(first, m), batch.column(2).slice(first, m)
             one = pa.array([0, m], pa.int32())
-            cols = [pa.array([number]), pa.array([len(data)]), *(pa.ListArray.from_arrays(one, pa.concat_arrays([c])) for c in (ids, held)), pa.array([offsets.tobytes()], pa.binary()), pa.array([pa.compress(data.tobytes(), "zstd", asbytes=True)], pa.binary())]
+            cols = [pa.array([number]), pa.array([len(data)]), *(pa.ListArray.from_arrays(one, pa.concat_arrays([c])) for c in (ids, held)), pa.array([offsets.tobytes()], pa.binary()), pa.array([pa.Codec("zstd", compression_level=3).compress(data.tobytes(), asbytes=True)], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["block", "size", "doc_id", "held", "offsets", "data"])
             number += 1
 
@@ -450,10 +450,12 @@ def mixing_scores(docs: DataFrame, slice_bytes: int = 4 << 20) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8").alias("text"), held_out(F.col("doc_id").cast("long")).alias("held"))
     blocks = table(rows.mapInArrow(_blocks, _BLOCK))
     slices = min(buckets(blocks.agg(F.sum("size")).first()[0] or 0, slice_bytes), 1 << 23)
-    answers = blocks.mapInArrow(_ask(slices), _QUESTION).groupBy("slice").applyInPandas(_answer, _ANSWER)
-    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("slice", "pairs", "words")).alias("answers"), F.sum("total").alias("total"), F.sum("kinds").alias("kinds"))
+    answers = table(blocks.mapInArrow(_ask(slices), _QUESTION).groupBy("slice").applyInPandas(_answer, _ANSWER))
+    release(spark)  # what was asked is larger than what comes after it
+    total, kinds = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("slice", "pairs", "words")).alias("answers"))
     asked = table(blocks.join(by_block, "block"))
-    total, kinds = asked.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    release(spark)
     shared = spark.sparkContext.broadcast(_model(asked, slices))
     return asked.mapInArrow(_score(shared, slices, int(total), int(kinds)), _SCORED)
 
