@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def positions(reads: DataFrame, key: str = "cluster_id", read: str = "read") -> DataFrame:
     """key, read_no, pos (from 1), base."""
-    chars = F.split(read, "")
-    return reads.where(F.length(read) > 0).select(key, "read_no", F.posexplode(chars).alias("pos", "base")).withColumn("pos", F.col("pos") + 1)
+    places = F.explode(F.sequence(F.lit(1), F.length(read)))
+    return reads.where(F.length(read) > 0).select(key, "read_no", read, places.alias("pos")).select(key, "read_no", "pos", F.substring(read, F.col("pos"), F.lit(1)).alias("base"))
+
+
+#: Clusters of more reads are counted base by base, with partial counts before the shuffle, not gathered by cluster.
+HOT = 1 << 16
 
 
 def votes(reads: DataFrame, key: str = "cluster_id", weight: str | None = None) -> DataFrame:
-    p = positions(reads, key) if weight is None else positions(reads, key).join(reads.select(key, "read_no", weight), [key, "read_no"])
-    n = F.count("*") if weight is None else F.sum(weight)
-    return p.groupBy(key, "pos", "base").agg(n.alias("n"), F.min("read_no").alias("seen"))
+    """key, pos, base, n (reads, or their summed weight), seen (the first read_no)."""
+    if weight is not None:
+        p = positions(reads, key).join(reads.select(key, "read_no", weight), [key, "read_no"])
+        return p.groupBy(key, "pos", "base").agg(F.sum(weight).alias("n"), F.min("read_no").alias("seen"))
+    return _by_cluster(reads.select(key, "read_no", "read"), key, lambda r: positions(r, key).groupBy(key, "pos", "base").agg(F.count("*").alias("n"), F.min("read_no").alias("seen")))
+
+
+def _by_cluster(reads: DataFrame, key: str, count: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """count(reads), where reads are first dealt whole by key, so that what counts their bases and groups them again moves
+    nothing. Clusters over HOT aren't dealt: Spark counts their bases in part before it shuffles the counts."""
+    hot = reads.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(key)
+    if hot.isEmpty():
+        return count(reads.repartition(key))
+    return count(reads.join(hot, key, "left_anti").repartition(key)).unionByName(count(reads.join(hot, key, "left_semi")))
 
 
 def spell(winners: DataFrame, key: str = "cluster_id") -> DataFrame:
@@ -24,11 +41,24 @@ def spell(winners: DataFrame, key: str = "cluster_id") -> DataFrame:
 
 
 def plain_vote(reads: DataFrame, key: str = "cluster_id") -> DataFrame:
-    """Most frequent base of each position up to the shortest read; ties by least md5 of key, position and base."""
-    shortest = reads.groupBy(key).agg(F.min(F.length("read")).alias("shortest"))
-    tie = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("pos").cast("string"), "base"))
-    v = votes(reads, key).join(shortest, key).where(F.col("pos") <= F.col("shortest"))
-    return spell(v.groupBy(key, "pos").agg(F.max_by("base", F.struct("n", F.translate(tie, "0123456789abcdef", "fedcba9876543210"))).alias("base")), key)
+    """Most frequent base of each position up to the shortest read; ties by least md5 of key, position and base.
+
+    A position's winner is the greatest of one number a base: its count, then 31 bits of the md5 (turned, the least
+    first), then the base's code, so that all groupings are hash aggregates. Place 0 counts all reads:
+    positions that fewer reads reach lie behind the shortest one's end."""
+    def count(r: DataFrame) -> DataFrame:
+        code = F.when(F.col("pos") > 0, F.ascii(F.substring("read", F.col("pos"), F.lit(1)))).otherwise(0)
+        places = r.select(key, "read", F.explode(F.sequence(F.lit(0), F.length("read"))).alias("pos")).select(key, "pos", code.alias("code"))
+        n = places.groupBy(key, "pos", "code").agg(F.count("*").alias("n"))
+        md5 = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("pos").cast("string"), F.char("code")))
+        tie = F.lit((1 << 31) - 1) - F.shiftright(F.conv(F.substring(md5, 1, 8), 16, 10).cast("long"), 1)
+        order = F.shiftleft("n", 32 + 7) + F.shiftleft(tie, 7) + F.col("code")
+        return n.groupBy(key, "pos").agg(F.max(order).alias("best"), F.sum("n").alias("depth"))
+
+    won = _by_cluster(reads.where("read is not null").select(key, "read_no", "read"), key, count)
+    listed = won.groupBy(key).agg(F.max(F.when(F.col("pos") == 0, F.col("depth"))).alias("size"), F.array_sort(F.collect_list(F.when(F.col("pos") > 0, F.struct("pos", "depth", F.char(F.col("best").bitwiseAND(127)).alias("base"))))).alias("all"))
+    whole = F.filter("all", lambda x: x["depth"] == F.col("size"))
+    return listed.where(F.size(whole) > 0).select(key, F.array_join(F.transform(whole, lambda x: x["base"]), "").alias("consensus"))
 
 
 def gap_weighted_vote(reads: DataFrame, key: str = "cluster_id", gap_weight: float = 0.4, weight: str | None = None) -> DataFrame:
@@ -79,11 +109,16 @@ def position_metrics(reads: DataFrame, truths: DataFrame, key: str = "cluster_id
 
 
 def medoid(reads: DataFrame, length: int, key: str = "cluster_id") -> DataFrame:
-    """The read with the least summed edit distance to the others; ties: closest to length, then first."""
-    a = reads.select(key, F.col("read_no").alias("i"), F.col("read").alias("a"))
-    b = reads.select(key, F.col("read_no").alias("j"), F.col("read").alias("b"))
-    total = a.join(b, key).groupBy(key, "i", "a").agg(F.sum(F.levenshtein("a", "b")).alias("total"))
-    return total.groupBy(key).agg(F.min_by("a", F.struct("total", F.abs(F.length("a") - length), "i")).alias("consensus"))
+    """The read with the least summed edit distance to the others; ties: closest to length, then first. Equal reads
+    are one with a count, and each pair of different ones is measured once. Its work is the square of a
+    cluster's different reads, spread over their pairs."""
+    n = reads.groupBy(key, "read").agg(F.count("*").alias("copies"), F.min("read_no").alias("i"))
+    a, b = (n.select(key, F.col("i").alias(i), F.col("read").alias(r), F.col("copies").alias(c)) for i, r, c in (("i", "a", "m"), ("j", "b", "n")))
+    d = a.join(b, key).where("i < j").select(key, "i", "j", "m", "n", F.levenshtein("a", "b").alias("d"))
+    both = F.explode(F.array(F.struct(F.col("i").alias("i"), (F.col("n") * F.col("d")).alias("d")), F.struct(F.col("j").alias("i"), (F.col("m") * F.col("d")).alias("d"))))
+    total = d.select(key, both.alias("x")).groupBy(key, F.col("x.i").alias("i")).agg(F.sum("x.d").alias("total"))
+    best = n.join(total, [key, "i"], "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    return best.groupBy(key).agg(F.min_by("read", F.struct("total", F.abs(F.length("read") - length), "i")).alias("consensus"))
 
 
 def half_vote(reads: DataFrame, length: int, key: str = "cluster_id") -> DataFrame:
