@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ._shared import read
 
-#: Parts whose ids a worker remembers; when full, it starts anew.
-REMEMBERED = 600_000
+#: Parts whose ids are remembered within a partition; when full, the memory starts anew.
+REMEMBERED = 1_000_000
 #: White space as the vocabulary's splitter has it (fixed by Unicode's White_Space property).
 _WS = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: The splitter of byte-level BPE vocabularies (fixed by the vocabulary).
@@ -235,6 +235,8 @@ def _run(path: str, keep: bool):
             cols = [batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
             yield pa.RecordBatch.from_arrays(cols if keep else cols[:4], names if keep else names[:4])
+        e.plain.clear()
+        e.spaced.clear()
 
     return run
 

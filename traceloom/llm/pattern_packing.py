@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ._shared import buckets, read, table
 
-#: Words whose ids a worker remembers; when full, it starts anew.
-REMEMBERED = 400_000
+#: Words whose ids are remembered within a partition; when full, the memory starts anew.
+REMEMBERED = 1_000_000
 _known: dict[str, _Words] = {}
 
 
@@ -65,17 +65,20 @@ def token_ids(texts: list[bytes], vocabulary: str) -> Iterator[bytes]:
     if vocabulary not in _known:
         _known[vocabulary] = _Words(vocabulary)
     words = _known[vocabulary]
-    i = 0
-    while i < len(texts):
-        size, j = 0, i
-        while j < len(texts) and (j == i or size < 1 << 20):
-            size += len(texts[j])
-            j += 1
-        parts = [t.split() for t in texts[i:j]]
-        words.learn(set().union(*parts))
-        for p in parts:
-            yield b"".join(map(words.known.__getitem__, p))
-        i = j
+    known = words.known
+    for i in range(0, len(texts), 256):
+        some = texts[i : i + 256]
+        found = [list(map(known.get, t.split())) for t in some]
+        if any(None in f for f in found):
+            lost = [t.split() for t, f in zip(some, found, strict=True) if None in f]
+            words.learn(set().union(*lost))
+            for k, f in enumerate(found):
+                if None in f:  # the memory may have begun anew
+                    found[k] = [known.get(p) for p in some[k].split()]
+                    if None in found[k]:
+                        words.learn(set(some[k].split()))
+                        found[k] = [known[p] for p in some[k].split()]
+        yield from map(b"".join, found)
 
 
 def _pieces(vocabulary: str, size: int, end_id: int):
@@ -93,6 +96,8 @@ def _pieces(vocabulary: str, size: int, end_id: int):
                         c.append(v)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        if vocabulary in _known:
+            _known[vocabulary].known.clear()
 
     return run
 
