@@ -25,21 +25,23 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/traceloom/{spark.sparkContext.applicationId}"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and return a reader of it, so that a lost
-    executor costs a reread and never a recomputation of what came before."""
+    executor costs a reread and never a recomputation of what came before. The write's shuffle files go when it ends:
+    nothing reads them again."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, before = f"{_folder(spark)}/{uuid.uuid4().hex}", spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that have ended: it does so once the driver's collector has seen that
-    nothing refers to them, which a large heap puts off for long."""
-    spark._jvm.System.gc()
-
-
 def drop_tables(spark: SparkSession) -> None:
     """Delete all tables that this application has written. Results that aren't written yet need them."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
