@@ -193,6 +193,51 @@ def distance(a, b):
     return row[-1]
 
 
+def pointers(rs, length, window=2):
+    out, p = "", [0] * len(rs)
+    show = lambda r, i: r[i : i + 1]
+
+    def majority(shown):
+        n = [(sum(c == b for c in shown), -k, b) for k, b in enumerate("ACGT")]
+        return max(n)[2] if max(n)[0] else ""
+
+    while len(out) < length and (won := majority([show(r, i) for r, i in zip(rs, p, strict=True)])):
+        ahead = [majority([show(r, i + j) for r, i in zip(rs, p, strict=True) if show(r, i) == won]) for j in range(1, window + 1)]
+        for k, r in enumerate(rs):
+            if show(r, p[k]) == won:
+                p[k] += 1
+            elif show(r, p[k]):
+                agree = lambda shift, n: sum(ahead[j] != "" and show(r, p[k] + j + shift) == ahead[j] for j in range(n))  # noqa: B023, E731
+                scores = [(agree(1, window), 1), (agree(0, window), 0), ((show(r, p[k] + 1) == won) + agree(2, window - 1), 2)]
+                p[k] += max(scores, key=lambda s: s[0])[1]
+        out += won
+    return out
+
+
+def test_lookahead_vote_is_the_plain_loop(spark):
+    import random
+
+    rng = random.Random(3)
+    clusters = {}
+    for i in range(60):
+        gt = "".join(rng.choice("ACGT") for _ in range(40))
+        noisy = lambda g: "".join(x if (u := rng.random()) > 0.15 else rng.choice("ACGT") if u < 0.05 else "" if u < 0.1 else x + rng.choice("ACGT") for x in g)
+        clusters[i] = [noisy(gt) for _ in range(rng.randrange(1, 8))]
+    df = spark.createDataFrame([(i, k, r) for i, rs in clusters.items() for k, r in enumerate(rs, 1)], "cluster_id long, read_no int, read string")
+    got = {r.cluster_id: r.consensus for r in C.lookahead_vote(df, 40).collect()}
+    assert got == {i: pointers(rs, 40) for i, rs in clusters.items()}
+
+
+def test_plain_vote_of_hot_clusters(spark, monkeypatch):
+    """Clusters over the bound are counted another way, with the same winners."""
+    r = fixture.reads(spark, SF).select("cluster_id", "read_no", "read")
+    r = r.unionByName(spark.createDataFrame([(-1, 1, ""), (-1, 2, "AC"), (-2, 1, "ACG"), (-2, 2, "AT")], r.schema))
+    want = rows(C.plain_vote(r).toPandas())
+    monkeypatch.setattr(C, "HOT", 3)
+    assert rows(C.plain_vote(r).toPandas()) == want and rows(C.gap_weighted_vote(r).toPandas()) == rows(C.gap_weighted_vote(r.repartition(3)).toPandas())
+    assert ("-2", "AT") not in want and "-1" not in {w[0] for w in want}
+
+
 def test_sub_clusters_keep_their_bounds(spark):
     sizes = registry.QUERIES["p8_sub_clusters"](spark, SF).select(F.size("reads").alias("n")).agg(F.min("n"), F.max("n")).first()
     assert 1 <= sizes[0] and sizes[1] <= 4

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -147,6 +148,46 @@ def ensemble_vote(predictions: DataFrame, key: str = "cluster_id") -> DataFrame:
     return won.groupBy(key, "n").agg(F.regexp_replace(text, "-+$", "").alias("consensus"), F.avg(F.col("m") / F.col("n")).alias("mean_agreement"), F.min(F.col("m") / F.col("n")).alias("min_agreement"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def lookahead_vote(reads: DataFrame, length: int, window: int = 2, key: str = "cluster_id") -> DataFrame:
+    """A pointer in each read; at each step the majority symbol of what the pointers show is written (ties: A C G T), up to
+    `length`. The reads that show it move on by one. The `window` symbols that most of these show next say what
+    befell each other read: its symbol was replaced (move 1), the symbol is missing (0), or one stands before it
+    (2); the guess under which more of its next symbols agree wins, in this order."""
+    lists = reads.where(F.length("read") > 0).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("read_no", "read"))), lambda x: x["read"]).alias("rs"))
+    symbols = F.array(*(F.struct(F.lit(-i).alias("o"), F.lit(b).alias("b")) for i, b in enumerate("ACGT")))
+
+    def majority(shown: Column) -> Column:
+        best = F.array_max(F.transform(symbols, lambda x: F.struct(F.size(F.filter(shown, lambda c: c == x["b"])).alias("n"), x["o"].alias("o"), x["b"].alias("b"))))
+        return _let(best, lambda v: F.when(v["n"] > 0, v["b"]).otherwise(""))
+
+    def move(read: Column, p: Column, won: Column, ahead: Column) -> Column:
+        at = lambda k: F.substring(read, p + k, F.lit(1))
+        same = lambda shift, n: sum(((at(j + shift) == ahead[j]) & (ahead[j] != "")).cast("int") for j in range(n))
+        replaced, missing, extra = same(1, window), same(0, window), (at(1) == won).cast("int") + same(2, window - 1)
+        guess = F.when((replaced >= missing) & (replaced >= extra), 1).when(missing >= extra, 0).otherwise(2)
+        return F.when(at(0) == won, 1).when(at(0) == "", 0).otherwise(guess)
+
+    def step(s: Column, _: Column) -> Column:
+        pairs = F.arrays_zip(F.col("rs").alias("r"), s["p"].alias("p"))
+
+        def go_on(won: Column) -> Column:
+            agree = F.filter(pairs, lambda x: F.substring(x["r"], x["p"], F.lit(1)) == won)
+            next_ = lambda j: F.transform(agree, lambda x: F.substring(x["r"], x["p"] + j, F.lit(1)))
+            ahead = F.array(*(majority(next_(j)) for j in range(1, window + 1)))
+            moved = lambda a: F.transform(pairs, lambda x: x["p"] + move(x["r"], x["p"], won, a))
+            return F.when(won == "", s).otherwise(F.struct(F.concat(s["out"], won).alias("out"), _let(ahead, moved).alias("p")))
+
+        return _let(majority(F.transform(pairs, lambda x: F.substring(x["r"], x["p"], F.lit(1)))), go_on)
+
+    start = F.struct(F.lit("").alias("out"), F.transform("rs", lambda x: F.lit(1)).alias("p"))
+    return lists.select(key, F.aggregate(F.sequence(F.lit(1), F.lit(length)), start, step, lambda s: s["out"]).alias("consensus"))
+
+
 #: Consensus by name; each takes (reads, length) and returns key and consensus.
 METHODS = {
     "plain": lambda r, n: plain_vote(r),
@@ -157,10 +198,47 @@ METHODS = {
     "medoid": medoid,
     "half": half_vote,
     "exact": exact_vote,
+    "lookahead": lookahead_vote,
 }
 
 
+def register(name: str, method: Callable[[DataFrame, int], DataFrame]) -> None:
+    """Add a method: (reads, length) to a DataFrame of key, consensus and, if it has one, error."""
+    METHODS[name] = method
+
+
+def plug_in(function: Callable[[list[str], int], str], most: int = 10_000, key: str = "cluster_id") -> Callable[[DataFrame, int], DataFrame]:
+    """A method from a Python function of a cluster's reads, in order, and the wanted length. A cluster on which it
+    raises, or of over `most` reads, has a null consensus and says why in `error`."""
+
+    def method(reads: DataFrame, length: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                made, said = [], []
+                for rs in batch.column(1).to_pylist():
+                    try:
+                        made.append(str(function(rs, length)))
+                        said.append(None)
+                    except Exception as e:  # whatever a user's function raises belongs to its cluster
+                        made.append(None)
+                        said.append(f"{type(e).__name__}: {e}")
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string()), pa.array(said, pa.string())], [key, "consensus", "error"])
+
+        n = reads.groupBy(key).agg(F.count("*").alias("n"))
+        few = reads.join(n.where(F.col("n") <= most).select(key), key, "left_semi")
+        lists = few.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("read_no", "read"))), lambda x: x["read"]).alias("rs"))
+        kind = reads.schema[key].dataType.simpleString()
+        many = n.where(F.col("n") > most).select(key, F.lit(None).cast("string").alias("consensus"), F.concat(F.lit("too many reads: "), F.col("n").cast("string")).alias("error"))
+        return lists.mapInArrow(run, f"{key} {kind}, consensus string, error string").unionByName(many)
+
+    return method
+
+
 def consensus(reads: DataFrame, method: str, length: int = 110) -> DataFrame:
-    """Consensus of every cluster; a cluster without one keeps a null."""
+    """cluster_id, consensus, error: one row for every cluster. A cluster for which the method has none keeps a null, and
+    what its method said of it, or that it gave none."""
     keys = reads.select("cluster_id").distinct()
-    return keys.join(METHODS[method](reads, length), "cluster_id", "left")
+    made = METHODS[method](reads, length)
+    made = made if "error" in made.columns else made.withColumn("error", F.lit(None).cast("string"))
+    out = keys.join(made, "cluster_id", "left")
+    return out.withColumn("error", F.when(F.col("consensus").isNull(), F.coalesce("error", F.lit("no consensus"))))

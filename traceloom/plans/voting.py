@@ -184,3 +184,32 @@ def m1(spark, sf):
 @query("a41_cluster_assembly", f"{VIEWS} SELECT cluster_id, count(*) AS n, string_agg(read, '|' ORDER BY read_no) AS reads FROM rd GROUP BY cluster_id HAVING count(*) >= 2")
 def a41(spark, sf):
     return clusters(spark, sf).where(F.size("reads") >= 2).select("cluster_id", F.size("reads").cast("long").alias("n"), F.array_join("reads", "|").alias("reads"))
+
+
+@query("v11_lookahead_vote")
+def v11(spark, sf):
+    """Consensus by pointers that look two symbols ahead (tested against a plain loop)."""
+    return C.lookahead_vote(reads(spark, sf), 110)
+
+
+def _first_of_several(rs: list[str], length: int) -> str:
+    if len(rs) < 2:
+        raise ValueError("one read alone")
+    return rs[0][:length]
+
+
+@query("x1_x3_x4_methods", f"""{VIEWS}, sz AS (SELECT cluster_id, any_value(gt) AS gt, count(*) AS n FROM rd GROUP BY cluster_id),
+e AS (SELECT cluster_id, arg_min(read, concat(lpad(cast(1000000 - n AS varchar), 9, '0'), read)) AS c FROM (SELECT cluster_id, read, count(*) AS n FROM rd WHERE length(read) = 110 GROUP BY ALL) GROUP BY ALL),
+f AS (SELECT cluster_id, substr(arg_min(read, read_no), 1, 110) AS c FROM rd GROUP BY cluster_id HAVING count(*) > 1),
+u AS (SELECT 'exact' AS method, sz.gt, c, CASE WHEN c IS NULL THEN 'no consensus' END AS error FROM sz LEFT JOIN e USING (cluster_id) UNION ALL SELECT 'first_of_several', sz.gt, c, CASE WHEN c IS NULL THEN 'ValueError: one read alone' END FROM sz LEFT JOIN f USING (cluster_id))
+SELECT method, error, count(*) AS clusters, round(avg(coalesce(levenshtein(c, gt) / length(gt), 1)), 6) AS lev_mean FROM u GROUP BY ALL""")
+def x1(spark, sf):
+    """Methods from the registry, one of them a user's function, by what became of the clusters: a failed one counts with a
+    distance of 1."""
+    C.register("first_of_several", C.plug_in(_first_of_several))
+    r = reads(spark, sf)
+    truths = ground_truth(spark, sf).withColumnRenamed("gt_id", "cluster_id")
+    both = [C.consensus(r, m).join(truths, "cluster_id").withColumn("method", F.lit(m)) for m in ("exact", "first_of_several")]
+    all_ = both[0].unionByName(both[1])
+    lev = F.coalesce(F.levenshtein("consensus", "gt") / F.length("gt"), F.lit(1.0))
+    return all_.groupBy("method", "error").agg(F.count("*").alias("clusters"), M.r6(F.avg(lev)).alias("lev_mean"))
