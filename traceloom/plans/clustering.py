@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import index_value
 from ..operators.joins import best_match, prefix_hits, shortest_unique_prefix
 from ..operators.metrics import r6
+from ..operators.ranks import rank_within
 from ..sources.fixture import VIEWS, ground_truth, reads
 from ._register import query
 
@@ -128,9 +128,10 @@ def j12(spark, sf):
 @query("j19_pair_concatenation", f"{VIEWS}, c AS (SELECT cluster_id, gt, count(*) AS n FROM rd GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY cluster_id) AS k FROM c) SELECT a.cluster_id AS a, b.cluster_id AS b, a.n, concat(a.gt, b.gt) AS gt FROM r a JOIN r b ON a.n = b.n AND a.k % 2 = 1 AND b.k = a.k + 1")
 def j19(spark, sf):
     c = reads(spark, sf).groupBy("cluster_id", "gt").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("n").orderBy("cluster_id")
-    r = c.withColumn("k", F.row_number().over(w)).withColumn("b", F.lead("cluster_id").over(w)).withColumn("gb", F.lead("gt").over(w))
-    return r.where("k % 2 = 1 and b is not null").select(F.col("cluster_id").alias("a"), "b", "n", F.concat("gt", "gb").alias("gt"))
+    pair = F.expr("(k + 1) div 2")
+    r = rank_within(c, ["n"], "cluster_id").withColumn("pair", pair)
+    two = r.groupBy("n", "pair").agg(F.min_by(F.struct("cluster_id", "gt"), "k").alias("a"), F.max_by(F.struct("cluster_id", "gt"), "k").alias("b"), F.count("*").alias("m"))
+    return two.where("m = 2").select(F.col("a.cluster_id").alias("a"), F.col("b.cluster_id").alias("b"), "n", F.concat("a.gt", "b.gt").alias("gt"))
 
 
 @query("j18_u5_dataset_comparison", f"{VIEWS}, l AS (SELECT gt_id, gt FROM gt), r AS (SELECT gt_id, CASE WHEN gt_id % 97 = 0 THEN reverse(gt) ELSE gt END AS gt FROM gt WHERE gt_id % 89 <> 0) SELECT count(l.gt_id) AS in_left, count(r.gt_id) AS in_right, count(*) FILTER (WHERE l.gt IS DISTINCT FROM r.gt) AS differing, min(coalesce(l.gt_id, r.gt_id)) FILTER (WHERE l.gt IS DISTINCT FROM r.gt) AS first_differing FROM l FULL JOIN r ON l.gt_id = r.gt_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import seeded
 from ..operators.metrics import r6
+from ..operators.ranks import rank_within
 from ..sources.fixture import VIEWS, clusters, ground_truth, reads, table
 from ._register import query
 
@@ -91,9 +92,13 @@ def a39(spark, sf):
 @query("t4_worst_share_by_size", f"{_SZ}, d AS (SELECT cluster_id, n, sum(levenshtein(read, rd.gt)) AS d FROM rd JOIN sz USING (cluster_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY d DESC, cluster_id) AS k, count(*) OVER (PARTITION BY n) AS m FROM d) SELECT cluster_id, n, cast(d AS bigint) AS d FROM r WHERE k <= greatest(1, ceil(0.05::double * m))")
 def t4(spark, sf):
     d = reads(spark, sf).groupBy("cluster_id").agg(F.count("*").alias("n"), F.sum(F.levenshtein("read", "gt").cast("long")).alias("d"))
-    w = Window.partitionBy("n").orderBy(F.desc("d"), "cluster_id")
-    k = d.withColumn("k", F.row_number().over(w)).withColumn("m", F.count("*").over(Window.partitionBy("n")))
-    return k.where(F.col("k") <= F.greatest(F.lit(1), F.ceil(F.col("m") * F.lit(0.05)))).select("cluster_id", "n", "d")
+    by = d.groupBy("n", "d").agg(F.count("*").alias("same"))  # few rows: distances of a size
+    of = Window.partitionBy("n")
+    above = F.coalesce(F.sum("same").over(of.orderBy(F.desc("d")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by = by.select("n", "d", above.alias("above"), F.sum("same").over(of).alias("m"))
+    share = F.greatest(F.lit(1), F.ceil(F.col("m") * F.lit(0.05)))
+    ranked = rank_within(d.join(by, ["n", "d"]).where(F.col("above") < share), ["n", "d"], "cluster_id")
+    return ranked.where(F.col("above") + F.col("k") <= share).select("cluster_id", "n", "d")
 
 
 @query("t2_t3_top_k", f"{VIEWS} SELECT cluster_id, cast(sum(levenshtein(read, gt)) AS bigint) AS d FROM rd GROUP BY cluster_id ORDER BY d DESC, cluster_id LIMIT 10")
