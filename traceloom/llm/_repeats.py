@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._shared import buckets, table
+from ._shared import buckets, table, tidy
 
 RUN = "array<struct<off:int,len:int,doc:long,pos:long>>"
 #: symbols and match: values of a segment's symbols, and runs of repeated windows of a group's segments.
@@ -210,11 +210,11 @@ def repeated_spans(docs: DataFrame, unit: str, window: int, gram: int, match: Ma
     rule(doc, pos, first doc, first pos) says which occurrences of a repeated window count.
     """
     docs = docs.where(F.col("doc").isNotNull() & F.col("text").isNotNull()).select("doc", "text", "tag")
-    found = table(docs.mapInArrow(_find_runs(unit, window, gram), "anchor long, doc long, tag long, x0 int, n int, dist int"))
+    found = table(docs.mapInArrow(tidy(_find_runs(unit, window, gram)), "anchor long, doc long, tag long, x0 int, n int, dist int"))
     seen = table(found.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen > 1").select("anchor"))
     by_doc = found.join(seen, "anchor").groupBy("doc", "tag").agg(F.collect_set(F.struct("x0", "n", "dist", "anchor")).alias("cuts"))
     cut = docs.join(by_doc, ["doc", "tag"]).select("doc", "tag", F.encode("text", "utf-8").alias("text"), "cuts")
-    segments = table(cut.mapInArrow(_cut(unit, window), _ddl(_SEGMENT)))
+    segments = table(cut.mapInArrow(tidy(_cut(unit, window)), _ddl(_SEGMENT)))
 
     first = F.min(F.struct("doc", "pos")).alias("first")
     kept = ["n", "dist", "copies", "first.doc", "first.pos", "segment"]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,23 +28,39 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/traceloom/{spark.sparkContext.applicationId}"
 
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written, its shuffle files go as soon as it ends, since nothing reads them again, and Arrow
+#: batches are small, as the rows hold whole texts.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def table(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and return a reader of it, so that a lost
-    executor costs a reread and never a recomputation of what came before. The write's shuffle files go when it ends:
-    nothing reads them again."""
+    executor costs a reread and never a recomputation of what came before."""
     spark = df.sparkSession
-    path, before = f"{_folder(spark)}/{uuid.uuid4().hex}", spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    before = {k: spark.conf.get(k) for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(run: Callable) -> Callable:
+    """run over a partition's batches, after which the worker, which lives on, gives the memory it no longer uses back."""
+
+    def done(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return done
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Delete all tables that this application has written. Results that aren't written yet need them."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))

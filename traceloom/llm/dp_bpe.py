@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import read
+from ._shared import read, tidy
 
 #: Parts whose ids are remembered within a partition; when full, the memory starts anew.
 REMEMBERED = 1_000_000
@@ -251,7 +251,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, keep: bool = True) -> DataF
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return rows.mapInArrow(_run(vocabulary, keep), schema + ", ids array<int>, decoded string" * keep)
+    return rows.mapInArrow(tidy(_run(vocabulary, keep)), schema + ", ids array<int>, decoded string" * keep)
 
 
 def byte_vocabulary() -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._shared import read
+from ._shared import read, tidy
 
 #: Byte classes that are counted.
 _KIND = np.full(256, 7, np.int64)  # other symbols
@@ -233,7 +233,7 @@ def gam_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id").cast("long")).alias("held_out"), *(c.alias(f"carried_{k}") for k, c in enumerate(carry.values())))
     first = 1 if keep_text else 2
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[first:]]
-    scored = rows.mapInArrow(_score(model, first), ", ".join(["doc_id long, score double", *kinds]))
+    scored = rows.mapInArrow(tidy(_score(model, first)), ", ".join(["doc_id long, score double", *kinds]))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *["text"][: keep_text], *(F.col(f"carried_{k}").alias(name) for k, name in enumerate(carry)))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._repeats import Segments, repeated_spans
-from ._shared import read
+from ._shared import read, tidy
 
 
 def suffix_ranks(data: np.ndarray, window: int) -> np.ndarray:
@@ -111,7 +111,7 @@ def lpf_dedup(docs: DataFrame, window: int = 400, gram: int = 64, keep_first: bo
         return ((doc > first_doc) | ((doc == first_doc) & (pos > first_pos))) if keep_first else F.lit(True)
 
     spans = repeated_spans(rows, "byte", window, gram, match(window, keep_first), later)
-    return rows.join(spans, ["doc", "tag"], "left").select("doc", "text", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.join(spans, ["doc", "tag"], "left").select("doc", "text", "spans").mapInArrow(tidy(_remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op8_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._shared import buckets, read, table
+from ._shared import buckets, read, table, tidy
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -382,7 +382,7 @@ def _added(frame: pd.DataFrame) -> pd.DataFrame:
 def _model(asked: DataFrame, slices: int, fan_in: int = 24) -> Model:
     """The partitions' models added up in a tree, so that no task gets a slice of every partition."""
     schema = "slice int, part long, cells binary"
-    parts = table(asked.mapInArrow(_learn(slices), schema))
+    parts = table(asked.mapInArrow(tidy(_learn(slices)), schema))
     while (parts.agg(F.max("part")).first()[0] or 0) > 0:
         parts = table(parts.withColumn("part", F.floor(F.col("part") / fan_in).cast("long")).groupBy("slice", "part").applyInPandas(_added, schema))
     model = Model()
@@ -448,14 +448,14 @@ def mixing_scores(docs: DataFrame, slice_bytes: int = 4 << 20) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8").alias("text"), held_out(F.col("doc_id").cast("long")).alias("held"))
-    blocks = table(rows.mapInArrow(_blocks, _BLOCK))
+    blocks = table(rows.mapInArrow(tidy(_blocks), _BLOCK))
     slices = min(buckets(blocks.agg(F.sum("size")).first()[0] or 0, slice_bytes), 1 << 23)
-    answers = table(blocks.mapInArrow(_ask(slices), _QUESTION).groupBy("slice").applyInPandas(_answer, _ANSWER))
+    answers = table(blocks.mapInArrow(tidy(_ask(slices)), _QUESTION).groupBy("slice").applyInPandas(_answer, _ANSWER))
     total, kinds = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     by_block = answers.groupBy("block").agg(F.collect_list(F.struct("slice", "pairs", "words")).alias("answers"))
     asked = table(blocks.join(by_block, "block"))
     shared = spark.sparkContext.broadcast(_model(asked, slices))
-    return asked.mapInArrow(_score(shared, slices, int(total), int(kinds)), _SCORED)
+    return asked.mapInArrow(tidy(_score(shared, slices, int(total), int(kinds))), _SCORED)
 
 
 def op10_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._graph import components
-from ._shared import read, table
+from ._shared import read, table, tidy
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -237,7 +237,7 @@ def _round(each: DataFrame, classes: DataFrame | None, least: float, agree: floa
     spread = known.join(several, "key").withColumn("other", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "n", "cls", "block", "minima", "all")
     if shingles is not None:
         spread = spread.join(shingles, "doc")
-    return spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc").mapInArrow(_partners(least, agree, most), "a long, b long")
+    return spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc").mapInArrow(tidy(_partners(least, agree, most)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, bands: int = 16, rows: int = 2, agree: float = 0.45, block_rows: int = 1024, most: int = 3, seed: int = 23) -> DataFrame:
@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, bands: int
     """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "utf-8").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     usable = text.where("doc_id is not null and text is not null")
-    signed = table(usable.mapInArrow(_sign(k, bands, rows, seed), "doc_id long, text_hash long, text_key binary, n int, bands array<long>, minima binary, all binary"))
+    signed = table(usable.mapInArrow(tidy(_sign(k, bands, rows, seed)), "doc_id long, text_hash long, text_key binary, n int, bands array<long>, minima binary, all binary"))
     # One node for each different text, whatever the ids of its rows.
     members = table(signed.groupBy("doc_id", "text_key").agg(F.first("n").alias("n"), F.first("text_hash").alias("text_hash")))
     texts = table(members.groupBy("text_key", "n").agg(F.min("doc_id").alias("first")).withColumn("doc", F.monotonically_increasing_id()))
@@ -268,12 +268,12 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, bands: int
     each = table(each.withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int")))
     candidates = texts.join(each.select("doc").distinct(), "doc").select("first", "text_key", "doc")
     shingles = usable.join(candidates.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    shingles = shingles.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text").mapInArrow(_shingle_rows(k), "first long, text_key binary, shingles binary")
+    shingles = shingles.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text").mapInArrow(tidy(_shingle_rows(k)), "first long, text_key binary, shingles binary")
     shingles = table(shingles.join(candidates, ["first", "text_key"]).select("doc", "shingles").dropDuplicates(["doc"]))
     a, b = (shingles.select(F.col("doc").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
 
     links = _round(each, None, least, agree, most).distinct()
-    links = table(links.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(least), "a long, b long"))
+    links = table(links.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(tidy(_verify(least)), "a long, b long"))
     classes = table(components(links))
     links = table(links.union(_round(each, classes, least, agree, None, shingles)))
     classes = components(links).withColumnRenamed("node", "doc")

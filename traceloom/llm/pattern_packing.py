@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import buckets, read, table
+from ._shared import buckets, read, table, tidy
 
 #: Words whose ids are remembered within a partition; when full, the memory starts anew.
 REMEMBERED = 1_000_000
@@ -257,7 +257,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, size: int = 4096, end_id: i
     empty result. Only the length histogram (at most `size` rows) and the plan over it reach the driver.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "utf-8").alias("text"))
-    pieces = table(rows.mapInArrow(_pieces(vocabulary, size, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    pieces = table(rows.mapInArrow(tidy(_pieces(vocabulary, size, end_id)), "doc_id long, piece int, start long, length long, ids_crc32 long"))
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     salts = buckets(sum(histogram.values()), salt_rows, 16)
     # Ranks within a length: any length may hold most rows, so each is dealt over salts and the counts of

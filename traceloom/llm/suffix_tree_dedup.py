@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._repeats import Segments, repeated_spans
-from ._shared import read
+from ._shared import read, tidy
 
 
 def deep_nodes(values: np.ndarray, at: np.ndarray, depth: int, group: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +130,7 @@ def suffix_tree_dedup(docs: DataFrame, window: int = 50, gram: int = 10, carry:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"), *(c.alias(f"carried_{k}") for k, c in enumerate(carry.values()))).withColumn("tag", F.xxhash64("text"))
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:-1]]
     joined = rows.join(spans, ["doc", "tag"], "left").select("doc", "text", "spans", *(f"carried_{k}" for k in range(len(carry))))
-    out = joined.mapInArrow(_remove, ", ".join(["doc_id long, n_words long, n_removed long, kept_sha256 string, rest string", *kinds]))
+    out = joined.mapInArrow(tidy(_remove), ", ".join(["doc_id long, n_words long, n_removed long, kept_sha256 string, rest string", *kinds]))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "rest", *(F.col(f"carried_{k}").alias(name) for k, name in enumerate(carry)))
 
 
