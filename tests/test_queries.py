@@ -180,6 +180,24 @@ def test_prefixes_are_found_anywhere_in_the_read(spark):
     assert {(x.read_no, x.gt_id): x.pos for x in J.approximate_hits(r, t, 20, 1).collect()} == near and len(near) > len(exact) and max(near.values()) > 80
 
 
+def test_within_distance_misses_no_pair(spark):
+    import random
+
+    rng = random.Random(11)
+    truths = [random_bases(i)[:60] for i in range(12)] + ["ACGTAC", ""]
+    reads = ["", "ACG", "ACGTTC"]
+    for g in truths[:12]:
+        for edits in range(0, 20, 2):
+            r = list(g)
+            for _ in range(edits):
+                at = rng.randrange(len(r))
+                r[at : at + 1] = rng.choice([[], [r[at], rng.choice("ACGT")], [rng.choice("ACGT")]])
+            reads.append("".join(r))
+    r, t = spark.createDataFrame([(x,) for x in reads], "s string"), spark.createDataFrame([(x,) for x in truths], "g string")
+    want = {s for s in reads if any(5 <= distance(s, g) <= 13 for g in truths)}
+    assert {x.s for x in J.within_distance(r, t, 5, 13).collect()} == want and 20 < len(want) < len(set(reads))
+
+
 def random_bases(i):
     return hashlib.sha256(str(i).encode()).hexdigest().translate(str.maketrans("0123456789abcdef", "ACGTACGTACGTACGT")) * 2
 

@@ -32,6 +32,28 @@ def approximate_hits(reads: DataFrame, truths: DataFrame, k: int, most: int) ->
     return near.groupBy("cluster_id", "read_no", "gt_id").agg(F.min("pos").alias("pos"))
 
 
+def within_distance(reads: DataFrame, truths: DataFrame, least: int, most: int) -> DataFrame:
+    """Different reads (column s) that have a truth (column g) at an edit distance of `least` to `most`.
+
+    A truth is cut into most + 1 equal pieces. Within `most` edits one piece stays whole, and it stands in the read at most
+    `most` places off its own: reads and truths meet by piece number and text, so no pair is missed, and
+    levenshtein decides. Truths too short for pieces of three bases are compared with all reads."""
+    piece = F.floor(F.length("g") / (most + 1)).cast("int")
+    g = truths.select("g").distinct().withColumn("size", piece)
+    s = reads.select("s").distinct()
+    near = lambda pairs: pairs.where(F.levenshtein("s", "g", most) >= least).select("s").distinct()
+    few = near(s.crossJoin(F.broadcast(g.where("size < 3"))))
+    cut = g.where("size >= 3").select("g", "size", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("no"))
+    cut = cut.select("g", "size", "no", F.substring("g", F.col("no") * F.col("size") + 1, F.col("size")).alias("piece"))
+    sizes = cut.select("size").distinct()  # as many rows as truths have different lengths
+    at = s.crossJoin(F.broadcast(sizes)).where(F.length("s") >= F.col("size")).select("s", "size", F.explode(F.sequence(F.lit(0), F.length("s") - F.col("size"))).alias("at"))
+    lo = F.greatest(F.lit(0), F.ceil((F.col("at") - most) / F.col("size")).cast("int"))
+    hi = F.least(F.lit(most), F.floor((F.col("at") + most) / F.col("size")).cast("int"))
+    at = at.withColumn("lo", lo).withColumn("hi", hi).where("lo <= hi")
+    at = at.select("s", "size", F.substring("s", F.col("at") + 1, F.col("size")).alias("piece"), F.explode(F.sequence("lo", "hi")).alias("no"))
+    return few.union(near(at.join(cut, ["size", "no", "piece"]).select("s", "g").distinct())).distinct()
+
+
 def best_match(reads: DataFrame, hits: DataFrame) -> DataFrame:
     """The hit with the least (pos, gt_id) of each read, the number of hits, and mapped / mapped_ambiguous / unmapped."""
     best = hits.groupBy("cluster_id", "read_no").agg(F.min(F.struct("pos", "gt_id")).alias("b"), F.count("*").alias("hits"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.sequence import index_value
-from ..operators.joins import best_match, prefix_hits, shortest_unique_prefix
+from ..operators.joins import best_match, prefix_hits, shortest_unique_prefix, within_distance
 from ..operators.metrics import r6
 from ..operators.ranks import rank_within
 from ..sources.fixture import VIEWS, ground_truth, reads
@@ -117,12 +117,17 @@ def j13(spark, sf):
     return r.join(b, "cluster_id").where("read_no < j").select("cluster_id", F.col("read_no").alias("i"), "j", F.levenshtein("read", "b").cast("long").alias("d"))
 
 
-@query("j12_leakage_anti_join", f"{VIEWS}, te AS (SELECT DISTINCT substr(gt, 1, 20) AS g FROM gt WHERE gt_id % 10 = 0) SELECT cluster_id, read_no FROM rd WHERE cluster_id % 10 <> 0 AND NOT EXISTS (SELECT 1 FROM te WHERE substr(read, 1, 8) = substr(g, 1, 8) AND levenshtein(substr(read, 1, 20), g) BETWEEN 5 AND 13)")
+_TEST = "SELECT DISTINCT concat(substr(gt, 1, 30), translate(substr(gt, 31, 8), 'ACGT', 'TGCA'), substr(gt, 39)) AS g FROM gt WHERE gt_id % 10 = 0"
+
+
+@query("j12_leakage_anti_join", f"{VIEWS}, te AS ({_TEST}), s AS (SELECT DISTINCT read AS s FROM rd WHERE cluster_id % 3 <> 0), c AS (SELECT g, no, substr(g, cast(no * 7 AS int) + 1, 7) AS piece FROM te, range(0, 14) t(no)), a AS (SELECT s, no, substr(s, cast(p AS int) + 1, 7) AS piece FROM s, range(0, 105) t(p), range(0, 14) u(no) WHERE abs(p - no * 7) <= 13 AND p + 7 <= length(s)), n AS (SELECT DISTINCT s FROM (SELECT DISTINCT s, g FROM a JOIN c USING (no, piece)) WHERE levenshtein(s, g) BETWEEN 5 AND 13) SELECT cluster_id, read_no FROM rd WHERE cluster_id % 3 <> 0 AND read NOT IN (SELECT s FROM n)")
 def j12(spark, sf):
-    test = ground_truth(spark, sf).where("gt_id % 10 = 0").select(F.substring("gt", 1, 20).alias("g")).distinct().withColumn("seed", F.substring("g", 1, 8))
-    train = reads(spark, sf).where("cluster_id % 10 <> 0").withColumn("head", F.substring("read", 1, 20)).withColumn("seed", F.substring("read", 1, 8))
-    near = train.select("head", "seed").distinct().join(test, "seed").where(F.levenshtein("head", "g", 13).between(5, 13)).select("head").distinct()
-    return train.join(near, "head", "left_anti").select("cluster_id", "read_no")
+    """Training reads without those at distance 5 to 13 of a test sequence; closer ones stay. Test sequences are ground truths with
+    eight bases in a row complemented."""
+    gt = F.concat(F.substring("gt", 1, 30), F.translate(F.substring("gt", 31, 8), "ACGT", "TGCA"), F.substring("gt", 39, 200))
+    test = ground_truth(spark, sf).where("gt_id % 10 = 0").select(gt.alias("g"))
+    train = reads(spark, sf).where("cluster_id % 3 <> 0").select("cluster_id", "read_no", F.col("read").alias("s"))
+    return train.join(within_distance(train, test, 5, 13), "s", "left_anti").select("cluster_id", "read_no")
 
 
 @query("j19_pair_concatenation", f"{VIEWS}, c AS (SELECT cluster_id, gt, count(*) AS n FROM rd GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY cluster_id) AS k FROM c) SELECT a.cluster_id AS a, b.cluster_id AS b, a.n, concat(a.gt, b.gt) AS gt FROM r a JOIN r b ON a.n = b.n AND a.k % 2 = 1 AND b.k = a.k + 1")
