@@ -97,6 +97,21 @@ def one_hot(s: Column) -> Column:
     return F.transform(F.split(s, ""), lambda c: F.array(*(F.when(c == b, 1.0).otherwise(0.0).cast("float") for b in "ACGT")))
 
 
+def pad_rows(hot: Column, length: int, both_sides: bool = False) -> Column:
+    """One-hot rows filled up to `length` with rows of zeros, at the end or on both sides (the odd one at the end)."""
+    zeros = lambda n: F.array_repeat(F.array(*[F.lit(0.0).cast("float")] * 4), n)
+    left = length - F.size(hot)
+    head = F.floor(left / 2).cast("int") if both_sides else F.lit(0)
+    return F.concat(zeros(head), hot, zeros(left - head))
+
+
+def unnest(s: Column, parts: int) -> Column:
+    """The sequences that were interleaved position by position: every parts-th symbol, from each of the first places on."""
+    symbols = F.split(s, "")
+    every = lambda k: F.array_join(F.filter(symbols, lambda _, i: i % parts == k), "")
+    return F.array(*(every(k) for k in range(parts)))
+
+
 def nest(parts: Column) -> Column:
     """Interleave sequences position by position up to the shortest; tails follow in order."""
     shortest = F.array_min(F.transform(parts, lambda p: F.length(p)))
@@ -113,5 +128,12 @@ def permute_packed(packed: Column, order: list[int]) -> Column:
     return F.concat(F.array_join(F.array(*(reads[i] for i in order)), "|"), F.lit(":"), F.split_part(packed, F.lit(":"), F.lit(2)))
 
 
+def reorder_packed(packed: Column, key) -> Column:
+    """The packed reads by the key of their places (from 0), ties by place."""
+    reads = F.split(F.split_part(packed, F.lit(":"), F.lit(1)), "\\|")
+    keyed = F.array_sort(F.transform(reads, lambda r, i: F.struct(key(i).alias("k"), i.alias("i"), r.alias("r"))))
+    return F.concat(F.array_join(F.transform(keyed, lambda x: x["r"]), "|"), F.lit(":"), F.split_part(packed, F.lit(":"), F.lit(2)))
+
+
 def answer(s: Column) -> Column:
     return F.regexp_extract(s, r"\*\*\*(.*?)\*\*\*", 1)

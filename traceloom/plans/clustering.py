@@ -146,3 +146,11 @@ def j18(spark, sf):
     both = left.join(right, left.gt_id == right.id, "full")
     other = ~F.col("gt").eqNullSafe(F.col("g"))
     return both.agg(F.count("gt_id").alias("in_left"), F.count("id").alias("in_right"), F.count_if(other).alias("differing"), F.min(F.when(other, F.coalesce("gt_id", "id"))).alias("first_differing"))
+
+
+@query("u5_multiset_equality", f"{VIEWS}, l AS (SELECT read FROM rd), r AS (SELECT CASE WHEN part % 211 = 0 THEN reverse(read) ELSE read END AS read FROM rd) SELECT (SELECT count(*) FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM r)) AS only_left, (SELECT count(*) FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM l)) AS only_right")
+def u5(spark, sf):
+    """Reads that one data set holds oftener than the other, both ways; equal multisets give none."""
+    r = reads(spark, sf)
+    left, right = r.select("read"), r.select(F.when(F.col("part") % 211 == 0, F.reverse("read")).otherwise(F.col("read")).alias("read"))
+    return left.exceptAll(right).agg(F.count("*").alias("only_left")).crossJoin(right.exceptAll(left).agg(F.count("*").alias("only_right")))

@@ -59,12 +59,11 @@ def k11(spark, sf):
     return _through(spark, n.withColumn("reads", F.col("cluster_size") * F.col("clusters")), "json")
 
 
-@query("s12_result_lines", f"{VIEWS} SELECT cluster_id AS idx, levenshtein(read, gt) AS lev, CASE WHEN length(read) = length(gt) THEN hamming(read, gt) ELSE -1 END AS ham, read AS estimate, gt AS original FROM rd WHERE read_no = 1")
+@query("s12_result_lines", f"{VIEWS} SELECT cluster_id AS idx, levenshtein(read, gt) AS lev, CASE WHEN length(read) = length(gt) THEN hamming(read, gt) ELSE -1 END AS ham, read AS estimate, gt AS original FROM rd")
 def s12(spark, sf):
     path = _folder(spark)
     ham = F.when(F.length("read") == F.length("gt"), S.hamming(F.col("gt"), F.col("read"))).otherwise(-1)
-    first = reads(spark, sf).where("read_no = 1")
-    first.select(F.concat_ws(", ", F.col("cluster_id").cast("string"), ham.cast("string"), F.levenshtein("read", "gt").cast("string"), "read", "gt")).write.text(path)
+    reads(spark, sf).select(F.concat_ws(", ", F.col("cluster_id").cast("string"), ham.cast("string"), F.levenshtein("read", "gt").cast("string"), "read", "gt")).write.text(path)
     return scans.result_lines(spark, path).select("idx", "ham", "lev", "estimate", "original")
 
 
@@ -108,10 +107,10 @@ def k13(spark, sf):
     return _through(spark, QUERIES["j11_a12_misclustering_rate"](spark, sf), "csv", header=True)
 
 
-@query("k14_encoded_dataset", f"{VIEWS}, t AS (SELECT cluster_id, rpad(concat(read, ':', gt), 256, '#') AS s FROM rd WHERE read_no = 1), p AS (SELECT cluster_id, i, strpos('ACGT-|:#', substr(s, cast(i AS int), 1)) - 1 AS id FROM t, range(1, 257) r(i)) SELECT cluster_id, string_agg(cast(id AS varchar), ',' ORDER BY i) FILTER (WHERE i < 256) AS x, string_agg(cast(id AS varchar), ',' ORDER BY i) FILTER (WHERE i > 1) AS y FROM p GROUP BY cluster_id")
+@query("k14_encoded_dataset", f"{VIEWS}, t AS (SELECT cluster_id, read_no, rpad(concat(read, ':', gt), 256, '#') AS s FROM rd), p AS (SELECT cluster_id, read_no, i, strpos('ACGT-|:#', substr(s, cast(i AS int), 1)) - 1 AS id FROM t, range(1, 257) r(i)) SELECT cluster_id, read_no, string_agg(cast(id AS varchar), ',' ORDER BY i) FILTER (WHERE i < 256) AS x, string_agg(cast(id AS varchar), ',' ORDER BY i) FILTER (WHERE i > 1) AS y FROM p GROUP BY ALL")
 def k14(spark, sf):
     ids = S.encode(S.pad(F.concat("read", F.lit(":"), "gt"), 256))
-    encoded = reads(spark, sf).where("read_no = 1").select("cluster_id", ids.alias("ids"))
+    encoded = reads(spark, sf).select("cluster_id", "read_no", ids.alias("ids"))
     x, y = S.shift_pair(F.col("ids"))
-    kept = _through(spark, encoded.select("cluster_id", x.alias("x"), y.alias("y")), "parquet")
-    return kept.select("cluster_id", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("x", "y")))
+    kept = _through(spark, encoded.select("cluster_id", "read_no", x.alias("x"), y.alias("y")), "parquet")
+    return kept.select("cluster_id", "read_no", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("x", "y")))

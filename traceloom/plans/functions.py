@@ -86,30 +86,40 @@ def m7(spark, sf):
     return ground_truth(spark, sf).select("gt_id", S.index_value(head).alias("value"), S.digits(head).alias("digits"), S.base2(head).alias("bits"))
 
 
-@query("m8_m9_m10_tokens", f"{VIEWS}, t AS (SELECT gt_id, rpad(concat(substr(gt, 1, 20), ':'), 32, '#') AS s FROM gt), p AS (SELECT gt_id, s, i, strpos('ACGT-|:#', substr(s, cast(i AS int), 1)) - 1 AS id FROM t, range(1, 33) r(i)) SELECT gt_id, string_agg(cast(id AS varchar), ',' ORDER BY i) FILTER (WHERE i < 32) AS x, string_agg(cast(id AS varchar), ',' ORDER BY i) FILTER (WHERE i > 1) AS y, any_value(s) AS text FROM p GROUP BY gt_id")
+@query("m8_m9_m10_tokens", f"{VIEWS}, t AS (SELECT gt_id, rpad(concat(gt, ':'), 128, '#') AS s FROM gt), p AS (SELECT gt_id, s, i, strpos('ACGT-|:#', substr(s, cast(i AS int), 1)) - 1 AS id FROM t, range(1, 129) r(i)) SELECT gt_id, string_agg(cast(id AS varchar), ',' ORDER BY i) FILTER (WHERE i < 128) AS x, string_agg(cast(id AS varchar), ',' ORDER BY i) FILTER (WHERE i > 1) AS y, any_value(s) AS text FROM p GROUP BY gt_id")
 def m8(spark, sf):
-    ids = S.encode(S.pad(F.concat(F.substring("gt", 1, 20), F.lit(":")), 32))
+    ids = S.encode(S.pad(F.concat("gt", F.lit(":")), 128))
     x, y = S.shift_pair(F.col("ids"))
     t = ground_truth(spark, sf).select("gt_id", ids.alias("ids"))
     return t.select("gt_id", F.array_join(x.cast("array<string>"), ",").alias("x"), F.array_join(y.cast("array<string>"), ",").alias("y"), S.decode(F.col("ids")).alias("text"))
 
 
-@query("m11_one_hot", f"{VIEWS}, p AS (SELECT gt_id, i, substr(gt, cast(i AS int), 1) AS b FROM gt, range(1, 9) r(i)) SELECT gt_id, string_agg(CASE b WHEN 'A' THEN '1000' WHEN 'C' THEN '0100' WHEN 'G' THEN '0010' ELSE '0001' END, ' ' ORDER BY i) AS rows FROM p GROUP BY gt_id")
+@query("m11_one_hot", f"{VIEWS}, t AS (SELECT cluster_id, read_no, read AS s, reverse(read) AS v, (116 - length(read)) // 2 AS h FROM rd), p AS (SELECT cluster_id, read_no, i, CASE WHEN i <= length(s) THEN substr(s, cast(i AS int), 1) ELSE '' END AS a, CASE WHEN i > h AND i - h <= length(s) THEN substr(v, cast(i - h AS int), 1) ELSE '' END AS b FROM t, range(1, 117) r(i)), q AS (SELECT cluster_id, read_no, i, CASE a WHEN 'A' THEN '1000' WHEN 'C' THEN '0100' WHEN 'G' THEN '0010' WHEN 'T' THEN '0001' ELSE '0000' END AS a, CASE b WHEN 'A' THEN '1000' WHEN 'C' THEN '0100' WHEN 'G' THEN '0010' WHEN 'T' THEN '0001' ELSE '0000' END AS b FROM p) SELECT cluster_id, read_no, string_agg(a, ' ' ORDER BY i) AS rows, string_agg(b, ' ' ORDER BY i) AS turned FROM q GROUP BY ALL")
 def m11(spark, sf):
-    hot = S.one_hot(F.substring("gt", 1, 8))
-    return ground_truth(spark, sf).select("gt_id", F.array_join(F.transform(hot, lambda r: F.array_join(F.transform(r, lambda v: v.cast("int").cast("string")), "")), " ").alias("rows"))
+    """Every read as one-hot rows padded at the end to 116, and its reversed copy padded on both sides."""
+    shown = lambda hot: F.array_join(F.transform(hot, lambda r: F.array_join(F.transform(r, lambda v: v.cast("int").cast("string")), "")), " ")
+    r = reads(spark, sf)
+    return r.select("cluster_id", "read_no", shown(S.pad_rows(S.one_hot(F.col("read")), 116)).alias("rows"), shown(S.pad_rows(S.one_hot(F.reverse("read")), 116, both_sides=True)).alias("turned"))
 
 
-@query("m13_nest", f"{VIEWS}, p AS (SELECT gt_id, i, concat(substr(gt, cast(i AS int), 1), substr(gt, cast(i AS int) + 10, 1), substr(gt, cast(i AS int) + 20, 1)) AS t FROM gt, range(1, 11) r(i)) SELECT gt_id, concat(string_agg(t, '' ORDER BY i), 'GG') AS nested FROM p GROUP BY gt_id")
+@query("m13_nest", f"{VIEWS}, p AS (SELECT gt_id, i, concat(substr(gt, cast(i AS int), 1), substr(gt, cast(i AS int) + 36, 1), substr(gt, cast(i AS int) + 72, 1)) AS t, substr(gt, 109) AS tail FROM gt, range(1, 37) r(i)) SELECT gt_id, concat(string_agg(t, '' ORDER BY i), any_value(tail), 'GG') AS nested FROM p GROUP BY gt_id")
 def m13(spark, sf):
-    parts = F.array(F.substring("gt", 1, 10), F.substring("gt", 11, 10), F.concat(F.substring("gt", 21, 10), F.lit("GG")))
+    parts = F.array(F.substring("gt", 1, 36), F.substring("gt", 37, 36), F.concat(F.substring("gt", 73, 40), F.lit("GG")))
     return ground_truth(spark, sf).select("gt_id", S.nest(parts).alias("nested"))
 
 
-@query("m14_pack_and_permute", f"{VIEWS}, c AS (SELECT cluster_id, gt, string_agg(read, '|' ORDER BY read_no) AS r, count(*) AS n FROM rd WHERE read_no <= 3 GROUP BY ALL) SELECT cluster_id, concat(r, ':', gt) AS packed, concat(split_part(r, '|', 3), '|', split_part(r, '|', 1), '|', split_part(r, '|', 2), ':', gt) AS permuted FROM c WHERE n = 3")
+@query("m13_unnest", f"{VIEWS}, p AS (SELECT gt_id, string_agg(substr(gt, cast(i AS int), 1), '' ORDER BY i) FILTER (WHERE i % 3 = 1) AS a, string_agg(substr(gt, cast(i AS int), 1), '' ORDER BY i) FILTER (WHERE i % 3 = 2) AS b, string_agg(substr(gt, cast(i AS int), 1), '' ORDER BY i) FILTER (WHERE i % 3 = 0) AS c FROM gt, range(1, 111) r(i) GROUP BY gt_id) SELECT gt_id, a, b, c FROM p")
+def m13_unnest(spark, sf):
+    three = S.unnest(F.col("gt"), 3)
+    return ground_truth(spark, sf).select("gt_id", three.alias("p")).select("gt_id", F.col("p")[0].alias("a"), F.col("p")[1].alias("b"), F.col("p")[2].alias("c"))
+
+
+@query("m14_pack_and_permute", f"{VIEWS}, c AS (SELECT cluster_id, gt, string_agg(read, '|' ORDER BY read_no) AS r, string_agg(read, '|' ORDER BY md5(concat('pp:', cast(cluster_id AS varchar), ':', cast(read_no AS varchar))), read_no) AS q FROM rd GROUP BY ALL) SELECT cluster_id, concat(r, ':', gt) AS packed, concat(q, ':', gt) AS permuted FROM c")
 def m14(spark, sf):
-    c = clusters(spark, sf).where(F.size("reads") >= 3).select("cluster_id", S.pack(F.slice("reads", 1, 3), F.col("gt")).alias("packed"))
-    return c.select("cluster_id", "packed", S.permute_packed(F.col("packed"), [2, 0, 1]).alias("permuted"))
+    """Every cluster packed, and its packed reads put in an order by md5 of their places."""
+    c = clusters(spark, sf).select("cluster_id", S.pack(F.col("reads"), F.col("gt")).alias("packed"))
+    key = lambda i: S.seeded("pp", F.col("cluster_id"), i + 1)
+    return c.select("cluster_id", "packed", S.reorder_packed(F.col("packed"), key).alias("permuted"))
 
 
 @query("m16_relative_bin", f"{VIEWS} SELECT least(floor(least(part % 100, 109) * 10 / 110), 9)::int AS bin, count(*) AS n FROM rd WHERE kind > 0 GROUP BY 1")

@@ -37,10 +37,13 @@ def p5(spark, sf):
     return _sizes(spark, sf).orderBy(seeded("s", F.col("cluster_id")), "cluster_id").limit(500).select("cluster_id")
 
 
-@query("p6_read_subsample", f"{VIEWS}, r AS (SELECT cluster_id, read_no, row_number() OVER (PARTITION BY cluster_id ORDER BY md5(concat('r:', cast(cluster_id AS varchar), ':', cast(read_no AS varchar))), read_no) AS k FROM rd) SELECT cluster_id, read_no FROM r WHERE k <= 3")
+@query("p6_read_subsample", f"{VIEWS}, r AS (SELECT cluster_id, read_no, count(*) OVER (PARTITION BY cluster_id) AS n, 2 + cast(concat('0x', substr(md5(concat('k:', cast(cluster_id AS varchar))), 1, 4)) AS int) % 9 AS m, row_number() OVER (PARTITION BY cluster_id ORDER BY md5(concat('r:', cast(cluster_id AS varchar), ':', cast(read_no AS varchar))), read_no) AS k FROM rd) SELECT cluster_id, read_no FROM r WHERE n <= 10 OR k <= m")
 def p6(spark, sf):
-    w = Window.partitionBy("cluster_id").orderBy(seeded("r", F.col("cluster_id"), F.col("read_no")), "read_no")
-    return reads(spark, sf).withColumn("k", F.row_number().over(w)).where("k <= 3").select("cluster_id", "read_no")
+    """Clusters of over ten reads keep a random 2 to 10 of them."""
+    by = Window.partitionBy("cluster_id")
+    k = F.row_number().over(by.orderBy(seeded("r", F.col("cluster_id"), F.col("read_no")), "read_no"))
+    most = 2 + F.conv(F.substring(seeded("k", F.col("cluster_id")), 1, 4), 16, 10).cast("int") % 9
+    return reads(spark, sf).withColumn("k", k).withColumn("n", F.count("*").over(by)).where((F.col("n") <= 10) | (F.col("k") <= most)).select("cluster_id", "read_no")
 
 
 @query("p9_shuffle_reads", f"{VIEWS} SELECT cluster_id, string_agg(cast(read_no AS varchar), ',' ORDER BY md5(concat('sh:', cast(cluster_id AS varchar), ':', cast(read_no AS varchar)))) AS order_of_reads FROM rd GROUP BY cluster_id")

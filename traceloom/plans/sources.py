@@ -19,7 +19,7 @@ def s1(spark, sf):
     folder = _folder(spark)
     all_ = ground_truth(spark, sf).join(clusters(spark, sf).select(F.col("cluster_id").alias("gt_id"), "reads"), "gt_id", "left")
     scans.write_clusters(all_.select(F.col("gt_id").alias("idx"), F.coalesce("reads", F.array().cast("array<string>")).alias("reads"), "gt"), folder)
-    both = scans.with_ground_truth(scans.cluster_file(spark, f"{folder}/reads"), scans.lines(spark, f"{folder}/ground_truth"))
+    both = scans.with_ground_truth(scans.cluster_file(spark, f"{folder}/reads"), scans.lines(spark, f"{folder}/ground_truth", across=True))
     return both.select("idx", "gt", F.size("reads").cast("long").alias("n"), F.array_join("reads", "|").alias("reads"))
 
 
@@ -55,3 +55,22 @@ def s9(spark, sf):
     n = F.count("*").over(Window.partitionBy("cluster_id"))
     reads(spark, sf).select(n.alias("cluster_size"), F.col("gt").alias("ground_truth"), F.col("read").alias("prediction"), F.levenshtein("gt", "read").alias("lev_distance")).write.option("sep", "\t").option("header", True).csv(path)
     return spark.read.schema("cluster_size long, ground_truth string, prediction string, lev_distance long").option("sep", "\t").option("header", True).csv(path)
+
+
+@query("s2_line_sequence", f"{VIEWS} SELECT row_number() OVER (ORDER BY gt_id) - 1 AS idx, gt AS value FROM gt")
+def s2(spark, sf):
+    """Lines with their places, from files written in order of gt_id."""
+    path = _folder(spark)
+    scans.in_order(ground_truth(spark, sf), "gt_id", "gt", path)
+    return scans.lines(spark, path, across=True).select("idx", "value")
+
+
+@query("k2_split_files", f"{VIEWS}, c AS (SELECT cluster_id, rd.gt AS gt, string_agg(read, '|' ORDER BY read_no) AS reads FROM rd GROUP BY cluster_id, rd.gt) SELECT CASE WHEN cluster_id % 10 = 0 THEN 'test' WHEN cluster_id % 10 = 1 THEN 'val' ELSE 'train' END AS split, gt, reads FROM c")
+def k2(spark, sf):
+    """Example files in a folder for each split, read back with the split."""
+    from ..functions.sequence import pack
+
+    path, m = _folder(spark), F.col("cluster_id") % 10
+    split = F.when(m == 0, "test").when(m == 1, "val").otherwise("train")
+    clusters(spark, sf).select(pack(F.col("reads"), F.col("gt")).alias("value"), split.alias("split")).write.partitionBy("split").text(path)
+    return scans.packed_examples(spark, path, by="split").select("split", "gt", F.array_join("reads", "|").alias("reads"))

@@ -23,22 +23,23 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}/{uuid.uuid4().hex}"
 
 
-def indexed(df: DataFrame) -> DataFrame:
-    """value, file, idx: the place of each row in its file. Only the rows' counts by file block meet in one place;
-    no text is moved into one partition to be numbered."""
+def indexed(df: DataFrame, across: bool = False) -> DataFrame:
+    """value, file, idx: the place of each row in its file, or with `across` in all files in the order of their names. Only
+    the rows' counts by file block meet in one place; no text is moved into one partition to be numbered."""
     raw = df.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mono"))
     counts = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("mono").alias("first"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    order = Window.orderBy("file", "block") if across else Window.partitionBy("file").orderBy("block")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return raw.join(counts.withColumn("before", before), ["file", "block"]).select("value", "file", (F.col("before") + F.col("mono") - F.col("first")).alias("idx"))
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    return indexed(spark.read.text(path))
+def lines(spark: SparkSession, path: str, across: bool = False) -> DataFrame:
+    return indexed(spark.read.text(path), across)
 
 
 def cluster_file(spark: SparkSession, path: str) -> DataFrame:
     """file, idx, reads: clusters ended by a separator line; an empty cluster keeps its row and place."""
-    rows = indexed(spark.read.text(path, lineSep=SEPARATOR + "\n"))
+    rows = indexed(spark.read.text(path, lineSep=SEPARATOR + "\n"), across=True)
     return rows.select("file", "idx", F.filter(F.split("value", "\n"), lambda x: x != "").alias("reads"))
 
 
@@ -49,10 +50,11 @@ def with_ground_truth(clusters: DataFrame, truths: DataFrame) -> DataFrame:
     return both.select("idx", "reads", F.when(missing, F.raise_error(F.lit("clusters and ground truths differ in number")).cast("string")).otherwise(F.col("gt")).alias("gt"))
 
 
-def packed_examples(spark: SparkSession, path: str) -> DataFrame:
-    """idx, reads, gt of lines `r1|r2:gt`; lines without ':' are skipped."""
+def packed_examples(spark: SparkSession, path: str, by: str | None = None) -> DataFrame:
+    """idx, reads, gt of lines `r1|r2:gt`; lines without ':' are skipped. by: the key of the folders, which comes back too."""
     rows = lines(spark, path).where(F.col("value").contains(":"))
-    return rows.select("idx", F.split(F.split_part("value", F.lit(":"), F.lit(1)), "\\|").alias("reads"), F.split_part("value", F.lit(":"), F.lit(2)).alias("gt"))
+    key = [F.regexp_extract("file", f"/{by}=([^/]+)/", 1).alias(by)] if by else []
+    return rows.select("idx", F.split(F.split_part("value", F.lit(":"), F.lit(1)), "\\|").alias("reads"), F.split_part("value", F.lit(":"), F.lit(2)).alias("gt"), *key)
 
 
 def fastq(spark: SparkSession, path: str, by: str | None = None) -> DataFrame:
@@ -73,7 +75,7 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def labelled_clusters(spark: SparkSession, path: str) -> DataFrame:
     """idx, gt, reads of blocks: label, ****, reads, two empty lines."""
-    rows = indexed(spark.read.text(path, lineSep="\n\n\n")).where("value <> ''")
+    rows = indexed(spark.read.text(path, lineSep="\n\n\n"), across=True).where("value <> ''")
     parts = F.split(F.rtrim("value"), "\n")
     return rows.select("idx", parts[0].alias("gt"), F.slice(parts, F.lit(3), F.size(parts)).alias("reads"))
 
@@ -102,22 +104,23 @@ def ragged(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(parts[0].alias("key"), F.slice(parts, F.lit(2), F.size(parts)).alias("reads"))
 
 
-def one_file(df: DataFrame, order: str, value: str, path: str, line_sep: str = "\n") -> None:
-    """Rows' text in order as one positional file (the format is a single ordered file)."""
-    df.select(order, value).repartition(1).sortWithinPartitions(order).select(value).write.option("lineSep", line_sep).text(path)
+def in_order(df: DataFrame, order: str, value: str, path: str, line_sep: str = "\n") -> None:
+    """Rows' text in order, in files whose names are in order too: what follows one another in the names' order is one
+    positional file. Each task writes a range; none writes all."""
+    df.select(order, value).repartitionByRange(order).sortWithinPartitions(order).select(value).write.option("lineSep", line_sep).text(path)
 
 
 def write_clusters(df: DataFrame, folder: str) -> None:
     """reads and ground_truth files of df (idx, reads, gt), in one order."""
     body = F.concat(F.array_join("reads", "\n"), F.when(F.size("reads") > 0, "\n").otherwise(""))
-    one_file(df.select("idx", body.alias("v")), "idx", "v", f"{folder}/reads", SEPARATOR + "\n")
-    one_file(df.select("idx", F.col("gt").alias("v")), "idx", "v", f"{folder}/ground_truth")
+    in_order(df.select("idx", body.alias("v")), "idx", "v", f"{folder}/reads", SEPARATOR + "\n")
+    in_order(df.select("idx", F.col("gt").alias("v")), "idx", "v", f"{folder}/ground_truth")
 
 
 def write_labelled_clusters(df: DataFrame, path: str) -> None:
     """df (idx, reads, gt) as blocks: label, ****, reads, two empty lines."""
     block = F.concat("gt", F.lit("\n****\n"), F.array_join("reads", "\n"))
-    one_file(df.select("idx", block.alias("v")), "idx", "v", path, "\n\n\n")
+    in_order(df.select("idx", block.alias("v")), "idx", "v", path, "\n\n\n")
 
 
 def write_ragged(df: DataFrame, path: str) -> None:
