@@ -69,6 +69,15 @@ def gap_weighted_vote(reads: DataFrame, key: str = "cluster_id", gap_weight: flo
     return spell(votes(reads, key, weight).groupBy(key, "pos").agg(winner.alias("base")).where("base <> '-'"), key)
 
 
+def position_weighted_vote(reads: DataFrame, key: str = "cluster_id") -> DataFrame:
+    """reads with `weight` and `weights`, one for each of their positions: a base counts their product. Ties in the order
+    A C G T - N, gap winners are dropped. Positions past a read's weights count nothing."""
+    rows = reads.repartition(key).select(key, "read", "weight", F.posexplode("weights").alias("at", "own")).where(F.col("at") < F.length("read"))
+    score = rows.select(key, (F.col("at") + 1).alias("pos"), F.substring("read", F.col("at") + 1, F.lit(1)).alias("base"), (F.col("weight") * F.col("own")).alias("w")).groupBy(key, "pos", "base").agg(F.sum("w").alias("n"))
+    winner = F.max_by("base", F.struct("n", (-F.instr(F.lit("ACGT-N"), F.col("base"))).alias("o")))
+    return spell(score.groupBy(key, "pos").agg(winner.alias("base")).where("base <> '-'"), key)
+
+
 def first_seen_vote(reads: DataFrame, length: int, key: str = "cluster_id") -> DataFrame:
     """Reads cut or padded with '#' to length; '#' and '-' win only alone; ties go to the base seen first."""
     padded = reads.select(key, "read_no", F.rpad(F.substring("read", 1, length), length, "#").alias("read"))

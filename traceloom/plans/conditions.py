@@ -206,6 +206,15 @@ def j3(spark, sf):
     return approximate_hits(s, ground_truth(spark, sf), 20, 1)
 
 
+@query("f17_offending_ids", f"{_SCORES} SELECT 'wrong_size' AS fault, cluster_id AS id FROM c WHERE n NOT BETWEEN 2 AND 10 UNION ALL SELECT 'wrong_read', cluster_id FROM rd WHERE regexp_matches(read, '[^ACGT]') OR length(read) <> 110 UNION ALL SELECT 'wrong_truth', gt_id FROM gt WHERE length(gt) <> 110 OR regexp_matches(gt, '[^ACGT]')")
+def f17_ids(spark, sf):
+    """The ids of clusters of a wrong size, of reads and of ground truths with other symbols or another length: a table, however long."""
+    odd = lambda c: F.col(c).rlike("[^ACGT]") | (F.length(c) != 110)
+    sizes = _scores(spark, sf).where(~F.col("n").between(2, 10)).select(F.lit("wrong_size").alias("fault"), F.col("cluster_id").alias("id"))
+    wrong = reads(spark, sf).where(odd("read")).select(F.lit("wrong_read").alias("fault"), F.col("cluster_id").alias("id"))
+    return sizes.unionByName(wrong).unionByName(ground_truth(spark, sf).where(odd("gt")).select(F.lit("wrong_truth").alias("fault"), F.col("gt_id").alias("id")))
+
+
 @query("f17_f19_validation", f"{_SCORES} SELECT count(*) AS clusters, count(*) FILTER (WHERE n NOT BETWEEN 2 AND 10) AS wrong_size, count(*) FILTER (WHERE d / 110 > 0.005::double AND n >= 4) AS flagged, min(cluster_id) FILTER (WHERE n NOT BETWEEN 2 AND 10) AS first_wrong, (SELECT count(*) FROM rd WHERE regexp_matches(read, '[^ACGT]')) AS wrong_reads, (SELECT count(*) FROM gt WHERE length(gt) <> 110) AS wrong_truths FROM c")
 def f17(spark, sf):
     """Counts and first id instead of a list of offending ids, which may be as long as the data."""

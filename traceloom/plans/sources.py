@@ -47,14 +47,17 @@ def s6(spark, sf):
     return scans.packed_examples(spark, path).select("gt", F.array_join("reads", "|").alias("reads"))
 
 
-@query("s9_k8_prediction_tsv", f"{VIEWS} SELECT count(*) OVER (PARTITION BY cluster_id) AS cluster_size, gt AS ground_truth, read AS prediction, levenshtein(gt, read) AS lev_distance FROM rd")
+@query("s9_k8_prediction_tsv", f"{VIEWS}, t AS (SELECT cluster_id, count(*) AS n, string_agg(read, '|' ORDER BY read_no) AS traces FROM rd GROUP BY cluster_id) SELECT n AS cluster_size, gt AS ground_truth, read AS prediction, cast(list_sum(list_transform(range(1, length(gt) + 1), lambda i: (substr(gt, cast(i AS int), 1) <> substr(read, cast(i AS int), 1))::int)) AS bigint) AS ham_distance, levenshtein(gt, read) AS lev_distance, length(gt) AS sequence_length, traces AS noisy_traces FROM rd JOIN t USING (cluster_id)")
 def s9(spark, sf):
-    from pyspark.sql import Window
+    from ..functions.sequence import hamming
 
     path = _folder(spark)
-    n = F.count("*").over(Window.partitionBy("cluster_id"))
-    reads(spark, sf).select(n.alias("cluster_size"), F.col("gt").alias("ground_truth"), F.col("read").alias("prediction"), F.levenshtein("gt", "read").alias("lev_distance")).write.option("sep", "\t").option("header", True).csv(path)
-    return spark.read.schema("cluster_size long, ground_truth string, prediction string, lev_distance long").option("sep", "\t").option("header", True).csv(path)
+    r = reads(spark, sf)
+    traces = clusters(spark, sf).select("cluster_id", F.size("reads").cast("long").alias("cluster_size"), F.array_join("reads", "|").alias("noisy_traces"))
+    rows = r.join(traces, "cluster_id").select("cluster_size", F.col("gt").alias("ground_truth"), F.col("read").alias("prediction"), hamming(F.col("gt"), F.col("read")).cast("long").alias("ham_distance"), F.levenshtein("gt", "read").alias("lev_distance"), F.length("gt").alias("sequence_length"), "noisy_traces")
+    rows.write.option("sep", "\t").option("header", True).csv(path)
+    schema = "cluster_size long, ground_truth string, prediction string, ham_distance long, lev_distance long, sequence_length long, noisy_traces string"
+    return spark.read.schema(schema).option("sep", "\t").option("header", True).csv(path)
 
 
 @query("s2_line_sequence", f"{VIEWS} SELECT row_number() OVER (ORDER BY gt_id) - 1 AS idx, gt AS value FROM gt")

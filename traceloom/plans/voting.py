@@ -66,6 +66,13 @@ def v6(spark, sf):
     return C.gap_weighted_vote(reads(spark, sf).withColumn("weight", 1 + F.col("part") % 3), weight="weight")
 
 
+@query("v6_position_weights", f"{VIEWS}, {_POS}, w AS (SELECT p.cluster_id, pos, base, sum((1 + part % 3) * (1 + (pos * 7 + part) % 5)) AS n FROM pos p JOIN rd USING (cluster_id, read_no) GROUP BY ALL), win AS (SELECT cluster_id, pos, base, row_number() OVER (PARTITION BY cluster_id, pos ORDER BY n DESC, strpos('ACGT-N', base)) AS r FROM w) SELECT cluster_id, string_agg(base, '' ORDER BY pos) AS consensus FROM win WHERE r = 1 GROUP BY ALL")
+def v6_positions(spark, sf):
+    """Each read has a weight, and each of its positions one of its own (an array beside the read)."""
+    own = F.transform(F.sequence(F.lit(1), F.length("read")), lambda p: 1 + (p * 7 + F.col("part")) % 5)
+    return C.position_weighted_vote(reads(spark, sf).withColumn("weight", 1 + F.col("part") % 3).withColumn("weights", own))
+
+
 @query("v8_medoid", f"{VIEWS}, d AS (SELECT a.cluster_id, a.read_no AS i, a.read AS a, sum(levenshtein(a.read, b.read)) AS t FROM rd a JOIN rd b USING (cluster_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY t, abs(length(a) - 110), i) AS k FROM d) SELECT cluster_id, a AS consensus FROM r WHERE k = 1")
 def v8(spark, sf):
     return C.medoid(reads(spark, sf), 110)
