@@ -96,12 +96,17 @@ def p7(spark, sf):
     return r.withColumn("k", k).where("k <= 2 + cluster_id % 4").drop("k")
 
 
-@query("p10_read_orders", f"{VIEWS} SELECT DISTINCT cluster_id, string_agg(cast(read_no AS varchar), ',' ORDER BY md5(concat('p:', cast(p AS varchar), ':', cast(cluster_id AS varchar), ':', cast(read_no AS varchar)))) AS reading FROM rd, range(0, 3) t(p) GROUP BY cluster_id, p")
+@query("p10_read_orders", f"{VIEWS}, o AS (SELECT cluster_id, p, string_agg(cast(read_no AS varchar), ',' ORDER BY md5(concat('p:', cast(p AS varchar), ':', cast(cluster_id AS varchar), ':', cast(read_no AS varchar)))) AS reading FROM rd, range(0, 24) t(p) GROUP BY cluster_id, p), d AS (SELECT cluster_id, reading, min(p) AS p FROM o GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY p) AS k FROM d) SELECT cluster_id, reading FROM k WHERE k <= 6")
 def p10(spark, sf):
-    """Up to three different orders of each cluster's reads."""
-    r = reads(spark, sf).select("cluster_id", "read_no", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("p"))
-    keyed = F.array_sort(F.collect_list(F.struct(seeded("p", F.col("p"), F.col("cluster_id"), F.col("read_no")).alias("k"), F.col("read_no").cast("string").alias("v"))))
-    return r.groupBy("cluster_id", "p").agg(F.array_join(F.transform(keyed, lambda x: x["v"]), ",").alias("reading")).select("cluster_id", "reading").distinct()
+    """Up to six different orders of each cluster's reads, the first of 24 drawn: a cluster of one has one, of two both, of three
+    all six but for a chance of one in ten."""
+    c = reads(spark, sf).groupBy("cluster_id").agg(F.collect_list("read_no").alias("nos"))
+    drawn = c.select("cluster_id", "nos", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("p"))
+    keyed = F.array_sort(F.transform("nos", lambda v: F.struct(seeded("p", F.col("p"), F.col("cluster_id"), v).alias("k"), v.cast("string").alias("v"))))
+    orders = drawn.select("cluster_id", "p", F.array_join(F.transform(keyed, lambda x: x["v"]), ",").alias("reading"))
+    first = orders.groupBy("cluster_id", "reading").agg(F.min("p").alias("p"))
+    k = F.row_number().over(Window.partitionBy("cluster_id").orderBy("p"))
+    return first.withColumn("k", k).where("k <= 6").select("cluster_id", "reading")
 
 
 @query("w2_w10_w12_ordinals", f"{VIEWS} SELECT cluster_id, read_no, row_number() OVER (PARTITION BY cluster_id ORDER BY md5(concat('o:', cast(cluster_id AS varchar), ':', cast(read_no AS varchar))), read_no) AS ordinal, ntile(3) OVER (PARTITION BY cluster_id ORDER BY read_no) AS chunk, (read_no - 1) % 4 AS batch FROM rd")

@@ -78,3 +78,24 @@ def k3(spark, sf):
     scans.write_fastq(named, path, by="exp")
     back = scans.fastq(spark, path, by="exp")
     return back.groupBy("exp").agg(F.count("*").alias("records"), F.sum(F.length("seq")).alias("bases"))
+
+
+def _csv(spark, df):
+    path = _folder(spark)
+    df.write.option("header", True).csv(path)
+    return spark.read.schema(df.schema).option("header", True).csv(path)
+
+
+@query("k7_read_metadata", f"{_OUT} SELECT concat(cast(cluster_id AS varchar), '_', cast(read_no AS varchar)) AS read_id, exp AS exp_id, CASE rc WHEN 1 THEN 'reverse_complement' ELSE 'forward' END AS orientation, fwd_pos, rev_pos, fwd_dist, rev_dist, fwd_dist + rev_dist AS total_dist, length(payload) AS payload_length, length(s) AS original_length FROM r WHERE status = 'mapped'")
+def k7_reads(spark, sf):
+    """The CSV of mapped reads' metadata, written and read back."""
+    r = _sorted_out(spark, sf).where("status = 'mapped'")
+    turned = F.when(F.col("rc") == 1, "reverse_complement").otherwise("forward")
+    return _csv(spark, r.select(F.concat_ws("_", F.col("cluster_id").cast("string"), F.col("read_no").cast("string")).alias("read_id"), F.col("exp").alias("exp_id"), turned.alias("orientation"), "fwd_pos", "rev_pos", "fwd_dist", "rev_dist", (F.col("fwd_dist") + F.col("rev_dist")).alias("total_dist"), F.length("payload").alias("payload_length"), F.length("s").alias("original_length")))
+
+
+@query("k7_truth_metadata", f"{VIEWS}, pr AS (SELECT cast(e AS bigint) AS exp, substr(translate(md5(concat('f', cast(e AS varchar))), {_HEX}), 1, 12) AS f, substr(translate(md5(concat('r', cast(e AS varchar))), {_HEX}), 1, 12) AS r FROM range(0, 13) t(e)) SELECT gt_id AS id, exp, gt AS payload, f AS forward_primer, r AS reverse_primer, length(gt) AS payload_length, gt_id % 11 <> 0 AS primers_at_expected_pos FROM gt JOIN pr ON exp = gt_id % 13")
+def k7_truths(spark, sf):
+    """The CSV of ground truths' metadata, written and read back."""
+    both = j6(spark, sf).join(F.broadcast(primers(spark)), "exp")
+    return _csv(spark, both.select(F.col("gt_id").alias("id"), "exp", "payload", F.col("f").alias("forward_primer"), F.col("r").alias("reverse_primer"), F.length("payload").alias("payload_length"), F.col("at_ends").alias("primers_at_expected_pos")))
