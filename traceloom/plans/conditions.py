@@ -179,6 +179,16 @@ def a16(spark, sf):
     return y.rollup("depth").agg(F.count("*").alias("positions"), r6(F.avg((F.col("squares") - 2 * F.col("p") + 1) / 4)).alias("mse"), r6(F.avg((2 - 2 * F.col("p")) / 4)).alias("mae"), r6(F.avg(-F.log(F.greatest("p", F.lit(1e-12))))).alias("kl"), r6(F.avg((F.col("p") == F.col("top")).cast("int"))).alias("agreement"))
 
 
+@query("a16_errors_by_base", f"{_FREQ}, x AS (SELECT depth, substr(gt, pos, 1) AS b, a / depth AS a, c / depth AS c, g / depth AS g, t / depth AS t FROM f JOIN gt ON gt_id = cluster_id WHERE pos <= 110), y AS (SELECT cast(depth AS bigint) AS depth, 'A' AS base, a - (b = 'A')::int AS e FROM x UNION ALL SELECT cast(depth AS bigint), 'C', c - (b = 'C')::int FROM x UNION ALL SELECT cast(depth AS bigint), 'G', g - (b = 'G')::int FROM x UNION ALL SELECT cast(depth AS bigint), 'T', t - (b = 'T')::int FROM x) SELECT depth, base, count(*) AS positions, round(avg(e * e), 6) AS mse, round(avg(abs(e)), 6) AS mae FROM y GROUP BY GROUPING SETS ((depth, base), (base))")
+def a16_bases(spark, sf):
+    """Squared and absolute errors of each base's share, by depth and over all."""
+    f = _frequencies(spark, sf).where("pos <= 110").join(ground_truth(spark, sf).withColumnRenamed("gt_id", "cluster_id"), "cluster_id")
+    true = F.substring("gt", F.col("pos"), F.lit(1))
+    errors = F.array(*(F.struct(F.lit(b.upper()).alias("base"), (F.col(b) / F.col("depth") - (true == b.upper()).cast("int")).alias("e")) for b in "acgt"))
+    y = f.select("depth", F.explode(errors).alias("x")).select("depth", "x.base", "x.e")
+    return y.groupingSets([["depth", "base"], ["base"]], "depth", "base").agg(F.count("*").alias("positions"), r6(F.avg(F.col("e") * F.col("e"))).alias("mse"), r6(F.avg(F.abs("e"))).alias("mae"))
+
+
 @query("a22_attention_concentration", f"{VIEWS}, s AS (SELECT cluster_id, (length(read) + part % 50) / sum(length(read) + part % 50) OVER (PARTITION BY cluster_id) AS p FROM rd), t AS (SELECT cluster_id, count(*) AS n, max(p) AS top, -sum(p * ln(p + 1e-10)) AS h, stddev_pop(p) AS spread FROM s GROUP BY ALL) SELECT n, round(avg(top), 6) AS top_share, round(avg(h), 6) + 0 AS entropy, round(avg(spread), 6) AS spread FROM t GROUP BY ROLLUP (n)")
 def a22(spark, sf):
     s = reads(spark, sf).select("cluster_id", (F.length("read") + F.col("part") % 50).alias("w"))
