@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import buckets, read, table, tidy
+from .dp_bpe import byte_characters
 
 #: Words whose ids are remembered within a partition; when full, the memory starts anew.
 REMEMBERED = 1_000_000
@@ -28,10 +31,23 @@ class _Words:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.byte = {b: c for c, b in byte_characters().items()}
         self.known: dict[bytes, bytes] = {}
 
     def _encode(self, parts: list[bytes]) -> None:
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False), strict=True):
+        """A lower-case word of letters in composed form passes normalizer and splitter as it is, so the library's model alone
+        gives its ids; other parts go through all of the tokenizer."""
+        other = []
+        for part in parts:
+            word = part.decode()
+            if word.isalpha() and word == word.lower() and (word.isascii() or unicodedata.is_normalized("NFC", word)):
+                shown = word if word.isascii() else "".join(map(self.byte.__getitem__, part))
+                ids = [t.id for t in self.model.tokenize(shown)]
+                self.known[part] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                other.append(part)
+        for part, e in zip(other, self.tokenizer.encode_batch_fast([p.decode() for p in other], add_special_tokens=False), strict=True):
             self.known[part] = np.array(e.ids, "<u4").tobytes()
 
     def learn(self, parts: set[bytes]) -> None:
