@@ -246,3 +246,16 @@ def test_vectors_with_clashing_columns_and_ties(spark):
     assert got == list(enumerate([i for i in range(30) if i != 5][:20], 1))
     links = {r.vec_id: (r.n_links, r.component_id) for r in rp_forest_duplicates(v).collect()}
     assert links == {i: (29, 0) for i in range(30)} | {100: (0, 100)}
+
+
+def test_op3_ids_of_odd_words():
+    """Words that go through the model alone have the library's ids, and so have those that can't."""
+    import random
+
+    from traceloom.llm.pattern_packing import token_ids
+
+    t, rng = tokenizer(), random.Random(2)
+    signs = list("abzAZéÉüßñçœŒæøåİıſKǺ̈ﬁΩω日本語аБ") + [" ", ",", ".", "'s", "1", "!", "<|endoftext|>", " ", "　", "ª", "º", "ⅷ", "Ⅷ"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 14))) for _ in range(5000)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in token_ids([x.encode() for x in texts], word_vocabulary())]
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
