@@ -25,7 +25,7 @@ def _shifted(spark, sf):
     return reads(spark, sf).select("cluster_id", "read_no", "part", "supp", F.concat(F.substring(F.lit("ACGTA"), F.lit(1), (F.col("part") % 6).cast("int")), "read").alias("s"))
 
 
-_HITS = f"{_SHIFTED}, km AS (SELECT cluster_id, read_no, cast(p AS int) AS pos, substr(s, cast(p AS int) + 1, 20) AS k FROM sh, range(0, 30) t(p)), ht AS (SELECT cluster_id, read_no, gt_id, min(pos) AS pos FROM km JOIN gt ON k = substr(gt, 1, 20) GROUP BY ALL)"
+_HITS = f"{_SHIFTED}, km AS (SELECT cluster_id, read_no, cast(p AS int) AS pos, substr(s, cast(p AS int) + 1, 20) AS k FROM sh, range(0, 97) t(p)), ht AS (SELECT cluster_id, read_no, gt_id, min(pos) AS pos FROM km JOIN gt ON k = substr(gt, 1, 20) GROUP BY ALL)"
 
 
 @query("j2_substring_clustering", f"{_HITS} SELECT * FROM ht")

@@ -215,7 +215,7 @@ def j14(spark, sf):
     return h.groupBy("cluster_id").agg(r6(F.avg("d")).alias("mean"), r6(F.stddev_pop("d")).alias("std"), F.max("d").alias("most"), F.min("d").alias("least"))
 
 
-@query("j3_approximate_clustering", f"{VIEWS}, sh AS (SELECT cluster_id, read_no, concat(substr('ACGTA', 1, cast(part % 6 AS int)), read) AS s FROM rd), pc AS (SELECT gt_id, substr(gt, 1, 20) AS g, o, substr(gt, cast(o AS int) + 1, 10) AS k FROM gt, (VALUES (0), (10)) t(o)), km AS (SELECT cluster_id, read_no, s, p, substr(s, cast(p AS int) + 1, 10) AS k FROM sh, range(0, 22) t(p)), cand AS (SELECT DISTINCT cluster_id, read_no, s, gt_id, g, p - o + x AS st FROM km JOIN pc USING (k), (VALUES (-1), (0), (1)) v(x)) SELECT cluster_id, read_no, gt_id, min(st)::int AS pos FROM cand WHERE st BETWEEN 0 AND 10 AND levenshtein(substr(s, cast(st AS int) + 1, 20), g) <= 1 GROUP BY ALL")
+@query("j3_approximate_clustering", f"{VIEWS}, sh AS (SELECT cluster_id, read_no, concat(substr('ACGTA', 1, cast(part % 6 AS int)), read) AS s FROM rd), pc AS (SELECT gt_id, substr(gt, 1, 20) AS g, o, substr(gt, cast(o AS int) + 1, 10) AS k FROM gt, (VALUES (0), (10)) t(o)), km AS (SELECT cluster_id, read_no, s, p, substr(s, cast(p AS int) + 1, 10) AS k FROM sh, range(0, 107) t(p)), cand AS (SELECT DISTINCT cluster_id, read_no, s, gt_id, g, p - o + x AS st FROM km JOIN pc USING (k), (VALUES (-1), (0), (1)) v(x)) SELECT cluster_id, read_no, gt_id, min(st)::int AS pos FROM cand WHERE st BETWEEN 0 AND length(s) - 20 AND levenshtein(substr(s, cast(st AS int) + 1, 20), g) <= 1 GROUP BY ALL")
 def j3(spark, sf):
     s = reads(spark, sf).select("cluster_id", "read_no", F.concat(F.substring(F.lit("ACGTA"), F.lit(1), (F.col("part") % 6).cast("int")), "read").alias("s"))
     return approximate_hits(s, ground_truth(spark, sf), 20, 1)
