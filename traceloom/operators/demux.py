@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,14 +51,56 @@ def nearest_windows(texts: np.ndarray, first: np.ndarray, last: np.ndarray, patt
     return best, np.where(best < _FAR, at + lo, -1)
 
 
-def _best(rows: int, exps: np.ndarray, f: np.ndarray, r: np.ndarray, k_f: int, k_r: int, texts: list[str], only: np.ndarray | None) -> np.ndarray:
+def _edits(windows: np.ndarray, patterns: np.ndarray) -> np.ndarray:
+    """Edit distance of each row of windows to the same row of patterns, all of one length."""
+    k = patterns.shape[1]
+    column = [np.full(len(windows), i, np.int8) for i in range(k + 1)]
+    for j in range(k):
+        diagonal, column[0] = column[0], np.full(len(windows), j + 1, np.int8)
+        for i in range(k):
+            step = diagonal + (windows[:, j] != patterns[:, i])
+            diagonal = column[i + 1]
+            column[i + 1] = np.minimum(step, np.minimum(diagonal, column[i]) + np.int8(1))
+    return column[k]
+
+
+def close_windows(texts: np.ndarray, first: np.ndarray, last: np.ndarray, patterns: np.ndarray, most: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """nearest_windows where the distance is `most` at most (_FAR elsewhere). One of most + 1 pieces of such a pattern stands
+    unchanged in the window, at most `most` places off its own, so only windows about such pieces are measured."""
+    k, e = patterns.shape[1], len(patterns)
+    q = k // (most + 1)
+    best, at = np.full((len(texts), e), _FAR, np.int64), np.full((len(texts), e), -1)
+    if texts.shape[1] < q:
+        return best, at
+    spell = lambda x: sum(x[:, i : x.shape[1] - q + 1 + i].astype(np.int64) << (8 * i) for i in range(q))
+    grams, wanted, found = spell(texts), spell(patterns), []
+    for j in range(most + 1):
+        r, x, c = np.nonzero(grams[:, :, None] == wanted[None, None, :, j * q])
+        p = (x - j * q)[:, None] + np.arange(-most, most + 1)
+        inside = (p >= first[r][:, None]) & (p <= last[r][:, None]) & (p >= 0)
+        found.append((((r * e + c)[:, None] * texts.shape[1]) + p)[inside])
+    keys = np.unique(np.concatenate(found))
+    pair, p = keys // texts.shape[1], keys % texts.shape[1]
+    wide = np.pad(texts, ((0, 0), (0, k)))
+    d = _edits(wide[(pair // e)[:, None], p[:, None] + np.arange(k)], patterns[pair % e])
+    near = d <= most
+    pair, p, d = pair[near], p[near], d[near]
+    order = np.lexsort((p, d, pair))
+    pair, p, d = pair[order], p[order], d[order]
+    lead = np.ones(len(pair), bool)
+    lead[1:] = pair[1:] != pair[:-1]
+    best.ravel()[pair[lead]], at.ravel()[pair[lead]] = d[lead], p[lead]
+    return best, at
+
+
+def _best(rows: int, exps: np.ndarray, f: np.ndarray, r: np.ndarray, texts: list[str], only: np.ndarray | None, search: Callable) -> np.ndarray:
     """exp (-1: none), places and distances of the best pair of each text in this orientation."""
-    out = np.full((len(texts), 5), -1, np.int64)
+    out, k_f, k_r = np.full((len(texts), 5), -1, np.int64), f.shape[1], r.shape[1]
     for a in range(0, len(texts), rows):
         letters, n = _letters(texts[a : a + rows])
         half = n // 2
-        d_f, at_f = nearest_windows(letters, np.zeros(len(n), np.int64), half + 1 - k_f, f)
-        d_r, at_r = nearest_windows(letters, half, n - k_r, r)
+        d_f, at_f = search(letters, np.zeros(len(n), np.int64), half + 1 - k_f, f)
+        d_r, at_r = search(letters, half, n - k_r, r)
         bad = (d_f == _FAR) | (d_r == _FAR) | (at_r <= at_f + k_f) | (n < k_f + k_r)[:, None]
         if only is not None:
             bad |= exps[None, :] != only[a : a + rows, None]
@@ -69,6 +111,14 @@ def _best(rows: int, exps: np.ndarray, f: np.ndarray, r: np.ndarray, k_f: int, k
     return out
 
 
+def _oriented(sides: list[list[str]], best: Callable[[list[str]], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The better orientation of each read: its pair, whether it is the second one, and the summed distance."""
+    both = [best(side) for side in sides]
+    cost = [np.where(b[:, 0] < 0, 10 * _FAR, b[:, 3] + b[:, 4]) for b in both]
+    rc = (cost[1] < cost[0]).astype(np.int64)
+    return np.where(rc[:, None] == 1, both[1], both[0]), rc, np.minimum(*cost)
+
+
 def demultiplex(reads: DataFrame, primers: DataFrame, seq: str = "s", only: str | None = None, rows: int = 256) -> DataFrame:
     """reads with exp, rc (1: the reverse complement), fwd_pos, rev_pos, fwd_dist, rev_dist of the best primer pair.
 
@@ -86,10 +136,12 @@ def demultiplex(reads: DataFrame, primers: DataFrame, seq: str = "s", only: str
         for batch in batches:
             column = lambda c, batch=batch: batch.column(batch.schema.get_field_index(c))
             wanted = column(only).to_numpy(zero_copy_only=False) if only else None
-            both = [_best(rows, exps, f, r, f.shape[1], r.shape[1], [t or "" for t in column(c).to_pylist()], wanted) for c in (seq, "_rc")]
-            cost = [np.where(b[:, 0] < 0, 10 * _FAR, b[:, 3] + b[:, 4]) for b in both]
-            rc = (cost[1] < cost[0]).astype(np.int64)
-            got = np.where(rc[:, None] == 1, both[1], both[0])
+            sides = [[t or "" for t in column(c).to_pylist()] for c in (seq, "_rc")]
+            # A pair with a primer more than two edits off has a sum of three or more, so a sum of two is the least.
+            got, rc, cost = _oriented(sides, lambda side: _best(2048, exps, f, r, side, wanted, close_windows))
+            if len(left := np.flatnonzero(cost > 2)):
+                some = None if wanted is None else wanted[left]
+                got[left], rc[left], _ = _oriented([[side[i] for i in left.tolist()] for side in sides], lambda side: _best(rows, exps, f, r, side, some, nearest_windows))
             none = got[:, 0] < 0
             cols = [pa.array(got[:, 0], mask=none), pa.array(rc.astype(np.int32), mask=none), *(pa.array(got[:, j].astype(np.int32), mask=none) for j in range(1, 5))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *_FOUND])
