@@ -268,3 +268,33 @@ def test_partitioning_does_not_change_results(spark):
         got.append(rows(registry.QUERIES["v3_plain_vote"](spark, SF).toPandas()))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got[0] == got[1]
+
+
+def test_close_windows_are_the_nearest_ones():
+    import random
+
+    import numpy as np
+
+    from traceloom.operators import demux as D
+
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    primers = [some(12) for _ in range(5)]
+    texts = ["", "ACG"]
+    for _ in range(200):
+        p = list(rng.choice(primers))
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(p))
+            p[at : at + 1] = rng.choice([[], [p[at], "A"], ["C"]])
+        texts.append(some(rng.randrange(20)) + "".join(p) + some(rng.randrange(30)))
+    letters, n = D._letters(texts)
+    patterns = D._letters(primers)[0]
+    first, last = np.zeros(len(n), np.int64), n - 12
+    d, at = D.nearest_windows(letters, first, last, patterns)
+    near = d <= 2
+    d2, at2 = D.close_windows(letters, first, last, patterns)
+    assert (near == (d2 <= 2)).all() and (d2[near] == d[near]).all() and (at2[near] == at[near]).all() and near.sum() > 100
+    for k in (5, 17, 80):
+        i = int(d[k].argmin())
+        if n[k] >= 12:
+            assert d[k, i] == min(distance(texts[k][p : p + 12], primers[i]) for p in range(n[k] - 11))
