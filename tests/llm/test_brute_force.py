@@ -259,3 +259,30 @@ def test_op3_ids_of_odd_words():
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 14))) for _ in range(5000)]
     got = [np.frombuffer(x, "<u4").tolist() for x in token_ids([x.encode() for x in texts], word_vocabulary())]
     assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_op3_ids_of_letters_with_marks():
+    """Each letter that has a lower case or composes, before each combining mark, alone and inside a word; and all
+    single characters that aren't above the basic plane."""
+    import unicodedata
+
+    from traceloom.llm.pattern_packing import token_ids
+
+    t = tokenizer()
+    marks = [chr(c) for c in range(0x300, 0x370)] + list("゙゚्֑")
+    letters = [chr(c) for c in [*range(0x41, 0x250), *range(0x386, 0x3D0), *range(0x400, 0x482), *range(0x1E00, 0x1F00)] if chr(c).isalpha()]
+    texts = [" ".join(f"{a}{m} x{a}{m}y" for m in marks) for a in letters]
+    texts += [" ".join(f"{chr(c)} a{chr(c)}b A{chr(c)}." for c in range(n, n + 256) if not 0xD800 <= c < 0xE000) for n in range(0, 1 << 16, 256)]
+    assert any(unicodedata.normalize("NFC", x) != x for x in texts)
+    got = [np.frombuffer(x, "<u4").tolist() for x in token_ids([x.encode() for x in texts], word_vocabulary())]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    bad = [x for x, g, w in zip(texts, got, want, strict=True) if g != w]
+    assert not bad, [x[:80] for x in bad[:3]]
+
+
+def test_op3_ids_of_documents(texts):
+    from traceloom.llm.pattern_packing import token_ids
+
+    all_ = [x or "" for x in texts.values()]
+    got = [np.frombuffer(x, "<u4").tolist() for x in token_ids([x.encode() for x in all_], word_vocabulary())]
+    assert got == [e.ids for e in tokenizer().encode_batch(all_, add_special_tokens=False)]

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +21,23 @@ REMEMBERED = 1_000_000
 _known: dict[str, _Words] = {}
 
 
+#: What the vocabulary's splitter makes of plain text (see `_plain`): runs of letters, single digits, runs of other signs.
+_SPLIT = re.compile(r"[^\W\d_]+|[0-9]|(?:[^\w]|_)+")
+#: Code points from here on may compose or be marks.
+_MARKS_FROM = "\u0250"
+
+
+def _plain(word: str) -> str | None:
+    """The word in lower case, if normalizer and splitter do no more than that and cut it by `_SPLIT`: letters below the first
+    marks, which compose with nothing, and ASCII. No apostrophe (contractions) and no special token. Else None."""
+    if "'" in word or "<|" in word:
+        return None
+    if word.isascii():
+        return word.lower()
+    low = "".join([c.lower() for c in word])
+    return low if max(word) < _MARKS_FROM and max(low) < _MARKS_FROM and all(c < "\x80" or c.isalpha() for c in low) else None
+
+
 class _Words:
     """Ids of white-space parts, remembered."""
 
@@ -32,44 +49,39 @@ class _Words:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.byte = {b: c for c, b in byte_characters().items()}
+        self.shown = {c: b for c, b in enumerate(map({b: c for c, b in byte_characters().items()}.__getitem__, range(256)))}
         self.known: dict[bytes, bytes] = {}
+        self.cut: dict[str, bytes] = {}
 
-    def _encode(self, parts: list[bytes]) -> None:
-        """A lower-case word of letters in composed form passes normalizer and splitter as it is, so the library's model alone
-        gives its ids; other parts go through all of the tokenizer."""
-        other = []
-        for part in parts:
-            word = part.decode()
-            if word.isalpha() and word == word.lower() and (word.isascii() or unicodedata.is_normalized("NFC", word)):
-                shown = word if word.isascii() else "".join(map(self.byte.__getitem__, part))
-                ids = [t.id for t in self.model.tokenize(shown)]
-                self.known[part] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                other.append(part)
-        for part, e in zip(other, self.tokenizer.encode_batch_fast([p.decode() for p in other], add_special_tokens=False), strict=True):
-            self.known[part] = np.array(e.ids, "<u4").tobytes()
+    def _ids(self, piece: str) -> bytes:
+        """Ids of what the splitter gives as one, by the library's model alone."""
+        found = self.cut.get(piece)
+        if found is None:
+            ids = [t.id for t in self.model.tokenize(piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.shown))]
+            found = self.cut[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
     def learn(self, parts: set[bytes]) -> None:
-        """Make sure that all parts are known. The vocabulary is lower case and splits marks from letters, so a part with
-        ASCII capitals or one mark after its letters has the ids of its plain form and of the mark."""
+        """Make sure that all parts are known."""
         new = parts.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
+            self.forget()
             new = parts
-        plain, marked = [], []
-        for p in new:
-            q = p.lower() if b"<|" not in p else p
-            mark = q[-1:] if q[-1:] in (b",", b".") and q[-2:-1].isalpha() else b""
-            if q == p and not mark:
-                plain.append(p)
+        other = []
+        for part in new:
+            low = _plain(part.decode())
+            if low is None:
+                other.append(part)
+            elif low.isalpha():
+                self.known[part] = self._ids(low)
             else:
-                marked.append((p, q[: len(q) - len(mark)], mark))
-        need = {s for _, s, _ in marked} | {m for _, _, m in marked if m}
-        self._encode(plain)
-        self._encode([s for s in need if s not in self.known])
-        for p, s, m in marked:
-            self.known[p] = self.known[s] + (self.known[m] if m else b"")
+                self.known[part] = b"".join(map(self._ids, _SPLIT.findall(low)))
+        for part, e in zip(other, self.tokenizer.encode_batch_fast([p.decode() for p in other], add_special_tokens=False), strict=True):
+            self.known[part] = np.array(e.ids, "<u4").tobytes()
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.cut.clear()
 
 
 def token_ids(texts: list[bytes], vocabulary: str) -> Iterator[bytes]:
@@ -113,7 +125,7 @@ def _pieces(vocabulary: str, size: int, end_id: int):
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
         if vocabulary in _known:
-            _known[vocabulary].known.clear()
+            _known[vocabulary].forget()
 
     return run
 
