@@ -180,6 +180,37 @@ def test_prefixes_are_found_anywhere_in_the_read(spark):
     assert {(x.read_no, x.gt_id): x.pos for x in J.approximate_hits(r, t, 20, 1).collect()} == near and len(near) > len(exact) and max(near.values()) > 80
 
 
+@pytest.mark.parametrize(("k", "most"), [(20, 0), (20, 1), (20, 2), (20, 3), (30, 2), (12, 3), (6, 5)])
+def test_approximate_hits_at_any_distance(spark, k, most):
+    """First window and its distance, against all windows of all prefixes; pieces in pairs where single ones are short."""
+    import random
+
+    rng = random.Random(k * 10 + most)
+    truths = [(i, random_bases(i)[:40]) for i in range(12)] + [(98, "ACG")]
+    reads = [(1, 99, "ACGT"), (1, 100, ""), (1, 101, truths[0][1][:k])]
+    for i, g in truths[:12]:
+        for edits in range(most + 2):
+            r = list(g[:k])
+            for _ in range(edits):
+                at = rng.randrange(len(r))
+                r[at : at + 1] = rng.choice([[], [r[at], rng.choice("ACGT")], [rng.choice("ACGT")]])
+            reads.append((1, 10 * i + edits, random_bases(100 + i)[: 3 * i] + "".join(r) + random_bases(200 + i)[:25]))
+    want = {}
+    for _, n, s in reads:
+        for g, gt in truths:
+            for p in range(len(s) - k + 1) if len(gt) >= k else ():
+                if (d := distance(s[p : p + k], gt[:k])) <= most:
+                    want[n, g] = (p, d)
+                    break
+    r, t = spark.createDataFrame(reads, "cluster_id int, read_no int, s string"), spark.createDataFrame(truths, "gt_id int, gt string")
+    got = {(x.read_no, x.gt_id): (x.pos, x.edit_dist) for x in J.approximate_hits(r, t, k, most).collect()}
+    assert got == want and max(d for _, d in want.values()) == most
+    best = {x.read_no: (x.gt_id, x.pos, x.edit_dist, x.hits, x.status) for x in J.best_match(r, J.approximate_hits(r, t, k, most)).collect()}
+    for _, n, _ in reads:
+        hits = sorted((d, p, g) for (m, g), (p, d) in want.items() if m == n)
+        assert best[n] == ((hits[0][2], hits[0][1], hits[0][0], len(hits), "mapped" if len(hits) == 1 else "mapped_ambiguous") if hits else (None, None, None, 0, "unmapped"))
+
+
 def test_within_distance_misses_no_pair(spark):
     import random
 

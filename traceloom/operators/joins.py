@@ -7,29 +7,54 @@ from pyspark.sql import functions as F
 
 
 def prefix_hits(reads: DataFrame, truths: DataFrame, k: int) -> DataFrame:
-    """Ground truths whose k-prefix stands in a read (column s), with the first place. All prefixes have one
+    """Ground truths whose k-prefix stands in a read (column s), with the first place and edit distance 0. All prefixes have one
     length, so the containment test is a hash join on the read's k-mers."""
     starts = F.sequence(F.lit(1), F.greatest(F.length("s") - k + 1, F.lit(1)))
     kmers = reads.select("cluster_id", "read_no", F.posexplode(F.transform(starts, lambda i: F.substring("s", i, F.lit(k)))).alias("pos", "kmer"))
     prefixes = truths.select("gt_id", F.substring("gt", 1, k).alias("kmer"))
-    return kmers.join(prefixes, "kmer").groupBy("cluster_id", "read_no", "gt_id").agg(F.min("pos").alias("pos"))
+    return kmers.join(prefixes, "kmer").groupBy("cluster_id", "read_no", "gt_id").agg(F.min("pos").alias("pos")).withColumn("edit_dist", F.lit(0))
+
+
+def seeds(k: int, most: int, least: int = 8) -> tuple[int, list[tuple[int, int]]]:
+    """Size of a piece, and the places of pieces of which one, or of pairs of which one pair, stays whole in a k-prefix after
+    `most` edits: most + 1 pieces if they have `least` bases or more, else pairs among most + 2 pieces, as an edit
+    touches one piece only and so leaves two whole. A single piece is a pair with itself."""
+    if k // (most + 1) >= least or k < most + 2:
+        size = max(k // (most + 1), 1)
+        return size, [(i * size, i * size) for i in range(min(most + 1, k))]
+    size = k // (most + 2)
+    return size, [(i * size, j * size) for i in range(most + 2) for j in range(i + 1, most + 2)]
 
 
 def approximate_hits(reads: DataFrame, truths: DataFrame, k: int, most: int) -> DataFrame:
-    """Ground truths whose k-prefix is within `most` edits of one of a read's (column s) k-windows, with the
-    first such place. One of most + 1 equal pieces of the prefix stands unchanged in the window, at most `most`
-    places off: an equi-join on pieces finds every candidate, levenshtein decides. A piece takes the part of
-    the read along that its windows can cover."""
-    piece = k // (most + 1)
-    pieces = truths.select("gt_id", F.substring("gt", 1, k).alias("prefix"), F.posexplode(F.array(*(F.substring("gt", i * piece + 1, piece) for i in range(most + 1)))).alias("no", "piece"))
+    """Ground truths whose k-prefix is within `most` edits of one of a read's (column s) k-windows, with the first such place and
+    its edit distance; ground truths and reads of fewer than k bases have none.
+
+    Pieces of the prefix stand unchanged in the window (`seeds`), a first one at most `most` places off its own and a second at
+    most `most` off its distance from the first, never before its end: an equi-join on (distance, both pieces)
+    finds every candidate, levenshtein within a band of `most` decides. Pieces take the part of the read along that
+    their windows can cover. `most` edits of which all pieces could be hit (k <= most) leave no seed and are refused."""
+    if most >= k:
+        raise ValueError("a prefix must be longer than the edits allowed")
+    size, places = seeds(k, most)
+    keys = [(i, j, gap) for i, j in places for gap in (range(max(size, j - i - most), j - i + most + 1) if j > i else [0])]
+    whole = lambda i, j: F.concat(*(F.substring("gt", p + 1, size) for p in sorted({i, j})))
+    own = F.array(*(F.struct(F.lit(i).alias("first"), F.lit(gap).alias("gap"), whole(i, j).alias("piece")) for i, j, gap in keys))
+    pieces = truths.where(F.length("gt") >= k).select("gt_id", F.substring("gt", 1, k).alias("prefix"), F.explode(own).alias("x")).select("gt_id", "prefix", "x.*")
     long = reads.where(F.length("s") >= k)
-    kmers = long.select("cluster_id", "read_no", "s", F.explode(F.sequence(F.lit(0), F.length("s") - piece)).alias("at"))
-    lo = F.greatest(F.col("at") - (most + 1) * piece - most, F.lit(0))
-    kmers = kmers.select("cluster_id", "read_no", "at", F.substring("s", F.col("at") + 1, F.lit(piece)).alias("piece"), lo.alias("lo"), F.substring("s", lo + 1, F.lit(2 * k + 2 * most)).alias("near"), (F.length("s") - k).alias("last"))
-    pos = F.explode(F.sequence(F.col("at") - F.col("no") * piece - most, F.col("at") - F.col("no") * piece + most))
-    found = kmers.join(pieces, "piece").select("cluster_id", "read_no", "gt_id", "prefix", "lo", "near", "last", pos.alias("pos")).where("pos between 0 and last")
-    near = found.where(F.levenshtein(F.substring("near", F.col("pos") - F.col("lo") + 1, F.lit(k)), "prefix", most) >= 0)
-    return near.groupBy("cluster_id", "read_no", "gt_id").agg(F.min("pos").alias("pos"))
+    at = long.select("cluster_id", "read_no", "s", F.explode(F.sequence(F.lit(0), F.length("s") - size)).alias("at"))
+    gaps = sorted({gap for *_, gap in keys})
+    if gaps == [0]:
+        kmers = at.withColumn("gap", F.lit(0)).withColumn("piece", F.substring("s", F.col("at") + 1, F.lit(size)))
+    else:
+        kmers = at.withColumn("gap", F.explode(F.array(*map(F.lit, gaps)))).where(F.col("at") + F.col("gap") + size <= F.length("s"))
+        kmers = kmers.withColumn("piece", F.concat(F.substring("s", F.col("at") + 1, F.lit(size)), F.substring("s", F.col("at") + F.col("gap") + 1, F.lit(size))))
+    lo = F.greatest(F.col("at") - k - most, F.lit(0))
+    kmers = kmers.select("cluster_id", "read_no", "at", "gap", "piece", lo.alias("lo"), F.substring("s", lo + 1, F.lit(2 * k + 2 * most)).alias("near"), (F.length("s") - k).alias("last"))
+    pos = F.explode(F.sequence(F.col("at") - F.col("first") - most, F.col("at") - F.col("first") + most))
+    found = kmers.join(pieces, ["gap", "piece"]).select("cluster_id", "read_no", "gt_id", "prefix", "lo", "near", "last", pos.alias("pos")).where("pos between 0 and last")
+    found = found.withColumn("edit_dist", F.levenshtein(F.substring("near", F.col("pos") - F.col("lo") + 1, F.lit(k)), "prefix", most)).where("edit_dist >= 0")
+    return found.groupBy("cluster_id", "read_no", "gt_id").agg(F.min(F.struct("pos", "edit_dist")).alias("b")).select("cluster_id", "read_no", "gt_id", "b.pos", "b.edit_dist")
 
 
 def within_distance(reads: DataFrame, truths: DataFrame, least: int, most: int) -> DataFrame:
@@ -55,11 +80,11 @@ def within_distance(reads: DataFrame, truths: DataFrame, least: int, most: int)
 
 
 def best_match(reads: DataFrame, hits: DataFrame) -> DataFrame:
-    """The hit with the least (pos, gt_id) of each read, the number of hits, and mapped / mapped_ambiguous / unmapped."""
-    best = hits.groupBy("cluster_id", "read_no").agg(F.min(F.struct("pos", "gt_id")).alias("b"), F.count("*").alias("hits"))
+    """The hit with the least (edit_dist, pos, gt_id) of each read, the number of hits, and mapped / mapped_ambiguous / unmapped."""
+    best = hits.groupBy("cluster_id", "read_no").agg(F.min(F.struct("edit_dist", "pos", "gt_id")).alias("b"), F.count("*").alias("hits"))
     out = reads.select("cluster_id", "read_no").join(best, ["cluster_id", "read_no"], "left")
     status = F.when(F.col("hits").isNull(), "unmapped").when(F.col("hits") == 1, "mapped").otherwise("mapped_ambiguous")
-    return out.select("cluster_id", "read_no", "b.gt_id", "b.pos", F.coalesce("hits", F.lit(0)).alias("hits"), status.alias("status"))
+    return out.select("cluster_id", "read_no", "b.gt_id", "b.pos", "b.edit_dist", F.coalesce("hits", F.lit(0)).alias("hits"), status.alias("status"))
 
 
 def shortest_unique_prefix(truths: DataFrame, column: str) -> DataFrame:

@@ -33,7 +33,7 @@ def j2(spark, sf):
     return prefix_hits(_shifted(spark, sf), ground_truth(spark, sf), 20).select("cluster_id", "read_no", "gt_id", "pos")
 
 
-@query("j4_w1_best_match", f"{_HITS}, b AS (SELECT cluster_id, read_no, arg_min(gt_id, pos::bigint * 1000000000 + gt_id) AS gt_id, min(pos) AS pos, count(*) AS hits FROM ht GROUP BY ALL) SELECT s.cluster_id, s.read_no, b.gt_id, b.pos, coalesce(hits, 0) AS hits, CASE WHEN hits IS NULL THEN 'unmapped' WHEN hits = 1 THEN 'mapped' ELSE 'mapped_ambiguous' END AS status FROM sh s LEFT JOIN b USING (cluster_id, read_no)")
+@query("j4_w1_best_match", f"{_HITS}, b AS (SELECT cluster_id, read_no, arg_min(gt_id, pos::bigint * 1000000000 + gt_id) AS gt_id, min(pos) AS pos, count(*) AS hits FROM ht GROUP BY ALL) SELECT s.cluster_id, s.read_no, b.gt_id, b.pos, CASE WHEN hits > 0 THEN 0 END AS edit_dist, coalesce(hits, 0) AS hits, CASE WHEN hits IS NULL THEN 'unmapped' WHEN hits = 1 THEN 'mapped' ELSE 'mapped_ambiguous' END AS status FROM sh s LEFT JOIN b USING (cluster_id, read_no)")
 def j4(spark, sf):
     s = _shifted(spark, sf)
     return best_match(s, prefix_hits(s, ground_truth(spark, sf), 20))

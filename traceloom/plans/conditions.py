@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.sequence import seeded
 from ..operators import contamination as X
 from ..operators.consensus import ensemble_vote
-from ..operators.joins import approximate_hits
+from ..operators.joins import approximate_hits, best_match
 from ..operators.metrics import r6
 from ..operators.rank_tests import rank_sums
 from ..sources.fixture import VIEWS, ground_truth, reads, table
 from ._register import query
+from .clustering import _SHIFTED, _shifted
+from .noisy import NOISY, approximate_twin, match_twin, noisy_reads
 from .voting import _FREQ, _frequencies
 
 _SCORES = f"{VIEWS}, c AS (SELECT cluster_id, count(*) AS n, avg(levenshtein(read, gt)) AS d FROM rd GROUP BY ALL)"
@@ -215,10 +217,16 @@ def j14(spark, sf):
     return h.groupBy("cluster_id").agg(r6(F.avg("d")).alias("mean"), r6(F.stddev_pop("d")).alias("std"), F.max("d").alias("most"), F.min("d").alias("least"))
 
 
-@query("j3_approximate_clustering", f"{VIEWS}, sh AS (SELECT cluster_id, read_no, concat(substr('ACGTA', 1, cast(part % 6 AS int)), read) AS s FROM rd), pc AS (SELECT gt_id, substr(gt, 1, 20) AS g, o, substr(gt, cast(o AS int) + 1, 10) AS k FROM gt, (VALUES (0), (10)) t(o)), km AS (SELECT cluster_id, read_no, s, p, substr(s, cast(p AS int) + 1, 10) AS k FROM sh, range(0, 107) t(p)), cand AS (SELECT DISTINCT cluster_id, read_no, s, gt_id, g, p - o + x AS st FROM km JOIN pc USING (k), (VALUES (-1), (0), (1)) v(x)) SELECT cluster_id, read_no, gt_id, min(st)::int AS pos FROM cand WHERE st BETWEEN 0 AND length(s) - 20 AND levenshtein(substr(s, cast(st AS int) + 1, 20), g) <= 1 GROUP BY ALL")
+@query("j3_approximate_clustering", f"{_SHIFTED}, {approximate_twin('sh', 20, 1)} SELECT * FROM ah")
 def j3(spark, sf):
-    s = reads(spark, sf).select("cluster_id", "read_no", F.concat(F.substring(F.lit("ACGTA"), F.lit(1), (F.col("part") % 6).cast("int")), "read").alias("s"))
-    return approximate_hits(s, ground_truth(spark, sf), 20, 1)
+    return approximate_hits(_shifted(spark, sf), ground_truth(spark, sf), 20, 1)
+
+
+@query("j3_j4_two_edits", f"{NOISY}, sn AS MATERIALIZED (SELECT cluster_id, read_no, read AS s FROM nr), {approximate_twin('sn', 30, 2)} {match_twin('sn')}")
+def j3_j4(spark, sf):
+    """Reads of many edits, clustered by prefixes of 30 bases within two edits: the best by distance, place and ground truth."""
+    s = noisy_reads(spark, sf).select("cluster_id", "read_no", F.col("read").alias("s"))
+    return best_match(s, approximate_hits(s, ground_truth(spark, sf), 30, 2))
 
 
 @query("f17_offending_ids", f"{_SCORES} SELECT 'wrong_size' AS fault, cluster_id AS id FROM c WHERE n NOT BETWEEN 2 AND 10 UNION ALL SELECT 'wrong_read', cluster_id FROM rd WHERE regexp_matches(read, '[^ACGT]') OR length(read) <> 110 UNION ALL SELECT 'wrong_truth', gt_id FROM gt WHERE length(gt) <> 110 OR regexp_matches(gt, '[^ACGT]')")

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators.joins import best_match, prefix_hits
+from ..operators.joins import approximate_hits, best_match
 from ..sources import scans
 from ..sources.fixture import VIEWS, clusters, ground_truth, reads
 from ._register import ORACLES, QUERIES, query
-from .clustering import _HITS, _shifted
+from .clustering import _SHIFTED, _shifted
+from .noisy import approximate_twin, match_twin
 from .sources import _folder
 
 
@@ -31,12 +32,18 @@ def s7(spark, sf):
     return scans.labelled_clusters(spark, path).select("gt", F.array_join("reads", "|").alias("reads"))
 
 
-@query("s8_k7_f12_clustering_csv", f"{_HITS}, b AS (SELECT cluster_id, read_no, arg_min(gt_id, pos::bigint * 1000000000 + gt_id) AS gt_id, count(*) AS hits FROM ht GROUP BY ALL) SELECT cluster_id, read_no, gt_id, hits, CASE WHEN hits = 1 THEN 'mapped' ELSE 'mapped_ambiguous' END AS status FROM b")
+_ID = "concat(cast(cluster_id AS varchar), '_', cast(read_no AS varchar)) AS read_id"
+
+
+@query("s8_k7_f12_clustering_csv", f"{_SHIFTED}, {approximate_twin('sh', 20, 1)}, m AS ({match_twin('sh')}) SELECT {_ID}, gt_id, pos AS match_pos, edit_dist, status, hits AS num_matches FROM m WHERE hits > 0")
 def s8(spark, sf):
-    """Results of the clustering as CSV with a header, kept where the read is mapped or ambiguous."""
+    """Results of the clustering within one edit as CSV with a header: place and distance of the match, -1 and `unmapped` where there
+    is none. Read back, the sentinels are nulls, and mapped and ambiguous reads are kept."""
     s = _shifted(spark, sf)
-    found = best_match(s, prefix_hits(s, ground_truth(spark, sf), 20)).select("cluster_id", "read_no", "gt_id", "hits", "status")
-    return _through(spark, found, "csv", header=True).where(F.col("status").isin("mapped", "mapped_ambiguous"))
+    found = best_match(s, approximate_hits(s, ground_truth(spark, sf), 20, 1))
+    path = _folder(spark)
+    scans.write_clustering_results(found.withColumn("read_id", F.concat_ws("_", F.col("cluster_id").cast("string"), F.col("read_no").cast("string"))), path)
+    return scans.clustering_results(spark, path).where(F.col("status").isin("mapped", "mapped_ambiguous"))
 
 
 @query("s10_k10_position_parquet", ORACLES["a17_w3_position_metrics"])

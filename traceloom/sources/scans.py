@@ -123,6 +123,19 @@ def write_labelled_clusters(df: DataFrame, path: str) -> None:
     in_order(df.select("idx", block.alias("v")), "idx", "v", path, "\n\n\n")
 
 
+def write_clustering_results(df: DataFrame, path: str) -> None:
+    """df (read_id, gt_id, pos, edit_dist, status, hits) as CSV with a header; what is missing is written as -1, and a missing gt_id as unmapped."""
+    none = lambda c: F.coalesce(c, F.lit(-1)).alias
+    df.select("read_id", F.coalesce(F.col("gt_id").cast("string"), F.lit("unmapped")).alias("gt_id"), none("pos")("match_pos"), none("edit_dist")("edit_dist"), "status", F.col("hits").alias("num_matches")).write.csv(path, header=True)
+
+
+def clustering_results(spark: SparkSession, path: str) -> DataFrame:
+    """read_id, gt_id, match_pos, edit_dist, status, num_matches; -1 and unmapped are nulls."""
+    rows = spark.read.schema("read_id string, gt_id string, match_pos int, edit_dist int, status string, num_matches long").csv(path, header=True)
+    seen = lambda c: F.when(F.col(c) >= 0, F.col(c)).alias(c)
+    return rows.select("read_id", F.when(F.col("gt_id") != "unmapped", F.col("gt_id")).cast("long").alias("gt_id"), seen("match_pos"), seen("edit_dist"), "status", "num_matches")
+
+
 def write_ragged(df: DataFrame, path: str) -> None:
     """df (key, reads) as one line a cluster."""
     df.select(F.concat_ws(",", F.col("key").cast("string"), "reads")).write.text(path)
