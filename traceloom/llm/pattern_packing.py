@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ._shared import buckets, read, table, tidy
 from .dp_bpe import byte_characters
 
-#: Words whose ids are remembered within a partition; when full, the memory starts anew.
+#: Parts whose ids are remembered within a partition, and words within a worker; when full, the memory starts anew.
 REMEMBERED = 1_000_000
 _known: dict[str, _Words] = {}
 
@@ -65,8 +65,10 @@ class _Words:
         """Make sure that all parts are known."""
         new = parts.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.forget()
+            self.known.clear()
             new = parts
+        if len(self.cut) > REMEMBERED:
+            self.cut.clear()
         other = []
         for part in new:
             low = _plain(part.decode())
@@ -79,10 +81,6 @@ class _Words:
         for part, e in zip(other, self.tokenizer.encode_batch_fast([p.decode() for p in other], add_special_tokens=False), strict=True):
             self.known[part] = np.array(e.ids, "<u4").tobytes()
 
-    def forget(self) -> None:
-        self.known.clear()
-        self.cut.clear()
-
 
 def token_ids(texts: list[bytes], vocabulary: str) -> Iterator[bytes]:
     """Ids (little-endian uint32) of each text by the tokenizers library.
@@ -124,8 +122,8 @@ def _pieces(vocabulary: str, size: int, end_id: int):
                         c.append(v)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        if vocabulary in _known:
-            _known[vocabulary].forget()
+        if vocabulary in _known:  # words stay for the worker's next partition
+            _known[vocabulary].known.clear()
 
     return run
 
