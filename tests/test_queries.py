@@ -187,7 +187,7 @@ def test_approximate_hits_at_any_distance(spark, k, most):
 
     rng = random.Random(k * 10 + most)
     truths = [(i, random_bases(i)[:40]) for i in range(12)] + [(98, "ACG")]
-    reads = [(1, 99, "ACGT"), (1, 100, ""), (1, 101, truths[0][1][:k])]
+    reads = [(1, 990, "ACGT"), (1, 991, ""), (1, 992, truths[0][1][:k])]
     for i, g in truths[:12]:
         for edits in range(most + 2):
             r = list(g[:k])
@@ -204,7 +204,7 @@ def test_approximate_hits_at_any_distance(spark, k, most):
                     break
     r, t = spark.createDataFrame(reads, "cluster_id int, read_no int, s string"), spark.createDataFrame(truths, "gt_id int, gt string")
     got = {(x.read_no, x.gt_id): (x.pos, x.edit_dist) for x in J.approximate_hits(r, t, k, most).collect()}
-    assert got == want and max(d for _, d in want.values()) == most
+    assert got == want and len(want) >= 12 and len({d for _, d in want.values()}) > min(most, 1)
     best = {x.read_no: (x.gt_id, x.pos, x.edit_dist, x.hits, x.status) for x in J.best_match(r, J.approximate_hits(r, t, k, most)).collect()}
     for _, n, _ in reads:
         hits = sorted((d, p, g) for (m, g), (p, d) in want.items() if m == n)
@@ -215,9 +215,9 @@ def test_within_distance_misses_no_pair(spark):
     import random
 
     rng = random.Random(11)
-    truths = [random_bases(i)[:60] for i in range(12)] + ["ACGTAC", ""]
-    reads = ["", "ACG", "ACGTTC"]
-    for g in truths[:12]:
+    truths = [random_bases(i)[:60] for i in range(12)] + [random_bases(77)[:16], random_bases(78)[:28], "ACGTAC", ""]
+    reads = ["", "ACG", "ACGTTC", "NNNNNNN", random_bases(3)[:60].replace("A", "N", 9), None]
+    for g in [*truths[:12], random_bases(77)[:16], random_bases(78)[:28]]:
         for edits in range(0, 20, 2):
             r = list(g)
             for _ in range(edits):
@@ -225,7 +225,7 @@ def test_within_distance_misses_no_pair(spark):
                 r[at : at + 1] = rng.choice([[], [r[at], rng.choice("ACGT")], [rng.choice("ACGT")]])
             reads.append("".join(r))
     r, t = spark.createDataFrame([(x,) for x in reads], "s string"), spark.createDataFrame([(x,) for x in truths], "g string")
-    want = {s for s in reads if any(5 <= distance(s, g) <= 13 for g in truths)}
+    want = {s for s in reads if s is not None and any(5 <= distance(s, g) <= 13 for g in truths)}
     assert {x.s for x in J.within_distance(r, t, 5, 13).collect()} == want and 20 < len(want) < len(set(reads))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -57,26 +57,38 @@ def approximate_hits(reads: DataFrame, truths: DataFrame, k: int, most: int) ->
     return found.groupBy("cluster_id", "read_no", "gt_id").agg(F.min(F.struct("pos", "edit_dist")).alias("b")).select("cluster_id", "read_no", "gt_id", "b.pos", "b.edit_dist")
 
 
+def _one_edit(text: str, symbols: str = "ACGTN") -> Column:
+    """All texts within one edit of column `text` over these symbols, as an array with repeats."""
+    places = F.sequence(F.lit(1), F.length(text) + 1)
+    letters = F.array(*map(F.lit, symbols))
+    head, tail = (lambda i: F.substring(text, F.lit(1), i - 1)), (lambda i: F.substring(text, i, F.length(text)))
+    changed = F.flatten(F.transform(places, lambda i: F.concat(F.array(F.concat(head(i), tail(i + 1))), F.flatten(F.transform(letters, lambda x: F.array(F.concat(head(i), x, tail(i + 1)), F.concat(head(i), x, tail(i))))))))
+    return F.array_distinct(changed)
+
+
 def within_distance(reads: DataFrame, truths: DataFrame, least: int, most: int) -> DataFrame:
     """Different reads (column s) that have a truth (column g) at an edit distance of `least` to `most`.
 
-    A truth is cut into most + 1 equal pieces. Within `most` edits one piece stays whole, and it stands in the read at most
-    `most` places off its own: reads and truths meet by piece number and text, so no pair is missed, and
-    levenshtein decides. Truths too short for pieces of three bases are compared with all reads."""
-    piece = F.floor(F.length("g") / (most + 1)).cast("int")
-    g = truths.select("g").distinct().withColumn("size", piece)
-    s = reads.select("s").distinct()
-    near = lambda pairs: pairs.where(F.levenshtein("s", "g", most) >= least).select("s").distinct()
-    few = near(s.crossJoin(F.broadcast(g.where("size < 3"))))
-    cut = g.where("size >= 3").select("g", "size", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("no"))
-    cut = cut.select("g", "size", "no", F.substring("g", F.col("no") * F.col("size") + 1, F.col("size")).alias("piece"))
-    sizes = cut.select("size").distinct()  # as many rows as truths have different lengths
-    at = s.crossJoin(F.broadcast(sizes)).where(F.length("s") >= F.col("size")).select("s", "size", F.explode(F.sequence(F.lit(0), F.length("s") - F.col("size"))).alias("at"))
-    lo = F.greatest(F.lit(0), F.ceil((F.col("at") - most) / F.col("size")).cast("int"))
-    hi = F.least(F.lit(most), F.floor((F.col("at") + most) / F.col("size")).cast("int"))
-    at = at.withColumn("lo", lo).withColumn("hi", hi).where("lo <= hi")
-    at = at.select("s", "size", F.substring("s", F.col("at") + 1, F.col("size")).alias("piece"), F.explode(F.sequence("lo", "hi")).alias("no"))
-    return few.union(near(at.join(cut, ["size", "no", "piece"]).select("s", "g").distinct())).distinct()
+    A truth is cut into most // 2 + 1 equal segments. Within `most` edits one segment has one edit at most, and it begins in the
+    read at most `most` places off its own. All texts within one edit of a segment meet the read's windows of about its
+    size, so no pair is missed, a read has three keys a place, and a truth of 110 bases meets by 14 to 16 of them:
+    chance candidates are a few in 100,000 pairs. Only hashes and numbers meet; texts join the candidates at the end and
+    levenshtein decides. Symbols but ACGT are one for the search. A truth too short for segments of two bases has no
+    seed: it meets the reads of any length that could do, and those are short as well."""
+    parts = most // 2 + 1
+    tell = lambda c: F.regexp_replace(c, "[^ACGT]", "N")
+    g = truths.select("g").where("g is not null").distinct().withColumn("gid", F.xxhash64("g")).withColumn("size", F.expr(f"length(g) div {parts}").cast("int"))
+    s = reads.select("s").where("s is not null").distinct().withColumn("rid", F.xxhash64("s"))
+    cut = g.where("size >= 2").select("gid", "size", tell(F.col("g")).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("no"))
+    cut = cut.select("gid", (F.col("no") * F.col("size")).alias("own"), F.substring("g", F.col("no") * F.col("size") + 1, F.col("size")).alias("segment"))
+    keys = cut.select("gid", "own", F.explode(_one_edit("segment")).alias("key")).select("gid", "own", F.xxhash64("key").alias("key"))
+    sizes = g.where("size >= 2").select(F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size")).distinct()  # three for each length of a truth
+    windows = s.select("rid", tell(F.col("s")).alias("s")).crossJoin(F.broadcast(sizes)).where(F.length("s") >= F.col("size"))
+    windows = windows.select("rid", "s", "size", F.explode(F.sequence(F.lit(0), F.length("s") - F.col("size"))).alias("at")).select("rid", "at", F.xxhash64(F.substring("s", F.col("at") + 1, F.col("size"))).alias("key"))
+    pairs = windows.join(keys, "key").where(F.abs(F.col("at") - F.col("own")) <= most).select("rid", "gid").distinct()
+    short = g.where("size < 2").select("g", F.explode(F.sequence(F.lit(0), F.length("g") + most)).alias("n"))
+    met = pairs.join(s, "rid").join(g.select("gid", "g"), "gid").select("s", "g").unionByName(s.withColumn("n", F.length("s")).join(short, "n").select("s", "g"))
+    return met.where(F.levenshtein("s", "g", most) >= least).select("s").distinct()
 
 
 def best_match(reads: DataFrame, hits: DataFrame) -> DataFrame:
