@@ -277,6 +277,21 @@ def test_lookahead_vote_is_the_plain_loop(spark):
     assert got == {i: pointers(rs, 40) for i, rs in clusters.items()}
 
 
+def test_clusters_of_any_size_reach_the_kernels_whole(spark):
+    """A cluster of 20,000 reads spans batches; odd symbols, null keys and empty reads."""
+    import random
+
+    rng = random.Random(4)
+    gt = random_bases(5)[:40]
+    rows_ = [(7, k, gt[: rng.randrange(35, 41)] if k % 3 else gt[:9] + "N" + gt[10:]) for k in range(20_000)] + [(None, 1, "ACG"), (None, 2, "ACGT"), (8, 1, ""), (9, 1, "né"), (9, 2, "nA"), (10, 1, "Aé"), (10, 2, "AéG")]
+    df = spark.createDataFrame(rows_, "cluster_id long, read_no int, read string")
+    got = {r.cluster_id: r.consensus for r in C.lookahead_vote(df, 40).collect()}
+    want = {c: pointers([r for d, _, r in rows_ if c == d and r], 40) for c in (None, 9, 10)}
+    assert got == want | {7: gt}
+    said = {r.cluster_id: (r.consensus, r.error) for r in C.plug_in(lambda rs, n: f"{len(rs)}{rs[-1]}" if len(rs) > 1 else [][n])(df, 40).collect()}
+    assert said[7] == (f"20000{rows_[19_999][2]}", None) and said[None] == ("2ACGT", None) and said[8] == (None, "IndexError: list index out of range")
+
+
 def test_plain_vote_of_hot_clusters(spark, monkeypatch):
     """Clusters over the bound are counted another way, with the same winners."""
     r = fixture.reads(spark, SF).select("cluster_id", "read_no", "read")

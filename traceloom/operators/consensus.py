@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -157,44 +158,99 @@ def ensemble_vote(predictions: DataFrame, key: str = "cluster_id") -> DataFrame:
     return won.groupBy(key, "n").agg(F.regexp_replace(text, "-+$", "").alias("consensus"), F.avg(F.col("m") / F.col("n")).alias("mean_agreement"), F.min(F.col("m") / F.col("n")).alias("min_agreement"))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value worked out once."""
-    return F.transform(F.array(value), body)[0]
+def whole_clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by their first column, anew in tables that part no value of it. A table holds about a batch, or one value's
+    rows where these are more."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and held[-1].column(0)[-1] != batch.column(0)[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        code = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        last = int(np.flatnonzero(np.diff(code))[-1]) + 1 if (code != code[0]).any() else 0
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _begins(of: pa.Table) -> np.ndarray:
+    """Where each cluster of a table begins, and its end."""
+    code = of.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
+    code = (code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code).indices.to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.flatnonzero(np.diff(code)) + 1, [len(code)]])
+
+
+def _by_whole_cluster(reads: DataFrame, key: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """run over reads dealt by key and sorted by key and read_no, so that a cluster streams by in order."""
+    kind = reads.schema[key].dataType.simpleString()
+    return reads.select(key, "read_no", "read").repartition(key).sortWithinPartitions(key, "read_no").mapInArrow(run, f"{key} {kind}, {schema}")
+
+
+#: What a place shows: a base's number, another symbol, or nothing; and what no place shows.
+_OTHER, _END, _NONE = 4, 5, 9
+
+
+def pointer_steps(texts: list[str], cluster: np.ndarray, length: int, window: int) -> list[str]:
+    """Consensus of each cluster (numbered from 0) by `lookahead_vote`: all clusters take each step together."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    wide = int(size.max(initial=0)) + window + 4
+    shown = np.full((len(texts), wide), _END, np.int8)
+    codes = np.full(0x110000, _OTHER, np.int8)
+    codes[[ord(b) for b in "ACGT"]] = range(4)
+    shown[np.arange(wide) < size[:, None]] = codes[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
+    flat, at = shown.ravel(), np.arange(len(texts)) * wide
+    n = int(cluster.max(initial=-1)) + 1
+    out = np.full((n, length), _NONE, np.int8)
+
+    def majority(seen: np.ndarray, of: np.ndarray) -> np.ndarray:
+        base = seen < _OTHER
+        count = np.bincount(of[base] * 4 + seen[base], minlength=4 * n).reshape(n, 4)
+        return np.where(count.any(axis=1), count.argmax(axis=1), _NONE).astype(np.int8)
+
+    for step in range(length):
+        here = flat[at]
+        best = majority(here, cluster)
+        out[:, step] = best
+        if (best == _NONE).all():
+            break
+        won = best[cluster]
+        agree = here == won
+        leads, of = at[agree], cluster[agree]
+        ahead = [majority(flat[leads + j], of) for j in range(1, window + 1)]
+        at[agree] += 1
+        rest = np.flatnonzero(~agree & (here != _END) & (won != _NONE))
+        if len(rest):
+            p, w = at[rest], won[rest]
+            next_ = [a[cluster[rest]] for a in ahead]
+            same = lambda shift, count: sum(((flat[p + j + shift] == next_[j]).astype(np.int8) for j in range(count)), np.zeros(len(p), np.int8))  # noqa: E731, B023
+            replaced, missing, extra = same(1, window), same(0, window), (flat[p + 1] == w) + same(2, window - 1)
+            at[rest] += np.where((replaced >= missing) & (replaced >= extra), 1, np.where(missing >= extra, 0, 2))
+        at = np.minimum(at, np.arange(len(texts)) * wide + size)
+    written = (out != _NONE).sum(axis=1)
+    letters = np.frombuffer(b"ACGT", np.uint8)[np.minimum(out, 3)]
+    return [row[:k].tobytes().decode() for row, k in zip(letters, written.tolist(), strict=True)]
 
 
 def lookahead_vote(reads: DataFrame, length: int, window: int = 2, key: str = "cluster_id") -> DataFrame:
     """A pointer in each read; at each step the majority symbol of what the pointers show is written (ties: A C G T), up to
     `length`. The reads that show it move on by one. The `window` symbols that most of these show next say what
     befell each other read: its symbol was replaced (move 1), the symbol is missing (0), or one stands before it
-    (2); the guess under which more of its next symbols agree wins, in this order."""
-    lists = reads.where(F.length("read") > 0).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("read_no", "read"))), lambda x: x["read"]).alias("rs"))
-    symbols = F.array(*(F.struct(F.lit(-i).alias("o"), F.lit(b).alias("b")) for i, b in enumerate("ACGT")))
+    (2); the guess under which more of its next symbols agree wins, in this order. Only bases are written. Reads of
+    no symbols take no part. A task holds one cluster's reads, a byte a symbol, or a batch of clusters."""
 
-    def majority(shown: Column) -> Column:
-        best = F.array_max(F.transform(symbols, lambda x: F.struct(F.size(F.filter(shown, lambda c: c == x["b"])).alias("n"), x["o"].alias("o"), x["b"].alias("b"))))
-        return _let(best, lambda v: F.when(v["n"] > 0, v["b"]).otherwise(""))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for of in whole_clusters(batches):
+            begins = _begins(of)
+            cluster = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+            made = pointer_steps(of.column(2).to_pylist(), cluster, length, window)
+            yield pa.RecordBatch.from_arrays([of.column(0).combine_chunks().take(pa.array(begins[:-1])), pa.array(made, pa.string())], [key, "consensus"])
 
-    def move(read: Column, p: Column, won: Column, ahead: Column) -> Column:
-        at = lambda k: F.substring(read, p + k, F.lit(1))
-        same = lambda shift, n: sum(((at(j + shift) == ahead[j]) & (ahead[j] != "")).cast("int") for j in range(n))
-        replaced, missing, extra = same(1, window), same(0, window), (at(1) == won).cast("int") + same(2, window - 1)
-        guess = F.when((replaced >= missing) & (replaced >= extra), 1).when(missing >= extra, 0).otherwise(2)
-        return F.when(at(0) == won, 1).when(at(0) == "", 0).otherwise(guess)
-
-    def step(s: Column, _: Column) -> Column:
-        pairs = F.arrays_zip(F.col("rs").alias("r"), s["p"].alias("p"))
-
-        def go_on(won: Column) -> Column:
-            agree = F.filter(pairs, lambda x: F.substring(x["r"], x["p"], F.lit(1)) == won)
-            next_ = lambda j: F.transform(agree, lambda x: F.substring(x["r"], x["p"] + j, F.lit(1)))
-            ahead = F.array(*(majority(next_(j)) for j in range(1, window + 1)))
-            moved = lambda a: F.transform(pairs, lambda x: x["p"] + move(x["r"], x["p"], won, a))
-            return F.when(won == "", s).otherwise(F.struct(F.concat(s["out"], won).alias("out"), _let(ahead, moved).alias("p")))
-
-        return _let(majority(F.transform(pairs, lambda x: F.substring(x["r"], x["p"], F.lit(1)))), go_on)
-
-    start = F.struct(F.lit("").alias("out"), F.transform("rs", lambda x: F.lit(1)).alias("p"))
-    return lists.select(key, F.aggregate(F.sequence(F.lit(1), F.lit(length)), start, step, lambda s: s["out"]).alias("consensus"))
+    return _by_whole_cluster(reads.where(F.length("read") > 0), key, run, "consensus string")
 
 
 #: Consensus by name; each takes (reads, length) and returns key and consensus.
@@ -216,38 +272,35 @@ def register(name: str, method: Callable[[DataFrame, int], DataFrame]) -> None:
     METHODS[name] = method
 
 
-def plug_in(function: Callable[[list[str], int], str], most: int = 10_000, key: str = "cluster_id") -> Callable[[DataFrame, int], DataFrame]:
-    """A method from a Python function of a cluster's reads, in order, and the wanted length. A cluster on which it
-    raises, or of over `most` reads, has a null consensus and says why in `error`."""
+def plug_in(function: Callable[[list[str], int], str], key: str = "cluster_id") -> Callable[[DataFrame, int], DataFrame]:
+    """A method from a Python function of a cluster's reads, in order, and the wanted length. Clusters of any size stream by, so that
+    a task holds the one that the function sees. A cluster on which it raises has a null consensus and says why in
+    `error`."""
 
     def method(reads: DataFrame, length: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for of in whole_clusters(batches):
+                begins, texts = _begins(of), of.column(2).to_pylist()
                 made, said = [], []
-                for rs in batch.column(1).to_pylist():
+                for i, j in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
                     try:
-                        made.append(str(function(rs, length)))
+                        made.append(str(function(texts[i:j], length)))
                         said.append(None)
                     except Exception as e:  # whatever a user's function raises belongs to its cluster
                         made.append(None)
                         said.append(f"{type(e).__name__}: {e}")
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string()), pa.array(said, pa.string())], [key, "consensus", "error"])
+                yield pa.RecordBatch.from_arrays([of.column(0).combine_chunks().take(pa.array(begins[:-1])), pa.array(made, pa.string()), pa.array(said, pa.string())], [key, "consensus", "error"])
 
-        n = reads.groupBy(key).agg(F.count("*").alias("n"))
-        few = reads.join(n.where(F.col("n") <= most).select(key), key, "left_semi")
-        lists = few.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("read_no", "read"))), lambda x: x["read"]).alias("rs"))
-        kind = reads.schema[key].dataType.simpleString()
-        many = n.where(F.col("n") > most).select(key, F.lit(None).cast("string").alias("consensus"), F.concat(F.lit("too many reads: "), F.col("n").cast("string")).alias("error"))
-        return lists.mapInArrow(run, f"{key} {kind}, consensus string, error string").unionByName(many)
+        return _by_whole_cluster(reads, key, run, "consensus string, error string")
 
     return method
 
 
-def consensus(reads: DataFrame, method: str, length: int = 110) -> DataFrame:
-    """cluster_id, consensus, error: one row for every cluster. A cluster for which the method has none keeps a null, and
-    what its method said of it, or that it gave none."""
+def consensus(reads: DataFrame, method: str | Callable[[DataFrame, int], DataFrame], length: int = 110) -> DataFrame:
+    """cluster_id, consensus, error: one row for every cluster, by a registered method or one given as such. A cluster for which the
+    method has none keeps a null, and what its method said of it, or that it gave none."""
     keys = reads.select("cluster_id").distinct()
-    made = METHODS[method](reads, length)
+    made = (METHODS[method] if isinstance(method, str) else method)(reads, length)
     made = made if "error" in made.columns else made.withColumn("error", F.lit(None).cast("string"))
     out = keys.join(made, "cluster_id", "left")
     return out.withColumn("error", F.when(F.col("consensus").isNull(), F.coalesce("error", F.lit("no consensus"))))

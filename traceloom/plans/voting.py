@@ -211,12 +211,12 @@ f AS (SELECT cluster_id, substr(arg_min(read, read_no), 1, 110) AS c FROM rd GRO
 u AS (SELECT 'exact' AS method, sz.gt, c, CASE WHEN c IS NULL THEN 'no consensus' END AS error FROM sz LEFT JOIN e USING (cluster_id) UNION ALL SELECT 'first_of_several', sz.gt, c, CASE WHEN c IS NULL THEN 'ValueError: one read alone' END FROM sz LEFT JOIN f USING (cluster_id))
 SELECT method, error, count(*) AS clusters, round(avg(coalesce(levenshtein(c, gt) / length(gt), 1)), 6) AS lev_mean FROM u GROUP BY ALL""")
 def x1(spark, sf):
-    """Methods from the registry, one of them a user's function, by what became of the clusters: a failed one counts with a
+    """A method of the registry and a user's function, by what became of the clusters: a failed one counts with a
     distance of 1."""
-    C.register("first_of_several", C.plug_in(_first_of_several))
     r = reads(spark, sf)
     truths = ground_truth(spark, sf).withColumnRenamed("gt_id", "cluster_id")
-    both = [C.consensus(r, m).join(truths, "cluster_id").withColumn("method", F.lit(m)) for m in ("exact", "first_of_several")]
+    methods = {"exact": "exact", "first_of_several": C.plug_in(_first_of_several)}
+    both = [C.consensus(r, m).join(truths, "cluster_id").withColumn("method", F.lit(name)) for name, m in methods.items()]
     all_ = both[0].unionByName(both[1])
     lev = F.coalesce(F.levenshtein("consensus", "gt") / F.length("gt"), F.lit(1.0))
     return all_.groupBy("method", "error").agg(F.count("*").alias("clusters"), M.r6(F.avg(lev)).alias("lev_mean"))
