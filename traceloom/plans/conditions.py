@@ -10,7 +10,11 @@ from ..operators import contamination as X
 from ..operators.consensus import ensemble_vote
 from ..operators.joins import approximate_hits, best_match
 from ..operators.metrics import r6
-from ..operators.rank_tests import rank_sums
+from ..operators.orders import read_orders
+from ..operators.rank_tests import rank_sums, two_sided_p_sql
+from ..operators.ranks import rank_within
+from ..operators.selection import cut
+from ..operators.studies import budget_fits, disagreement_impact
 from ..sources.fixture import VIEWS, ground_truth, reads, table
 from ._register import query
 from .clustering import _SHIFTED, _shifted
@@ -81,13 +85,14 @@ def a37(spark, sf):
 
 @query("p4_uniform_with_remainder", f"{_SCORES}, q AS (SELECT n, row_number() OVER (ORDER BY n) AS r, count(*) OVER () AS k FROM (SELECT DISTINCT n FROM c)), o AS (SELECT cluster_id, n, row_number() OVER (PARTITION BY n ORDER BY md5(concat('u:', cast(cluster_id AS varchar))), cluster_id) AS i FROM c) SELECT cluster_id, n FROM o JOIN q USING (n) WHERE i <= 200 // k + CASE WHEN r <= 200 % k THEN 1 ELSE 0 END")
 def p4(spark, sf):
-    """200 clusters spread over the sizes, the remainder to the smallest sizes."""
+    """200 clusters spread over the sizes, the remainder to the smallest sizes. Clusters are ranked in blocks of their hashes, so no
+    size is sorted by one task."""
     c = _scores(spark, sf).select("cluster_id", "n")
     # A row for each size: few rows, so an ordered window.
     quota = c.select("n").distinct().withColumn("r", F.row_number().over(Window.orderBy("n"))).withColumn("k", F.count("*").over(Window.partitionBy()))
     quota = quota.select("n", (F.expr("200 div k") + F.when(F.col("r") <= 200 % F.col("k"), 1).otherwise(0)).alias("quota"))
-    o = c.withColumn("i", F.row_number().over(Window.partitionBy("n").orderBy(seeded("u", F.col("cluster_id")), "cluster_id")))
-    return o.join(quota, "n").where("i <= quota").select("cluster_id", "n")
+    hashed = c.withColumn("h", F.conv(F.substring(seeded("u", F.col("cluster_id")), 1, 15), 16, 10).cast("long"))
+    return rank_within(hashed, ["n"], "h", "i", 1 << 48).join(quota, "n").where("i <= quota").select("cluster_id", "n")
 
 
 @query("p7_subsample_large", f"{_SCORES}, r AS (SELECT cluster_id, read_no, n, row_number() OVER (PARTITION BY cluster_id ORDER BY md5(concat('l:', cast(cluster_id AS varchar), ':', cast(read_no AS varchar))), read_no) AS k FROM rd JOIN c USING (cluster_id) WHERE n >= 6) SELECT cluster_id, read_no, n AS true_size FROM r WHERE k <= 2 + cluster_id % 4")
@@ -98,17 +103,18 @@ def p7(spark, sf):
     return r.withColumn("k", k).where("k <= 2 + cluster_id % 4").drop("k")
 
 
-@query("p10_read_orders", f"{VIEWS}, o AS (SELECT cluster_id, p, string_agg(cast(read_no AS varchar), ',' ORDER BY md5(concat('p:', cast(p AS varchar), ':', cast(cluster_id AS varchar), ':', cast(read_no AS varchar)))) AS reading FROM rd, range(0, 24) t(p) GROUP BY cluster_id, p), d AS (SELECT cluster_id, reading, min(p) AS p FROM o GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY p) AS k FROM d) SELECT cluster_id, reading FROM k WHERE k <= 6")
+_ORDERS = 6
+
+
+@query("p10_read_orders", f"""{VIEWS}, c AS (SELECT cluster_id, list(read_no::varchar ORDER BY read_no) AS nos, count(*) AS n, factorial(count(*)::int)::bigint AS f, cast(concat('0x', substr(md5(concat('p:', cast(cluster_id AS varchar))), 1, 15)) AS bigint) AS h FROM rd GROUP BY cluster_id),
+o AS (SELECT cluster_id, n, nos, (h % f + j * 23) % f AS place FROM c, range(0, {_ORDERS}) t(j) WHERE j < f),
+u AS (WITH RECURSIVE w AS (SELECT cluster_id, place AS id, nos AS rest, place, []::varchar[] AS made FROM o UNION ALL
+  SELECT cluster_id, id, list_concat(rest[1:place // f], rest[place // f + 2:]), place % f, list_append(made, rest[place // f + 1]) FROM (SELECT *, factorial(len(rest)::int - 1)::bigint AS f FROM w WHERE len(rest) > 0)) SELECT cluster_id, array_to_string(made, ',') AS reading FROM w WHERE len(rest) = 0)
+SELECT cluster_id, reading FROM u""")
 def p10(spark, sf):
-    """Up to six different orders of each cluster's reads, the first of 24 drawn: a cluster of one has one, of two both, of three
-    all six but for a chance of one in ten."""
-    c = reads(spark, sf).groupBy("cluster_id").agg(F.collect_list("read_no").alias("nos"))
-    drawn = c.select("cluster_id", "nos", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("p"))
-    keyed = F.array_sort(F.transform("nos", lambda v: F.struct(seeded("p", F.col("p"), F.col("cluster_id"), v).alias("k"), v.cast("string").alias("v"))))
-    orders = drawn.select("cluster_id", "p", F.array_join(F.transform(keyed, lambda x: x["v"]), ",").alias("reading"))
-    first = orders.groupBy("cluster_id", "reading").agg(F.min("p").alias("p"))
-    k = F.row_number().over(Window.partitionBy("cluster_id").orderBy("p"))
-    return first.withColumn("k", k).where("k <= 6").select("cluster_id", "reading")
+    """min(6, n!) different orders of each cluster's reads: numbers below n! from a hashed start in steps of 23, spelled as orders."""
+    c = reads(spark, sf).groupBy("cluster_id").agg(F.array_sort(F.collect_list("read_no")).alias("nos"))
+    return read_orders(c, "p", _ORDERS).select("cluster_id", F.array_join(F.transform("order", lambda x: x.cast("string")), ",").alias("reading"))
 
 
 @query("w2_w10_w12_ordinals", f"{VIEWS} SELECT cluster_id, read_no, row_number() OVER (PARTITION BY cluster_id ORDER BY md5(concat('o:', cast(cluster_id AS varchar), ':', cast(read_no AS varchar))), read_no) AS ordinal, ntile(3) OVER (PARTITION BY cluster_id ORDER BY read_no) AS chunk, (read_no - 1) % 4 AS batch FROM rd")
@@ -117,28 +123,43 @@ def w2(spark, sf):
     return reads(spark, sf).select("cluster_id", "read_no", F.row_number().over(w.orderBy(seeded("o", F.col("cluster_id"), F.col("read_no")), "read_no")).alias("ordinal"), F.ntile(3).over(w.orderBy("read_no")).alias("chunk"), F.pmod(F.col("read_no") - 1, F.lit(4)).alias("batch"))
 
 
+_P_OF_Z = two_sided_p_sql("z")
 _RANKS = f"{_SCORES}, s AS (SELECT n, kind = 1 AS first, part % 50 AS v FROM rd JOIN c USING (cluster_id) WHERE kind IN (1, 3)), t AS (SELECT n, v, count(*) AS t, count(*) FILTER (WHERE first) AS a FROM s GROUP BY ALL), m AS (SELECT *, sum(t) OVER (PARTITION BY n ORDER BY v) - t + (t + 1) / 2.0::double AS rank FROM t), u AS (SELECT n, sum(a)::double AS n1, sum(t - a)::double AS n2, sum(a * rank) AS r1, sum(t::double * t * t - t) AS ties FROM m GROUP BY n), z AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u, sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS sd FROM u WHERE n1 > 0 AND n2 > 0)"
 
 
-@query("w7_z2_rank_sums", f"{_RANKS} SELECT n, round(u, 6) AS u, round(CASE WHEN sd > 0 THEN greatest(abs(u - n1 * n2 / 2) - 0.5::double, 0) / sd ELSE 0 END, 6) AS z FROM z")
+@query("w7_z2_rank_sums", f"{_RANKS} SELECT n, round(u, 6) AS u, round(z, 6) AS z, round({_P_OF_Z}, 6) AS p FROM (SELECT n, u, CASE WHEN sd > 0 THEN greatest(abs(u - n1 * n2 / 2) - 0.5::double, 0) / sd ELSE 0 END AS z FROM z)")
 def w7(spark, sf):
     w = Window.partitionBy("cluster_id")
     r = reads(spark, sf).withColumn("n", F.count("*").over(w)).where("kind in (1, 3)").select("n", (F.col("kind") == 1).alias("first"), (F.col("part") % 50).alias("v"))
-    return rank_sums(r, "n", "v", "first").select("n", r6(F.col("u")).alias("u"), r6(F.col("z")).alias("z"))
+    return rank_sums(r, "n", "v", "first").select("n", r6(F.col("u")).alias("u"), r6(F.col("z")).alias("z"), r6(F.col("p")).alias("p"))
+
+
+_IMPACT = f"""{NOISY}, e AS (SELECT cluster_id, count(*) AS n, avg(levenshtein(read, gt)) AS d, max(CASE WHEN read_no = 1 THEN levenshtein(read, gt) END) AS err FROM nr GROUP BY cluster_id),
+pd AS (SELECT a.cluster_id, avg(levenshtein(a.read, b.read)) AS far FROM nr a JOIN nr b ON a.cluster_id = b.cluster_id AND a.read_no < b.read_no GROUP BY ALL),
+x AS (SELECT e.*, coalesce(far, 0) AS far, cast(floor(d / 5) * 5 AS bigint) AS bin FROM e LEFT JOIN pd USING (cluster_id)),
+q AS (SELECT n, bin, count(*) AS total, stddev_pop(far) / nullif(avg(far), 0) AS cv, quantile_cont(far, 0.25) AS q25, quantile_cont(far, 0.75) AS q75 FROM x GROUP BY ALL HAVING count(*) >= 10),
+y AS (SELECT x.*, total, cv, q25, q75, far <= q25 AS low, far >= q75 AS high FROM x JOIN q USING (n, bin) WHERE coalesce(cv, 0) >= 0.2),
+s AS (SELECT n, bin, low AS first, err AS v FROM y WHERE low UNION ALL SELECT n, bin, false, err FROM y WHERE high),
+t AS (SELECT n, bin, v, count(*) AS t, count(*) FILTER (WHERE first) AS a FROM s GROUP BY ALL),
+m AS (SELECT *, sum(t) OVER (PARTITION BY n, bin ORDER BY v) - t + (t + 1) / 2.0::double AS rank FROM t),
+u AS (SELECT n, bin, sum(a)::double AS n1, sum(t - a)::double AS n2, sum(a * rank) AS r1, sum(t::double * t * t - t) AS ties FROM m GROUP BY ALL),
+z AS (SELECT *, CASE WHEN sd > 0 THEN greatest(abs(u - n1 * n2 / 2) - 0.5::double, 0) / sd ELSE 0 END AS z FROM (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u, sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS sd FROM u WHERE n1 > 0 AND n2 > 0)),
+g AS (SELECT n, bin, any_value(total) AS total, any_value(cv) AS cv, any_value(q25) AS q25, any_value(q75) AS q75, {', '.join(f"count(*) FILTER (WHERE {k}) AS {k}_n, avg(far) FILTER (WHERE {k}) AS {k}_far, avg(err) FILTER (WHERE {k}) AS {k}_mean, stddev_pop(err) FILTER (WHERE {k}) AS {k}_std, avg((err = 0)::int) FILTER (WHERE {k}) AS {k}_perfect" for k in ("low", "high"))} FROM y GROUP BY n, bin)"""
+_ROUNDED = ["cv", "q25", "q75", *(f"{k}_{c}" for k in ("low", "high") for c in ("far", "mean", "std", "perfect"))]
 
 
-@query("a27_m20_disagreement_impact", f"{_SCORES}, pd AS (SELECT a.cluster_id, avg(levenshtein(a.read, b.read)) AS far FROM rd a JOIN rd b ON a.cluster_id = b.cluster_id AND a.read_no < b.read_no GROUP BY ALL), q AS (SELECT n, quantile_cont(far, 0.25) AS q1, quantile_cont(far, 0.75) AS q3 FROM pd JOIN c USING (cluster_id) GROUP BY n), x AS (SELECT n, d, far <= q1 AS low, far >= q3 AS high FROM pd JOIN c USING (cluster_id) JOIN q USING (n)) SELECT n, count(*) FILTER (WHERE low) AS low_n, count(*) FILTER (WHERE high) AS high_n, round(avg(d) FILTER (WHERE low), 6) AS low_mean, round(avg(d) FILTER (WHERE high), 6) AS high_mean, round((avg(d) FILTER (WHERE high) - avg(d) FILTER (WHERE low)) / nullif(sqrt((var_pop(d) FILTER (WHERE high) + var_pop(d) FILTER (WHERE low)) / 2), 0), 4) AS effect FROM x GROUP BY n")
+@query("a27_m20_disagreement_impact", f"{_IMPACT} SELECT g.n, g.bin, total, low_n, high_n, {', '.join(f'round({c}, 6) AS {c}' for c in _ROUNDED)}, round(coalesce((high_mean - low_mean) / nullif(sqrt((high_std * high_std + low_std * low_std) / 2), 0), 0), 5) AS effect, round(z.z, 6) AS z, round({_P_OF_Z}, 6) AS p FROM g JOIN z ON g.n = z.n AND g.bin = z.bin WHERE low_n >= 5 AND high_n >= 5")
 def a27(spark, sf):
-    """Error of clusters in the lowest and highest quarter of disagreement, by size, and the effect (Cohen's d)."""
-    r = reads(spark, sf).select("cluster_id", "read_no", "read")
+    """Reconstruction error of clusters in the lowest and the highest quarter of disagreement between reads, by size and bin of five
+    edits from the ground truth. Bins of fewer than ten clusters, of a variation below 0.2, or with fewer than five clusters on a side have no row.
+    The first read stands for the prediction."""
+    r = noisy_reads(spark, sf)
+    lev = F.levenshtein("read", "gt")
+    e = r.groupBy("cluster_id").agg(F.count("*").alias("n"), F.avg(lev).alias("d"), F.max(F.when(F.col("read_no") == 1, lev)).alias("err"))
     b = r.select("cluster_id", F.col("read_no").alias("j"), F.col("read").alias("b"))
     far = r.join(b, "cluster_id").where("read_no < j").groupBy("cluster_id").agg(F.avg(F.levenshtein("read", "b")).alias("far"))
-    x = far.join(_scores(spark, sf), "cluster_id")
-    q = x.groupBy("n").agg(F.percentile("far", F.lit(0.25)).alias("q1"), F.percentile("far", F.lit(0.75)).alias("q3"))
-    low, high = F.when(F.col("far") <= F.col("q1"), F.col("d")), F.when(F.col("far") >= F.col("q3"), F.col("d"))
-    spread = F.sqrt((F.var_pop(high) + F.var_pop(low)) / 2)
-    effect = F.round((F.avg(high) - F.avg(low)) / F.when(spread != 0, spread), 4)
-    return x.join(q, "n").groupBy("n").agg(F.count(low).alias("low_n"), F.count(high).alias("high_n"), r6(F.avg(low)).alias("low_mean"), r6(F.avg(high)).alias("high_mean"), effect.alias("effect"))
+    x = e.join(far, "cluster_id", "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
+    return disagreement_impact(x).select("n", "bin", "total", "low_n", "high_n", *(r6(F.col(c)).alias(c) for c in _ROUNDED), F.round("effect", 5).alias("effect"), r6(F.col("z")).alias("z"), r6(F.col("p")).alias("p"))
 
 
 @query("a33_failure_pivot", f"{_SCORES} SELECT n, " + ", ".join(f"round(avg((read <> gt)::int) FILTER (WHERE kind = {k}), 6) AS kind_{k}" for k in range(4)) + " FROM (SELECT rd.*, n FROM rd JOIN c USING (cluster_id)) GROUP BY n")
@@ -148,11 +169,28 @@ def a33(spark, sf):
     return p.select("n", *(F.col(str(k)).alias(f"kind_{k}") for k in range(4)))
 
 
-@query("a34_log_log_fit", f"{_SCORES}, s AS (SELECT n, count(*) AS clusters FROM c GROUP BY n) SELECT round(regr_slope(log10(clusters), log10(n)), 6) AS slope, round(regr_intercept(log10(clusters), log10(n)), 6) AS intercept, arg_max(n, clusters * 1000 - n) AS best FROM s")
+_RUNS = "rn AS (SELECT p_partkey AS run, 17 + (p_partkey % 6) / 2.0::double AS budget, 12.0::double * p_size * (64 * (1 + p_partkey % 12)) * (64 * (1 + p_partkey % 12)) AS params, p_retailprice / 10000.0::double AS loss FROM part)"
+
+
+def _runs(spark, sf):
+    """Configurations and losses of runs taken from the parts: log10 of the operations allowed, parameters, loss."""
+    d = 64 * (1 + F.col("p_partkey") % 12)
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("run"), (17 + (F.col("p_partkey") % 6) / 2.0).alias("budget"), (12.0 * F.col("p_size") * d * d).alias("params"), (F.col("p_retailprice").cast("double") / 10000.0).alias("loss"))
+
+
+@query("a34_best_run_per_budget", f"WITH {_RUNS}, b AS (SELECT budget, count(*) AS runs, arg_min(run, {{o}}) AS best, arg_min(params, {{o}}) AS params, arg_min(loss, {{o}}) AS loss FROM rn GROUP BY budget), ".replace("{o}", "[loss, run]") + "c AS (SELECT budget, regr_count(y, x) AS n, sum(x) AS s1, sum(x * x) AS s2, sum(x * x * x) AS s3, sum(x * x * x * x) AS s4, sum(y) AS t0, sum(x * y) AS t1, sum(x * x * y) AS t2 FROM (SELECT budget, log10(params) - 7 AS x, loss AS y FROM rn) GROUP BY budget), d AS (SELECT *, n * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) AS det FROM c), f AS (SELECT budget, (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / det AS b0, (n * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s3 * s2) + s2 * (s1 * t2 - t1 * s2)) / det AS b1, (n * (s2 * t2 - t1 * s3) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2)) / det AS b2 FROM d) SELECT budget, runs, best, params, round(loss, 6) AS loss, round(pow(10, budget) / (6 * params), 2) AS tokens, round(b2, 5) AS c2, round(b1 - 14 * b2, 5) AS c1, round(b0 - 7 * b1 + 49 * b2, 5) AS c0 FROM b JOIN f USING (budget)")
+def a34_best(spark, sf):
+    """The run of least loss for each budget of operations C, its tokens C / 6N, and the parabola of loss over log10 N of all runs."""
+    return budget_fits(_runs(spark, sf)).select("budget", "runs", "best", "params", r6(F.col("loss")).alias("loss"), F.round("tokens", 2).alias("tokens"), *(F.round(c, 5).alias(c) for c in ("c2", "c1", "c0")))
+
+
+@query("a34_log_log_fit", f"WITH {_RUNS}, b AS (SELECT budget, arg_min(params, [loss, run]) AS params FROM rn GROUP BY budget) SELECT y AS of, round(regr_slope(v, budget), 6) AS slope, round(regr_intercept(v, budget), 5) AS intercept FROM (SELECT 'params' AS y, budget, log10(params) AS v FROM b UNION ALL SELECT 'tokens', budget, log10(pow(10, budget) / (6 * params)) FROM b) GROUP BY y")
 def a34(spark, sf):
-    s = _scores(spark, sf).groupBy("n").agg(F.count("*").alias("clusters"))
-    y, x = F.log10("clusters"), F.log10("n")
-    return s.agg(r6(F.regr_slope(y, x)).alias("slope"), r6(F.regr_intercept(y, x)).alias("intercept"), F.max_by("n", F.col("clusters") * 1000 - F.col("n")).alias("best"))
+    """Lines of the best runs' parameters and tokens over the budget, on logarithms."""
+    best = budget_fits(_runs(spark, sf))
+    y = F.explode(F.create_map(F.lit("params"), F.log10("params"), F.lit("tokens"), F.log10("tokens"))).alias("of", "v")
+    fitted = best.select("budget", y).groupBy("of").agg(F.regr_slope("v", "budget").alias("slope"), F.regr_intercept("v", "budget").alias("intercept"))
+    return fitted.select("of", r6(F.col("slope")).alias("slope"), F.round("intercept", 5).alias("intercept"))
 
 
 @query("a35_expected_errors", f"{VIEWS} SELECT supp % 13 AS config, round(sum((0.01::double * (supp % 13) + 0.01::double) * length(read)), 4) AS expected, cast(sum(levenshtein(read, gt)) AS bigint) AS observed FROM rd GROUP BY 1")
@@ -162,9 +200,12 @@ def a35(spark, sf):
     return reads(spark, sf).groupBy(config.alias("config")).agg(F.round(F.sum((config * 0.01 + 0.01) * F.length("read")), 4).alias("expected"), F.sum(F.levenshtein("read", "gt").cast("long")).alias("observed"))
 
 
-@query("j21_m15_a40_contamination", f"{VIEWS}, d AS (SELECT cluster_id, read_no, read, substr(md5(concat('k:', cast(cluster_id AS varchar), ':', cast(read_no AS varchar))), 1, 2) < '33' AS hit, lead(read) OVER w AS donor, lead(cluster_id) OVER w AS other FROM rd WINDOW w AS (PARTITION BY part % 256 ORDER BY md5(concat('k:', cast(cluster_id AS varchar), ':', cast(read_no AS varchar))), cluster_id, read_no)), x AS (SELECT levenshtein(read, donor) AS e, levenshtein(read, donor) / (length(read) * 0.2::double) AS multiplier FROM d WHERE hit AND other <> cluster_id) SELECT cast(floor(multiplier / 0.5) AS bigint) AS bin, count(*) AS n, round(avg(e), 6) AS mean_edits, round(avg(multiplier), 6) AS mean_multiplier FROM x GROUP BY 1")
+_DONOR = "cast(concat('0x', substr(md5(concat('donor:', cast(cluster_id AS varchar), ':', cast(read_no AS varchar))), 1, 15)) AS bigint)"
+
+
+@query("j21_m15_a40_contamination", f"{VIEWS}, i AS (SELECT cluster_id, read_no, read, row_number() OVER (ORDER BY cluster_id, read_no) - 1 AS place, count(*) OVER () AS total, count(*) OVER (PARTITION BY cluster_id) AS n FROM rd), f AS (SELECT *, min(place) OVER (PARTITION BY cluster_id) AS start FROM i), h AS (SELECT *, {_DONOR} % (total - n) AS pick FROM f WHERE substr(md5(concat('k:', cast(cluster_id AS varchar), ':', cast(read_no AS varchar))), 1, 2) < '33' AND total > n), x AS (SELECT levenshtein(h.read, d.read) AS e, levenshtein(h.read, d.read) / (length(h.read) * 0.2::double) AS multiplier FROM h JOIN i d ON d.place = h.pick + CASE WHEN h.pick >= h.start THEN h.n ELSE 0 END) SELECT cast(floor(multiplier / 0.5) AS bigint) AS bin, count(*) AS n, round(avg(e), 6) AS mean_edits, round(avg(multiplier), 6) AS mean_multiplier FROM x GROUP BY 1")
 def j21(spark, sf):
-    x = X.substitute(reads(spark, sf), "k", "33", F.col("part") % 256).where("donor is not null")
+    x = X.substitute(reads(spark, sf), "k", "33").where("donor is not null")
     e = F.levenshtein("read", "donor")
     x = x.select(e.alias("e"), (e / (F.length("read") * F.lit(0.2))).alias("multiplier"))
     return x.groupBy(F.floor(F.col("multiplier") / 0.5).alias("bin")).agg(F.count("*").alias("n"), r6(F.avg("e")).alias("mean_edits"), r6(F.avg("multiplier")).alias("mean_multiplier"))
@@ -247,8 +288,10 @@ def f17(spark, sf):
     return c.join(r).join(ground_truth(spark, sf).agg(F.count_if(F.length("gt") != 110).alias("wrong_truths")))  # one row each
 
 
-@query("t5_t7_sorted_sizes", f"{_SCORES}, s AS (SELECT n, count(*) AS clusters FROM c WHERE substr(md5(concat('t:', cast(cluster_id AS varchar))), 1, 2) < '33' GROUP BY n) SELECT n, clusters FROM s ORDER BY n DESC")
+@query("t5_t7_sorted_sizes", f"{_SCORES}, s AS (SELECT n, count(*) AS clusters FROM (SELECT n, row_number() OVER (ORDER BY cluster_id) AS r, count(*) OVER () AS m FROM c) WHERE r <= greatest(1, cast(floor(0.2::double * m) AS bigint)) GROUP BY n) SELECT n, clusters FROM s ORDER BY n DESC")
 def t5(spark, sf):
-    """Sizes in descending order over the first fifth of clusters by hash."""
-    c = _scores(spark, sf).where(F.substring(seeded("t", F.col("cluster_id")), 1, 2) < "33")
-    return c.groupBy("n").agg(F.count("*").alias("clusters")).orderBy(F.desc("n"))
+    """Sizes in descending order over the first fifth of clusters, in their order: max(1, floor(0.2 n)) of them."""
+    first = cut(_scores(spark, sf), "cluster_id", F.floor(F.col("cluster_id") / 4096), {"first": F.greatest(F.lit(1), F.floor(F.col("n") * 0.2))}, "rest", "part")
+    return first.where("part = 'first'").groupBy("n").agg(F.count("*").alias("clusters")).orderBy(F.desc("n"))
+
+

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.sequence import seeded
 from ..operators.metrics import r6
 from ..operators.ranks import rank_within
+from ..operators.selection import cut
 from ..sources.fixture import VIEWS, clusters, ground_truth, reads, table
 from ._register import query
 
@@ -19,11 +20,13 @@ def _sizes(spark, sf):
 _SZ = f"{VIEWS}, sz AS (SELECT cluster_id, count(*) AS n FROM rd GROUP BY ALL)"
 
 
-@query("p1_cluster_split", f"{_SZ}, h AS (SELECT cluster_id, conv FROM (SELECT cluster_id, substr(md5(concat('split:', cast(cluster_id AS varchar))), 1, 2) AS conv FROM sz)) SELECT cluster_id, CASE WHEN conv < 'cd' THEN 'train' WHEN conv < 'e7' THEN 'val' ELSE 'test' END AS split FROM h")
+@query("p1_cluster_split", f"{_SZ}, r AS (SELECT cluster_id, row_number() OVER (ORDER BY md5(concat('split:', cast(cluster_id AS varchar)))) - 1 AS r, count(*) OVER () AS m FROM sz) SELECT cluster_id, CASE WHEN r < cast(floor(m * 0.8::double) AS bigint) THEN 'train' WHEN r < cast(floor(m * 0.8::double) AS bigint) + cast(floor(m * 0.1::double) AS bigint) THEN 'val' ELSE 'test' END AS split FROM r")
 def p1(spark, sf):
-    """80/10/10 by the key's place in the range of hashes: no global rank, so no single sort."""
-    head = F.substring(seeded("split", F.col("cluster_id")), 1, 2)
-    return _sizes(spark, sf).select("cluster_id", F.when(head < "cd", "train").when(head < "e7", "val").otherwise("test").alias("split"))
+    """80/10/10 of all clusters in order of their hashes, floors exact, the rest for testing. The two cut-offs are found in counts of
+    hash prefixes, so there is no global rank and no single sort."""
+    hashed = _sizes(spark, sf).select("cluster_id", seeded("split", F.col("cluster_id")).alias("h"))
+    train = F.floor(F.col("n") * 0.8)
+    return cut(hashed, "h", F.substring("h", 1, 3), {"train": train, "val": train + F.floor(F.col("n") * 0.1)}, "test", "split").select("cluster_id", "split")
 
 
 @query("p3_equal_by_size", f"{_SZ}, r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY md5(concat('eq:', cast(cluster_id AS varchar))), cluster_id) AS k FROM sz) SELECT cluster_id, n FROM r WHERE k <= 50")
