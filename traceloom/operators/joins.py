@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sequence import index_value
+from .ranks import rank_within
+
 
 def prefix_hits(reads: DataFrame, truths: DataFrame, k: int) -> DataFrame:
     """Ground truths whose k-prefix stands in a read (column s), with the first place and edit distance 0. All prefixes have one
@@ -117,3 +120,46 @@ def primers(spark: SparkSession, n: int = 13, length: int = 12) -> DataFrame:
     """Primer pairs by experiment, derived from md5 (a stand-in dimension of fixed size)."""
     bases = lambda p: F.substring(F.translate(F.md5(F.concat(F.lit(p), F.col("exp").cast("string"))), "0123456789abcdef", "ACGTACGTACGTACGT"), 1, length)
     return spark.range(n).withColumnRenamed("id", "exp").select("exp", bases("f").alias("f"), bases("r").alias("r"))
+
+
+MARKER, INDEX_BASES = "ACAAC", 7
+
+
+def index_windows(reads: DataFrame, first: int, last: int) -> DataFrame:
+    """cluster_id, read_no, at, off, v: each window of a read (column s) that begins at a place from `first` to `last` (from 0) and has
+    marker and index in bases alone, with the marker's different symbols and the index as a number."""
+    size = len(MARKER) + INDEX_BASES
+    at = reads.select("cluster_id", "read_no", "s", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("at")).where(F.col("at") + size <= F.length("s"))
+    w = at.withColumn("w", F.substring("s", F.col("at") + 1, F.lit(size))).where(F.col("w").rlike("^[ACGT]*$"))
+    off = sum((F.substring("w", i + 1, 1) != b).cast("int") for i, b in enumerate(MARKER))
+    return w.select("cluster_id", "read_no", "at", off.alias("off"), index_value(F.substring("w", len(MARKER) + 1, INDEX_BASES)).alias("v"))
+
+
+def index_clusters(reads: DataFrame, valid: DataFrame, settings: list[tuple[int, int, int]]) -> DataFrame:
+    """start, end, most, cluster_id, read_no, v: for each setting (first place, end of the last window, symbols of the marker that may
+    differ) the first window of a read whose index is among `valid` (column v); no row where a read has none. All settings share
+    one pass over the reads' windows. valid holds numbers of seven bases, 16,384 at most."""
+    size = len(MARKER) + INDEX_BASES
+    w = index_windows(reads, min(a for a, _, _ in settings), max(b for _, b, _ in settings) - size)
+    known = w.where(F.col("off") <= max(m for *_, m in settings)).join(F.broadcast(valid.select("v").distinct()), "v", "left_semi")
+    grid = reads.sparkSession.createDataFrame(settings, "start int, end int, most int")
+    hits = known.crossJoin(F.broadcast(grid)).where((F.col("at") >= F.col("start")) & (F.col("at") + size <= F.col("end")) & (F.col("off") <= F.col("most")))
+    return hits.groupBy("start", "end", "most", "cluster_id", "read_no").agg(F.min_by("v", "at").alias("v"))
+
+
+def index_sweep(reads: DataFrame, valid: DataFrame, settings: list[tuple[int, int, int]]) -> DataFrame:
+    """For each setting of `index_clusters`: clusters, reads found, reads that failed, and their share."""
+    found = index_clusters(reads, valid, settings).groupBy("start", "end", "most").agg(F.count_distinct("v").alias("clusters"), F.count("*").alias("found"))
+    total = reads.agg(F.count("*").alias("total"))  # one row
+    grid = reads.sparkSession.createDataFrame(settings, "start int, end int, most int")
+    out = grid.join(found, ["start", "end", "most"], "left").crossJoin(F.broadcast(total)).select("start", "end", "most", F.coalesce("clusters", F.lit(0)).alias("clusters"), F.coalesce("found", F.lit(0)).alias("found"), "total")
+    return out.withColumn("failed", F.col("total") - F.col("found")).withColumn("failed_share", F.col("failed") / F.col("total"))
+
+
+def concatenated_pairs(clusters: DataFrame) -> DataFrame:
+    """clusters: cluster_id, gt, reads (array). Consecutive clusters (by id) of as many reads in pairs: a, b, n, reads (the first's each
+    with the second's at its place) and gt; the last of an odd number of clusters is left out."""
+    ranked = rank_within(clusters.withColumn("n", F.size("reads")), ["n"], "cluster_id").withColumn("pair", F.expr("(k + 1) div 2"))
+    row = F.struct("cluster_id", "gt", "reads")
+    two = ranked.groupBy("n", "pair").agg(F.min_by(row, "k").alias("a"), F.max_by(row, "k").alias("b"), F.count("*").alias("m")).where("m = 2")
+    return two.select(F.col("a.cluster_id").alias("a"), F.col("b.cluster_id").alias("b"), "n", F.zip_with("a.reads", "b.reads", lambda x, y: F.concat(x, y)).alias("reads"), F.concat("a.gt", "b.gt").alias("gt"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.sequence import index_value
-from ..operators.joins import best_match, prefix_hits, shortest_unique_prefix, within_distance
+from ..operators.joins import best_match, concatenated_pairs, index_clusters, index_sweep, prefix_hits, shortest_unique_prefix, within_distance
 from ..operators.metrics import r6
-from ..operators.ranks import rank_within
-from ..sources.fixture import VIEWS, ground_truth, reads
+from ..sources.fixture import VIEWS, clusters, ground_truth, reads
 from ._register import query
+from .noisy import NOISY, noisy_reads
 
 
 @query("j1_prefix_clustering", f"{VIEWS} SELECT r.cluster_id, r.read_no, g.gt_id FROM rd r JOIN gt g ON substr(r.read, 1, 20) = substr(g.gt, 1, 20)")
@@ -91,18 +91,33 @@ def j10(spark, sf):
     return assigned.join(r.where(F.length("read") == 110).select("read_id", "read"), "read_id")
 
 
-_SWEEP = "SELECT * FROM (VALUES (40, 0), (42, 0), (38, 1), (40, 1)) g(start, most)"
+_SETTINGS = [(42 - i, 54 + i, most) for i in (0, 2, 6) for most in (0, 1, 2)]
+_VALUE = " + ".join(f"(strpos('ACGT', substr(w, {i + 6}, 1)) - 1) * {4 ** (6 - i)}" for i in range(7))
+_MARKED = f"""{NOISY}, s AS (SELECT cluster_id, read_no, concat(substr(read, 1, 42), 'ACAAC', substr(read, 43)) AS s FROM nr),
+wn AS (SELECT cluster_id, read_no, p, substr(s, cast(p AS int) + 1, 12) AS w FROM s, range(36, 49) t(p) WHERE p + 12 <= length(s)),
+iv AS (SELECT cluster_id, read_no, p, hamming(substr(w, 1, 5), 'ACAAC') AS off, cast({_VALUE} AS bigint) AS v FROM wn WHERE regexp_full_match(w, '[ACGT]*')),
+g AS (SELECT * FROM (VALUES {', '.join(map(str, _SETTINGS))}) t(start, "end", most)),
+h AS (SELECT start, "end", most, cluster_id, read_no, arg_min(v, p) AS v FROM iv, g WHERE v % 3 <> 0 AND p >= start AND p + 12 <= "end" AND off <= most GROUP BY ALL)"""
 
 
-@query("j8_window_sweep", f"{VIEWS}, g AS ({_SWEEP}), s AS (SELECT cluster_id, read_no, concat(substr(read, 1, 42), 'ACAAC', substr(read, 43, 7)) AS s FROM rd), h AS (SELECT DISTINCT start, most, cluster_id, read_no FROM s, g, range(0, 5) t(o) WHERE levenshtein(substr(s, cast(start + o AS int) + 1, 5), 'ACAAC') <= most), n AS (SELECT start, most, count(*) AS found, count(DISTINCT cluster_id) AS clusters FROM h GROUP BY ALL) SELECT start, most, coalesce(found, 0) AS found, coalesce(clusters, 0) AS clusters, round(coalesce(found, 0) / (SELECT count(*) FROM rd), 6) AS share FROM g LEFT JOIN n USING (start, most)")
+def _marked(spark, sf):
+    return noisy_reads(spark, sf).select("cluster_id", "read_no", F.concat(F.substring("read", 1, 42), F.lit("ACAAC"), F.substring("read", 43, 200)).alias("s"))
+
+
+@query("j8_window_sweep", f"""{_MARKED}, n AS (SELECT start, "end", most, count(DISTINCT v) AS clusters, count(*) AS found FROM h GROUP BY ALL), t AS (SELECT count(*) AS total FROM s) SELECT g.start, g."end", g.most, coalesce(clusters, 0) AS clusters, coalesce(found, 0) AS found, total - coalesce(found, 0) AS failed, round((total - coalesce(found, 0)) / total, 6) AS failed_share FROM g LEFT JOIN n ON g.start = n.start AND g."end" = n."end" AND g.most = n.most, t""")
 def j8(spark, sf):
-    """The index region's marker sought from several places on and with several thresholds, in one job: how many reads show
-    it in each setting."""
-    grid = spark.createDataFrame([(40, 0), (42, 0), (38, 1), (40, 1)], "start int, most int")
-    s = reads(spark, sf).select("cluster_id", "read_no", F.concat(F.substring("read", 1, 42), F.lit("ACAAC"), F.substring("read", 43, 7)).alias("s"))
-    near = F.exists(F.sequence(F.lit(0), F.lit(4)), lambda o: F.levenshtein(F.substring("s", F.col("start") + o + 1, F.lit(5)), F.lit("ACAAC")) <= F.col("most"))
-    hits = s.crossJoin(F.broadcast(grid)).groupBy("start", "most").agg(F.count_if(near).alias("found"), F.count_distinct(F.when(near, F.col("cluster_id"))).alias("clusters"), F.count("*").alias("n"))
-    return hits.select("start", "most", "found", "clusters", r6(F.col("found") / F.col("n")).alias("share"))
+    """The index region decoded from wider and wider windows and with more differing symbols in its marker, in one job: clusters, reads
+    found and reads that failed in each setting."""
+    valid = spark.range(16384).where("id % 3 <> 0").withColumnRenamed("id", "v")
+    return index_sweep(_marked(spark, sf), valid, _SETTINGS).select("start", "end", "most", "clusters", "found", "failed", r6(F.col("failed_share")).alias("failed_share"))
+
+
+@query("j7_failed_reads", f"""{_MARKED} SELECT cluster_id, read_no FROM s ANTI JOIN (SELECT * FROM h WHERE start = 40 AND most = 1) h USING (cluster_id, read_no)""")
+def j7_failed(spark, sf):
+    """Reads that no window of the index region clusters."""
+    s = _marked(spark, sf)
+    valid = spark.range(16384).where("id % 3 <> 0").withColumnRenamed("id", "v")
+    return s.select("cluster_id", "read_no").join(index_clusters(s, valid, [(40, 56, 1)]), ["cluster_id", "read_no"], "left_anti")
 
 
 @query("j11_a12_misclustering_rate", f"{VIEWS} SELECT supp % 13 AS config, count(*) AS n, round(count(*) FILTER (WHERE levenshtein(read, gt) > 0) / count(*), 6) AS rate FROM rd GROUP BY 1")
@@ -130,13 +145,12 @@ def j12(spark, sf):
     return train.join(within_distance(train, test, 5, 13), "s", "left_anti").select("cluster_id", "read_no")
 
 
-@query("j19_pair_concatenation", f"{VIEWS}, c AS (SELECT cluster_id, gt, count(*) AS n FROM rd GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY cluster_id) AS k FROM c) SELECT a.cluster_id AS a, b.cluster_id AS b, a.n, concat(a.gt, b.gt) AS gt FROM r a JOIN r b ON a.n = b.n AND a.k % 2 = 1 AND b.k = a.k + 1")
+@query("j19_pair_concatenation", f"""{VIEWS}, c AS (SELECT cluster_id, gt, count(*) AS n, list(read ORDER BY read_no) AS rs FROM rd GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY cluster_id) AS k FROM c)
+SELECT a.cluster_id AS a, b.cluster_id AS b, a.n, array_to_string(list_transform(range(1, a.n + 1), lambda i: concat(a.rs[i], b.rs[i])), '|') || ':' || a.gt || b.gt AS example FROM r a JOIN r b ON a.n = b.n AND a.k % 2 = 1 AND b.k = a.k + 1""")
 def j19(spark, sf):
-    c = reads(spark, sf).groupBy("cluster_id", "gt").agg(F.count("*").alias("n"))
-    pair = F.expr("(k + 1) div 2")
-    r = rank_within(c, ["n"], "cluster_id").withColumn("pair", pair)
-    two = r.groupBy("n", "pair").agg(F.min_by(F.struct("cluster_id", "gt"), "k").alias("a"), F.max_by(F.struct("cluster_id", "gt"), "k").alias("b"), F.count("*").alias("m"))
-    return two.where("m = 2").select(F.col("a.cluster_id").alias("a"), F.col("b.cluster_id").alias("b"), "n", F.concat("a.gt", "b.gt").alias("gt"))
+    """Examples of two clusters each: reads and ground truths one after the other."""
+    pairs = concatenated_pairs(clusters(spark, sf))
+    return pairs.select("a", "b", F.col("n").cast("long").alias("n"), F.concat_ws(":", F.array_join("reads", "|"), "gt").alias("example"))
 
 
 @query("j18_u5_dataset_comparison", f"{VIEWS}, l AS (SELECT gt_id, gt FROM gt), r AS (SELECT gt_id, CASE WHEN gt_id % 97 = 0 THEN reverse(gt) ELSE gt END AS gt FROM gt WHERE gt_id % 89 <> 0) SELECT count(l.gt_id) AS in_left, count(r.gt_id) AS in_right, count(*) FILTER (WHERE l.gt IS DISTINCT FROM r.gt) AS differing, min(coalesce(l.gt_id, r.gt_id)) FILTER (WHERE l.gt IS DISTINCT FROM r.gt) AS first_differing FROM l FULL JOIN r ON l.gt_id = r.gt_id")
