@@ -286,3 +286,19 @@ def test_op3_ids_of_documents(texts):
     all_ = [x or "" for x in texts.values()]
     got = [np.frombuffer(x, "<u4").tolist() for x in token_ids([x.encode() for x in all_], word_vocabulary())]
     assert got == [e.ids for e in tokenizer().encode_batch(all_, add_special_tokens=False)]
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark, copies):
+    """Each stage gives the same rows with and without columns named as those it works with, and these keep their values."""
+    import corpus_pipeline as P
+
+    names = [*CLASHES, "kept_id", "kept_hash", "kept", "text_hash", "own_text", "own_n_chars", "rest", "n_removed", "predicted", "id", "hash"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, t, "en", "s", len(t)) for i, t in copies.items()]
+    plain = spark.createDataFrame(rows, schema)
+    wide = spark.createDataFrame([(*r, *(f"{r[0]}:{c}" for c in names)) for r in rows], ", ".join([schema, *(f"{c} string" for c in names)]))
+    shown = lambda df: sorted(map(str, df.select("doc_id", "text", "n_chars").collect()))
+    for name, stage in P.STAGES[:-1]:
+        want, got = stage(spark, plain, SF), stage(spark, wide, SF)
+        assert got.columns == wide.columns and shown(got) == shown(want) and got.count() > 0, name
+        assert all(r[c] == f"{r.doc_id}:{c}" for r in got.collect() for c in names), name

@@ -21,6 +21,8 @@ _U = np.uint64
 #: Texts of about so many bytes are worked together.
 BLOCK_BYTES = 1 << 20
 MISS = 255
+#: Bits of a token beside its context's.
+_TOKEN = 31
 #: Share codes count sixteenths of a bit.
 _FINE = 16
 
@@ -54,12 +56,12 @@ class Tokens:
         for k in (1, 2):
             context = np.where(short >= k, T.mix(context + T.mix(self.before[k + 1] * _K + _U(k + 1))), context)
         self.context = context
-        #: Which token follows which context, in 48 bits: 32 of the context beside those that pick its slice, 16 of the token.
-        self.pair = (context & _U(0xFFFFFFFF)) << _U(16) | T.mix(self.h + _K) >> _U(48)
+        #: Which token follows which context, in 63 bits: 32 of the context beside those that pick its slice, 31 of the token.
+        self.pair = (context & _U(0xFFFFFFFF)) << _U(_TOKEN) | T.mix(self.h + _K) >> _U(64 - _TOKEN)
 
 
 class Asked:
-    """Different 48-bit keys of a block's tokens in the order of their slices, those that are `apart` for themselves, and how
+    """Different 63-bit keys of a block's tokens in the order of their slices, those that are `apart` for themselves, and how
     often each stands in training texts."""
 
     def __init__(self, keys: np.ndarray, of: np.ndarray, apart: np.ndarray, held: np.ndarray, slices: int):
@@ -69,7 +71,7 @@ class Asked:
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         self.back, self.part = rank[back], part[order]
-        self.bytes = (different[order] >> _U(1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        self.bytes = (different[order] >> _U(1)).astype("<u8").view(np.uint8).reshape(-1, 8)
         self.count = np.bincount(self.back, ~held, len(order)).astype(np.int64)
         self.ends = np.searchsorted(self.part, np.arange(slices + 1))
 
@@ -91,7 +93,7 @@ def unpacked(blob: bytes, n: int) -> np.ndarray:
 def _questions(tokens: Tokens, held: np.ndarray, slices: int) -> tuple[Asked, Asked]:
     out = held[tokens.doc]
     words = T.mix(tokens.h + _U(5))
-    return Asked(tokens.pair, tokens.context, out, out, slices), Asked(words & _U((1 << 48) - 1), words, np.zeros_like(out), out, slices)
+    return Asked(tokens.pair, tokens.context, out, out, slices), Asked(words & _U((1 << 63) - 1), words, np.zeros_like(out), out, slices)
 
 
 def _bucket(n: np.ndarray, steps: float, most: int = 15) -> np.ndarray:
@@ -152,11 +154,9 @@ def _ask(slices: int):
 def _summed(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Different keys with training counts, where each given key is among them, whether it came from a training text, and
     the ends of the given blobs."""
-    ends = np.cumsum([0, *(len(k) // 6 for k in keys)])
-    every = np.zeros((ends[-1], 8), np.uint8)
-    every[:, :6] = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 6)
-    different, back = np.unique(every.view("<u8").ravel(), return_inverse=True)
-    given = np.concatenate([np.zeros(0, np.int64), *(unpacked(c, len(k) // 6) for k, c in zip(keys, counts, strict=True))])
+    ends = np.cumsum([0, *(len(k) // 8 for k in keys)])
+    different, back = np.unique(np.frombuffer(b"".join(keys), "<u8"), return_inverse=True)
+    given = np.concatenate([np.zeros(0, np.int64), *(unpacked(c, len(k) // 8) for k, c in zip(keys, counts, strict=True))])
     return different, np.bincount(back, given, len(different)).astype(np.int64), back, given > 0, ends
 
 
@@ -164,7 +164,7 @@ def _answer(frame: pd.DataFrame) -> pd.DataFrame:
     """Counts of one slice: for each pair its code (of training texts: with one occurrence, the token's own, left out),
     for each word its count."""
     different, m, back, train, ends = _summed(frame["pairs"].tolist(), frame["pair_counts"].tolist())
-    context = different >> _U(16)
+    context = different >> _U(_TOKEN)
     head = np.ones(len(context), bool)
     head[1:] = context[1:] != context[:-1]
     of = np.cumsum(head) - 1
@@ -345,7 +345,10 @@ def _answered(batch: pa.RecordBatch, i: int, tokens: Tokens, held: np.ndarray, s
         k = a["slice"]
         codes[pairs.ends[k] : pairs.ends[k + 1]] = np.frombuffer(a["pairs"], np.uint16)
         counts[words.ends[k] : words.ends[k + 1]] = unpacked(a["words"], words.ends[k + 1] - words.ends[k])
-    return codes[pairs.back], counts[words.back], ~held[tokens.doc]
+    codes, counts = codes[pairs.back], counts[words.back]
+    # What no training text has can't have followed there, whatever its bits.
+    codes = np.where(counts > 0, codes, codes | np.uint16(MISS << 8))
+    return codes, counts, ~held[tokens.doc]
 
 
 _SLICE = 1 << 15
@@ -432,14 +435,15 @@ def mixing_scores(docs: DataFrame, slice_bytes: int = 4 << 20) -> DataFrame:
     of all; if not, the bits of its bytes. Each kind of bit is predicted from several hashed contexts (how often and
     with how many tokens the context was seen, the run of tokens before that followed theirs, the word
     before; for bytes the last one, two, three and five), mixed by weights that a gate picks, and refined by what such
-    mixes met. For a training text each token's own occurrence is left out of all counts. Words that
+    mixes met. For a training text (held_out tells) each token's own occurrence is left out of all counts. Words that
     both ways could code make the probabilities add up to a little less than one.
 
     All counts of words and contexts cover all training texts and live in slices whose number follows the
     bytes (`slice_bytes` of text each): blocks of texts send each slice their different keys, packed, with counts, and
     get the answers back in the same order. Weights, bit tables and refinement are learnt online in each
     partition over all training tokens and added up in a tree; their size is that of the hashed byte contexts (0.7 million
-    slots) and is fixed. Only they and two totals reach the driver. Words and contexts stand for their 64-bit hashes.
+    slots) and is fixed. Only they and two totals reach the driver. Words stand for 63 bits of their hashes; a word and its context for 32 bits of the context's
+    beside those that pick its slice, and 31 of the word's. A word that no training text has follows nothing.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), bits_per_byte (of the
     UTF-8 text with white space, null without text). Null text: empty, one end token. Null doc_id:
