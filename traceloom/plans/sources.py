@@ -38,6 +38,16 @@ def s5(spark, sf):
     return scans.fasta(spark, path).select("id", "seq")
 
 
+@query("k4_fasta_append", f"{VIEWS} SELECT cast(gt_id AS varchar) AS id, gt AS seq FROM gt UNION ALL SELECT concat('again_', cast(gt_id AS varchar)), reverse(gt) FROM gt WHERE gt_id % 3 = 0")
+def k4(spark, sf):
+    """Records added to a folder that has some already."""
+    path = _folder(spark)
+    g = ground_truth(spark, sf).select(F.col("gt_id").cast("string").alias("id"), F.col("gt").alias("seq"))
+    scans.write_fasta(g, path)
+    scans.write_fasta(g.where("id % 3 = 0").select(F.concat(F.lit("again_"), "id").alias("id"), F.reverse("seq").alias("seq")), path, append=True)
+    return scans.fasta(spark, path).select("id", "seq")
+
+
 @query("s6_k2_packed_examples", f"{VIEWS} SELECT rd.gt AS gt, string_agg(read, '|' ORDER BY read_no) AS reads FROM rd GROUP BY cluster_id, rd.gt")
 def s6(spark, sf):
     from ..functions.sequence import pack

@@ -148,5 +148,6 @@ def write_fastq(df: DataFrame, path: str, by: str | None = None, gzip: bool = Fa
     (writer.partitionBy(by) if by else writer).text(path)
 
 
-def write_fasta(df: DataFrame, path: str) -> None:
-    df.select(F.concat(F.lit(">"), "id", F.lit("\n"), "seq")).write.text(path)
+def write_fasta(df: DataFrame, path: str, append: bool = False) -> None:
+    """df (id, seq) as records; append: beside those that are in the folder already."""
+    df.select(F.concat(F.lit(">"), "id", F.lit("\n"), "seq")).write.mode("append" if append else "errorifexists").text(path)
