@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from traceloom.llm import registry
 from traceloom.llm._shared import table
 from traceloom.llm._graph import components
-from traceloom.llm.dp_bpe import bpe_round_trip, byte_vocabulary, encoder
+from traceloom.llm.dp_bpe import bpe_decode, bpe_round_trip, byte_vocabulary, encoder
 from traceloom.llm.gam_quality import gam_quality
 from traceloom.llm.kmeans_tree import kmeans_tree_search
 from traceloom.llm.lpf_dedup import lpf_dedup
@@ -247,8 +247,24 @@ def test_op9_white_space_and_marks():
     parts = ["a", "b", "The", "  ", " ", "\n", "\t", "\u2003", "é", "日本", "😀", "123", "'s", "'ll", "!!", "<|endoftext|>", " \n", "ing", "aaaa", ".", ",", "\r\n", "zz" * 20, "\x1c", "\x85"]
     for _ in range(5000):
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
-        csv, raw = e.document(text)
-        assert [int(i) for i in csv.split(b",") if i] == t.encode(text, add_special_tokens=False).ids and raw == text.encode(), repr(text)
+        csv = e.document(text)
+        assert [int(i) for i in csv.split(b",") if i] == t.encode(text, add_special_tokens=False).ids and e.decode(csv) == text, repr(text)
+
+
+def test_op9_decodes_any_ids(spark):
+    """Ids in any order, most of which are no UTF-8 together, give the library's text."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(byte_vocabulary()), random.Random(6)
+    rows = [(i, [rng.randrange(t.get_vocab_size()) if rng.random() < 0.5 else rng.randrange(256) for _ in range(rng.randrange(20))]) for i in range(3000)]
+    got = {r.doc_id: r.text for r in bpe_decode(spark.createDataFrame(rows, "doc_id long, ids array<int>"), byte_vocabulary()).collect()}
+    assert got == {i: t.decode(ids, skip_special_tokens=False) for i, ids in rows}
+    odd = spark.createDataFrame([(1, None, 7), (None, [], 7), (3, [None, 64], 7), (3, [99999999, 64], 7), (3, [64, 64], 7)], "doc_id long, ids array<int>, text int")
+    one = t.decode([64], skip_special_tokens=False)
+    assert sorted(map(tuple, bpe_decode(odd, byte_vocabulary()).collect()), key=str) == sorted([(1, None), (None, ""), (3, one), (3, one), (3, one * 2)], key=str)
+    assert bpe_decode(odd.where("false"), byte_vocabulary()).count() == 0
 
 
 def test_op10_base_and_model(spark, odd, texts):

@@ -84,6 +84,9 @@ class Encoder:
         vocabulary = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: bytes(of[c] for c in t) for t, i in vocabulary.items() if t not in self.special}
+        self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        #: The same by ids as they are written in decimal.
+        self.written = {str(i).encode(): raw for i, raw in self.bytes_of.items()}
         # Tokens are numbered by the order in which merging makes them: bytes first, then merges.
         number = {c: k for k, c in enumerate(of)}
         self.pair: dict[tuple[int, int], int] = {}
@@ -95,7 +98,6 @@ class Encoder:
                 self.halves.append((number[a], number[b]))
             self.pair.setdefault((number[a], number[b]), number[a + b])
         self.id_of = [str(vocabulary[t]).encode() for t in number]
-        self.decoded = [self.bytes_of[vocabulary[t]] for t in number]
         self.automaton = Automaton({bytes(of[c] for c in t): k for t, k in number.items()})
         self.size = [len(t) for t in number]
         self.fits: dict[int, bool] = {}
@@ -103,10 +105,9 @@ class Encoder:
         self.split = regex.compile(_SPLIT).findall
         self.parts = regex.compile(_PARTS).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        #: Ids of words with the blank before them, and of other parts; decoded bytes where they aren't those encoded.
+        #: Ids of words with the blank before them, and of other parts.
         self.spaced: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
-        self.changed: dict[str, bytes] = {}
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens that stand at one side of `token` while it is made, each with the merge that takes it up."""
@@ -168,15 +169,8 @@ class Encoder:
         return out[::-1]
 
     def _learn(self, part: str) -> bytes:
-        """The ids of a part in decimal, joined by commas. That they decode to the part's bytes is seen here once."""
-        ids, raw = [], []
-        for piece in self.split(part):
-            tokens = self.encode(piece.encode())
-            ids += [self.id_of[t] for t in tokens]
-            raw += [self.decoded[t] for t in tokens]
-        if (back := b"".join(raw)) != part.encode():
-            self.changed[part] = back
-        return b",".join(ids)
+        """The ids of a part in decimal, joined by commas."""
+        return b",".join([self.id_of[t] for piece in self.split(part) for t in self.encode(piece.encode())])
 
     def _known(self, memory: dict[str, bytes], items: list[str], blank: str) -> None:
         new = set(items).difference(memory)
@@ -187,8 +181,8 @@ class Encoder:
             for item in new:
                 memory[item] = self._learn(blank + item)
 
-    def piece(self, text: str) -> tuple[bytes, bytes]:
-        """Ids and decoded bytes of a text without special tokens. Where white space is never followed by a blank, the
+    def piece(self, text: str) -> bytes:
+        """Ids of a text without special tokens. Where white space is never followed by a blank, the
         splitter cuts before each blank, so a text is its blank-separated items, each worked once."""
         if any(pair in text for pair in _BEFORE_BLANK):
             parts, items, csv = self.parts(text), [], []
@@ -199,19 +193,31 @@ class Encoder:
         csv = list(map(self.plain.__getitem__, parts))
         self._known(self.spaced, items, " ")
         csv += map(self.spaced.__getitem__, items)
-        if not self.changed:
-            return b",".join(csv), text.encode()
-        return b",".join(csv), b"".join([self.changed.get(p) or p.encode() for p in [*parts, *(" " + i for i in items)]])
+        return b",".join(csv)
 
-    def document(self, text: str) -> tuple[bytes, bytes]:
-        """The ids in decimal joined by commas, and the bytes that they decode to."""
+    def document(self, text: str) -> bytes:
+        """The ids of a text in decimal, joined by commas."""
+        if not (self.cut and any(t in text for t in self.special)):
+            return self.piece(text) if text else b""
         found = []
-        for piece in self.cut(text) if self.cut and any(t in text for t in self.special) else [text]:
+        for piece in self.cut(text):
             if piece in self.special:
-                found.append((str(self.special[piece]).encode(), piece.encode()))
+                found.append(str(self.special[piece]).encode())
             elif piece:
                 found.append(self.piece(piece))
-        return b",".join([c for c, _ in found]), b"".join([r for _, r in found])
+        return b",".join(found)
+
+    def decode(self, csv: bytes) -> str:
+        """The text of ids in decimal, joined by commas. What is no UTF-8 becomes replacement characters; ids that
+        the vocabulary lacks give nothing."""
+        if not csv:
+            return ""
+        ids = csv.split(b",")
+        try:
+            raw = b"".join(map(self.written.__getitem__, ids))
+        except KeyError:
+            raw = b"".join([self.written.get(i, b"") for i in ids])
+        return raw.decode("utf-8", "replace")
 
 
 def encoder(path: str) -> Encoder:
@@ -226,8 +232,8 @@ def _run(path: str, keep: bool):
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
             for i in range(batch.num_rows):
-                csv, raw = e.document(batch.column(1)[i].as_py() or "")
-                text = raw.decode("utf-8", "replace")
+                csv = e.document(batch.column(1)[i].as_py() or "")
+                text = e.decode(csv)
                 row = (csv.count(b",") + 1 if csv else 0, hashlib.sha256(csv).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
                 for c, v in zip(out, (*row, [int(x) for x in csv.split(b",")] if keep and csv else [], text if keep else None), strict=True):
                     c.append(v)
@@ -254,6 +260,27 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, keep: bool = True) -> DataF
     return rows.mapInArrow(tidy(_run(vocabulary, keep)), schema + ", ids array<int>, decoded string" * keep)
 
 
+def _back(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path)
+        for batch in batches:
+            texts = [None if ids is None else e.decode(b",".join([str(i).encode() for i in ids if i is not None])) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return run
+
+
+def bpe_decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
+    """The texts of ids: tokens (doc_id long, ids array of int) become doc_id, text, as by the vocabulary's byte-level decoder.
+
+    Null ids: null text; no ids: empty text; nulls among ids and ids that the vocabulary lacks give nothing; bytes that are
+    no UTF-8 become replacement characters. Repeated rows and null doc_ids pass through, an empty table gives an
+    empty result. Each row is worked alone.
+    """
+    rows = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
+    return rows.mapInArrow(tidy(_back(vocabulary)), "doc_id long, text string")
+
+
 def byte_vocabulary() -> str:
     import public_tokenizers
 
