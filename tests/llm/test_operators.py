@@ -23,7 +23,7 @@ from traceloom.llm.mixing_lm import mixing_scores
 from traceloom.llm.order_minhash import near_duplicates, similarity
 from traceloom.llm.pattern_packing import pack_documents, plan, word_vocabulary
 from traceloom.llm.rp_forest import rp_forest_duplicates
-from traceloom.llm.stratified_shards import stratified_shards
+from traceloom.llm.stratified_shards import shuffle_key, stratified_shards
 from traceloom.llm.suffix_tree_dedup import suffix_tree_dedup
 
 SF = "/root/testdata/sf0.001"
@@ -195,6 +195,29 @@ def test_op4_shards_match_the_mixture(spark, odd):
     assert stratified_shards(odd.where("false")).count() == 0
 
 
+def test_op4_equals_ranks_by_hand(spark):
+    """Ranks, fractions and cuts over a plain list, with many rows without doc_id, many copies and null sources."""
+    plain = [(i, f"text {i}", "abc"[i % 3]) for i in range(200)] + [(None, f"t{i % 40}", "a") for i in range(300)] + [(7, "same", "b")] * 150 + [(8, None, None)] * 3
+    d = spark.createDataFrame(plain, "doc_id long, text string, source string")
+    got = collections.Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in stratified_shards(d, bucket_rows=16).collect())
+    seen: collections.Counter = collections.Counter()
+    rows = []
+    for i, t, s in plain:
+        row = (i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), s)
+        rows.append((*row, seen[row]))
+        seen[row] += 1
+    keyed = spark.createDataFrame(rows, "doc_id long, size long, text_crc32 long, source string, copy long").withColumn("key", shuffle_key(17)).collect()
+    by = collections.defaultdict(list)
+    for r in keyed:
+        by["" if r.source is None else "s" + r.source].append((r.key, r.doc_id, r.size, r.text_crc32))
+    order = sorted(((k + 0.5) / len(group), s, k, row) for s, group in by.items() for k, row in enumerate(sorted(group)))
+    n, want = len(order), collections.Counter()
+    for place, (_, _, _, row) in enumerate(order):
+        shard = place * 8 // n
+        want[(*row[1:], shard, place - -(-shard * n // 8))] += 1
+    assert got == want and len(rows) == sum(got.values())
+
+
 def test_op5_classes(spark, odd):
     base = [f"t{i}" for i in range(200)]
     near = base[:100] + ["new"] + base[101:]

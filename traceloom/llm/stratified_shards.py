@@ -18,6 +18,11 @@ def _global_rank(rows: DataFrame, group: list[str], bucket: str, order: list[Col
     return rows.withColumn("_own", own).join(counts, [*group, bucket]).withColumn(to, F.col("_before") + F.col("_own")).drop("_own", "_before")
 
 
+def shuffle_key(seed: int) -> Column:
+    """The place in the seeded shuffle of a row's copy."""
+    return F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "size", "text_crc32", "copy")
+
+
 def stratified_shards(docs: DataFrame, shards: int = 8, seed: int = 17, bucket_rows: int = 20_000) -> DataFrame:
     """Put every row of docs (doc_id long, text string, source string) into shards 0 to `shards` - 1.
 
@@ -26,17 +31,25 @@ def stratified_shards(docs: DataFrame, shards: int = 8, seed: int = 17, bucket_r
     most, so every shard holds each source in proportion. Law `rows`. Returns doc_id, size (UTF-8 bytes of
     the text, null: none, plus 1), text_crc32, law, shard, slot, grown_shard (null: this law moves rows when
     a shard is added). Null source: a source of its own. Null text: crc32 of no bytes. Repeated rows each get
-    a slot; doc_ids that tie are ordered by their other columns. An empty table gives an empty result.
+    a slot. An empty table gives an empty result.
+
+    Rows that are equal in all that comes back are counted and then dealt anew as copies 0, 1, ..., in blocks of
+    `bucket_rows`. The hash that shuffles them takes the copy's number, size and checksum beside doc_id, so rows
+    without doc_id, or of one doc_id, spread over all ranges as other rows do.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("source"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"))
-    rows = table(rows.withColumn("key", F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)))))
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {bucket_rows}")))).repartition("doc_id", "source", "text_crc32", "block")
+    last = F.least(F.col("copies"), (F.col("block") + 1) * bucket_rows) - 1
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.col("block") * bucket_rows, last))).drop("copies", "block")
+    rows = table(rows.withColumn("key", shuffle_key(seed)))
     sizes = rows.groupBy("source").agg(F.count("*").alias("of_source"))
     n = rows.count()
     ranges = buckets(n, bucket_rows, 16)
     unit = F.col("key").cast("double") / float(1 << 64) + 0.5
     rows = rows.withColumn("range", F.least(F.floor(unit * ranges), F.lit(ranges - 1)).cast("long"))
-    rows = _global_rank(rows, ["source"], "range", [F.col(c) for c in ("key", "doc_id", "size", "text_crc32")], "rank")
+    rows = _global_rank(rows, ["source"], "range", [F.col(c) for c in ("key", "doc_id", "size", "text_crc32", "copy")], "rank")
     rows = rows.join(sizes, "source").withColumn("fraction", (F.col("rank") + 0.5) / F.col("of_source"))
     rows = rows.withColumn("part", F.least(F.floor(F.col("fraction") * ranges), F.lit(ranges - 1)).cast("long")).withColumn("all", F.lit(0))
     rows = _global_rank(rows, ["all"], "part", [F.col(c) for c in ("fraction", "source", "rank")], "place")
