@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from ._shared import read, tidy
 
-#: Parts whose ids are remembered within a partition; when full, the memory starts anew.
-REMEMBERED = 1_000_000
+#: Bytes of parts and their ids that a worker remembers, over its partitions; when full, the memory starts anew.
+REMEMBERED = 150_000_000
+#: Bytes that a remembered part takes beside its characters.
+_EACH = 150
 #: White space as the vocabulary's splitter has it (fixed by Unicode's White_Space property).
 _WS = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: The splitter of byte-level BPE vocabularies (fixed by the vocabulary).
@@ -108,6 +110,7 @@ class Encoder:
         #: Ids of words with the blank before them, and of other parts.
         self.spaced: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
+        self.held = 0
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens that stand at one side of `token` while it is made, each with the merge that takes it up."""
@@ -175,11 +178,13 @@ class Encoder:
     def _known(self, memory: dict[str, bytes], items: list[str], blank: str) -> None:
         new = set(items).difference(memory)
         if new:
-            if len(memory) + len(new) > REMEMBERED:
-                memory.clear()
-                new = set(items)
+            if self.held > REMEMBERED:
+                self.plain.clear()
+                self.spaced.clear()
+                self.held, new = 0, set(items)
             for item in new:
-                memory[item] = self._learn(blank + item)
+                ids = memory[item] = self._learn(blank + item)
+                self.held += _EACH + len(item) + len(ids)
 
     def piece(self, text: str) -> bytes:
         """Ids of a text without special tokens. Where white space is never followed by a blank, the
@@ -241,8 +246,6 @@ def _run(path: str, keep: bool):
             cols = [batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
             yield pa.RecordBatch.from_arrays(cols if keep else cols[:4], names if keep else names[:4])
-        e.plain.clear()
-        e.spaced.clear()
 
     return run
 
