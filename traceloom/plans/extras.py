@@ -8,6 +8,7 @@ from ..functions.sequence import seeded
 from ..operators import errors as E
 from ..operators.metrics import r6
 from ..sources.fixture import VIEWS, ground_truth, reads, table
+from ._edits import CLASSES
 from ._register import query
 
 
@@ -73,13 +74,13 @@ def m22(spark, sf):
     return table(spark, sf, "part").select("p_partkey", n.alias("parameters"), (6.0 * n * 1000000).alias("flops"))
 
 
-@query("m19_common_subsequence")
+@query("m19_common_subsequence", f"{VIEWS} SELECT cluster_id, read_no, least(length(gt), length(read)) - CASE WHEN length(gt) = length(read) AND gt <> read THEN 1 ELSE 0 END AS lcs FROM rd")
 def m19(spark, sf):
     """Length of the longest common subsequence of each read and its ground truth."""
     return E.common_subsequence(reads(spark, sf).select("cluster_id", "read_no", "gt", "read")).select("cluster_id", "read_no", "lcs")
 
 
-@query("m17_homopolymer_class")
+@query("m17_homopolymer_class", f"{CLASSES} SELECT op, hp_class, count(*) AS n FROM cl GROUP BY ALL")
 def m17(spark, sf):
     """Operations between reads and ground truths by their effect on homopolymers."""
     r, g = reads(spark, sf), ground_truth(spark, sf)
