@@ -135,5 +135,20 @@ def reorder_packed(packed: Column, key) -> Column:
     return F.concat(F.array_join(F.transform(keyed, lambda x: x["r"]), "|"), F.lit(":"), F.split_part(packed, F.lit(":"), F.lit(2)))
 
 
+# The words of few-shot prompts.
+ONE_EXAMPLE, SOME_EXAMPLES, CORRECT = "\nHere is an example:\n", "\nHere are some examples:\n", "\nCorrect output:\n"
+
+
+def worked_example(packed: Column) -> Column:
+    """A packed example `r1|r2:gt` as text: its reads as a numbered list, then the right output."""
+    listed = F.transform(F.split(F.split_part(packed, F.lit(":"), F.lit(1)), "\\|"), lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), r))
+    return F.concat(F.array_join(listed, "\n"), F.lit(CORRECT), F.split_part(packed, F.lit(":"), F.lit(2)))
+
+
+def few_shot(examples: Column) -> Column:
+    """Worked examples as one prompt, under a heading for one or for several."""
+    return F.concat(F.when(F.size(examples) == 1, ONE_EXAMPLE).otherwise(SOME_EXAMPLES), F.array_join(examples, "\n"))
+
+
 def answer(s: Column) -> Column:
     return F.regexp_extract(s, r"\*\*\*(.*?)\*\*\*", 1)

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..operators.joins import approximate_hits, best_match
+from ..operators.metrics import r6
 from ..sources import scans
 from ..sources.fixture import VIEWS, clusters, ground_truth, reads
 from ._register import ORACLES, QUERIES, query
 from .clustering import _SHIFTED, _shifted
+from .clustering import shortest_unique_prefix
 from .noisy import approximate_twin, match_twin
 from .sources import _folder
+from .voting import _SCORED, _scored
 
 
 def _through(spark, df: DataFrame, kind: str, **options) -> DataFrame:
@@ -66,6 +69,49 @@ def k11(spark, sf):
     return _through(spark, n.withColumn("reads", F.col("cluster_size") * F.col("clusters")), "json")
 
 
+@query("k11_prefix_json", f"{VIEWS}, l AS (SELECT min(k) AS k FROM (SELECT k, count(DISTINCT substr(gt, 1, k)) = count(*) AS u FROM gt, (SELECT cast(k AS int) AS k FROM range(1, 31) t(k)) GROUP BY k) WHERE u) SELECT substr(gt, 1, k) AS prefix, gt_id, k AS prefix_length, (SELECT count(*) FROM gt) AS num_prefixes FROM gt, l")
+def k11_prefixes(spark, sf):
+    """The prefixes that tell ground truths apart: one object of their length and number, and one for each prefix, as there are as many
+    as ground truths."""
+    truths, folder = ground_truth(spark, sf), _folder(spark)
+    info = shortest_unique_prefix(truths, "gt").select(F.col("length").alias("prefix_length")).crossJoin(truths.agg(F.count("*").alias("num_prefixes")))
+    scans.write_json_object(info, f"{folder}/info")
+    info = scans.json_object(spark, f"{folder}/info", info.schema)
+    prefixes = truths.crossJoin(F.broadcast(info)).select(F.expr("substring(gt, 1, prefix_length)").alias("prefix"), "gt_id")
+    prefixes.write.json(f"{folder}/prefixes")
+    return spark.read.schema(prefixes.schema).json(f"{folder}/prefixes").crossJoin(F.broadcast(info))
+
+
+@query("k11_dataset_json", ORACLES["a37_p2_split_statistics"])
+def k11_dataset(spark, sf):
+    """Statistics of the splits as one object with a key for each split."""
+    stats = QUERIES["a37_p2_split_statistics"](spark, sf)
+    values = [c for c in stats.columns if c != "split"]
+    whole = stats.agg(F.map_from_entries(F.collect_list(F.struct("split", F.struct(*values)))).alias("splits"))
+    path = _folder(spark)
+    scans.write_json_object(whole, path)
+    return scans.json_object(spark, path, whole.schema).select(F.explode("splits").alias("split", "s")).select("split", "s.*")
+
+
+@query("k11_processing_json", f"WITH a AS MATERIALIZED ({ORACLES['a6_demux_statistics']}) SELECT 'experiment' AS by, cast(exp AS varchar) AS key, reads FROM a WHERE exp IS NOT NULL UNION ALL SELECT 'orientation', cast(orientation AS varchar), reads FROM a WHERE orientation IS NOT NULL UNION ALL SELECT 'status', status, reads FROM a WHERE status IS NOT NULL")
+def k11_processing(spark, sf):
+    """Numbers of demultiplexed reads by experiment, orientation and status as one nested object."""
+    stats = QUERIES["a6_demux_statistics"](spark, sf)
+    name = {"experiment": "exp", "orientation": "orientation", "status": "status"}
+    entry = lambda c: F.map_from_entries(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(c).cast("string").alias("key"), "reads"))))
+    whole = stats.agg(*(entry(c).alias(by) for by, c in name.items()))
+    path = _folder(spark)
+    scans.write_json_object(whole, path)
+    read = scans.json_object(spark, path, whole.schema)
+    parts = [read.select(F.lit(by).alias("by"), F.explode(by).alias("key", "reads")) for by in name]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+@query("k11_summary_json", ORACLES["a16_frequency_evaluation"])
+def k11_summary(spark, sf):
+    return _through(spark, QUERIES["a16_frequency_evaluation"](spark, sf), "json")
+
+
 @query("s12_result_lines", f"{VIEWS} SELECT cluster_id AS idx, levenshtein(read, gt) AS lev, CASE WHEN length(read) = length(gt) THEN hamming(read, gt) ELSE -1 END AS ham, read AS estimate, gt AS original FROM rd")
 def s12(spark, sf):
     path = _folder(spark)
@@ -104,6 +150,15 @@ def k9(spark, sf):
     return _through(spark, m.withColumn("n", F.coalesce(F.col("n").cast("string"), F.lit("all"))), "csv", header=True)
 
 
+@query("k9_per_example_csv", f"{_SCORED}, pk AS (SELECT cluster_id, string_agg(read, '|' ORDER BY read_no) AS reads FROM rd GROUP BY 1) SELECT n, reads, gt AS ground_truth, consensus AS prediction, round(ham, 6) AS hamming, round(lev, 6) AS levenshtein FROM sc JOIN pk USING (cluster_id)")
+def k9_examples(spark, sf):
+    """One line an example: its size, reads, ground truth and prediction, and their distances as shares of the length."""
+    packed = clusters(spark, sf).select("cluster_id", F.array_join("reads", "|").alias("reads"))
+    each = _scored(spark, sf).join(packed, "cluster_id")
+    out = each.select("n", "reads", F.col("gt").alias("ground_truth"), F.col("consensus").alias("prediction"), r6(F.col("ham")).alias("hamming"), r6(F.col("lev")).alias("levenshtein"))
+    return _through(spark, out, "csv", header=True)
+
+
 @query("k12_worst_tsv", ORACLES["t4_worst_share_by_size"])
 def k12(spark, sf):
     return _through(spark, QUERIES["t4_worst_share_by_size"](spark, sf), "csv", header=True, sep="\t")

@@ -131,3 +131,15 @@ def m16(spark, sf):
 def m21(spark, sf):
     text = F.concat(F.lit("say ***"), "event_type", F.lit("*** or ***none***"))
     return table(spark, sf, "events").select("event_id", S.answer(text).alias("answer"))
+
+
+_EXAMPLE = "string_agg(concat(cast(read_no AS varchar), '. ', read), chr(10) ORDER BY read_no) || chr(10) || 'Correct output:' || chr(10) || gt"
+
+
+@query("m21_few_shot_prompts", f"{VIEWS}, e AS (SELECT cluster_id, {_EXAMPLE} AS example FROM rd GROUP BY cluster_id, gt) SELECT cluster_id // 8 AS prompt_id, count(*) AS examples, concat(chr(10), CASE count(*) WHEN 1 THEN 'Here is an example:' ELSE 'Here are some examples:' END, chr(10), string_agg(example, chr(10) ORDER BY cluster_id)) AS prompt FROM e GROUP BY 1")
+def m21_prompts(spark, sf):
+    """Prompts of up to eight worked examples: those of the clusters of eight consecutive numbers."""
+    packed = F.concat(F.array_join("reads", "|"), F.lit(":"), F.col("gt"))
+    e = clusters(spark, sf).select("cluster_id", S.worked_example(packed).alias("example"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("cluster_id", "example"))), lambda x: x["example"])
+    return e.groupBy(F.expr("cluster_id div 8").alias("prompt_id")).agg(F.count("*").alias("examples"), S.few_shot(listed).alias("prompt"))

@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import seeded
+from ..operators.layout import length_batches, write_batches
 from ..operators.metrics import r6
 from ..operators.ranks import rank_within
 from ..operators.selection import cut
 from ..sources.fixture import VIEWS, clusters, ground_truth, reads, table
+from ..sources.scans import shared_folder
 from ._register import query
 
 
@@ -117,6 +119,14 @@ def w9(spark, sf):
     return reads(spark, sf).groupBy(F.expr("length(read) div 20 * 20").cast("long").alias("bucket")).agg(F.count("*").alias("n"))
 
 
+@query("w9_length_batches", f"{VIEWS}, o AS (SELECT length(read) AS n, (row_number() OVER (ORDER BY length(read)) - 1) // 512 AS batch FROM rd) SELECT batch, count(*) AS reads, min(n) AS shortest, max(n) AS longest, cast(sum(m - n) AS bigint) AS padding FROM (SELECT *, max(n) OVER (PARTITION BY batch) AS m FROM o) GROUP BY batch")
+def w9_batches(spark, sf):
+    """Reads in batches of like length, laid out by batch, and the padding that each batch needs, read back without a shuffle."""
+    r = reads(spark, sf).select("cluster_id", "read_no", "read", F.length("read").alias("n"), (F.col("cluster_id") * 16 + F.col("read_no")).alias("key"))
+    laid = write_batches(length_batches(r, "n", "key"), shared_folder(spark, "batches"), 8)
+    return laid.groupBy("batch").agg(F.count("*").alias("reads"), F.min("n").alias("shortest"), F.max("n").alias("longest"), (F.max("n").cast("long") * F.count("*") - F.sum("n")).alias("padding"))
+
+
 @query("w5_w11_share_until_90", f"{VIEWS}, s AS (SELECT cluster_id, read_no, length(read) + part % 50 AS w FROM rd), p AS (SELECT cluster_id, read_no, w / sum(w) OVER (PARTITION BY cluster_id) AS p FROM s), c AS (SELECT *, sum(p) OVER (PARTITION BY cluster_id ORDER BY p DESC, read_no ROWS UNBOUNDED PRECEDING) AS cum FROM p) SELECT cluster_id, count(*) FILTER (WHERE cum - p < 0.9 - 1e-9) AS needed, round(max(p), 6) AS top_share FROM c GROUP BY cluster_id")
 def w5(spark, sf):
     s = reads(spark, sf).select("cluster_id", "read_no", (F.length("read") + F.col("part") % 50).alias("w"))

@@ -61,7 +61,7 @@ def fastq(spark: SparkSession, path: str, by: str | None = None) -> DataFrame:
     """read_id, seq, qual, four lines a record; plain or gzip. by: the key of the folders, which comes back as a long."""
     rows = lines(spark, path)
     part = lambda k: F.max(F.when(F.col("idx") % 4 == k, F.col("value")))
-    records = rows.groupBy("file", F.expr("idx div 4").alias("record")).agg(F.substring(part(0), 2, 1 << 20).alias("read_id"), part(1).alias("seq"), part(3).alias("qual"))
+    records = rows.groupBy("file", F.expr("idx div 4").alias("record")).agg(F.substr(part(0), F.lit(2)).alias("read_id"), part(1).alias("seq"), part(3).alias("qual"))
     key = [F.regexp_extract("file", f"/{by}=(-?[0-9]+)/", 1).cast("long").alias(by)] if by else []
     return records.select("read_id", "seq", "qual", *key)
 
@@ -136,6 +136,15 @@ def clustering_results(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("read_id", F.when(F.col("gt_id") != "unmapped", F.col("gt_id")).cast("long").alias("gt_id"), seen("match_pos"), seen("edit_dist"), "status", "num_matches")
 
 
+def write_json_object(df: DataFrame, path: str) -> None:
+    """A table of one row as one JSON object, fields without a value included."""
+    df.write.option("ignoreNullFields", False).json(path)
+
+
+def json_object(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
 def write_ragged(df: DataFrame, path: str) -> None:
     """df (key, reads) as one line a cluster."""
     df.select(F.concat_ws(",", F.col("key").cast("string"), "reads")).write.text(path)
