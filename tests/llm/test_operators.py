@@ -115,6 +115,23 @@ def test_op1_op6_repeated_rows_are_one(spark):
     assert links == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (0, 3)}
 
 
+def test_op6_grows_under_full_leaves(spark):
+    """A first forest of a few leaves, so that several rounds split them: near copies are found, each pair is counted once, no other
+    pair is linked, and a group too close to split, larger than a block, keeps all its links."""
+    rng = np.random.default_rng(16)
+    near = rng.normal(size=(400, 48)).repeat(3, axis=0) + 0.12 * rng.normal(size=(1200, 48))
+    group = rng.normal(size=48) + 0.1 * rng.normal(size=(300, 48))
+    x = np.concatenate([rng.normal(size=(3000, 48)), near, group])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "vec_id long, embedding array<double>")
+    got = rp_forest_duplicates(v, leaf=60, sample=100, block_rows=150, fit_rows=128).orderBy("vec_id").toPandas()
+    want = (x @ x.T >= 0.95).sum(axis=1) - 1
+    assert len(got) == len(x) and want[3000:4200].sum() > 1500 and want[4200:].sum() > 80_000
+    assert (got["n_links"].to_numpy() <= want).all() and (got["n_links"][:3000] == 0).all()
+    assert got["n_links"][3000:4200].sum() >= 0.97 * want[3000:4200].sum() and got["n_links"][4200:].sum() >= 0.99 * want[4200:].sum()
+    assert set(got["component_id"][4200:]) == {4200}
+
+
 def test_op6_links_are_those_of_brute_force(spark):
     """Planted near copies, some close to the threshold, among unlike vectors."""
     rng = np.random.default_rng(6)

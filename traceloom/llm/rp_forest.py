@@ -21,8 +21,7 @@ class Tree:
     def __init__(self, sample: np.ndarray, depth: int, spill: float, rng: np.random.Generator):
         self.depth, self.spill = depth, spill
         n = (1 << depth) - 1
-        self.directions = rng.normal(size=(n, sample.shape[1]))
-        self.directions /= np.linalg.norm(self.directions, axis=1)[:, None]
+        self.directions = self._directions(n, sample.shape[1], rng)
         self.thresholds = np.zeros(n)
         held = {0: np.arange(len(sample))}
         for node in range(n):
@@ -32,6 +31,20 @@ class Tree:
             if 2 * node + 2 < n:
                 held[2 * node + 1], held[2 * node + 2] = rows[p <= self.thresholds[node]], rows[p > self.thresholds[node]]
 
+    @staticmethod
+    def _directions(n: int, dim: int, rng: np.random.Generator) -> np.ndarray:
+        """The first n directions of a generator: a shallower tree has the first ones of a deeper tree."""
+        out = rng.normal(size=(n, dim))
+        return out / np.linalg.norm(out, axis=1)[:, None]
+
+    @classmethod
+    def known(cls, thresholds: np.ndarray, dim: int, spill: float, rng: np.random.Generator) -> Tree:
+        """The tree that had these thresholds under the same generator."""
+        tree = cls.__new__(cls)
+        tree.depth, tree.spill, tree.thresholds = int(np.log2(len(thresholds) + 1)), spill, thresholds
+        tree.directions = cls._directions(len(thresholds), dim, rng)
+        return tree
+
     def leaves(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of row and leaf."""
         row, node = np.arange(len(rows)), np.zeros(len(rows), np.int64)
@@ -86,8 +99,79 @@ def _plant(forest: list[Tree], dim: int):
     return run
 
 
+def _leaf_rng(seed: int, leaf: int) -> np.random.Generator:
+    return np.random.default_rng([seed, leaf & (2**64 - 1)])
+
+
+_MORE = 1.3  #: a level of a subtree that makes more than so many rows of each is no split, as most rows would go both ways
+
+
+def _fit(dim: int, leaf: int, spill: float, seed: int, least: int = 16):
+    """The thresholds of a tree under one full leaf, fitted on a bounded sample of its rows; none where its rows lie so close
+    that they spill to both sides: such rows are nearly all linked, and are compared block by block."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("vec_id", kind="stable")
+        name, held, rows = int(frame["leaf"].iloc[0]), int(frame["held"].iloc[0]), V.rows(frame["v"].tolist(), dim)
+        most = int(max(0, np.floor(np.log2(len(rows) / least))))
+        tree, depth, now = Tree(rows, most, spill, _leaf_rng(seed, name)), 0, len(rows)
+        while depth < most and held * now / len(rows) / (1 << depth) > leaf:
+            tree.depth = depth + 1
+            then = len(tree.leaves(rows)[0])
+            if then > _MORE * now:
+                break
+            depth, now = depth + 1, then
+        cuts = [tree.thresholds[: (1 << depth) - 1].astype("<f8").tobytes()] if depth else []
+        return pd.DataFrame({"leaf": pd.Series([name] * len(cuts), dtype="int64"), "cuts": pd.Series(cuts, dtype=object)})
+
+    return run
+
+
+def _descend(dim: int, spill: float, seed: int):
+    """A row for each leaf of the tree under its leaf that a vector falls in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf, cuts = batch.column(3).to_numpy(), batch.column(4)
+            rows = V.rows(batch.column(1).to_pylist(), dim)
+            take, child = [], []
+            for name, at in zip(*np.unique(leaf, return_index=True), strict=True):
+                mine = np.flatnonzero(leaf == name)
+                tree = Tree.known(np.frombuffer(cuts[int(at)].as_py(), "<f8"), dim, spill, _leaf_rng(seed, int(name)))
+                row, node = tree.leaves(rows[mine])
+                take.append(mine[row])
+                child.append(node)
+            take = pa.array(np.concatenate(take) if take else np.zeros(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(4)), pa.array(np.concatenate(child) if child else np.zeros(0, np.int64), pa.int64())], ["vec_id", "v", "copies", "leaf", "child"])
+
+    return run
+
+
+def _grown(planted: DataFrame, dim: int, leaf: int, spill: float, full: int, fit_rows: int, seed: int) -> DataFrame:
+    """planted, with trees grown under all leaves of over `full` rows, round by round, until none is left that a split makes
+    smaller. A round makes up to 32 leaves of one, so the rounds grow with the logarithm of the rows. Leaves are
+    named by hashes; two that shared a name would only be compared together."""
+    live, kept = planted, []
+    while True:
+        held = live.groupBy("leaf").agg(F.count("*").alias("held")).where(F.col("held") > full)
+        picked = live.join(held, "leaf").where((F.xxhash64(F.lit(seed + len(kept) + 1), "vec_id") / 2.0**64 + 0.5) < F.lit(float(fit_rows)) / F.col("held"))
+        trees = table(picked.select("leaf", "held", "vec_id", "v").groupBy("leaf").applyInPandas(_fit(dim, leaf, spill, seed), "leaf long, cuts binary"))
+        if trees.isEmpty():
+            break
+        kept.append(live.join(trees, "leaf", "left_anti").select("vec_id", "v", "copies", "leaf"))
+        below = live.join(trees, "leaf").select("vec_id", "v", "copies", "leaf", "cuts").mapInArrow(_descend(dim, spill, seed), "vec_id long, v binary, copies long, leaf long, child long")
+        live = table(below.select("vec_id", "v", "copies", F.xxhash64("leaf", "child").alias("leaf")))
+    if not kept:
+        return planted
+    for part in kept:
+        live = live.unionByName(part)
+    live = table(live)
+    every = live.groupBy("vec_id").agg(F.collect_list("leaf").alias("all"))
+    return table(live.join(every, "vec_id").select("vec_id", "v", "copies", "all", "leaf"))
+
+
 def _earlier(every: pd.Series, leaf: int) -> np.ndarray:
-    """Each row's leaves before `leaf`, as bits: two rows that share one have met before."""
+    """Each row's leaves (longs, or their bytes) before `leaf`, as bits: two rows that share one have met before."""
     lists = [np.frombuffer(b, "<i8") for b in every]
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     flat = np.concatenate(lists)
@@ -144,13 +228,15 @@ def _compare(dim: int, at_least: float):
     return run
 
 
-def rp_forest_duplicates(vectors: DataFrame, cosine: float = 0.95, dim: int | None = None, trees: int = 12, leaf: int = 400, spill: float = 0.02, sample: int = 20_000, block_rows: int = 1500, seed: int = 11) -> DataFrame:
+def rp_forest_duplicates(vectors: DataFrame, cosine: float = 0.95, dim: int | None = None, trees: int = 12, leaf: int = 400, spill: float = 0.02, sample: int = 20_000, block_rows: int = 1500, fit_rows: int = 512, seed: int = 11) -> DataFrame:
     """Links between vectors of cosine >= `cosine` (double precision), and the groups that they form.
 
     vectors: vec_id long, embedding array of numbers. Equal vectors are one row with a count throughout,
     so copies are never paired with each other. The forest is fitted on about `sample` rows (those of least hash);
-    its trees deepen until a leaf holds about `leaf` vectors, spilled ones included, and no less than 16 sampled rows. A leaf over `block_rows` is compared in pairs
-    of blocks, each a task of its own. Returns vec_id, n_links (other vectors linked), component_id (smallest
+    its trees deepen until a leaf holds about `leaf` vectors, spilled ones included, and no less than 16 sampled rows. Under a leaf
+    that still has over `block_rows` rows, as all have once the table is large, a tree of its own grows, fitted on about `fit_rows` of
+    them, and so on. Only leaves whose rows lie too close for a split stay larger: they are compared in pairs of blocks, each a
+    task of its own. Returns vec_id, n_links (other vectors linked), component_id (smallest
     vec_id reachable), kept. Vectors that are null, zero, of another length, or with null or non-finite
     components link with nothing. Rows without vec_id are left out. Repeated rows are one. An empty table
     gives an empty result.
@@ -167,6 +253,7 @@ def rp_forest_duplicates(vectors: DataFrame, cosine: float = 0.95, dim: int | No
     depth = _depth(rows, n, leaf, spill, rng)
     forest = [Tree(rows, depth, spill, rng) for _ in range(trees)]
     planted = table(classes.select(F.col("first").alias("vec_id"), "v", "copies").mapInArrow(_plant(forest, dim), "vec_id long, v binary, copies long, all binary, leaf long"))
+    planted = _grown(planted, dim, leaf, spill, block_rows, fit_rows, seed)
     held = planted.groupBy("leaf").agg(F.count("*").alias("held")).where("held > 1")
     blocks = F.ceil(F.col("held") / block_rows).cast("int")
     planted = planted.join(held, "leaf").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(seed)), "blocks").cast("int"))
