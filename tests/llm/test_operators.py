@@ -132,6 +132,12 @@ def test_op6_grows_under_full_leaves(spark):
     assert set(got["component_id"][4200:]) == {4200}
 
 
+def test_op6_links_at_exactly_the_threshold(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8])], "vec_id long, embedding array<double>")
+    for cosine, want in ((0.6, [(1, 1), (1, 1)]), (float(np.nextafter(0.6, 1)), [(0, 1), (0, 2)])):
+        assert [(r.n_links, r.component_id) for r in rp_forest_duplicates(v, cosine=cosine).orderBy("vec_id").collect()] == want
+
+
 def test_op6_links_are_those_of_brute_force(spark):
     """Planted near copies, some close to the threshold, among unlike vectors."""
     rng = np.random.default_rng(6)
