@@ -101,6 +101,21 @@ def test_op12_equals_brute_force(spark, sizes):
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 300
 
 
+def test_op12_over_partitions_that_stay_apart(spark):
+    rows = vectors()
+    want = sorted(map(tuple, H.hard_negatives(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 10 == 0).collect()))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        for sizes in ({}, {"block_rows": 37, "anchor_rows": 11}):
+            got = H.hard_negatives(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 10 == 0, **sizes).collect()
+            assert sorted(map(tuple, got)) == want and len(want) > 300
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_op12_keys_and_nothing(spark):
     values = [(-5, 7, 0, 3), (-5, 7, 1, 2), (-5, -1, 0, -9), (4, 0, 1, 0), (4, -(1 << 62), 0, 1)]
     keys = [H.pack_keys(np.array([a]), np.array([s]), kind, np.array([o]))[0] for a, s, kind, o in values]

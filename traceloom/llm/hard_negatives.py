@@ -183,8 +183,9 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, label: Column | None =
     rows = table(rows.select("vec_id", "x.label", "x.v"))
     n, asking = rows.agg(F.count("*"), F.count_if(F.coalesce(is_anchor, F.lit(False)))).first()
     blocks, splits = buckets(n, block_rows), buckets(asking, anchor_rows)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(blocks))).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    anchors = rows.where(is_anchor).select(F.col("vec_id").alias("anchor_id"), F.col("label").alias("anchor_label"), F.col("v").alias("anchor"), F.pmod(F.xxhash64("vec_id"), F.lit(splits)).alias("split"))
+    # Both sides of a cogroup need keys of one type: int and long of the same value hash to different partitions.
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(blocks)).cast("int")).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    anchors = rows.where(is_anchor).select(F.col("vec_id").alias("anchor_id"), F.col("label").alias("anchor_label"), F.col("v").alias("anchor"), F.pmod(F.xxhash64("vec_id"), F.lit(splits)).cast("int").alias("split"))
 
     def meet(asked: DataFrame, kernel) -> DataFrame:
         asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
