@@ -70,3 +70,9 @@ def test_windows_of_no_prefix_are_not_shuffled_and_hits_equal_a_loop(spark, monk
         found = J.prefix_hits(spark.createDataFrame(reads_, "cluster_id long, read_no int, s string"), spark.createDataFrame(truths, "gt_id long, gt string"), 6)
         assert sorted(map(tuple, found.collect())) == want
         assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keys_of_a_search_are_never_broadcast(spark):
+    few = J.within_distance(spark.createDataFrame([("ACGT" * 27,)], "s string"), spark.createDataFrame([("ACGA" * 27,)], "g string"), 5, 13)
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=merge)" in plan
