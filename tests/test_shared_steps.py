@@ -10,6 +10,7 @@ from traceloom.operators import consensus as C
 from traceloom.operators import demux as D
 from traceloom.operators import errors as E
 from traceloom.operators import joins as J
+from traceloom.sources import fixture
 from traceloom.sources.fixture import reads
 
 SF = "/root/testdata/sf0.001"
@@ -20,6 +21,14 @@ def test_reads_shuffle_and_sort_keys_alone(spark):
     assert "md5" in plan and "md5" not in plan[plan.index("Window") :]
 
 
+def test_tasks_of_reads_follow_their_number(spark, monkeypatch):
+    monkeypatch.setattr(fixture, "TASK_ROWS", 250)
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    for of in (reads(spark, SF).select("cluster_id", "read_no"), fixture.ground_truth(spark, SF).select("gt_id")):
+        assert of.rdd.getNumPartitions() == n // 250 + 1
+        assert of.count() == spark.read.parquet(f"{SF}/{'lineitem' if 'read_no' in of.columns else 'orders'}.parquet").count()
+
+
 def test_single_steps_equal_the_alignment():
     r, gts, preds = random.Random(1), [], []
     for _ in range(3000):
@@ -86,3 +95,23 @@ def test_a_truth_that_holds_its_reverse_primer_is_not_cut(spark):
     rows = [(1, 3, f"CAT{p['f']}{gt}{p['r']}"), (2, 3, f"{p['f']}{gt}{p['r']}"), (3, 3, turned)]
     got = D.truth_payloads(spark.createDataFrame(rows, "gt_id long, exp long, s string"), J.primers(spark)).collect()
     assert sorted(map(tuple, got)) == [(1, 3, gt, False), (2, 3, gt, True), (3, 3, gt, False)]
+
+
+def test_pairs_of_whole_primers_equal_a_loop():
+    r = random.Random(4)
+    k, known = 12, [("".join(r.choice("ACGT") for _ in range(12)), "".join(r.choice("ACGT") for _ in range(12))) for _ in range(5)]
+    texts = ["", "A" * 23, *(f + r_ for f, r_ in known), known[0][1] + "ACGT" * 9 + known[0][0]]
+    for _ in range(300):
+        (f, _), (_, g), (x, y) = r.choice(known), r.choice(known), r.choice(known)
+        texts.append("".join(r.choice("ACGN") for _ in range(r.randrange(6))) + r.choice([f, x]) + "ACGTTG" * r.randrange(12) + r.choice(["", x, y]) + r.choice([g, y]) + "A" * r.randrange(4))
+    want = []
+    for t in texts:
+        half, best = len(t) // 2, (-1, -1, -1)
+        for e, (f, g) in enumerate(known):
+            p, q = t.find(f, 0, half + 1), t.find(g, half)
+            if best[0] < 0 and p >= 0 and q > p + k:
+                best = (e, p, q)
+        want.append(best)
+    rows = lambda x: D.letters(pa.array(x))
+    got = D.whole_pairs(*rows(texts), rows([f for f, _ in known])[0], rows([g for _, g in known])[0])
+    assert list(map(tuple, got.tolist())) == want and 50 < sum(w[0] >= 0 for w in want) < len(texts)
