@@ -74,6 +74,23 @@ def test_op8_passage_in_many_surroundings(spark, crowded):
     assert got == bytes_left(crowded, 400)
 
 
+def test_op8_passages_of_over_fifty_words_go_from_400_bytes_on(spark):
+    """Passages planted in two documents each, with other bytes right before and after them."""
+    rng = np.random.default_rng(8)
+    texts, planted = {}, {}
+    for k, (size, letter) in enumerate([(300, "a"), (399, "a"), (400, "a"), (401, "a"), (399, "é"), (400, "é")]):
+        passage = " ".join(f"{letter}{x}" for x in rng.integers(10, 99, 52))
+        passage += "z" * (size - len(passage.encode()))
+        for j in range(2):
+            texts[10 * k + j] = "".join(f" b{x}" for x in rng.integers(0, 10**9, 30)) + "<>"[j] + passage + "[]"[j] + "".join(f" c{x}" for x in rng.integers(0, 10**9, 30))
+            planted[10 * k + j] = size if size >= 400 else 0
+    texts[99], planted[99] = "".join(f" d{x}" for x in rng.integers(0, 10**9, 60)), 0
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in lpf_dedup(d).collect()}
+    assert got == bytes_left(texts, 400)
+    assert {i: x[1] for i, x in got.items()} == planted
+
+
 @pytest.mark.parametrize("unit", ["word", "byte"])
 def test_deep_levels_find_what_the_first_finds(spark, crowded, unit):
     """With room for hardly a segment in a group, all is found in the cells' last levels."""
