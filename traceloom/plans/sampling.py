@@ -6,12 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import seeded
+from ..operators.errors import edit_distance
 from ..operators.layout import length_batches, write_batches
 from ..operators.metrics import r6
 from ..operators.ranks import rank_within
 from ..operators.selection import cut
 from ..sources.fixture import VIEWS, clusters, ground_truth, reads, table
-from ..sources.scans import shared_folder
+from ..sources.scans import kept, shared_folder
 from ._register import query
 
 
@@ -99,7 +100,9 @@ def a39(spark, sf):
 
 @query("t4_worst_share_by_size", f"{_SZ}, d AS (SELECT cluster_id, n, sum(levenshtein(read, rd.gt)) AS d FROM rd JOIN sz USING (cluster_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY d DESC, cluster_id) AS k, count(*) OVER (PARTITION BY n) AS m FROM d) SELECT cluster_id, n, cast(d AS bigint) AS d FROM r WHERE k <= greatest(1, ceil(0.05::double * m))")
 def t4(spark, sf):
-    d = reads(spark, sf).groupBy("cluster_id").agg(F.count("*").alias("n"), F.sum(F.levenshtein("read", "gt").cast("long")).alias("d"))
+    """Distances are measured once and kept: counts, cut-offs and ranks each read them again."""
+    each = edit_distance(reads(spark, sf).select("cluster_id", "read", "gt"), "read", "gt")
+    d = kept(each.groupBy("cluster_id").agg(F.count("*").alias("n"), F.sum("d").alias("d")))
     by = d.groupBy("n", "d").agg(F.count("*").alias("same"))  # few rows: distances of a size
     of = Window.partitionBy("n")
     above = F.coalesce(F.sum("same").over(of.orderBy(F.desc("d")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
