@@ -112,3 +112,23 @@ def test_one_hot_text_equals_the_rows(spark):
         got = spark.createDataFrame(rows, "s string").select(S.one_hot_text(F.col("s"), 9, both).alias("a"), shown(S.pad_rows(S.one_hot(F.col("s")), 9, both)).alias("b")).collect()
         assert all(x.a == x.b for x in got) and len(got[1].a) == 44
     assert "lambda" not in registry.QUERIES["m11_one_hot"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_encoded_pairs_and_their_text_equal_the_column_functions(spark):
+    from traceloom.operators.encoding import shifted_pairs, shown
+
+    rows = [(i, t) for i, t in enumerate(["", "ACGT-|:#", "Aé", "T" * 9, None, "ACG:ACN"])]
+    df = spark.createDataFrame(rows, "i long, s string")
+    x, y = S.shift_pair(S.encode(S.pad(F.col("s"), 9)))
+    want = sorted(df.where("s is not null and s <> ''").select("i", x.alias("x"), y.alias("y")).collect())
+    made = shifted_pairs(df, "s", 9)
+    assert sorted(r for r in made.collect() if r.x is not None and r.i) == want and made.where("x is null").select("i").collect() == [(4,)]
+    assert made.where("i = 0").first().x == [7] * 8
+    text = {r.i: r.x for r in shown(made, "x").collect()}
+    assert text == {r.i: None if r.x is None else ",".join(map(str, r.x)) for r in made.collect()}
+    assert "lambda" not in registry.QUERIES["k14_encoded_dataset"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_of_repeated_traces_are_written_compressed(spark):
+    files = registry.QUERIES["s9_k8_prediction_tsv"](spark, SF).inputFiles()
+    assert files and all(f.endswith(".csv.gz") for f in files)
