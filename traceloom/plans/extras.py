@@ -83,7 +83,4 @@ def m19(spark, sf):
 @query("m17_homopolymer_class", f"{CLASSES} SELECT op, hp_class, count(*) AS n FROM cl GROUP BY ALL")
 def m17(spark, sf):
     """Operations between reads and ground truths by their effect on homopolymers."""
-    r, g = reads(spark, sf), ground_truth(spark, sf)
-    ops = E.edit_operations(r.select("cluster_id", "read_no", "gt", "read")).select("cluster_id", "read_no", F.posexplode("ops").alias("no", "o")).select("cluster_id", "read_no", "no", "o.*")
-    hp = E.homopolymers(g, "gt_id", "gt").withColumnRenamed("gt_id", "cluster_id")
-    return E.homopolymer_class(ops, hp).groupBy("op", "hp_class").agg(F.count("*").alias("n"))
+    return E.homopolymer_counts(reads(spark, sf)).where("what = 'operation'").groupBy("op", "hp_class").agg(F.sum("n").alias("n"))
