@@ -132,3 +132,87 @@ def test_encoded_pairs_and_their_text_equal_the_column_functions(spark):
 def test_lines_of_repeated_traces_are_written_compressed(spark):
     files = registry.QUERIES["s9_k8_prediction_tsv"](spark, SF).inputFiles()
     assert files and all(f.endswith(".csv.gz") for f in files)
+
+
+def noisy_rows(seed, clusters):
+    r = random.Random(seed)
+    return [(c, i, None if r.random() < 0.05 else "".join(r.choice("ACGTN") for _ in range(r.randrange(8))), "ACGTACG"[: 5 + c % 3]) for c in range(clusters) for i in range(1, r.randrange(2, 7))]
+
+
+def test_errors_of_frequencies_and_entropies_equal_loops(spark, monkeypatch):
+    from math import log
+
+    rows = noisy_rows(10, 40)
+    df = spark.createDataFrame(rows, "cluster_id long, read_no int, read string, gt string")
+    near = lambda x, y: all(a == b if isinstance(a, (int, str)) else abs(a - b) < 1e-9 for a, b in zip(x, y, strict=True))
+    whole, single, entropy = {}, {}, {}
+    for c in range(40):
+        texts, gt = [t for k, _, t, _ in rows if k == c and t], next(g for k, _, _, g in rows if k == c)
+        each = []
+        for p in range(max(map(len, texts), default=0)):
+            column = [t[p] for t in texts if len(t) > p]
+            d, share = len(column), {b: column.count(b) / len(column) for b in "ACGT"}
+            each.append(-sum((column.count(b) + 0.5) / (d + 2) * log((column.count(b) + 0.5) / (d + 2)) for b in "ACGT"))
+            if p >= 6:
+                continue
+            true = gt[p : p + 1]
+            right = share.get(true, share["T"])
+            add = (1, (sum(s * s for s in share.values()) - 2 * right + 1) / 4, (2 - 2 * right) / 4, -log(max(right, 1e-12)), float(right == max(share.values())))
+            whole[d] = tuple(map(sum, zip(whole.get(d, (0,) * 5), add, strict=True)))
+            for b in "ACGT":
+                e = share[b] - (b == true)
+                single[d, b] = tuple(map(sum, zip(single.get((d, b), (0,) * 3), (1, e * e, abs(e)), strict=True)))
+        if each:
+            entropy[c] = (sum(k == c for k, *_ in rows), sum(each) / len(each))
+    for hot in (C.HOT, 3):
+        monkeypatch.setattr(C, "HOT", hot)
+        got = {x.depth: tuple(x)[1:] for x in C.frequency_errors(df, 6).groupBy("depth").agg(*(F.sum(c) for c in ("positions", "mse", "mae", "kl", "agreement"))).collect()}
+        assert got.keys() == whole.keys() and all(near(got[d], whole[d]) for d in got)
+        got = {(x.depth, x.base): tuple(x)[2:] for x in C.base_errors(df, 6).groupBy("depth", "base").agg(*(F.sum(c) for c in ("positions", "mse", "mae"))).collect()}
+        assert got.keys() == single.keys() and all(near(got[d], single[d]) for d in got)
+        got = {x.cluster_id: tuple(x)[1:] for x in C.mean_entropy(df).collect()}
+        assert got.keys() == entropy.keys() and all(near(got[c], entropy[c]) for c in got)
+
+
+def test_concentration_of_clusters_equals_that_of_examples(spark, monkeypatch):
+    from traceloom.operators.attention import cluster_concentration, example_concentration
+
+    r = random.Random(12)
+    rows = [(c, i, [0.0 if r.random() < 0.3 else r.randrange(16) / 16.0 for _ in range(5)]) for c in range(40) for i in range(1, r.randrange(2, 9))]
+    df = spark.createDataFrame(rows, "cluster_id long, read_no int, weights array<double>")
+    long = df.select(F.col("cluster_id").alias("example"), "read_no", F.posexplode("weights").alias("token", "weight"))
+    names = ("reads", "tokens", "reads_90", "concentration", "entropy", "consistency", "normalized")
+    want = {x.example: [x[c] for c in names] for x in example_concentration(long).collect()}
+    for hot in (C.HOT, 3):
+        monkeypatch.setattr(C, "HOT", hot)
+        step = C.Derived(df, tuple(F.col(c) for c in df.columns), lambda batches: (b.drop_columns(["_no"]) if "_no" in b.schema.names else b for b in batches), "cluster_id long, read_no int, weights array<double>")
+        got = {x.cluster_id: [x[c] for c in names] for x in cluster_concentration(step).collect()}
+        assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for c in got for a, b in zip(got[c], want[c], strict=True))
+
+
+def test_homopolymer_counts_equal_the_join_of_runs(spark):
+    r = random.Random(13)
+    rows = [(i, 1, "".join(r.choice("AC") for _ in range(r.randrange(14))), "".join(r.choice("AC") for _ in range(r.randrange(14)))) for i in range(400)]
+    for i, (_, _, gt, _) in enumerate(rows[::2]):
+        at = r.randrange(len(gt) + 1)
+        rows[2 * i] = (2 * i, 1, gt, gt[:at] + r.choice(["", "A", "C"]) + gt[at + r.randrange(2) :])
+    df = spark.createDataFrame([*rows, (400, 1, None, "A"), (401, 1, "AAA", None)], "cluster_id long, read_no int, gt string, read string")
+    runs = E.homopolymers(df.where("gt is not null"), "cluster_id", "gt")
+    ops = E.edit_operations(df).select("cluster_id", "read_no", F.posexplode("ops").alias("no", "o")).select("cluster_id", "read_no", "no", "o.*")
+    want = {("operation", x.op, x.hp_class, x.hp_length): x.n for x in E.homopolymer_class(ops, runs).groupBy("op", "hp_class", "hp_length").agg(F.count("*").alias("n")).collect()}
+    want |= {("run", None, None, x.length): x.n for x in runs.groupBy((F.col("end") - F.col("start")).alias("length")).agg(F.count("*").alias("n")).collect()}
+    want["bases", None, None, None] = sum(len(g) for _, _, g, _ in rows) + 3
+    assert {tuple(x)[:4]: x.n for x in E.homopolymer_counts(df).collect()} == want and len({k[2] for k in want}) == 6
+
+
+def test_a_sweep_counts_what_single_windows_find(spark):
+    from traceloom.operators import joins as J
+
+    r = random.Random(14)
+    rows = [(c, 1, None if c == 3 else "".join(r.choice("ACGT") for _ in range(r.randrange(9))) + r.choice(["ACAAC", "ACATC", "AAAAC", "ACNAC"]) + "".join(r.choice("ACGTé" if c % 7 == 0 else "ACGT") for _ in range(r.randrange(5, 14)))) for c in range(300)]
+    df, valid = spark.createDataFrame(rows, "cluster_id long, read_no int, s string"), spark.range(16384).where("id % 3 <> 0").withColumnRenamed("id", "v")
+    settings = [(0, 30, 0), (0, 30, 2), (3, 18, 1), (25, 26, 1)]
+    found = {(x.start, x.end, x.most): (x.clusters, x.found) for x in J.index_clusters(df, valid, settings).groupBy("start", "end", "most").agg(F.count_distinct("v").alias("clusters"), F.count("*").alias("found")).collect()}
+    got = J.index_sweep(df, valid, settings)
+    assert {(x.start, x.end, x.most): (x.clusters, x.found, x.total, x.failed) for x in got.collect()} == {s: (*found.get(s, (0, 0)), 300, 300 - found.get(s, (0, 0))[1]) for s in settings}
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
