@@ -216,3 +216,44 @@ def test_a_sweep_counts_what_single_windows_find(spark):
     got = J.index_sweep(df, valid, settings)
     assert {(x.start, x.end, x.most): (x.clusters, x.found, x.total, x.failed) for x in got.collect()} == {s: (*found.get(s, (0, 0)), 300, 300 - found.get(s, (0, 0))[1]) for s in settings}
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rounds_of_a_search_find_what_one_finds(spark, monkeypatch):
+    from traceloom.operators import joins as J
+
+    r = random.Random(15)
+    text = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    truths = [text(40) for _ in range(30)] + [text(33), "ACGTé" * 6, "ACG"]
+    reads_ = ["", None, "ACGTT", "AC"]
+    for g in truths:
+        for edits in range(0, 12, 2):
+            t = list(g)
+            for _ in range(edits):
+                at = r.randrange(len(t) + 1)
+                t[at : at + r.randrange(2)] = r.choice(["", r.choice("ACGTNé")])
+            reads_.append("".join(t))
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {s for s in reads_ if s is not None and any(3 <= lev(s, g) <= 7 for g in truths)}
+    a, b = spark.createDataFrame([(x,) for x in reads_], "s string"), spark.createDataFrame([(x,) for x in truths], "g string")
+    for bits in (J.ROUND_BITS, 1 << 16):  # in one round, and in eight
+        monkeypatch.setattr(J, "ROUND_BITS", bits)
+        assert {x.s for x in J.within_distance(a, b, 3, 7).collect()} == want and 20 < len(want) < len(set(reads_))
+
+
+def test_windows_that_no_segment_can_be_are_not_shuffled(spark):
+    from traceloom.operators import joins as J
+
+    r = random.Random(16)
+    text = lambda: "".join(r.choice("ACGT") for _ in range(110))
+    g, s = J._packed_texts(spark.createDataFrame([(text(),) for _ in range(20)], "g string")), J._packed_texts(spark.createDataFrame([(text(),) for _ in range(50)], "s string"))
+    keys = J._segment_keys(g, tuple(range(7)), 7, 0, 1)
+    n = keys.count()
+    assert J._window_keys(s, [15], tuple(range(7)), 7, 13, 0, 1, J.seed_filter(keys, n)).count() < 50 and n > 7 * 20 * 100
